@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and has at most so many rows of a few fixed-width columns.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 _LOCAL: dict[str, str] = {}
 

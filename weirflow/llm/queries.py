@@ -17,6 +17,12 @@ def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.parity_join import Similarity, similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"), Similarity(width=3, percent=90))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,7 +38,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_chunk_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op4_chunk_dedup, op5_parity_join, op10_best_fit_packing)}
 
 
 _OP4_SQL = r"""

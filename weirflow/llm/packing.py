@@ -65,12 +65,11 @@ class WordTokenizer:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, runs: set[str]) -> None:
-        if len(self.runs) > CACHED:
-            self.runs.clear()
+        # The caller tests one by one: a difference with the keys of a dict would go through the whole cache.
         if len(self.words) > CACHED:
             self.words.clear()
         split = {r: _SPLIT.findall(r) for r in runs}
-        new = list({w for ws in split.values() for w in ws} - self.words.keys())
+        new = list({w for ws in split.values() for w in ws if w not in self.words})
         self.words.update(zip(new, self._encode(new), strict=True))
         words = self.words
         for r, ws in split.items():
@@ -78,18 +77,16 @@ class WordTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as native unsigned 32-bit numbers, without an end token."""
+        if len(self.runs) > CACHED:
+            self.runs.clear()
         plain: list[list[str] | None] = []
         for t in texts:
             usual = not _UNUSUAL.search(t) and not any(s in t for s in self.specials)
             plain.append(t.lower().split() if usual else None)
+        self._learn({r for runs in plain if runs for r in runs if r not in self.runs})
         out = []
         for t, runs in zip(texts, plain, strict=True):
-            if runs is None:
-                out += self._encode([t])
-                continue
-            if missing := set(runs) - self.runs.keys():
-                self._learn(missing)
-            out.append(b"".join(map(self.runs.__getitem__, runs)))
+            out += self._encode([t]) if runs is None else [b"".join(map(self.runs.__getitem__, runs))]
         return out
 
 

@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.chunk_dedup import exact_groups
 
@@ -23,6 +29,12 @@ def op5_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"), Similarity(width=3, percent=90))
 
 
+def op6_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,7 +50,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_chunk_dedup, op5_parity_join, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_ppm_langid, op4_chunk_dedup, op5_parity_join, op6_nb_toxicity, op10_best_fit_packing)}
 
 
 _OP4_SQL = r"""

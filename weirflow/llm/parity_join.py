@@ -179,19 +179,32 @@ def _keys(reps: DataFrame, sim: Similarity) -> DataFrame:
     return s.select("doc_id", "band", F.explode(F.expr(pairs)).alias("key")).select("key", "band", "doc_id")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sizes: DataFrame, sim: Similarity) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are linked. Shingles are made anew for the documents concerned alone."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(sizes, "doc_id"), "ids")
+def _by_band(reps: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, band, words) of the documents in ``ids``."""
+    return keyed_join(reps, ids, ["doc_id"], "left_semi").select("doc_id", "n_shingles", F.explode("sketches").alias("s")).select("doc_id", "n_shingles", "s.band", "s.words")
+
+
+def _close(pairs: DataFrame, reps: DataFrame, sim: Similarity) -> DataFrame:
+    """Those of ``pairs`` (a, b, band) whose sizes and sketches allow a link; the distance of sketches is at most that of the sets."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "met_ids")
+    sketches = _by_band(reps, ids)
     for side in ("a", "b"):
-        pairs = keyed_join(pairs, ids.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}")), [side], "inner")
-    pairs = pairs.filter(f"100 * least(n_a, n_b) >= {sim.percent} * greatest(n_a, n_b)")
-    wanted = keyed_join(docs, ids.select("doc_id"), ["doc_id"], "left_semi").mapInArrow(_sets(sim.width), _SETS)
-    sets = materialise(wanted, "sets").dropDuplicates(["doc_id"])
-    sets = materialise(sets, "sets_once")
+        own = sketches.select(F.col("doc_id").alias(side), "band", F.col("n_shingles").alias(f"n_{side}"), F.col("words").alias(f"w_{side}"))
+        pairs = pairs.join(own, [side, "band"])
+    apart = F.expr("aggregate(zip_with(w_a, w_b, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
+    near = f"100 * least(n_a, n_b) >= {sim.percent} * greatest(n_a, n_b)"
+    return pairs.filter(near).filter(apart * (100 + sim.percent) <= (100 - sim.percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are linked. Shingles are made anew for the documents concerned alone."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = materialise(keyed_join(docs, ids, ["doc_id"], "left_semi").mapInArrow(_sets(sim.width), _SETS), "sets")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s_{side}")), side)
     common = F.size(F.array_intersect("s_a", "s_b"))
-    return materialise(pairs.filter(100 * common >= sim.percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "linked")
+    linked = pairs.filter(100 * common >= sim.percent * (F.size("s_a") + F.size("s_b") - common))
+    return materialise(linked.select("a", "b").distinct(), "linked")
 
 
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -241,8 +254,7 @@ def _untied(met: DataFrame, tied: DataFrame, reps: DataFrame, sim: Similarity) -
         return mixed.sparkSession.createDataFrame([], _PAIRS)
     members = materialise(keyed_join(now, mixed, ["key"], "inner"), "members")
     concerned = materialise(members.select("doc_id").distinct(), "concerned")
-    sketches = keyed_join(reps, concerned, ["doc_id"], "left_semi").select("doc_id", "n_shingles", F.explode("sketches").alias("s"))
-    sketches = sketches.select("doc_id", "n_shingles", "s.band", "s.words")
+    sketches = _by_band(reps, concerned)
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = (
         members.withColumn("block", block)
@@ -263,20 +275,20 @@ def similar_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("digest", "rep")
     classes = materialise(classes, "classes")
     reps = keyed_join(named, classes, ["digest"], "left").filter("rep IS NULL OR rep = doc_id").select("doc_id", "n_shingles", "sketches")
-    if not classes.isEmpty():
+    if not small_enough(classes):
         reps = materialise(reps, "reps")
     keys = _keys(reps, sim)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("hub2"))
     shared = materialise(shared.filter("n > 1").drop("n"), "shared")
     met = materialise(keys.join(F.broadcast(shared) if small_enough(shared, BROADCAST_KEYS) else shared, "key"), "met")
-    hubs = met.select("doc_id", F.explode(F.array("hub", "hub2")).alias("hub")).filter("doc_id <> hub")
-    pairs = materialise(hubs.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), "pairs")
-    sizes = reps.select("doc_id", "n_shingles").distinct()
-    links = _verified(pairs, docs, sizes, sim)
+    hubs = met.select("band", "doc_id", F.explode(F.array("hub", "hub2")).alias("hub")).filter("doc_id <> hub")
+    hubs = hubs.groupBy(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).agg(F.min("band").alias("band"))
+    hubs = materialise(hubs, "hubs")
+    links = _verified(materialise(_close(hubs, reps, sim), "close"), docs, sim)
     tied = materialise(components(links), "tied")
-    more = materialise(_untied(met.select("key", "band", "doc_id"), tied, reps, sim).join(pairs, ["a", "b"], "left_anti"), "more")
+    more = materialise(_untied(met.select("key", "band", "doc_id"), tied, reps, sim).join(hubs, ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
-        tied = materialise(components(links.unionByName(_verified(more, docs, sizes, sim))), "tied")
+        tied = materialise(components(links.unionByName(_verified(more, docs, sim))), "tied")
     out = keyed_join(made.select("doc_id", "n_shingles", "digest"), classes, ["digest"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
     out = keyed_join(out, tied, ["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))

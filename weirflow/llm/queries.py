@@ -35,6 +35,12 @@ def op6_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.syncmers import with_neighbours
+
+    return with_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,7 +56,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ppm_langid, op4_chunk_dedup, op5_parity_join, op6_nb_toxicity, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_ppm_langid, op4_chunk_dedup, op5_parity_join, op6_nb_toxicity, op7_closed_syncmers, op10_best_fit_packing)}
 
 
 _OP4_SQL = r"""

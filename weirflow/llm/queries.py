@@ -41,6 +41,18 @@ def op7_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op8_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.pii import personal_spans
+
+    return personal_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.mixing import document_rates
+
+    return document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,7 +68,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ppm_langid, op4_chunk_dedup, op5_parity_join, op6_nb_toxicity, op7_closed_syncmers, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_ppm_langid, op4_chunk_dedup, op5_parity_join, op6_nb_toxicity, op7_closed_syncmers, op8_weak_pii, op9_soft_mixing, op10_best_fit_packing)}
 
 
 _OP4_SQL = r"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,3 +62,23 @@ def unit_hash(*columns: str | Column, seed: int) -> Column:
 def text_of(docs: DataFrame) -> Column:
     """The text column, null as empty."""
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def bucket_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are below the key, looked up in two steps."""
+    each = 128
+    if len(bounds) <= each:
+        return F.size(F.filter(longs(bounds), lambda x: x < key))
+    parts = [bounds[i : i + each] for i in range(0, len(bounds), each)]
+    nested = F.expr("array(" + ",".join("array(" + ",".join(f"{x}L" for x in p) + ")" for p in parts) + ")")
+    top = F.size(F.filter(longs([p[-1] for p in parts[:-1]]), lambda x: x < key))
+    return let(top, lambda i: i * each + F.size(F.filter(F.element_at(nested, i + 1), lambda x: x < key)))
+
+
+def longs(numbers: list[int]) -> Column:
+    return F.array(*[F.lit(x).cast("long") for x in numbers]).cast("array<bigint>")

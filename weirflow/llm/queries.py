@@ -11,12 +11,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.revisits import captures, resolve
+
+    return resolve(captures(table(spark, sf_dir, "pages")))
+
+
 def op2_ppm_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.langid import identify
 
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op3_crf_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weirflow.llm.chunk_dedup import exact_groups
 
@@ -68,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ppm_langid, op4_chunk_dedup, op5_parity_join, op6_nb_toxicity, op7_closed_syncmers, op8_weak_pii, op9_soft_mixing, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_revisit_resolution, op2_ppm_langid, op3_crf_extraction, op4_chunk_dedup, op5_parity_join, op6_nb_toxicity, op7_closed_syncmers, op8_weak_pii, op9_soft_mixing, op10_best_fit_packing, pipeline)}
 
 
 _OP4_SQL = r"""
@@ -78,5 +90,29 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """
 
 
+_OP1_SQL = r"""
+WITH p AS (SELECT page_id AS id, url, md5(coalesce(html, '')) AS m, length(coalesce(html, '')) AS n, 1700000000 + 60 * page_id AS t,
+        '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, 'day-' || (page_id // 100) AS modified FROM pages),
+r AS (
+    SELECT 'urn:page:' || id || ':0' AS record_id, true AS is_full, url AS uri, t AS captured, tag AS etag, modified, 'md5:' || m AS digest,
+        [{'k': 'cache-control', 'v': 'max-age=60'}, {'k': 'content-length', 'v': n::VARCHAR}, {'k': 'content-type', 'v': 'text/html'}, {'k': 'date', 'v': t::VARCHAR}, {'k': 'etag', 'v': tag}, {'k': 'last-modified', 'v': modified}] AS headers FROM p
+    UNION ALL SELECT 'urn:page:' || id || ':1', false, CASE WHEN url LIKE 'https:%' THEN 'http:' || substr(url, 7) WHEN url LIKE 'http:%' THEN 'https:' || substr(url, 6) ELSE url END, t + 86400, tag, modified, NULL,
+        [{'k': 'cache-control', 'v': 'max-age=120'}, {'k': 'date', 'v': (t + 86400)::VARCHAR}, {'k': 'etag', 'v': 'W/' || tag}] FROM p
+    UNION ALL SELECT 'urn:page:' || id || ':2', false, url, t - 3600, NULL, modified, NULL, [{'k': 'date', 'v': (t - 3600)::VARCHAR}, {'k': 'expires', 'v': t::VARCHAR}] FROM p),
+c AS (SELECT *, regexp_replace(trim(uri), '#.*$', '') AS u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)([^?]*)(.*)$' AS shape FROM r),
+d AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)([^?]*)(.*)$', 1)), '^.*@', ''), '^www[0-9]*[.]', ''), ':(80|443)?$', '') AS host,
+        regexp_replace(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)([^?]*)(.*)$', 2), '/+$', '') AS path,
+        array_to_string(list_sort(list_filter(string_split(substr(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?]*)([^?]*)(.*)$', 3), 2), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]*|gclid|fbclid|ref|sessionid)(=|$)'))), '&') AS query FROM c),
+e AS (SELECT *, host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN query = '' THEN '' ELSE '?' || query END AS canonical_url FROM d),
+f AS (SELECT *, max(CASE WHEN is_full THEN {'captured': captured, 'record_id': record_id} END) OVER (PARTITION BY canonical_url ORDER BY captured RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM e),
+g AS (SELECT f.*, b.record_id AS base_record_id, b.etag AS b_etag, b.modified AS b_modified, b.digest AS b_digest, b.headers AS b_headers FROM f LEFT JOIN r b ON b.record_id = f.base.record_id WHERE NOT f.is_full),
+h AS (SELECT *, CASE WHEN base_record_id IS NULL THEN 'no_base' WHEN etag IS NOT NULL THEN CASE WHEN etag = b_etag THEN 'resolved' ELSE 'mismatch' END WHEN modified = b_modified THEN 'resolved' ELSE 'mismatch' END AS status,
+        CASE WHEN base_record_id IS NULL THEN NULL WHEN etag IS NOT NULL THEN 'etag' ELSE 'last-modified' END AS validator FROM g)
+SELECT record_id, canonical_url, captured, status, base_record_id, validator, CASE WHEN status = 'resolved' THEN b_digest END AS payload_digest,
+    CASE WHEN status = 'resolved' THEN array_to_string(list_transform(list_sort(list_concat(list_filter(b_headers, lambda x: NOT list_contains(list_transform(headers, lambda y: y.k), x.k)), headers)), lambda x: x.k || ': ' || x.v), chr(10)) END AS headers
+FROM h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chunk_dedup": _OP4_SQL}
+    return {"op1_revisit_resolution": _OP1_SQL, "op4_chunk_dedup": _OP4_SQL}

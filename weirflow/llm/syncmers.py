@@ -20,28 +20,21 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import text_of
+from weirflow.llm.common import bucket_of, let, longs, text_of
 
 #: Length of a k-mer, of an s-mer (a k-mer has WIDTH of them, a power of two), and anchors in a fingerprint.
 K, S = 16, 9
 WIDTH = K - S + 1
 SAMPLE = 64
-#: Buckets of ids per shuffle partition, and at most; bounds are looked up in two steps of up to 128 each.
+#: Buckets of ids per shuffle partition, and at most.
 PER_PARTITION, MOST_BUCKETS = 4, 16_384
 
 _MASK = 0xFFFFFFFF
 
 
-def _let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x), with x evaluated once."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
-
 def _least_of_next(x: Column, ahead: int) -> Column:
     return F.zip_with(x, F.slice(x, F.lit(ahead + 1), F.size(x)), lambda a, b: F.least(a, b))
 
@@ -61,19 +54,19 @@ def anchors(text: Column) -> Column:
 
         def sweep(least: Column, ahead: int) -> Column:
             if ahead == WIDTH:
-                return _let(tail, lambda t: select(h, t, least))
-            return _let(_least_of_next(least, ahead), lambda x: sweep(x, 2 * ahead))
+                return let(tail, lambda t: select(h, t, least))
+            return let(_least_of_next(least, ahead), lambda x: sweep(x, 2 * ahead))
 
         return sweep(h, 1)
 
-    return _let(s_mers, over)
+    return let(s_mers, over)
 
 
 def sample(found: Column, text: Column) -> Column:
     """The fingerprint as ascending numbers, from the anchors of a text."""
     least = F.slice(F.sort_array(F.array_distinct(F.array_compact(found))), F.lit(1), F.lit(SAMPLE))
     whole = F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text).bitwiseAND(F.lit(_MASK))))
-    return _let(least, lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
+    return let(least, lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
 
 
 def as_text(numbers: Column) -> Column:
@@ -82,7 +75,7 @@ def as_text(numbers: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     both = F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), F.lit(SAMPLE))
-    share = _let(both, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
+    share = let(both, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share).cast("double")
 
 
@@ -92,33 +85,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", as_text(sample(anchors(F.col("text")), F.col("text"))).alias("fingerprint"))
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the ascending ``bounds`` are below the key."""
-    each = 128
-    if len(bounds) <= each:
-        return F.size(F.filter(_longs(bounds), lambda x: x < key))
-    parts = [bounds[i : i + each] for i in range(0, len(bounds), each)]
-    nested = F.expr("array(" + ",".join("array(" + ",".join(f"{x}L" for x in p) + ")" for p in parts) + ")")
-    top = F.size(F.filter(_longs([p[-1] for p in parts[:-1]]), lambda x: x < key))
-    return _let(top, lambda i: i * each + F.size(F.filter(F.element_at(nested, i + 1), lambda x: x < key)))
-
-
-def _longs(numbers: list[int]) -> Column:
-    return F.array(*[F.lit(x).cast("long") for x in numbers]).cast("array<bigint>")
-
-
 def _in_buckets(docs: DataFrame) -> DataFrame:
     """(key, text, doc_id, bucket, extra): rows by buckets of ids, and extra copies of each bucket's first row, after the last of the one above it."""
     key = F.coalesce("doc_id", F.lit(-(1 << 62)))
     d = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).withColumn("key", key)
     n = min(MOST_BUCKETS, PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = d.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], F.lit(20 * n)).alias("c")).first().c or []
-    d = d.withColumn("own", _bucket(F.col("key"), sorted(set(cuts))))
+    d = d.withColumn("own", bucket_of(F.col("key"), sorted(set(cuts))))
     firsts = {r.own: r.first for r in d.groupBy("own").agg(F.max("key").alias("first")).collect()}  # at most n rows
     filled = sorted(firsts)
     size = filled[-1] + 1 if filled else 0
     above = {b: filled[(i + 1) % len(filled)] for i, b in enumerate(filled)}
-    first, up = _longs([firsts.get(b, 0) for b in range(size)]), _longs([above.get(b, 0) for b in range(size)])
+    first, up = longs([firsts.get(b, 0) for b in range(size)]), longs([above.get(b, 0) for b in range(size)])
     own = F.struct(F.col("own").cast("long").alias("bucket"), F.lit(0).alias("extra"))
     copy = F.struct(F.element_at(up, F.col("own") + 1).alias("bucket"), F.lit(1).alias("extra"))
     is_first = F.col("key") == F.element_at(first, F.col("own") + 1) if size else F.lit(False)

@@ -38,8 +38,6 @@ from weirflow.llm.components import components
 
 #: Ratio of the sizes of neighbouring bands; members of a bucket that one task compares at once; words whose hashes a worker keeps.
 BAND_RATIO, BLOCK_ROWS, CACHED_WORDS = 1.25, 1024, 1_000_000
-#: Shared keys that may be broadcast (three long columns).
-BROADCAST_KEYS = 400_000
 
 _MIX_A, _MIX_B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -280,7 +278,7 @@ def similar_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     keys = _keys(reps, sim)
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("hub2"))
     shared = materialise(shared.filter("n > 1").drop("n"), "shared")
-    met = materialise(keys.join(F.broadcast(shared) if small_enough(shared, BROADCAST_KEYS) else shared, "key"), "met")
+    met = materialise(keys.join(shared, "key"), "met")
     hubs = met.select("band", "doc_id", F.explode(F.array("hub", "hub2")).alias("hub")).filter("doc_id <> hub")
     hubs = hubs.groupBy(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).agg(F.min("band").alias("band"))
     hubs = materialise(hubs, "hubs")

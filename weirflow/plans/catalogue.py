@@ -1,15 +1,448 @@
-"""Named queries of the engine and their SQL twins."""
+"""Named queries of the engine and their SQL twins; each query is a thin call of the operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weirflow.functions import scalars as fn
+from weirflow.operators import corpus as C
+from weirflow.operators import evaluation as E
+from weirflow.operators import registry as G
+from weirflow.operators import report as R
+from weirflow.operators import retrieval as V
+from weirflow.operators import samples as S
+from weirflow.plans import bindings as B
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+_S = """S AS (SELECT user_id AS device, event_type AS metric, ts AS tm, (epoch_us(ts) // 1000) AS ms, event_id AS ord, value,
+    coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT) < 90, true) AS valid FROM events)"""
+_W = _S + """, A AS (SELECT device, max(tm) AS anchor FROM S GROUP BY device),
+W AS (SELECT S.* FROM S JOIN A USING (device) WHERE tm >= anchor - INTERVAL 7 DAY AND tm <= anchor)"""
+_SITE = _S + f""", P AS (SELECT device AS site, CASE metric {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in B.METRIC_OF.items())} END AS metric, tm, ms, ord, value,
+    {B.BASE_MIN} AS lo, {B.BASE_MAX} AS hi FROM S WHERE valid)"""
+_N = "count(*) FILTER (WHERE valid) AS n_samples, count(*) FILTER (WHERE NOT valid) AS excluded_faulted"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _ms(c: str):
+    return fn.epoch_ms(F.col(c))
+
+
+def _six(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# Sensor statistics
+
+
+@query(f"WITH {_W} SELECT device, metric, round(avg(value) FILTER (WHERE valid), 6) AS value, {_N} FROM W GROUP BY ALL")
+def sensor_mean_7d(spark, sf_dir):
+    return S.aggregate(S.in_window(B.samples(spark, sf_dir), "last 7 days"), "mean").select("device", "metric", *_six("value"), "n_samples", "excluded_faulted")
+
+
+@query(f"WITH {_W} SELECT device, metric, min(value) FILTER (WHERE valid) AS low, max(value) FILTER (WHERE valid) AS high, {_N} FROM W GROUP BY ALL")
+def sensor_minmax(spark, sf_dir):
+    s = S.in_window(B.samples(spark, sf_dir), "last 7 days")
+    return s.groupBy("device", "metric").agg(S.statistic("min").alias("low"), S.statistic("max").alias("high"), *S.counts())
+
+
+@query(f"WITH {_S} SELECT device, metric, round(quantile_cont(value, 0.5) FILTER (WHERE valid), 6) AS value, {_N} FROM S GROUP BY ALL")
+def sensor_median(spark, sf_dir):
+    return S.aggregate(B.samples(spark, sf_dir), "median").select("device", "metric", *_six("value"), "n_samples", "excluded_faulted")
+
+
+def _edge(name: str):
+    def run(spark, sf_dir):
+        return S.aggregate(B.samples(spark, sf_dir), name).select("device", "metric", "value", "n_samples", "excluded_faulted", _ms("observed_at").alias("observed_ms"))
+
+    run.__name__ = f"sensor_{name}"
+    return run
+
+
+for _name, _arg, _fn in (("latest", "arg_max", "max"), ("earliest", "arg_min", "min")):
+    query(f"WITH {_S} SELECT device, metric, {_arg}(value, {{'a': tm, 'o': ord}}) FILTER (WHERE valid) AS value, {_N}, {_fn}(ms) FILTER (WHERE valid) AS observed_ms FROM S GROUP BY ALL")(_edge(_name))
+
+
+@query(f"""WITH {_S}, R AS (SELECT *, row_number() OVER (PARTITION BY device, metric ORDER BY tm DESC, ord DESC) AS rn, count(*) OVER (PARTITION BY device, metric) AS n FROM S WHERE valid)
+SELECT device, metric, ms, ord, value, n AS n_samples, n > 5 AS truncated, least(n, 5) AS kept FROM R WHERE rn <= 5""")
+def sensor_raw_cap(spark, sf_dir):
+    return S.raw(B.samples(spark, sf_dir), 5).select("device", "metric", _ms("at").alias("ms"), "ord", "value", "n_samples", "truncated", "kept")
+
+
+@query(f"""WITH {_S}, M AS (SELECT device, metric, count(*) FILTER (WHERE valid) AS n, count(*) FILTER (WHERE NOT valid) AS x, max(ms) FILTER (WHERE valid) AS seen FROM S GROUP BY ALL)
+SELECT device, count(*) AS metrics, max(n) AS n_most, sum(x)::BIGINT AS excluded_faulted, CASE WHEN count(DISTINCT seen) = 1 THEN max(seen) END AS observed_ms FROM M GROUP BY device""")
+def sensor_all_metrics(spark, sf_dir):
+    return S.all_metrics(B.samples(spark, sf_dir)).select("device", "metrics", "n_most", "excluded_faulted", _ms("observed_at").alias("observed_ms"))
+
+
+@query(f"""WITH {_S}, A AS (SELECT device, max(tm) AS anchor FROM S GROUP BY device), D AS (SELECT DISTINCT device FROM S), M AS (SELECT DISTINCT metric FROM S),
+W AS (SELECT S.* FROM S JOIN A USING (device) WHERE tm >= date_trunc('day', anchor) AND tm < date_trunc('day', anchor) + INTERVAL 1 DAY),
+G AS (SELECT device, metric, round(avg(value) FILTER (WHERE valid), 6) AS value, {_N} FROM W GROUP BY ALL)
+SELECT device, metric, value, coalesce(n_samples, 0) AS n_samples, coalesce(excluded_faulted, 0) AS excluded_faulted FROM D CROSS JOIN M LEFT JOIN G USING (device, metric)""")
+def sensor_empty_spine(spark, sf_dir):
+    s = B.samples(spark, sf_dir)
+    names = [r.metric for r in s.select("metric").distinct().orderBy("metric").collect()]  # a handful of metrics
+    spine = s.select("device").distinct().withColumn("metric", F.explode(F.array(*[F.lit(n) for n in names])))
+    made = S.aggregate(S.in_window(s, "today"), "mean").select("device", "metric", *_six("value"), "n_samples", "excluded_faulted")
+    return S.on_spine(made, spine).select("device", "metric", "value", "n_samples", "excluded_faulted")
+
+
+@query(f"""WITH {_S}, A AS (SELECT device, max(tm) AS anchor FROM S GROUP BY device),
+W AS (SELECT S.* FROM S JOIN A USING (device) WHERE tm >= date_trunc('day', anchor) - INTERVAL 1 DAY AND tm < date_trunc('day', anchor))
+SELECT device, metric, max(value) FILTER (WHERE valid) AS value, {_N} FROM W GROUP BY ALL""")
+def sensor_calendar_day(spark, sf_dir):
+    return S.aggregate(S.in_window(B.samples(spark, sf_dir), "yesterday"), "max")
+
+
+@query(f"""WITH {_S} SELECT device, metric, min(value) FILTER (WHERE valid) AS value, {_N} FROM S WHERE tm >= TIMESTAMP '2024-01-05' AND tm < TIMESTAMP '2024-01-13' GROUP BY ALL""")
+def sensor_absolute_range(spark, sf_dir):
+    return S.aggregate(S.in_window(B.samples(spark, sf_dir), "2024-01-05 to 2024-01-12"), "min")
+
+
+@query(f"""WITH {_S}, A AS (SELECT device, max(tm) AS anchor FROM S GROUP BY device)
+SELECT device, metric, arg_max(value, {{'a': tm, 'o': ord}}) FILTER (WHERE valid) AS value, {_N} FROM S JOIN A USING (device) WHERE tm = anchor GROUP BY ALL""")
+def sensor_at_anchor(spark, sf_dir):
+    return S.aggregate(S.in_window(B.samples(spark, sf_dir), "latest"), "latest").drop("observed_at")
+
+
+@query(f"""WITH {_S}, A AS (SELECT device, max(tm) AS anchor FROM S GROUP BY device)
+SELECT device, metric, count(*) AS n FROM S JOIN A USING (device) WHERE tm >= date_trunc('week', anchor) AND tm < date_trunc('week', anchor) + INTERVAL 7 DAY GROUP BY ALL""")
+def sensor_this_week(spark, sf_dir):
+    return S.in_window(B.samples(spark, sf_dir), "this week").groupBy("device", "metric").agg(F.count("*").alias("n"))
+
+
+# Series
+
+
+def _series_sql(width: int, cap: int = S.MAX_BUCKETS) -> str:
+    return f"""WITH {_S}, G AS (SELECT device, metric, (floor(ms / {width}) * {width})::BIGINT AS start_ms, avg(value) AS mean, min(value) AS min, max(value) AS max, count(*) AS n FROM S WHERE valid GROUP BY ALL),
+    R AS (SELECT *, row_number() OVER (PARTITION BY device, metric ORDER BY start_ms DESC) AS rn FROM G)
+    SELECT device, metric, start_ms, start_ms + {width} AS end_ms, round(mean, 6) AS mean, min, max, n FROM R WHERE rn <= {cap}"""
+
+
+def _series(name: str, width: str):
+    def run(spark, sf_dir):
+        return S.series(B.samples(spark, sf_dir), width).select("device", "metric", "start_ms", "end_ms", *_six("mean"), "min", "max", "n")
+
+    run.__name__ = name
+    return run
+
+
+for _name, _width in (("series_hour", "hour"), ("series_day", "day"), ("series_week_epoch", "week")):
+    query(_series_sql(S.WIDTHS[_width]))(_series(_name, _width))
+
+_LADDER = [int(h * S.HOUR_MS) for h in S.LADDER_HOURS]
+_AUTO = f"CASE WHEN span <= 0 THEN {S.HOUR_MS} " + " ".join(f"WHEN span <= {w * S.MAX_BUCKETS} THEN {w}" for w in _LADDER[:-1]) + f" ELSE {_LADDER[-1]} END"
+
+
+@query(f"""WITH {_S}, X AS (SELECT device, metric, max(ms) - min(ms) AS span FROM S WHERE valid GROUP BY ALL), Y AS (SELECT device, metric, {_AUTO} AS w FROM X),
+G AS (SELECT device, metric, w AS width_ms, (floor(ms / w) * w)::BIGINT AS start_ms, avg(value) AS mean, count(*) AS n FROM S JOIN Y USING (device, metric) WHERE valid GROUP BY ALL),
+R AS (SELECT *, row_number() OVER (PARTITION BY device, metric ORDER BY start_ms DESC) AS rn FROM G)
+SELECT device, metric, start_ms, width_ms, round(mean, 6) AS mean, n FROM R WHERE rn <= {S.MAX_BUCKETS}""")
+def series_auto_width(spark, sf_dir):
+    return S.series(B.samples(spark, sf_dir)).select("device", "metric", "start_ms", "width_ms", *_six("mean"), "n")
+
+
+@query(f"""WITH {_S}, G AS (SELECT device, metric, (floor(ms / 86400000) * 86400000)::BIGINT AS start_ms FROM S WHERE valid GROUP BY ALL),
+R AS (SELECT *, row_number() OVER (PARTITION BY device, metric ORDER BY start_ms DESC) AS rn FROM G),
+L AS (SELECT *, coalesce((start_ms > lag(start_ms + 86400000) OVER w)::INT, 0) AS gap FROM R WHERE rn <= {S.MAX_BUCKETS} WINDOW w AS (PARTITION BY device, metric ORDER BY start_ms))
+SELECT device, metric, start_ms, sum(gap) OVER (PARTITION BY device, metric ORDER BY start_ms)::BIGINT AS segment FROM L""")
+def series_gap_segments(spark, sf_dir):
+    return S.segments(S.series(B.samples(spark, sf_dir), "day")).select("device", "metric", "start_ms", "segment")
+
+
+@query(f"WITH {_S} SELECT device, metric, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, count(*) AS n FROM S WHERE valid GROUP BY ALL")
+def weighted_mean_merge(spark, sf_dir):
+    return S.weighted_merge(S.series(B.samples(spark, sf_dir), "day")).select("device", "metric", *_six("mean"), "min", "max", "n")
+
+
+# Reports
+
+_RUNS = _SITE + """, O AS (SELECT *, value < lo OR value > hi AS out FROM P),
+T AS (SELECT *, (out AND NOT coalesce(lag(out) OVER w, false))::INT AS starts FROM O WINDOW w AS (PARTITION BY site, metric ORDER BY tm, ord)),
+U AS (SELECT *, sum(starts) OVER (PARTITION BY site, metric ORDER BY tm, ord) AS run FROM T),
+X AS (SELECT site, metric, min(tm) AS s, max(tm) AS e FROM U WHERE out GROUP BY site, metric, run HAVING max(tm) - min(tm) >= INTERVAL 1 HOUR)"""
+_MERGED = _RUNS + """, Y AS (SELECT *, coalesce((s > max(e) OVER (PARTITION BY site ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 0) AS fresh FROM X),
+Z AS (SELECT *, sum(fresh) OVER (PARTITION BY site ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS event FROM Y),
+EV AS (SELECT site, min(s) AS s, max(e) AS e FROM Z GROUP BY site, event)"""
+_MOVES = _MERGED + """, MV AS (SELECT site, s, e, metric, avg(value) AS mean, min(value) AS mn, max(value) AS mx, min(lo) AS lo, min(hi) AS hi FROM P JOIN EV USING (site) WHERE tm >= s AND tm <= e GROUP BY site, s, e, metric),
+MM AS (SELECT *, CASE WHEN mean > hi THEN 'up' WHEN mean < lo THEN 'down' END AS moved FROM MV)"""
+_EVENTS = _MOVES + """, K AS (SELECT site, s, e, count(*) AS n_moved, max(moved) FILTER (WHERE metric = 'dissolved_oxygen') AS d, max(moved) FILTER (WHERE metric = 'orp') AS o, max(moved) FILTER (WHERE metric = 'ph') AS p,
+    max(moved) FILTER (WHERE metric = 'conductivity') AS c, max(moved) FILTER (WHERE metric = 'turbidity') AS t FROM MM WHERE moved IS NOT NULL GROUP BY site, s, e),
+KC AS (SELECT *, CASE WHEN d = 'down' AND o = 'down' AND t = 'up' AND c = 'up' THEN 70 WHEN d = 'down' AND o = 'down' AND t = 'up' THEN 51
+    WHEN d = 'down' AND o = 'down' THEN CASE WHEN coalesce(c, '') <> 'up' THEN 60 ELSE CASE WHEN p = 'down' THEN 55 ELSE 30 END END
+    WHEN p = 'down' AND c = 'up' THEN 55 WHEN c = 'up' AND d IS NULL AND o IS NULL AND p IS NULL AND t IS NULL THEN 45 WHEN t = 'up' AND c IS NOT NULL THEN 50 WHEN t = 'up' THEN 40
+    WHEN c = 'up' OR p IS NOT NULL OR o IS NOT NULL THEN 30 ELSE 20 END AS code FROM K),
+EE AS (SELECT site, (epoch_us(s) // 1000) AS start_ms, (epoch_us(e) // 1000) AS end_ms, CASE code WHEN 70 THEN 'Sewage' WHEN 51 THEN 'Sewage' WHEN 60 THEN 'Hypoxia' WHEN 55 THEN 'Acidic input' WHEN 50 THEN 'Stormwater' ELSE 'Inconclusive' END AS type,
+    CASE WHEN code = 51 THEN 0.5 ELSE code / 100.0 END::DOUBLE AS confidence, CASE WHEN (epoch_us(e) // 1000) - (epoch_us(s) // 1000) > 43200000 THEN 'High' WHEN (epoch_us(e) // 1000) - (epoch_us(s) // 1000) > 10800000 THEN 'Moderate' ELSE 'Low' END AS severity,
+    CASE WHEN code < 60 THEN 'Grab sample' ELSE 'Notify client' END AS follow_up, n_moved FROM KC)"""
+
+
+@query(f"WITH {_RUNS} SELECT site, metric, (epoch_us(s) // 1000) AS start_ms, (epoch_us(e) // 1000) AS end_ms FROM X")
+def excursion_windows(spark, sf_dir):
+    return R.excursions(B.site_series(spark, sf_dir)).select("site", "metric", _ms("window_start").alias("start_ms"), _ms("window_end").alias("end_ms"))
+
+
+@query(f"WITH {_MERGED} SELECT site, (epoch_us(s) // 1000) AS start_ms, (epoch_us(e) // 1000) AS end_ms FROM EV")
+def interval_merge(spark, sf_dir):
+    return R.merged(R.excursions(B.site_series(spark, sf_dir))).select("site", _ms("event_start").alias("start_ms"), _ms("event_end").alias("end_ms"))
+
+
+@query(f"WITH {_MOVES} SELECT site, (epoch_us(s) // 1000) AS start_ms, metric, round(mean, 6) AS mean, mn AS min, mx AS max, moved FROM MM")
+def event_movements(spark, sf_dir):
+    p = B.site_series(spark, sf_dir)
+    return R.movements(p, R.merged(R.excursions(p))).select("site", _ms("event_start").alias("start_ms"), "metric", *_six("mean"), "min", "max", "moved")
+
+
+@query(f"WITH {_EVENTS} SELECT * FROM EE")
+def event_classify(spark, sf_dir):
+    e = R.events(B.site_series(spark, sf_dir))
+    return e.select("site", _ms("event_start").alias("start_ms"), _ms("event_end").alias("end_ms"), "type", "confidence", "severity", "follow_up", "n_moved")
+
+
+_ACC = "CASE metric WHEN 'dissolved_oxygen' THEN 0.05 WHEN 'orp' THEN 1.0 WHEN 'ph' THEN 0.002 WHEN 'conductivity' THEN 0.02 * abs({0}) ELSE 0.0 END"
+_FLAGS = _SITE + f""", PA AS (SELECT site, metric, min(value) AS mn, max(value) AS mx, avg(value) AS mean, quantile_cont(value, 0.5) AS med, min(lo) AS lo, min(hi) AS hi, min(ms) FILTER (WHERE value < lo OR value > hi) AS first_ms, count(*) AS n FROM P GROUP BY ALL),
+FL AS (SELECT *, CASE WHEN mx > hi + greatest((hi - lo) * 0.15, {_ACC.format('mx')}) OR mn < lo - greatest((hi - lo) * 0.15, {_ACC.format('mn')}) THEN 'Exceedance'
+    WHEN mx > hi + {_ACC.format('mx')} THEN 'Elevated' WHEN mn < lo - {_ACC.format('mn')} THEN 'Low' ELSE 'Normal' END AS flag FROM PA)"""
+
+
+@query(f"WITH {_FLAGS} SELECT site, metric, mn AS min, mx AS max, round(mean, 6) AS mean, round(med, 6) AS median, first_ms, n, flag FROM FL")
+def param_flags(spark, sf_dir):
+    p = R.parameters(B.site_series(spark, sf_dir))
+    return p.select("site", "metric", "min", "max", *_six("mean", "median"), _ms("first_excursion").alias("first_ms"), "n", "flag")
+
+
+@query(f"""WITH {_FLAGS.replace('WITH', '')}, {_EVENTS[len(_SITE) + 2:]}, GR AS (SELECT site, CASE flag WHEN 'Exceedance' THEN 2 WHEN 'Normal' THEN 0 ELSE 1 END AS g FROM FL UNION ALL SELECT site, CASE severity WHEN 'High' THEN 2 ELSE 1 END FROM EE)
+SELECT site, CASE max(g) WHEN 2 THEN 'Action Required' WHEN 1 THEN 'Watch' ELSE 'Normal' END AS status FROM GR GROUP BY site""")
+def overall_status(spark, sf_dir):
+    p = B.site_series(spark, sf_dir)
+    return R.status(R.parameters(p), R.events(p))
+
+
+@query(f"""WITH {_SITE}, D AS (SELECT site, metric, CAST(tm AS DATE) AS day, min(value) AS mn, max(value) AS mx, min(lo) AS lo, min(hi) AS hi FROM P GROUP BY ALL)
+SELECT site, metric, min(day)::VARCHAR AS day, arg_min(mn, day) AS min, arg_min(mx, day) AS max FROM D WHERE mx > hi AND mn < lo GROUP BY site, metric""")
+def daily_swing(spark, sf_dir):
+    return R.daily_swings(B.site_series(spark, sf_dir)).select("site", "metric", F.col("day").cast("string").alias("day"), "min", "max")
+
+
+# Retrieval and corpus
+
+_QUERY_VECTOR = [((i * 37) % 64 - 31.5) / 32 for i in range(64)]
+_VEC = "[" + ", ".join(map(repr, _QUERY_VECTOR)) + "]"
+
+
+def _vector(spark, sf_dir, k):
+    return V.cosine_top_k(B.table(spark, sf_dir, "embeddings"), _QUERY_VECTOR, k)
+
+
+@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_VEC}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_VEC}::DOUBLE[]) DESC, vec_id LIMIT 10")
+def vector_topk(spark, sf_dir):
+    return _vector(spark, sf_dir, V.MOST_K).select("vec_id", *_six("score"))
+
+
+@query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_VEC}::DOUBLE[]), 6) AS score FROM embeddings WHERE embedding IS NOT NULL ORDER BY list_cosine_similarity(embedding::DOUBLE[], {_VEC}::DOUBLE[]) DESC, vec_id LIMIT 20")
+def vector_topk_nonnull(spark, sf_dir):
+    return _vector(spark, sf_dir, V.PER_BRANCH).select("vec_id", *_six("score"))
+
+
+_QUESTION = "What is the ontion of thered?"
+_LEX = """T AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w IN ('ontion', 'thered')) AS f FROM documents),
+L AS (SELECT doc_id, len(list_distinct(f)) AS matched, len(f) AS hits FROM T WHERE len(f) > 0 ORDER BY matched DESC, hits DESC, doc_id LIMIT 20)"""
+
+
+@query(f"WITH {_LEX} SELECT doc_id, matched::INT AS matched, hits::INT AS hits FROM L")
+def lexical_topk(spark, sf_dir):
+    return V.lexical_top_k(B.table(spark, sf_dir, "documents"), _QUESTION)
+
+
+@query(f"""WITH {_LEX}, B1 AS (SELECT vec_id AS id, row_number() OVER (ORDER BY s DESC, vec_id) AS r FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {_VEC}::DOUBLE[]) AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 20)),
+B2 AS (SELECT doc_id AS id, row_number() OVER (ORDER BY matched DESC, hits DESC, doc_id) AS r FROM L), U AS (SELECT id, r, 0 AS b FROM B1 UNION ALL SELECT id, r, 1 FROM B2),
+F AS (SELECT id, sum(1.0::DOUBLE / (60 + r)) AS score, min({{'b': b, 'r': r}}) AS f FROM U GROUP BY id) SELECT id, round(score, 6) AS score FROM F ORDER BY F.score DESC, f LIMIT 10""")
+def rrf_fuse(spark, sf_dir):
+    dense = V.ranked(_vector(spark, sf_dir, V.PER_BRANCH), F.col("score").desc(), "vec_id").withColumnRenamed("vec_id", "id")
+    lexical = V.ranked(V.lexical_top_k(B.table(spark, sf_dir, "documents"), _QUESTION), F.col("matched").desc(), F.col("hits").desc(), "doc_id").withColumnRenamed("doc_id", "id")
+    return V.fuse([dense, lexical], "id", 10).select("id", *_six("score"))
+
+
+def _corpus(spark, sf_dir):
+    d = B.table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("doc-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    return d.select("doc_id", name.alias("filename"), F.col("source").alias("title"), "text", F.length("text").cast("long").alias("chars"), F.col("source").isin(*B.SLICE).alias("in_slice"))
+
+
+_IN_SLICE = f"source IN ({', '.join(repr(s) for s in B.SLICE)})"
+
+
+@query(f"SELECT 'doc-' || lpad(doc_id::VARCHAR, 12, '0') AS filename, source AS title, text FROM documents WHERE {_IN_SLICE}")
+def slice_feed(spark, sf_dir):
+    return V.slice_feed(_corpus(spark, sf_dir), _QUESTION)
+
+
+@query("""SELECT doc_id, round(CASE WHEN length(text) = 0 THEN 0.0 ELSE length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / length(text) END, 6) AS ratio,
+length(text) >= 100 AND length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) / length(text) >= 0.5 AND NOT contains(lower(text), 'adobe acrobat') AND NOT contains(lower(text), 'acrobat reader') AND NOT contains(lower(text), 'click here to download') AS good FROM documents""")
+def chunk_quality(spark, sf_dir):
+    return B.table(spark, sf_dir, "documents").select("doc_id", F.round(fn.alpha_ratio(F.col("text")), 6).alias("ratio"), fn.good_chunk(F.col("text")).alias("good"))
+
+
+@query()
+def chunk_text(spark, sf_dir):
+    return C.chunked(B.table(spark, sf_dir, "documents"))
+
+
+@query(f"SELECT count(*) AS documents, sum(length(text))::BIGINT AS chars, coalesce(sum(length(text)) FILTER (WHERE {_IN_SLICE}), 0)::BIGINT AS slice_chars, floor(coalesce(sum(length(text)) FILTER (WHERE {_IN_SLICE}), 0) / 4 + 0.5)::BIGINT AS slice_tokens FROM documents")
+def corpus_summary(spark, sf_dir):
+    return C.summary(_corpus(spark, sf_dir))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def load_once_anti(spark, sf_dir):
+    return C.new_only(B.table(spark, sf_dir, "documents").select("doc_id"), B.table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM events WHERE value > 100)")
+def insert_new_rows(spark, sf_dir):
+    e = B.table(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    return C.insert_new(e, e.filter("value > 100"), ["user_id", "event_type"]).select("user_id", "event_type")
+
+
+@query("""WITH F AS (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY ALL) SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY f, role) AS place FROM F""")
+def citations_distinct(spark, sf_dir):
+    return E.distinct_citations(B.table(spark, sf_dir, "conversations"), ["conv_id"], "role", "turn")
+
+
+# Evaluation
+
+_TURNS = """U AS (SELECT conv_id, turn, role, text, length(text) AS n, CASE WHEN role = 'assistant' THEN length(text) // 2 END AS cached, length(text) // 4 AS comp, CASE WHEN length(text) % 17 = 0 THEN 'failed' END AS error FROM conversations)"""
+_TOTALS = _TURNS + ", T AS (SELECT conv_id, count(*) AS turns, sum(n)::BIGINT AS prompt_tokens, sum(cached)::BIGINT AS cached_tokens, sum(comp)::BIGINT AS completion_tokens, count(error) AS failed FROM U GROUP BY conv_id)"
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 3")
+def history_trim(spark, sf_dir):
+    return E.trimmed(B.table(spark, sf_dir, "conversations"), 3).select("conv_id", "turn", "role")
+
+
+@query("""WITH C AS (SELECT * FROM conversations WHERE role IN ('user', 'assistant')), H AS (SELECT *, count(*) OVER w AS n_before, string_agg(role, ',') OVER w AS roles FROM C WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id, turn, n_before::INT AS n_before, coalesce(roles, '') AS roles FROM H WHERE role = 'user'""")
+def turn_history(spark, sf_dir):
+    h = E.with_history(B.table(spark, sf_dir, "conversations"))
+    return h.select("conv_id", "turn", F.size("history").alias("n_before"), F.array_join("history.role", ",").alias("roles"))
+
+
+@query(f"""WITH {_TURNS}, E AS (SELECT *, coalesce(max(CASE WHEN error IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM U) SELECT conv_id, turn FROM E WHERE earlier = 0""")
+def turns_until_failure(spark, sf_dir):
+    return E.until_failure(B.turns(spark, sf_dir)).select("conv_id", "turn")
+
+
+@query(f"WITH {_TOTALS} SELECT * FROM T")
+def transcript_totals(spark, sf_dir):
+    return E.transcript_totals(B.turns(spark, sf_dir))
+
+
+@query(f"""WITH {_TOTALS}, Q AS (SELECT count(*) AS transcripts, sum(turns)::BIGINT AS turns, sum(failed)::BIGINT AS failed, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(cached_tokens)::BIGINT AS cached_tokens, sum(completion_tokens)::BIGINT AS completion_tokens FROM T)
+SELECT *, round(cached_tokens / prompt_tokens, 6) AS cache_hit_rate, concat_ws('; ', CASE WHEN cached_tokens IS NULL THEN 'cache figures unreported' END, CASE WHEN failed > 0 THEN failed || ' turns failed' END) AS warnings FROM Q""")
+def sweep_summary(spark, sf_dir):
+    s = E.sweep_summary(E.transcript_totals(B.turns(spark, sf_dir)))
+    return s.withColumn("cache_hit_rate", F.round("cache_hit_rate", 6))
+
+
+_ARMS = "AR(ord, arm, p, c, o, e, ip, cp, op, ep, ds, fx) AS (VALUES " + ", ".join(f"({a[0]}, '{a[1]}', {', '.join(map(str, a[2:6]))}, {', '.join(f'{x!r}::DOUBLE' for x in a[6:])})" for a in E.ARMS) + ")"
+_COST = _ARMS + ", CO AS (SELECT ord, arm, fx, (p - c) * ip / 1e6 AS input_usd, c * cp / 1e6 AS cached_usd, o * op / 1e6 AS output_usd, e * ep / 1e6 AS embedding_usd, ds AS datastore_usd FROM AR), CT AS (SELECT *, input_usd + cached_usd + output_usd + embedding_usd + datastore_usd AS total_usd FROM CO)"
+
+
+@query(f"WITH {_COST} SELECT arm, round(input_usd, 9) AS input_usd, round(cached_usd, 9) AS cached_usd, round(output_usd, 9) AS output_usd, round(embedding_usd, 9) AS embedding_usd, round(total_usd, 9) AS total_usd FROM CT")
+def cost_per_request(spark, sf_dir):
+    return E.request_costs(E.arms(spark)).select("arm", *[F.round(c, 9).alias(c) for c in ("input_usd", "cached_usd", "output_usd", "embedding_usd", "total_usd")])
+
+
+@query(f"WITH {_COST} SELECT arm, v AS requests, round(total_usd * v + fx, 6) AS usd FROM CT CROSS JOIN (SELECT unnest({list(E.VOLUMES)}) AS v)")
+def cost_curve(spark, sf_dir):
+    return E.cost_curve(E.request_costs(E.arms(spark))).select("arm", "requests", *_six("usd"))
+
+
+@query(f"""WITH {_COST}, PR AS (SELECT a.arm AS a, b.arm AS b, a.total_usd - b.total_usd AS g, b.fx - a.fx AS f FROM CT a JOIN CT b ON a.ord < b.ord),
+KD AS (SELECT *, CASE WHEN g = 0 AND f = 0 THEN 'identical' WHEN g = 0 OR f / g <= 0 THEN 'dominated' ELSE 'crossover' END AS kind FROM PR)
+SELECT a, b, kind, CASE WHEN kind = 'crossover' THEN round(f / g, 3) END AS requests, CASE WHEN kind = 'crossover' THEN CASE WHEN g > 0 THEN a ELSE b END END AS cheaper_below, CASE WHEN kind = 'crossover' THEN CASE WHEN g > 0 THEN b ELSE a END END AS cheaper_above,
+CASE WHEN kind = 'dominated' THEN CASE WHEN (g = 0 AND f < 0) OR g > 0 THEN b ELSE a END END AS cheaper FROM KD""")
+def break_even(spark, sf_dir):
+    return E.break_even(E.request_costs(E.arms(spark))).withColumn("requests", F.round("requests", 3))
+
+
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY length(text), doc_id) AS round FROM documents")
+def stratified_sample(spark, sf_dir):
+    return E.round_robin(B.table(spark, sf_dir, "documents"), "source", F.length("text"), "doc_id").select("doc_id", "source", "round")
+
+
+# Devices
+
+_DEV = "DV AS (SELECT c_custkey AS key, c_mktsegment || ' Pod ' || c_nationkey AS name, 'dev:' || (c_custkey % 1000) AS label, c_custkey * 2 + copy AS ord FROM customer CROSS JOIN (SELECT unnest([0, 1]) AS copy))"
+
+
+@query(f"WITH {_DEV} SELECT label, arg_min(key, ord) AS key, min(ord) AS ord FROM DV GROUP BY label")
+def registry_dedupe(spark, sf_dir):
+    return G.first_by_label(B.devices(spark, sf_dir)).select("label", "key", "ord")
+
+
+@query(f"WITH {_DEV} SELECT DISTINCT key, 3 AS tier FROM DV WHERE lower(substr(name, 1, 1)) || 'p' = 'mp'")
+def device_match(spark, sf_dir):
+    return G.matches(B.devices(spark, sf_dir), "mp").select("key", "tier").distinct()
+
+
+@query(f"""WITH {_S}, N AS (SELECT max(tm) AS now FROM S), L AS (SELECT device, max(tm) AS last FROM S GROUP BY device)
+SELECT c_custkey AS device, CASE WHEN last IS NULL THEN 'no readings' WHEN last > now - INTERVAL 24 HOUR THEN 'reporting' ELSE 'silent' END AS class FROM customer CROSS JOIN N LEFT JOIN L ON device = c_custkey""")
+def freshness_class(spark, sf_dir):
+    s = B.samples(spark, sf_dir)
+    now = s.agg(F.max("at")).first()[0]
+    d = G.with_last_reading(B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device")), s)
+    return d.select("device", fn.freshness(F.col("last_at"), F.lit(now)).alias("class"))
+
+
+@query(f"WITH {_S} SELECT device, arg_max(metric, {{'a': tm, 'o': ord}}) AS metric, max(ms) AS ms, arg_max(value, {{'a': tm, 'o': ord}}) AS value, arg_max(valid, {{'a': tm, 'o': ord}}) AS valid FROM S GROUP BY device")
+def last_reading(spark, sf_dir):
+    return G.latest(B.samples(spark, sf_dir)).select("device", "metric", _ms("at").alias("ms"), "value", "valid")
+
+
+@query("""WITH D AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2024-02-' || lpad((doc_id % 32)::VARCHAR, 2, '0') WHEN 1 THEN '2024-2-' || (doc_id % 28) WHEN 2 THEN '2023-02-29' ELSE 'n/a' END AS t FROM documents)
+SELECT doc_id, CASE WHEN regexp_full_match(t, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(t AS DATE)::VARCHAR END AS day FROM D""")
+def strict_iso_date(spark, sf_dir):
+    i = F.col("doc_id")
+    t = F.when(i % 4 == 0, F.concat(F.lit("2024-02-"), F.lpad((i % 32).cast("string"), 2, "0"))).when(i % 4 == 1, F.concat(F.lit("2024-2-"), (i % 28).cast("string"))).when(i % 4 == 2, "2023-02-29").otherwise("n/a")
+    return B.table(spark, sf_dir, "documents").select("doc_id", fn.strict_date(t).cast("string").alias("day"))
+
+
+@query("SELECT s_suppkey, greatest(least(round(sqrt(s_suppkey)), 100), 10)::INT AS lists FROM supplier")
+def index_lists(spark, sf_dir):
+    return B.table(spark, sf_dir, "supplier").select("s_suppkey", C.index_lists(F.col("s_suppkey")).alias("lists"))
+
+
+@query("SELECT vec_id, embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable FROM embeddings")
+def embedding_guard(spark, sf_dir):
+    return B.table(spark, sf_dir, "embeddings").select("vec_id", fn.array_cosine_guard(F.col("embedding"), 64).alias("usable"))
+
+
+@query("SELECT doc_id, regexp_replace(source || '/' || lang || '.md', '[^A-Za-z0-9_-]', '_', 'g') || '__' || CASE WHEN doc_id < 10000 THEN lpad(doc_id::VARCHAR, 4, '0') ELSE doc_id::VARCHAR END AS chunk_id FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def chunk_ids(spark, sf_dir):
+    d = B.table(spark, sf_dir, "documents").filter("lang IS NOT NULL AND source IS NOT NULL")
+    return d.select("doc_id", fn.chunk_id(F.concat("source", F.lit("/"), "lang", F.lit(".md")), F.col("doc_id")).alias("chunk_id"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -28,7 +28,7 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
 LEAST, MOST, GROWTH = 1.0, 3.0, 1.3
 #: Labelled documents that are learned from (in expectation, drawn by a hash of the id); gradient steps; steps between two cuts of the lineage; weight of the distance from one.
-SAMPLE, STEPS, CUT, PULL = 20_000, 24, 8, 0.02
+SAMPLE, STEPS, CUT, PULL = 20_000, 24, 8, 0.05
 
 #: Lower edges of the bins of each feature.
 EDGES = {
@@ -104,14 +104,17 @@ def cell_rates(made: DataFrame, labels: DataFrame, targets: dict[str, float] = T
     budget = min(GROWTH, max(a / whole / w for a, w in zip(natural, wanted, strict=True) if w > 0))  # so that the domain there is most of needs no cut
     goal = [w * budget * LEAST for w in wanted]
     learned = max(abs(a / whole - 1 / len(DOMAINS)) for a in natural) > 1e-9
-    cells = cells.withColumn("rate", F.lit(LEAST))
+    cells = cells.withColumn("rate", F.lit(LEAST)).withColumn("ahead", F.lit(LEAST))
     share = F.col("tokens") / whole
+    root = math.sqrt(PULL / (1 + PULL))
+    momentum = (1 - root) / (1 + root)  # of accelerated steps, for the problem's curvature
     for i in range(STEPS if learned else 0):
-        sums = cells.agg(*[F.sum(share * x * F.col("rate")) for x in p]).first()
+        sums = cells.agg(*[F.sum(share * x * F.col("ahead")) for x in p]).first()
         miss = [float(s or 0.0) - g for s, g in zip(sums, goal, strict=True)]
         pull = sum((x * m for x, m in zip(p, miss, strict=True)), F.lit(0.0))
-        step = F.col("rate") - (pull + PULL * (F.col("rate") - LEAST)) / (1 + PULL)
-        cells = cells.withColumn("rate", F.least(F.greatest(step, F.lit(LEAST)), F.lit(MOST)))
+        step = F.col("ahead") - (pull + PULL * (F.col("ahead") - LEAST)) / (1 + PULL)
+        cells = cells.withColumn("before", F.col("rate")).withColumn("rate", F.least(F.greatest(step, F.lit(LEAST)), F.lit(MOST)))
+        cells = cells.withColumn("ahead", F.col("rate") + momentum * (F.col("rate") - F.col("before"))).drop("before")
         if i % CUT == CUT - 1:
             cells = materialise(cells, "cells")
     return materialise(cells.select(_CELL, *[f"p_{d}" for d in DOMAINS], "rate"), "rates")

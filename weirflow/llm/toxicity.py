@@ -111,26 +111,25 @@ def fit(ids: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray) -> tuple[
         z = np.bincount(row, weights=value * ahead[flat], minlength=len(y)) + ahead_bias
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * balance
         new = ahead - step * (np.bincount(flat, weights=value * g[row], minlength=len(ratios)) + PENALTY * ahead)
-        new_bias = ahead_bias - step * g.sum()
-        pull = t / (t + 3)
+        new_bias, pull = ahead_bias - step * g.sum(), t / (t + 3)
         ahead, ahead_bias = new + pull * (new - coef), new_bias + pull * (new_bias - bias)
         coef, bias = new, new_bias
     return coef * ratios, float(bias)
 
 
-def _sampled(labels: DataFrame, sample: int, held_out: int) -> DataFrame:
-    """(doc_id, label): the labelled ids that may be learned from, of each class some ``sample`` drawn by a hash."""
+def _sampled(labels: DataFrame, sample: int, held_out: int) -> tuple[DataFrame, float]:
+    """(doc_id, label) of the labelled ids that may be learned from, of each class some ``sample`` drawn by a hash; and the share of label 1 among all of them."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)")
     known = known.filter(crc_mod("doc_id", held_out) != 0)
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("label") == 1, sample / max(1, sizes.get(1, 0))).otherwise(sample / max(1, sizes.get(0, 0)))
-    return known.filter(unit_hash("doc_id", seed=6) < share).dropDuplicates(["doc_id"])
+    return known.filter(unit_hash("doc_id", seed=6) < share).dropDuplicates(["doc_id"]), sizes.get(1, 0) / max(1, sum(sizes.values()))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int = HELD_OUT) -> Model:
     """Fit on at most some ``sample`` labelled documents of each class, whole texts, none with crc32(doc_id) divisible by ``held_out``."""
-    known = F.broadcast(_sampled(labels, sample, held_out))  # 2 * sample rows in expectation
-    seen = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).join(known, "doc_id").select("text", "label")
+    known, prior = _sampled(labels, sample, held_out)
+    seen = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).join(F.broadcast(known), "doc_id").select("text", "label")  # 2 * sample rows in expectation
     size = 1 << FEATURE_BITS
     df = np.zeros((2, size), np.int64)
     counted = seen.mapInArrow(_count, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 >= 3")
@@ -149,6 +148,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
     rows = seen.mapInArrow(_rows(wanted), "label int, ids array<int>").toArrow()
     ids = [np.asarray(x, np.int32) for x in rows.column("ids").to_pylist()]
     weights, bias = fit(ids, rows.column("label").to_numpy(), np.where(wanted, ratios, 0))
+    share = min(max(prior, 1e-6), 0.5)
+    bias = min(bias, float(np.log(share / (1 - share))))  # a text without evidence is no likelier toxic than any, and never called so
     return Model(weights.astype(np.float32), bias, wanted)
 
 

@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -59,10 +60,26 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, np.bool_)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words, by texts of many words: the token that ends a word says so."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 4096):
+            own = words[i : i + 4096]
+            data = self._encode([" ".join(own)])[0]
+            ends = (np.flatnonzero(self.ends_word[np.frombuffer(data, np.uint32)]) + 1) * 4
+            if len(ends) == len(own):
+                out += [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            else:
+                out += self._encode(own)
+        return out
 
     def _learn(self, runs: set[str]) -> None:
         # The caller tests one by one: a difference with the keys of a dict would go through the whole cache.
@@ -70,7 +87,7 @@ class WordTokenizer:
             self.words.clear()
         split = {r: _SPLIT.findall(r) for r in runs}
         new = list({w for ws in split.values() for w in ws if w not in self.words})
-        self.words.update(zip(new, self._encode(new), strict=True))
+        self.words.update(zip(new, self._encode_words(new), strict=True))
         words = self.words
         for r, ws in split.items():
             self.runs[r] = b"".join([words[w] for w in ws])

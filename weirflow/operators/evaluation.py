@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weirflow.functions.text import seeded_order
+
 # Measured tokens per answer and prices in dollars (per million tokens, per month) of three arms.
 ARMS = [
     # ord, arm, prompt, cached, completion, embedding tokens, input, cached input, output, embedding price, datastore per request, fixed per month
@@ -118,6 +121,16 @@ def runnable(requires: Column, capabilities: Column) -> Column:
     return F.forall(requires, lambda r: F.array_contains(capabilities, r))
 
 
+def blinded(fixtures: DataFrame, arms: list[str]) -> DataFrame:
+    """(fixture_id, label, arm): arms under the letters A, B, ... in an order that each fixture's id fixes."""
+    @F.pandas_udf("array<string>")
+    def order(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda i: seeded_order(i, arms))
+
+    d = fixtures.select("fixture_id", F.posexplode(order("fixture_id")).alias("place", "arm"))
+    return d.select("fixture_id", F.chr(F.col("place") + 65).alias("label"), "arm")
+
+
 # What a fixture may say.
 FAVORS, REQUIREMENTS = ("direct-feed", "rag", "tie"), ("sensor-tool", "turbidity-scope")
 

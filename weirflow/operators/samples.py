@@ -162,3 +162,28 @@ def all_metrics(samples: DataFrame, name: str = "mean") -> DataFrame:
         F.count("*").alias("metrics"), F.max("n_samples").alias("n_most"), F.sum("excluded_faulted").alias("excluded_faulted"),
         F.when(F.count_distinct("seen") == 1, F.max("seen")).alias("observed_at"),
     )
+
+
+def spacing(buckets: DataFrame, by: tuple[str, ...] = ("device", "metric")) -> DataFrame:
+    """The usual distance between starts of buckets: the upper of the two middles, never their average."""
+    w = Window.partitionBy(*by).orderBy("start_ms")
+    steps = buckets.withColumn("step", F.col("start_ms") - F.lag("start_ms").over(w)).filter("step IS NOT NULL")
+    listed = steps.groupBy(*by).agg(F.sort_array(F.collect_list("step")).alias("steps"))  # at most as many as a series has buckets
+    return listed.select(*by, F.element_at("steps", F.floor(F.size("steps") / 2).cast("int") + 1).alias("spacing_ms"))
+
+
+def trend(samples: DataFrame, by: tuple[str, ...] = ("device", "metric")) -> DataFrame:
+    """Whether valid samples rise, fall or stay: a change of less than a tenth of their spread is none."""
+    s = samples.filter("valid AND value IS NOT NULL").groupBy(*by).agg(
+        F.min_by("value", F.struct("at", "ord")).alias("first"), F.max_by("value", F.struct("at", "ord")).alias("last"), (F.max("value") - F.min("value")).alias("spread")
+    )
+    change = F.col("last") - F.col("first")
+    return s.select(*by, F.when((F.abs(change) < 0.1 * F.col("spread")) | (F.col("spread") == 0), "stays").when(change > 0, "rises").otherwise("falls").alias("trend"))
+
+
+def healthy_averages(samples: DataFrame, row: Column | None = None) -> DataFrame:
+    """Per device the mean over rows of which no metric is faulted; a row is a day unless another column says so."""
+    key = F.to_date("at") if row is None else row
+    w = Window.partitionBy("device", "row")
+    s = samples.withColumn("row", key).withColumn("healthy", F.min(F.col("valid").cast("int")).over(w) == 1)
+    return s.filter("healthy").groupBy("device").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))

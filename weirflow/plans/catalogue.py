@@ -440,6 +440,96 @@ def chunk_ids(spark, sf_dir):
     return d.select("doc_id", fn.chunk_id(F.concat("source", F.lit("/"), "lang", F.lit(".md")), F.col("doc_id")).alias("chunk_id"))
 
 
+# Joins, orders and rules that complete the inventory
+
+
+@query(f"""WITH {_S}, G AS (SELECT device, metric, (floor(ms / 86400000) * 86400000)::BIGINT AS b FROM S WHERE valid GROUP BY ALL),
+D AS (SELECT device, metric, b - lag(b) OVER (PARTITION BY device, metric ORDER BY b) AS d FROM G), L AS (SELECT device, metric, list_sort(list(d)) AS ds FROM D WHERE d IS NOT NULL GROUP BY ALL)
+SELECT device, metric, ds[(len(ds) // 2 + 1)::INT] AS spacing_ms FROM L""")
+def series_upper_median_spacing(spark, sf_dir):
+    return S.spacing(S.series(B.samples(spark, sf_dir), "day", 1 << 30))
+
+
+@query(f"""WITH {_S}, T AS (SELECT device, metric, arg_min(value, {{'a': tm, 'o': ord}}) AS f, arg_max(value, {{'a': tm, 'o': ord}}) AS l, max(value) - min(value) AS spread FROM S WHERE valid GROUP BY ALL)
+SELECT device, metric, CASE WHEN abs(l - f) < 0.1 * spread OR spread = 0 THEN 'stays' WHEN l > f THEN 'rises' ELSE 'falls' END AS trend FROM T""")
+def series_trend(spark, sf_dir):
+    return S.trend(B.samples(spark, sf_dir)).select("device", "metric", "trend")
+
+
+@query(f"""WITH {_W}, G AS (SELECT device, avg(value) AS mean, count(*) AS n FROM (SELECT *, bool_and(valid) OVER (PARTITION BY device, CAST(tm AS DATE)) AS healthy FROM W) WHERE healthy GROUP BY device) SELECT device, round(mean, 6) AS mean, n FROM G""")
+def healthy_day_averages(spark, sf_dir):
+    return S.healthy_averages(S.in_window(B.samples(spark, sf_dir), "last 7 days")).select("device", *_six("mean"), "n")
+
+
+@query("SELECT DISTINCT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def dimension_lookup(spark, sf_dir):
+    s, n, r = (B.table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "n_name", "r_name")
+
+
+@query("SELECT conv_id FROM conversations WHERE role IN ('user', 'assistant', 'system') GROUP BY conv_id HAVING count(DISTINCT role) = 3")
+def complete_groups(spark, sf_dir):
+    t = B.table(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant', 'system')")
+    return E.complete_only(t.select(F.col("conv_id").alias("fixture_id"), F.col("role").alias("arm")), 3).withColumnRenamed("fixture_id", "conv_id")
+
+
+@query("""WITH SP AS (SELECT DISTINCT conv_id, unnest([0, 1, 2]) AS turn FROM conversations) SELECT conv_id, turn, coalesce(role, 'missing') AS role FROM SP LEFT JOIN conversations USING (conv_id, turn)""")
+def captured_or_placeholder(spark, sf_dir):
+    c = B.table(spark, sf_dir, "conversations")
+    spec = c.select("conv_id").distinct().withColumn("turn", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
+    return spec.join(c, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("role", F.lit("missing")).alias("role"))
+
+
+@query("SELECT conv_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars, count(DISTINCT role) AS sources FROM conversations GROUP BY conv_id")
+def context_size(spark, sf_dir):
+    c = B.table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.count_distinct("role").alias("sources"))
+
+
+@query("SELECT event_type, count(*) AS calls, count(*) - count(DISTINCT user_id) AS repeats FROM events GROUP BY event_type")
+def repeated_calls(spark, sf_dir):
+    return B.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("calls"), (F.count("*") - F.count_distinct("user_id")).alias("repeats"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(source), '1') THEN 'Marine' WHEN contains(lower(source), 'src') THEN 'Freshwater' ELSE 'Brackish' END AS water FROM documents")
+def water_types(spark, sf_dir):
+    environment = F.regexp_replace(F.regexp_replace("source", "1", "salt"), "src", "fresh ")
+    return B.table(spark, sf_dir, "documents").select("doc_id", G.water_type(environment, "Brackish").alias("water"))
+
+
+@query(f"""WITH {_FLAGS}, M AS (SELECT *, flag IN ('Elevated', 'Exceedance') AND mx > hi AS above FROM FL WHERE flag <> 'Normal'),
+X AS (SELECT *, abs(CASE WHEN above THEN mx - hi ELSE mn - lo END) / (hi - lo) AS over FROM M)
+SELECT site, metric, CASE WHEN over < 0.05 THEN 'marginally' WHEN over < 0.2 THEN 'slightly' WHEN over < 0.5 THEN 'notably' ELSE 'sharply' END || CASE WHEN above THEN ' above' ELSE ' below' END AS moved FROM X""")
+def magnitude_words(spark, sf_dir):
+    lines = R.analysis_lines(R.parameters(B.site_series(spark, sf_dir)))
+    return lines.select("site", "metric", F.regexp_extract("line", "Moved ([a-z]+ (?:above|below)) baseline", 1).alias("moved"))
+
+
+@query(f"""WITH {_FLAGS.replace('WITH', '')}, {_EVENTS[len(_SITE) + 2:]}, A AS (SELECT site, count(*) FILTER (WHERE flag <> 'Normal') AS f FROM FL GROUP BY site), Q AS (SELECT site, count(*) AS n, count(*) FILTER (WHERE severity = 'High') AS g FROM EE GROUP BY site)
+SELECT site, CASE WHEN f > 0 OR coalesce(n, 0) > 0 THEN CASE WHEN coalesce(g, 0) > 0 THEN 'Notify client and relevant authority given event severity.' ELSE 'Notify client.' END ELSE 'Routine report distribution to client only.' END AS stakeholder FROM A LEFT JOIN Q USING (site)""")
+def report_recommendations(spark, sf_dir):
+    p = B.site_series(spark, sf_dir)
+    return R.recommendations(R.parameters(p), R.events(p)).select("site", "stakeholder")
+
+
+@query()
+def devices_by_name(spark, sf_dir):
+    d = G.first_by_label(B.devices(spark, sf_dir))
+    return d.orderBy(F.collate(F.coalesce("name", "label"), "UNICODE"), "label").select("name", "label")
+
+
+@query()
+def blinded_labels(spark, sf_dir):
+    return E.blinded(B.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("case-"), F.col("item_id").cast("string")).alias("fixture_id")), ["direct", "hybrid", "vector"])
+
+
+@query()
+def text_without_commentary(spark, sf_dir):
+    from weirflow.functions.text import without_commentary
+
+    return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", without_commentary("text").alias("text"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import bucket_of, let, longs, text_of
 
-#: Length of a k-mer, of an s-mer (a k-mer has WIDTH of them, a power of two), and anchors in a fingerprint.
+#: Length of a k-mer, of an s-mer (a k-mer has WIDTH of them), and anchors in a fingerprint.
 K, S = 16, 9
 WIDTH = K - S + 1
 SAMPLE = 64
@@ -35,29 +35,22 @@ PER_PARTITION, MOST_BUCKETS = 4, 16_384
 _MASK = 0xFFFFFFFF
 
 
-def _least_of_next(x: Column, ahead: int) -> Column:
-    return F.zip_with(x, F.slice(x, F.lit(ahead + 1), F.size(x)), lambda a, b: F.least(a, b))
-
-
 def anchors(text: Column) -> Column:
     """For each k-mer of the text, in order, its 32-bit hash if it is a closed syncmer, else null."""
     s_mers = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{S}}}))"), F.lit(1)), lambda x: F.xxhash64(x))
 
-    def select(h: Column, t: Column, least: Column) -> Column:
-        edge = F.zip_with(least, F.zip_with(h, t, lambda a, b: F.least(a, b)), lambda m, e: m == e)
-        name = F.zip_with(h, t, lambda a, b: a.bitwiseXOR(F.shiftleft(b, 17)))  # first and last s-mer overlap, so they name the k-mer
-        found = F.zip_with(name, edge, lambda n, e: F.when(e, F.xxhash64(n).bitwiseAND(F.lit(_MASK))))
-        return F.slice(found, F.lit(1), F.greatest(F.size(h) - (WIDTH - 1), F.lit(0)))
-
     def over(h: Column) -> Column:
-        tail = F.slice(h, F.lit(WIDTH), F.greatest(F.size(h) - (WIDTH - 1), F.lit(0)))
+        n = F.greatest(F.size(h) - (WIDTH - 1), F.lit(0))
+        edge = F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(WIDTH), n), lambda a, b: F.least(a, b))
 
-        def sweep(least: Column, ahead: int) -> Column:
-            if ahead == WIDTH:
-                return let(tail, lambda t: select(h, t, least))
-            return let(_least_of_next(least, ahead), lambda x: sweep(x, 2 * ahead))
+        def select(least: Column, i: Column) -> Column:
+            closed = least <= h.getItem(i + 1)  # mostly the first comparisons decide
+            for j in range(2, WIDTH - 1):
+                closed = closed & (least <= h.getItem(i + j))
+            name = h.getItem(i).bitwiseXOR(F.shiftleft(h.getItem(i + (WIDTH - 1)), 17))  # first and last s-mer overlap, so they name the k-mer
+            return F.when(closed, F.xxhash64(name).bitwiseAND(F.lit(_MASK)))
 
-        return sweep(h, 1)
+        return F.transform(edge, select)
 
     return let(s_mers, over)
 

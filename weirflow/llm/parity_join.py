@@ -7,8 +7,10 @@ more blocks than that agree in a whole block (where blocks would hold few shingl
 blocks and more, one is at most one bit off, and then two of its three parts agree). Documents meet on
 such agreements, and only there.
 
-Equal sets are one class from the start. In a bucket, each class first meets two hubs, which ties groups
-of near copies together with links in proportion to their size. Then, in buckets that still hold several
+Equal sets are one class from the start. Keys are sorted
+over all partitions, so that a bucket of any size is spread over as many as it fills, and each class first
+meets the first of its bucket there and the one before it, which ties groups of near copies together with
+links in proportion to their size. Then, in buckets that still hold several
 components, the pairs across components are looked at in blocks of bounded size: sketches rule out nearly
 all, what is left is verified on the shingles. No pair is skipped but those inside a component, which
 cannot change the result.
@@ -37,7 +39,9 @@ from weirflow.llm.common import keyed_join, materialise, small_enough, text_of
 from weirflow.llm.components import components
 
 #: Ratio of the sizes of neighbouring bands; members of a bucket that one task compares at once; words whose hashes a worker keeps.
-BAND_RATIO, BLOCK_ROWS, CACHED_WORDS = 1.25, 1024, 1_000_000
+BAND_RATIO, BLOCK_ROWS, CACHED_WORDS = 1.6, 1024, 1_000_000
+#: Words of a sketch that are folded into one to compare whole sketches; folded they still bound the difference from below.
+FOLD = 16
 
 _MIX_A, _MIX_B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -120,12 +124,24 @@ class Similarity:
         words[at[starts].astype(np.int64)] = np.bitwise_xor.reduceat(np.uint64(1) << (shingles & np.uint64(63)), starts)
         return words
 
+    def folded(self, words: np.ndarray) -> np.ndarray:
+        """A shorter sketch, each of its words the exclusive or of some of the words."""
+        n = max(2, -(-len(words) // FOLD))
+        padded = np.zeros(-(-len(words) // n) * n, np.uint64)
+        padded[: len(words)] = words
+        return np.bitwise_xor.reduce(padded.reshape(-1, n), axis=0)
+
 
 _SKETCHES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
-    T.StructField("sketches", T.ArrayType(T.StructType([T.StructField("band", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType()))]))),
+    T.StructField("sketches", T.ArrayType(T.StructType([T.StructField("band", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("folded", T.ArrayType(T.LongType()))]))),
 ])
-_SKETCH_KIND = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64()))]))
+_SKETCH_KIND = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64())), ("folded", pa.list_(pa.int64()))]))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)))
 
 
 def _sketch(sim: Similarity):
@@ -142,9 +158,7 @@ def _sketch(sim: Similarity):
                         bands.append(band)
                         words.append(sim.sketch(s, band))
                     per_row.append(len(bands))
-                flat = np.concatenate(words).view(np.int64) if words else np.empty(0, np.int64)
-                ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
-                inner = pa.StructArray.from_arrays([pa.array(bands, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["band", "words"])
+                inner = pa.StructArray.from_arrays([pa.array(bands, pa.int32()), _lists(words), _lists([sim.folded(w) for w in words])], ["band", "words", "folded"])
                 lists = pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), inner).cast(_SKETCH_KIND)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=_SKETCHES.names)
 
@@ -159,9 +173,7 @@ def _sets(width: int):
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                found = [shingle_set(t.as_py(), width).view(np.int64) for t in part.column(1)]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+                lists = _lists([shingle_set(t.as_py(), width) for t in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=_SETS.names)
 
     return run
@@ -177,9 +189,43 @@ def _keys(reps: DataFrame, sim: Similarity) -> DataFrame:
     return s.select("doc_id", "band", F.explode(F.expr(pairs)).alias("key")).select("key", "band", "doc_id")
 
 
+_MET = T.StructType([
+    T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("hub", T.LongType()),
+    T.StructField("previous", T.LongType()), T.StructField("edge", T.BooleanType()),
+])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and document those that share their key, with the first of the run in this partition and the
+    one before; and the partition's first and last row, whose runs may go on in its neighbours. One row is held back."""
+    held: tuple | None = None  # key, band, document, hub, previous, in a run, edge
+    for batch in batches:
+        key, band, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not len(key):
+            continue
+        if held:
+            key, band, doc = (np.concatenate([[h], x]) for h, x in zip(held[:3], (key, band, doc), strict=True))
+        same = np.zeros(len(key), np.bool_)
+        same[1:] = key[1:] == key[:-1]
+        run = np.cumsum(~same) - 1
+        hub = doc[np.flatnonzero(~same)][run]
+        previous = np.where(same, np.concatenate([doc[:1], doc[:-1]]), doc)
+        inside, edge = same.copy(), np.zeros(len(key), np.bool_)
+        inside[:-1] |= same[1:]
+        if held:
+            hub[run == 0], previous[0] = held[3], held[4]
+            inside[0] |= held[5]
+        edge[0] = held[6] if held else True
+        keep = np.flatnonzero((inside | edge)[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep], k) for x, k in zip((key, band, doc, hub, previous, edge), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=_MET.names)
+        held = (key[-1], band[-1], doc[-1], hub[-1], previous[-1], bool(inside[-1]), bool(edge[-1]))
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*held[:5], True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=_MET.names)
+
+
 def _by_band(reps: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, band, words) of the documents in ``ids``."""
-    return keyed_join(reps, ids, ["doc_id"], "left_semi").select("doc_id", "n_shingles", F.explode("sketches").alias("s")).select("doc_id", "n_shingles", "s.band", "s.words")
+    return keyed_join(reps, ids, ["doc_id"], "left_semi").select("doc_id", "n_shingles", F.explode("sketches").alias("s")).select("doc_id", "n_shingles", "s.band", F.col("s.folded").alias("words"))
 
 
 def _close(pairs: DataFrame, reps: DataFrame, sim: Similarity) -> DataFrame:
@@ -276,10 +322,11 @@ def similar_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
     if not small_enough(classes):
         reps = materialise(reps, "reps")
     keys = _keys(reps, sim)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub"), F.min_by("doc_id", F.xxhash64("doc_id")).alias("hub2"))
-    shared = materialise(shared.filter("n > 1").drop("n"), "shared")
-    met = materialise(keys.join(shared, "key"), "met")
-    hubs = met.select("band", "doc_id", F.explode(F.array("hub", "hub2")).alias("hub")).filter("doc_id <> hub")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = materialise(keys.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(_runs, _MET), "met")
+    edges = met.filter("edge").select("key", "band", F.col("hub").alias("doc_id")).distinct()  # at most two rows of a partition
+    across = edges.join(F.broadcast(edges.groupBy("key").agg(F.min("doc_id").alias("hub"))), "key").select("band", "doc_id", "hub")
+    hubs = met.select("band", "doc_id", F.explode(F.array("hub", "previous")).alias("hub")).unionByName(across).filter("doc_id <> hub")
     hubs = hubs.groupBy(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).agg(F.min("band").alias("band"))
     hubs = materialise(hubs, "hubs")
     links = _verified(materialise(_close(hubs, reps, sim), "close"), docs, sim)

@@ -320,7 +320,7 @@ def insert_new_rows(spark, sf_dir):
     return C.insert_new(e, e.filter("value > 100"), ["user_id", "event_type"]).select("user_id", "event_type")
 
 
-@query("""WITH F AS (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY ALL) SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY f, role) AS place FROM F""")
+@query("""WITH F AS (SELECT conv_id, role, min(turn) AS f FROM conversations GROUP BY ALL) SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY f, role)::INT AS place FROM F""")
 def citations_distinct(spark, sf_dir):
     return E.distinct_citations(B.table(spark, sf_dir, "conversations"), ["conv_id"], "role", "turn")
 
@@ -382,7 +382,7 @@ def break_even(spark, sf_dir):
     return E.break_even(E.request_costs(E.arms(spark))).withColumn("requests", F.round("requests", 3))
 
 
-@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY length(text), doc_id) AS round FROM documents")
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY length(text), doc_id)::INT AS round FROM documents")
 def stratified_sample(spark, sf_dir):
     return E.round_robin(B.table(spark, sf_dir, "documents"), "source", F.length("text"), "doc_id").select("doc_id", "source", "round")
 
@@ -473,7 +473,7 @@ def complete_groups(spark, sf_dir):
     return E.complete_only(t.select(F.col("conv_id").alias("fixture_id"), F.col("role").alias("arm")), 3).withColumnRenamed("fixture_id", "conv_id")
 
 
-@query("""WITH SP AS (SELECT DISTINCT conv_id, unnest([0, 1, 2]) AS turn FROM conversations) SELECT conv_id, turn, coalesce(role, 'missing') AS role FROM SP LEFT JOIN conversations USING (conv_id, turn)""")
+@query("""WITH SP AS (SELECT DISTINCT conv_id, unnest([0, 1, 2])::BIGINT AS turn FROM conversations) SELECT conv_id, turn, coalesce(role, 'missing') AS role FROM SP LEFT JOIN conversations USING (conv_id, turn)""")
 def captured_or_placeholder(spark, sf_dir):
     c = B.table(spark, sf_dir, "conversations")
     spec = c.select("conv_id").distinct().withColumn("turn", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))

@@ -180,13 +180,13 @@ def _sets(width: int):
 
 
 def _keys(reps: DataFrame, sim: Similarity) -> DataFrame:
-    """(key, band, doc_id) for every agreement on which a document can meet others."""
-    s = reps.select("doc_id", F.explode("sketches").alias("s")).select("doc_id", "s.band", "s.words")
+    """(key, code, doc_id) for every agreement on which a document can meet others; code is 256 times its size plus the band."""
+    s = reps.select("doc_id", "n_shingles", F.explode("sketches").alias("s")).select("doc_id", "s.band", "s.words", (F.col("n_shingles") * 256 + F.col("s.band")).alias("code"))
     if sim.parts == 1:
-        return s.select("doc_id", "band", F.posexplode("words").alias("at", "w")).select(F.xxhash64("band", "at", "w").alias("key"), "band", "doc_id")
+        return s.select("doc_id", "code", "band", F.posexplode("words").alias("at", "w")).select(F.xxhash64("band", "at", "w").alias("key"), "code", "doc_id")
     pairs = """flatten(transform(sequence(0, size(words) div 3 - 1), j -> array(
         xxhash64(band, j, 0, words[3 * j], words[3 * j + 1]), xxhash64(band, j, 1, words[3 * j], words[3 * j + 2]), xxhash64(band, j, 2, words[3 * j + 1], words[3 * j + 2]))))"""
-    return s.select("doc_id", "band", F.explode(F.expr(pairs)).alias("key")).select("key", "band", "doc_id")
+    return s.select("doc_id", "code", F.explode(F.expr(pairs)).alias("key")).select("key", "code", "doc_id")
 
 
 _MET = T.StructType([
@@ -195,32 +195,46 @@ _MET = T.StructType([
 ])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(sim: Similarity):
     """Of rows sorted by key and document those that share their key, with the first of the run in this partition and the
-    one before; and the partition's first and last row, whose runs may go on in its neighbours. One row is held back."""
-    held: tuple | None = None  # key, band, document, hub, previous, in a run, edge
-    for batch in batches:
-        key, band, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(key):
-            continue
-        if held:
-            key, band, doc = (np.concatenate([[h], x]) for h, x in zip(held[:3], (key, band, doc), strict=True))
-        same = np.zeros(len(key), np.bool_)
-        same[1:] = key[1:] == key[:-1]
-        run = np.cumsum(~same) - 1
-        hub = doc[np.flatnonzero(~same)][run]
-        previous = np.where(same, np.concatenate([doc[:1], doc[:-1]]), doc)
-        inside, edge = same.copy(), np.zeros(len(key), np.bool_)
-        inside[:-1] |= same[1:]
+    one before, where their sizes allow a link (else the document itself); and the partition's first and last row, whose
+    runs may go on in its neighbours. One row is held back."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+
+    def made(columns: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=_MET.names)
+
+    def allowed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return 100 * np.minimum(a, b) >= sim.percent * np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None  # key, code, document, hub and its size, the one before and its size, in a run, edge
+        for batch in batches:
+            key, code, doc = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(key):
+                continue
+            if held:
+                key, code, doc = (np.concatenate([[h], x]) for h, x in zip(held[:3], (key, code, doc), strict=True))
+            same = np.zeros(len(key), np.bool_)
+            same[1:] = key[1:] == key[:-1]
+            group, size = np.cumsum(~same) - 1, code >> 8
+            first = np.flatnonzero(~same)
+            hub, hub_size = doc[first][group], size[first][group]
+            before, before_size = (np.where(same, np.concatenate([x[:1], x[:-1]]), x) for x in (doc, size))
+            inside, edge = same.copy(), np.zeros(len(key), np.bool_)
+            inside[:-1] |= same[1:]
+            if held:
+                hub[group == 0], hub_size[group == 0], before[0], before_size[0] = held[3:7]
+                inside[0] |= held[7]
+            edge[0] = held[8] if held else True
+            keep = np.flatnonzero((inside | edge)[:-1])
+            shown = np.where(edge | allowed(size, hub_size), hub, doc)
+            yield made(tuple(x[keep] for x in (key, code & 255, doc, shown, np.where(allowed(size, before_size), before, doc), edge)))
+            held = (*(x[-1] for x in (key, code, doc, hub, hub_size, before, before_size)), bool(inside[-1]), bool(edge[-1]))
         if held:
-            hub[run == 0], previous[0] = held[3], held[4]
-            inside[0] |= held[5]
-        edge[0] = held[6] if held else True
-        keep = np.flatnonzero((inside | edge)[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep], k) for x, k in zip((key, band, doc, hub, previous, edge), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=_MET.names)
-        held = (key[-1], band[-1], doc[-1], hub[-1], previous[-1], bool(inside[-1]), bool(edge[-1]))
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*held[:5], True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=_MET.names)
+            yield made(([held[0]], [held[1] & 255], [held[2]], [held[3]], [held[5]], [True]))
+
+    return run
 
 
 def _by_band(reps: DataFrame, ids: DataFrame) -> DataFrame:
@@ -323,7 +337,7 @@ def similar_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame
         reps = materialise(reps, "reps")
     keys = _keys(reps, sim)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = materialise(keys.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(_runs, _MET), "met")
+    met = materialise(keys.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(_runs(sim), _MET), "met")
     edges = met.filter("edge").select("key", "band", F.col("hub").alias("doc_id")).distinct()  # at most two rows of a partition
     across = edges.join(F.broadcast(edges.groupBy("key").agg(F.min("doc_id").alias("hub"))), "key").select("band", "doc_id", "hub")
     hubs = met.select("band", "doc_id", F.explode(F.array("hub", "previous")).alias("hub")).unionByName(across).filter("doc_id <> hub")

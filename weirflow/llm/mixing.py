@@ -3,10 +3,12 @@
 Domains come from a table of labels: good (of quality, not toxic), poor (not of quality) and toxic. A naive
 Bayes classifier on binned features of the text (symbols, capitals, digits, word length, repetition, length),
 trained on a bounded sample of labelled documents, gives each document a posterior over domains. Its rate,
-how often it is to be seen, solves a least-squares problem: the rates stay as close to one as they can
-while the expected tokens of each domain, summed over all documents, meet the target. Posteriors depend
-on the bins alone, so all documents of a cell of bins share their rate: projected-gradient steps run as
-aggregations over the cells, whose number is bounded by the bins, not by the corpus.
+how often it is to be seen, is nonnegative and solves a least-squares problem: the rates stay as close to
+one as they can while the expected tokens of each domain, summed over all documents, meet the target. The
+optimum is one plus a force for each domain, weighted by the posterior and projected on the bounds; damped
+Newton steps find the three forces. Posteriors depend on the bins alone, so all documents of a cell of bins
+share their rate: the steps run as aggregations over the cells, whose number is bounded by the bins, not by
+the corpus. `mixed`, which must lose no document, has rates of one at least and lets the mix grow instead.
 
 Defined results: null and empty texts have no tokens and fall into the cell of empty texts; rows that
 repeat have equal rates; labels with a null id, without a document or without values are not learned
@@ -17,6 +19,7 @@ columns of the input stay as they are in `mixed` and are ignored elsewhere.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,11 +27,15 @@ from pyspark.sql import functions as F
 from weirflow.llm.common import keyed_join, materialise, text_of, unit_hash
 
 DOMAINS = ("good", "poor", "toxic")
-#: Target share of each domain in the tokens; least and greatest rate; most tokens of the mix, in sizes of the corpus.
+#: Target share of each domain in the tokens; least and greatest rate; tokens of the mix, in sizes of the corpus: as rates go down to zero, totals meet the targets without growth.
 TARGETS = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
-LEAST, MOST, GROWTH = 1.0, 3.0, 1.3
-#: Labelled documents that are learned from (in expectation, drawn by a hash of the id); gradient steps; steps between two cuts of the lineage; weight of the distance from one.
-SAMPLE, STEPS, CUT, PULL = 20_000, 24, 8, 0.05
+LEAST, MOST, GROWTH = 0.0, 3.0, 1.0
+#: The same where no document may be lost: least rate, and most tokens of the mix.
+KEEP_LEAST, KEEP_GROWTH = 1.0, 1.3
+#: Labelled documents that are learned from (in expectation, drawn by a hash of the id); weight of the distance from one.
+SAMPLE, PULL = 20_000, 5e-4
+#: Evaluations at most; error of the totals, in sizes of the corpus, at which they end.
+STEPS, CLOSE = 80, 1e-7
 
 #: Lower edges of the bins of each feature.
 EDGES = {
@@ -92,8 +99,56 @@ def _posteriors(cells: DataFrame, made: DataFrame, labels: DataFrame) -> DataFra
     return cells.select(_CELL, "tokens", "docs", *[(p / whole).alias(f"p_{d}") for p, d in zip(parts, DOMAINS, strict=True)])
 
 
-def cell_rates(made: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """(cell, p_<domain>, rate) from the described documents, by projected gradient over the cells."""
+def _solved(h: list[list[float]], g: list[float]) -> list[float]:
+    """x of h x = g for a small positive definite h."""
+    rows = [[*r, v] for r, v in zip(h, g, strict=True)]
+    for i in range(len(rows)):
+        rows[i] = [x / rows[i][i] for x in rows[i]]
+        for j in range(len(rows)):
+            if j != i:
+                rows[j] = [a - rows[j][i] * b for a, b in zip(rows[j], rows[i], strict=True)]
+    return [r[-1] for r in rows]
+
+
+def _forces(cells: DataFrame, whole: float, goal: list[float], rate_of: Callable[[list[float]], tuple[Column, Column]], least: float) -> list[float]:
+    """The force of each domain at the optimum: the minimum of the convex dual, by Newton steps of bounded length that are halved until they descend."""
+    n, share = len(DOMAINS), F.col("tokens") / whole
+    p = [F.col(f"p_{d}") for d in DOMAINS]
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+
+    def at(x: list[float]) -> tuple[float, list[float], list[list[float]]]:
+        z, rate = rate_of(x)
+        free = share * ((rate > least) & (rate < MOST)).cast("double")
+        sums = cells.agg(F.sum(share * (z * rate - (rate - 1) * (rate - 1) / 2)), *[F.sum(share * rate * q) for q in p], *[F.sum(free * p[i] * p[j]) for i, j in pairs]).first()
+        sums = [float(v or 0.0) for v in sums]
+        value = sums[0] + sum(PULL * v * v / 2 - g * v for v, g in zip(x, goal, strict=True))
+        slope = [PULL * v + s - g for v, s, g in zip(x, sums[1:], goal, strict=False)]
+        bend = [[PULL * (i == j) for j in range(n)] for i in range(n)]
+        for (i, j), v in zip(pairs, sums[1 + n :], strict=True):
+            bend[i][j] += v
+            bend[j][i] = bend[i][j]
+        return value, slope, bend
+
+    x, step = [0.0] * n, [0.0] * n
+    value, slope, bend = at(x)
+    for _ in range(STEPS):
+        if max(map(abs, slope)) < CLOSE:
+            break
+        if not any(step):
+            step = [-v for v in _solved(bend, slope)]
+            long = max(map(abs, step)) / (2 * max(1.0, *map(abs, x)))
+            step = [v / max(1.0, long) for v in step]
+        tried = [a + b for a, b in zip(x, step, strict=True)]
+        found = at(tried)
+        if found[0] <= value + 1e-4 * sum(a * b for a, b in zip(slope, step, strict=True)) + 1e-13:
+            x, (value, slope, bend), step = tried, found, [0.0] * n
+        else:
+            step = [v / 2 for v in step]
+    return x
+
+
+def cell_rates(made: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, least: float = LEAST, growth: float = GROWTH) -> DataFrame:
+    """(cell, p_<domain>, rate) from the described documents."""
     cells = made.groupBy(_CELL).agg(F.sum(_TOKENS).alias("tokens"), F.count("*").alias("docs"))
     cells = materialise(_posteriors(cells, made, labels), "cells")
     p = [F.col(f"p_{d}") for d in DOMAINS]
@@ -101,23 +156,15 @@ def cell_rates(made: DataFrame, labels: DataFrame, targets: dict[str, float] = T
     natural = [float(x or 0.0) for x in first]
     whole = sum(natural) or 1.0
     wanted = [targets[d] / sum(targets.values()) for d in DOMAINS]
-    budget = min(GROWTH, max(a / whole / w for a, w in zip(natural, wanted, strict=True) if w > 0))  # so that the domain there is most of needs no cut
-    goal = [w * budget * LEAST for w in wanted]
+    budget = min(growth, max(a / whole / w for a, w in zip(natural, wanted, strict=True) if w > 0))  # beyond it the domain there is most of needs no cut
     learned = max(abs(a / whole - 1 / len(DOMAINS)) for a in natural) > 1e-9
-    cells = cells.withColumn("rate", F.lit(LEAST)).withColumn("ahead", F.lit(LEAST))
-    share = F.col("tokens") / whole
-    root = math.sqrt(PULL / (1 + PULL))
-    momentum = (1 - root) / (1 + root)  # of accelerated steps, for the problem's curvature
-    for i in range(STEPS if learned else 0):
-        sums = cells.agg(*[F.sum(share * x * F.col("ahead")) for x in p]).first()
-        miss = [float(s or 0.0) - g for s, g in zip(sums, goal, strict=True)]
-        pull = sum((x * m for x, m in zip(p, miss, strict=True)), F.lit(0.0))
-        step = F.col("ahead") - (pull + PULL * (F.col("ahead") - LEAST)) / (1 + PULL)
-        cells = cells.withColumn("before", F.col("rate")).withColumn("rate", F.least(F.greatest(step, F.lit(LEAST)), F.lit(MOST)))
-        cells = cells.withColumn("ahead", F.col("rate") + momentum * (F.col("rate") - F.col("before"))).drop("before")
-        if i % CUT == CUT - 1:
-            cells = materialise(cells, "cells")
-    return materialise(cells.select(_CELL, *[f"p_{d}" for d in DOMAINS], "rate"), "rates")
+
+    def rate_of(forces: list[float]) -> tuple[Column, Column]:
+        z = sum((x * v for x, v in zip(p, forces, strict=True)), F.lit(0.0))
+        return z, F.least(F.greatest(1 + z, F.lit(least)), F.lit(MOST))
+
+    forces = _forces(cells, whole, [w * budget for w in wanted], rate_of, least) if learned else [0.0] * len(DOMAINS)
+    return materialise(cells.select(_CELL, *[f"p_{d}" for d in DOMAINS], rate_of(forces)[1].alias("rate")), "rates")
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -132,7 +179,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """The documents, each as often as its rate says: the whole part of the rate for sure, once more with the rest as probability, by a hash of the id."""
     columns = docs.columns
     made = materialise(described(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).select("doc_id", _TOKENS, _CELL), "described")
-    rates = cell_rates(made, labels, targets).select(_CELL, F.col("rate").alias("_wf_rate"))
+    rates = cell_rates(made, labels, targets, KEEP_LEAST, KEEP_GROWTH).select(_CELL, F.col("rate").alias("_wf_rate"))
     times = F.floor("_wf_rate") + (unit_hash("doc_id", seed=99) < F.col("_wf_rate") - F.floor("_wf_rate")).cast("int")
     repeated = keyed_join(described(docs), rates, [_CELL], "left").withColumn("_wf_times", times)
     return repeated.filter("_wf_times > 0").withColumn("_wf_copy", F.explode(F.sequence(F.lit(1), F.col("_wf_times").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])

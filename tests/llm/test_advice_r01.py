@@ -1,5 +1,7 @@
 """What a review found missing: each test fails on the code before."""
 
+import random
+
 import pytest
 
 from weirflow.llm import mixing
@@ -26,3 +28,19 @@ def test_mixing_totals_meet_targets(three):
     for d, target in mixing.TARGETS.items():
         assert abs(sum(x.tokens * x.rate * x[f"p_{d}"] for x in got) / whole - target) < 2e-3
     assert min(x.rate for x in got) < 0.3 and all(x.rate >= 0 for x in got)
+
+
+def test_mixing_reads_words(spark):
+    """Toxic texts have the surface of good ones and differ by a word; those that are judged here have no label."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(50)] + ["vexle"]
+
+    def text(i):
+        words = [r.choice(vocabulary[:-1]) for _ in range(12)]
+        words[r.randrange(12)] = "Vexle," if i % 4 == 0 else words[0]
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(800)], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], LABELS)
+    unseen = [x for x in mixing.document_rates(docs, labels).collect() if x.doc_id >= 400]
+    assert all(x.p_toxic > 0.9 if x.doc_id % 4 == 0 else x.p_toxic < 0.1 for x in unseen)

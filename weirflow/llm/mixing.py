@@ -1,8 +1,10 @@
 """Mixing documents to target weights of soft domains, with DataFrame functions only.
 
 Domains come from a table of labels: good (of quality, not toxic), poor (not of quality) and toxic. A naive
-Bayes classifier on binned features of the text (symbols, capitals, digits, word length, repetition, length),
-trained on a bounded sample of labelled documents, gives each document a posterior over domains. Its rate,
+Bayes classifier on binned features of the text, trained on a bounded sample of labelled documents, gives
+each document a posterior over domains. The features are its surface (symbols, capitals, digits, word length,
+repetition, length) and its vocabulary: how many distinct words it has of those that tell the poor or the
+toxic documents of the sample from the others, by a likelihood-ratio test on document frequencies. Its rate,
 how often it is to be seen, is nonnegative and solves a least-squares problem: the rates stay as close to
 one as they can while the expected tokens of each domain, summed over all documents, meet the target. The
 optimum is one plus a force for each domain, weighted by the posterior and projected on the bounds; damped
@@ -24,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import keyed_join, materialise, text_of, unit_hash
+from weirflow.llm.common import keyed_join, let, materialise, text_of, unit_hash
 
 DOMAINS = ("good", "poor", "toxic")
 #: Target share of each domain in the tokens; least and greatest rate; tokens of the mix, in sizes of the corpus: as rates go down to zero, totals meet the targets without growth.
@@ -41,7 +43,12 @@ STEPS, CLOSE = 80, 1e-7
 EDGES = {
     "symbols": (0.01, 0.03, 0.06, 0.12, 0.25), "capitals": (0.005, 0.02, 0.05, 0.2, 0.5), "digits": (0.001, 0.01, 0.05, 0.2),
     "word_length": (2.5, 4.0, 5.0, 6.0, 8.0, 12.0), "repetition": (0.1, 0.25, 0.5, 0.75, 0.9), "log_tokens": (1.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0),
+    "poor_words": (1.0, 2.0, 3.0, 5.0, 9.0), "toxic_words": (1.0, 2.0, 3.0, 5.0, 9.0),
 }
+#: Words of each of these two domains that are counted at most, and the least likelihood-ratio statistic of one.
+WORDS, STRONG = 64, 15.0
+#: What words are trimmed of.
+_MARKS = ".,;:!?\"'()"
 _CELL, _TOKENS = "_wf_cell", "_wf_tokens"
 _BASE = 16
 
@@ -50,18 +57,67 @@ def _without(text: Column, letters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, letters, ""))
 
 
-def described(docs: DataFrame) -> DataFrame:
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def _plain(word: Column) -> Column:
+    return F.btrim(F.lower(word), F.lit(_MARKS))
+
+
+def _drawn(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the sample of labels that is learned from."""
+    known = labels.select(F.col("doc_id").cast("long"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).alias("domain")).filter("doc_id IS NOT NULL AND domain IS NOT NULL")
+    n = known.count()
+    return known.filter(unit_hash("doc_id", seed=9) < SAMPLE / max(1, n)).dropDuplicates(["doc_id"])
+
+
+def telling_words(docs: DataFrame, labels: DataFrame) -> list[list[str]]:
+    """For each domain but the first, the words that most tell its labelled documents from those of the others."""
+    seen = docs.join(F.broadcast(_drawn(labels)), "doc_id").select("domain", F.array_distinct(F.transform(_words(text_of(docs)), _plain)).alias("words"))
+    seen = materialise(seen, "seen")
+    sizes = {r.domain: r.n for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    whole = float(sum(sizes.values()))
+    found = seen.select("domain", F.explode("words").alias("word")).filter("word != ''").groupBy("word").agg(F.count("*").cast("double").alias("all"), *[F.count_if(F.col("domain") == d).cast("double").alias(f"n_{d}") for d in range(1, len(DOMAINS))])
+    found = materialise(found.filter("all > 1"), "words")
+
+    def part(have: Column, a: Column, b: float) -> Column:
+        return F.when(have > 0, 2 * have * (F.log(have) - F.log(a * b / whole))).otherwise(0.0)
+
+    out = []
+    for d in range(1, len(DOMAINS)):
+        n = float(sizes.get(d, 0))
+        if not 0 < n < whole:
+            out.append([])
+            continue
+        x, t = F.col(f"n_{d}"), F.col("all")
+        strength = part(x, t, n) + part(n - x, whole - t, n) + part(t - x, t, whole - n) + part(whole - t - n + x, whole - t, whole - n)
+        best = found.filter(x * whole > t * n).select("word", strength.alias("g")).filter(F.col("g") > STRONG).orderBy(F.desc("g"), "word").limit(WORDS).collect()
+        out.append([r.word for r in best])
+    return out
+
+
+def described(docs: DataFrame, telling: list[list[str]]) -> DataFrame:
     """The rows with the number of their tokens (words) and their cell, the bins of all features as one number."""
     text = text_of(docs)
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    every = sorted({w for words in telling for w in words})
+
+    def count(hits: Column, own: list[str]) -> Column:
+        return F.size(F.filter(hits, lambda w: w.isin(own))) if own else F.lit(0)
+
+    def vocabulary(kinds: Column) -> Column:
+        hits = F.array_distinct(F.transform(F.filter(kinds, lambda w: _plain(w).isin(every)), _plain)) if every else F.array().cast("array<string>")
+        return let(hits, lambda h: F.struct(F.size(kinds).alias("kinds"), *[count(h, own).alias(f"{d}_words") for d, own in zip(DOMAINS[1:], telling, strict=True)]))
+
     counted = docs.withColumn("_wf_s", F.struct(
         F.length(text).alias("n"), _without(text, "!\"#$%&*+/<=>?@[\\]^_`{|}~").alias("symbols"), _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("capitals"),
-        _without(text, "0123456789").alias("digits"), F.element_at(F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("all"), F.size(F.array_distinct(w)).alias("kinds"))), 1).alias("words"),
+        _without(text, "0123456789").alias("digits"), let(_words(text), lambda w: F.struct(F.size(w).alias("all"), let(F.array_distinct(w), vocabulary).alias("of"))).alias("words"),
     ))
     n, t = F.greatest(F.col("_wf_s.n"), F.lit(1)), F.col("_wf_s.words.all")
     values = {
         "symbols": F.col("_wf_s.symbols") / n, "capitals": F.col("_wf_s.capitals") / n, "digits": F.col("_wf_s.digits") / n,
-        "word_length": F.col("_wf_s.n") / F.greatest(t, F.lit(1)), "repetition": 1 - F.col("_wf_s.words.kinds") / F.greatest(t, F.lit(1)), "log_tokens": F.log1p(t.cast("double")),
+        "word_length": F.col("_wf_s.n") / F.greatest(t, F.lit(1)), "repetition": 1 - F.col("_wf_s.words.of.kinds") / F.greatest(t, F.lit(1)), "log_tokens": F.log1p(t.cast("double")),
+        **{f"{d}_words": F.col(f"_wf_s.words.of.{d}_words") for d in DOMAINS[1:]},
     }
     cell = F.lit(0).cast("long")
     for name, edges in EDGES.items():
@@ -76,10 +132,7 @@ def _bin(place: int) -> Column:
 
 def _posteriors(cells: DataFrame, made: DataFrame, labels: DataFrame) -> DataFrame:
     """The cells with p_<domain>: naive Bayes with add-one smoothing from a sample of labelled documents in ``made``."""
-    known = labels.select(F.col("doc_id").cast("long"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).alias("domain")).filter("doc_id IS NOT NULL AND domain IS NOT NULL")
-    n = known.count()
-    drawn = known.filter(unit_hash("doc_id", seed=9) < SAMPLE / max(1, n)).dropDuplicates(["doc_id"])
-    seen = made.join(F.broadcast(drawn), "doc_id").groupBy(_CELL, "domain").agg(F.count("*").alias("n")).collect()  # at most cells * domains rows
+    seen = made.join(F.broadcast(_drawn(labels)), "doc_id").groupBy(_CELL, "domain").agg(F.count("*").alias("n")).collect()  # at most cells * domains rows
     totals = [1.0 + sum(r.n for r in seen if r.domain == d) for d in range(len(DOMAINS))]
     score = [F.lit(math.log(x / sum(totals))) for x in totals]
     for place, edges in enumerate(EDGES.values()):
@@ -170,7 +223,7 @@ def cell_rates(made: DataFrame, labels: DataFrame, targets: dict[str, float] = T
 def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """One row per document: doc_id, tokens, p_good, p_poor, p_toxic, rate."""
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    made = materialise(described(d).select("doc_id", _TOKENS, _CELL), "described")
+    made = materialise(described(d, telling_words(d, labels)).select("doc_id", _TOKENS, _CELL), "described")
     rates = cell_rates(made, labels, targets)
     return keyed_join(made, rates, [_CELL], "left").select("doc_id", F.col(_TOKENS).alias("tokens"), *[f"p_{x}" for x in DOMAINS], "rate")
 
@@ -178,8 +231,10 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """The documents, each as often as its rate says: the whole part of the rate for sure, once more with the rest as probability, by a hash of the id."""
     columns = docs.columns
-    made = materialise(described(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).select("doc_id", _TOKENS, _CELL), "described")
+    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    telling = telling_words(d, labels)
+    made = materialise(described(d, telling).select("doc_id", _TOKENS, _CELL), "described")
     rates = cell_rates(made, labels, targets, KEEP_LEAST, KEEP_GROWTH).select(_CELL, F.col("rate").alias("_wf_rate"))
     times = F.floor("_wf_rate") + (unit_hash("doc_id", seed=99) < F.col("_wf_rate") - F.floor("_wf_rate")).cast("int")
-    repeated = keyed_join(described(docs), rates, [_CELL], "left").withColumn("_wf_times", times)
+    repeated = keyed_join(described(docs, telling), rates, [_CELL], "left").withColumn("_wf_times", times)
     return repeated.filter("_wf_times > 0").withColumn("_wf_copy", F.explode(F.sequence(F.lit(1), F.col("_wf_times").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])

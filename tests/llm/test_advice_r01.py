@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from weirflow.llm import mixing
+from weirflow.llm import mixing, syncmers
 
 DOCS = "doc_id long, text string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -44,3 +44,17 @@ def test_mixing_reads_words(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], LABELS)
     unseen = [x for x in mixing.document_rates(docs, labels).collect() if x.doc_id >= 400]
     assert all(x.p_toxic > 0.9 if x.doc_id % 4 == 0 else x.p_toxic < 0.1 for x in unseen)
+
+
+def test_fingerprints_keep_all_anchors_in_order(spark):
+    """Two long texts that share one passage are somewhat alike, and a text's fingerprint starts with that of its start."""
+    r = random.Random(4)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    passage = text(60)
+    a, b = f"{text(3000)} {passage} {text(3000)}", f"{text(2000)} {passage} {text(4000)}"
+    docs = spark.createDataFrame([(2, a), (1, b), (0, a[:9000])], DOCS)
+    prints = {x.doc_id: x.fingerprint for x in syncmers.fingerprints(docs).collect()}
+    assert prints[2].startswith(prints[0]) and len(prints[2]) > 3.5 * len(prints[0]) > 8 * 1000
+    sets = {i: {p[k : k + 8] for k in range(0, len(p), 8)} for i, p in prints.items()}
+    got = {x.doc_id: x.near_next for x in syncmers.with_neighbours(docs).collect()}
+    assert got[2] == pytest.approx(len(sets[2] & sets[1]) / len(sets[2] | sets[1])) and got[2] > 0.003

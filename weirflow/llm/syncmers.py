@@ -2,9 +2,9 @@
 
 A k-mer of characters is a closed syncmer if the least of its s-mers (by hash) is the first or the last of
 them. Whether it is depends on the k-mer alone, so an edit changes no anchors but those it touches. The
-fingerprint is the sorted sample of the SAMPLE least anchor hashes, in hex; the likeness of two fingerprints
-is the share of the least hashes of both together that are in each: an estimate of the Jaccard similarity
-of the anchors.
+fingerprint has the hashes of all anchors in the order of the text, repeated ones too, in hex, so it grows
+with the text and shared passages are equal runs; the likeness of two fingerprints is the Jaccard similarity
+of their sets of anchors.
 
 `with_neighbours` also needs the next document by descending doc_id. Ids are cut at quantiles into buckets
 of about equal numbers of rows, each bucket gets a copy of the first row of the next one, and a window
@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import bucket_of, let, longs, text_of
 
-#: Length of a k-mer, of an s-mer (a k-mer has WIDTH of them), and anchors in a fingerprint.
+#: Length of a k-mer and of an s-mer (a k-mer has WIDTH of them).
 K, S = 16, 9
 WIDTH = K - S + 1
-SAMPLE = 64
 #: Buckets of ids per shuffle partition, and at most.
 PER_PARTITION, MOST_BUCKETS = 4, 16_384
 
@@ -55,11 +54,10 @@ def anchors(text: Column) -> Column:
     return let(s_mers, over)
 
 
-def sample(found: Column, text: Column) -> Column:
-    """The fingerprint as ascending numbers, from the anchors of a text."""
-    least = F.slice(F.sort_array(F.array_distinct(F.array_compact(found))), F.lit(1), F.lit(SAMPLE))
+def listed(hashes: Column, text: Column) -> Column:
+    """The fingerprint as numbers, from the hashes of a text's anchors in order."""
     whole = F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(text).bitwiseAND(F.lit(_MASK))))
-    return let(least, lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
+    return let(hashes, lambda x: F.when(F.size(x) > 0, x).otherwise(whole))
 
 
 def as_text(numbers: Column) -> Column:
@@ -67,15 +65,14 @@ def as_text(numbers: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    both = F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), F.lit(SAMPLE))
-    share = let(both, lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
+    share = let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - n))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share).cast("double")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and the fingerprint of every row's text."""
     d = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text"))
-    return d.select("doc_id", as_text(sample(anchors(F.col("text")), F.col("text"))).alias("fingerprint"))
+    return d.select("doc_id", as_text(listed(F.array_compact(anchors(F.col("text"))), F.col("text"))).alias("fingerprint"))
 
 
 def _in_buckets(docs: DataFrame) -> DataFrame:
@@ -106,13 +103,14 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     d = _in_buckets(docs).withColumn("next_text", F.lead("text").over(order))
     third = F.floor(n / 3).cast("int")
     d = d.withColumn("head", F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))")).withColumn("graft", F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), third))
-    d = d.withColumn("found", anchors(text)).withColumn("numbers", sample(F.col("found"), text))
-    kept = F.slice("found", F.lit(1), F.greatest(F.length("head") - (K - 1), F.lit(0)))
+    in_head = F.slice("found", F.lit(1), F.greatest(F.length("head") - (K - 1), F.lit(0)))
+    d = d.withColumn("found", anchors(text)).withColumn("numbers", listed(F.array_compact("found"), text)).withColumn("n_kept", F.size(F.array_compact(in_head))).drop("found")
+    kept = F.slice("numbers", F.lit(1), F.col("n_kept"))
     seam = F.concat(F.expr(f"right(head, {K - 1})"), F.col("graft"))
     edited = F.concat("head", "graft")
     # Characters beyond the basic plane are two units to the pattern: their texts are done anew, so that positions cannot shift.
     plain = ~F.concat("text", "graft").rlike("[\\x{10000}-\\x{10FFFF}]")
-    edited_numbers = sample(F.when(plain, F.concat(kept, anchors(seam))).otherwise(anchors(edited)), edited)
+    edited_numbers = listed(F.when(plain, F.concat(kept, F.array_compact(anchors(seam)))).otherwise(F.array_compact(anchors(edited))), edited)
     d = d.withColumn("next_numbers", F.lead("numbers").over(order)).filter("extra = 0").withColumn("edited_numbers", edited_numbers)
     return d.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), as_text(F.col("numbers")).alias("fingerprint"),

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from weirflow.llm import mixing, syncmers
+from weirflow.llm import chunk_dedup, mixing, syncmers
 
 DOCS = "doc_id long, text string"
 LABELS = "doc_id long, quality int, toxic int"
@@ -58,3 +58,9 @@ def test_fingerprints_keep_all_anchors_in_order(spark):
     sets = {i: {p[k : k + 8] for k in range(0, len(p), 8)} for i, p in prints.items()}
     got = {x.doc_id: x.near_next for x in syncmers.with_neighbours(docs).collect()}
     assert got[2] == pytest.approx(len(sets[2] & sets[1]) / len(sets[2] | sets[1])) and got[2] > 0.003
+
+
+def test_drop_copies_on_repeated_and_null_ids(spark):
+    rows = [(3, "B"), (5, "B"), (5, "A"), (None, "B"), (None, "C"), (None, "C"), (7, "D"), (7, "D"), (8, None), (None, ""), (9, "E")]
+    left = chunk_dedup.drop_copies(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((x.doc_id or 0, x.text or "") for x in left)) == [(0, "C"), (3, "B"), (5, "A"), (7, "D"), (8, ""), (9, "E")]

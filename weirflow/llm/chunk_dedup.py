@@ -7,8 +7,8 @@ then is the ordered list of its chunk identifiers, and documents are equal when
 are read once and never shuffled: 40 bytes a chunk move for verification, 8 bytes a chunk for comparison.
 
 Defined results: null text counts as empty, and all empty texts are one group; rows that repeat a doc_id
-are members of their group and are kept or dropped together; a null doc_id never stays if its group has
-another; further columns of the input are ignored, whatever their names; an empty table gives no rows.
+are members of their group and are marked alike in `exact_groups`, while `drop_copies` leaves one row of a
+group; a null doc_id never stays if its group has another; further columns of the input are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,6 +149,26 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents without those that an equal text with a smaller doc_id stands for; texts are not shuffled unless the ids to drop exceed the broadcast bound."""
-    dropped = materialise(exact_groups(docs).filter("NOT kept").select("doc_id").distinct(), "dropped")
-    return keyed_join(docs, dropped, ["doc_id"], "left_anti")
+    """The documents with one row of each group of equal texts, that with the smallest doc_id (a null one only if there is no other).
+
+    Rows go by doc_id and digest of the text, nulls included. Where the row that stays is there several times the
+    least of these by all columns stays; only such rows are grouped. Other texts are not shuffled unless the keys to
+    drop exceed the broadcast bound.
+    """
+    key = ["_wf_null", "_wf_id", "_wf_sha"]
+    doc_id = F.col("doc_id").cast("long")
+
+    def keyed(df: DataFrame, sha: Column) -> DataFrame:
+        return df.withColumns({"_wf_null": doc_id.isNull(), "_wf_id": F.coalesce(doc_id, F.lit(0)), "_wf_sha": sha})
+
+    copies = keyed(exact_groups(docs).filter("group_size > 1"), F.col("text_sha256"))
+    copies = materialise(copies.groupBy(*key).agg(F.first("kept").alias("_wf_kept"), F.count("*").alias("_wf_n")), "copies")  # kept is the same for a key
+    changed = copies.filter("NOT _wf_kept OR _wf_n > 1").select(*key)
+    rows = keyed(docs, F.sha2(F.regexp_replace(text_of(docs), r"[\x20\x09-\x0D]+", " "), 256))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = keyed_join(rows, materialise(changed, "changed"), key, "left_anti").select(*columns)
+    again = materialise(copies.filter("_wf_kept AND _wf_n > 1").select(*key), "again")
+    if again.isEmpty():
+        return rest
+    one = keyed_join(rows, again, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*columns)).alias("_wf_row"))
+    return rest.unionByName(one.select("_wf_row.*"))

@@ -128,27 +128,54 @@ def test_shingles_are_distinct_words():
     assert len(shingle_set("é\x85x y", 3)) == 1 and len(shingle_set(None, 3)) == 0
 
 
-@given(st.sets(st.integers(0, 2**64 - 1), min_size=20, max_size=60), st.integers(0, 30), st.randoms())
+@pytest.mark.parametrize("sim", [Similarity(3, 60), Similarity(5, 80), Similarity(3, 90)])
+@given(base=st.sets(st.integers(0, 2**64 - 1), min_size=5, max_size=90), edits=st.integers(0, 30), r=st.randoms())
 @settings(max_examples=60, deadline=None)
-def test_sketch_distance_is_a_lower_bound(base, edits, r):
-    sim = Similarity(3, 60)
+def test_linked_sets_share_a_listed_block(sim, base, edits, r):
     a = set(base)
-    b = set(r.sample(sorted(a), max(1, len(a) - edits))) | {r.getrandbits(64) for _ in range(edits)}
-    band = sim.bands_of(max(len(a), len(b)))[0]
-    sketch = lambda s: sim.sketch(np.array(sorted(s), np.uint64), band)
-    apart = int(np.bitwise_count(sketch(a) ^ sketch(b)).sum())
-    assert apart <= len(a ^ b)
+    b = set(r.sample(sorted(a), max(1, len(a) - edits))) | {r.getrandbits(64) for _ in range(r.randint(0, edits))}
+    whole = lambda s: np.array(sorted(s), np.uint64)
+    if not (bands := sim.bands_of(max(len(a), len(b)))):
+        assert a == b or not sim.linked(len(a & b), len(a), len(b))
+        return
+    band = bands[0]
+    (x, u), (y, v) = sim.sketch(whole(a), band), sim.sketch(whole(b), band)
+    assert int(np.bitwise_count(sim.folded(x, band) ^ sim.folded(y, band)).sum()) <= len(a ^ b)
     if sim.linked(len(a & b), len(a), len(b)):
         assert band in sim.bands_of(min(len(a), len(b)))
-        same = sketch(a) == sketch(b)
-        assert same.any() if sim.parts == 1 else any(sum(same[i : i + 3]) >= 2 for i in range(0, len(same), 3))
+        assert np.intersect1d(sim.listed(len(a), band, x, u), sim.listed(len(b), band, y, v)).size
+
+
+def test_pairs_of_a_large_bucket(spark):
+    """Members of one bucket are compared across components, in blocks, as all pairs would be."""
+    from weirflow.llm import parity_join
+
+    sim, r = Similarity(3, 90), np.random.Generator(np.random.PCG64(1))
+    sets = [np.unique(r.integers(0, 1 << 63, 40, dtype=np.uint64)) for _ in range(12)]
+    sets = [np.unique(np.concatenate([s[k:], r.integers(0, 1 << 63, k, dtype=np.uint64)])) for s in sets for k in (0, 1, 2, 3)]
+    folded = [sim.folded(sim.sketch(s, 5)[0], 5) for s in sets]
+    import pyarrow as pa
+
+    rows = [{"key": 1, "i": 0, "j": 0, "node": k, "component": k % 7, "block": 0, "n_shingles": len(s), "words": f.view(np.int64).tolist()} for k, (s, f) in enumerate(zip(sets, folded, strict=True))]
+    found = [b for b in parity_join._across(sim)(iter([pa.RecordBatch.from_pylist(rows[:20]), pa.RecordBatch.from_pylist(rows[20:])]))]
+    got = {tuple(p) for b in found for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    want = {
+        (i, j) for j in range(len(sets)) for i in range(j)
+        if i % 7 != j % 7 and 100 * min(len(sets[i]), len(sets[j])) >= 90 * max(len(sets[i]), len(sets[j]))
+        and int(np.bitwise_count(folded[i] ^ folded[j]).sum()) * 190 <= 10 * (len(sets[i]) + len(sets[j]))
+    }
+    assert got == want and want
 
 
 def test_join_odd_tables(spark):
-    df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, None)], "doc_id long, text string")
+    rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (3, None), (1, "x y z"), (None, "p q r"), (None, "p q r"), (None, None), (4, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(x.doc_id), x.n_shingles, str(x.component_id)) for x in similar_groups(df, Similarity(3, 90)).collect())
-    assert got == [("1", 2, "1"), ("1", 2, "1"), ("2", 2, "1"), ("3", 0, "3"), ("None", 2, "1")]
+    assert got == sorted([("1", 2, "1")] * 2 + [("2", 2, "1"), ("3", 0, "3"), ("None", 2, "1"), ("1", 1, "1"), ("4", 1, "1"), ("None", 1, "None"), ("None", 1, "None"), ("None", 0, "None")])
     assert similar_groups(df.filter("false")).count() == 0
+    left = sorted((str(x.doc_id), str(x.text)) for x in drop_similar(df, Similarity(3, 90)).collect())
+    assert left == [("1", "a b c d"), ("1", "x y z"), ("3", "None"), ("None", "None"), ("None", "p q r")]
+    assert drop_similar(df.filter("false")).count() == 0
 
 
 def test_components(spark):

@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import keyed_join, materialise, text_of
+from weirflow.llm.common import keep_rows, keyed_join, materialise, row_keys, text_of
 
 #: Bytes: the window of the rolling hash, and the least, expected and greatest length of a chunk.
 WINDOW, LEAST, EXPECTED, MOST = 48, 256, 1024, 8192
@@ -152,23 +152,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents with one row of each group of equal texts, that with the smallest doc_id (a null one only if there is no other).
 
     Rows go by doc_id and digest of the text, nulls included. Where the row that stays is there several times the
-    least of these by all columns stays; only such rows are grouped. Other texts are not shuffled unless the keys to
-    drop exceed the broadcast bound.
+    least of these by all columns stays.
     """
-    key = ["_wf_null", "_wf_id", "_wf_sha"]
-    doc_id = F.col("doc_id").cast("long")
-
-    def keyed(df: DataFrame, sha: Column) -> DataFrame:
-        return df.withColumns({"_wf_null": doc_id.isNull(), "_wf_id": F.coalesce(doc_id, F.lit(0)), "_wf_sha": sha})
-
-    copies = keyed(exact_groups(docs).filter("group_size > 1"), F.col("text_sha256"))
-    copies = materialise(copies.groupBy(*key).agg(F.first("kept").alias("_wf_kept"), F.count("*").alias("_wf_n")), "copies")  # kept is the same for a key
-    changed = copies.filter("NOT _wf_kept OR _wf_n > 1").select(*key)
-    rows = keyed(docs, F.sha2(F.regexp_replace(text_of(docs), r"[\x20\x09-\x0D]+", " "), 256))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rest = keyed_join(rows, materialise(changed, "changed"), key, "left_anti").select(*columns)
-    again = materialise(copies.filter("_wf_kept AND _wf_n > 1").select(*key), "again")
-    if again.isEmpty():
-        return rest
-    one = keyed_join(rows, again, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*columns)).alias("_wf_row"))
-    return rest.unionByName(one.select("_wf_row.*"))
+    copies = exact_groups(docs).filter("group_size > 1")
+    keys = row_keys(copies, F.col("text_sha256"))
+    decided = copies.select("kept", *[c.alias(n) for n, c in keys.items()]).groupBy(*keys).agg(F.first("kept").alias("_wf_kept"), F.count("*").alias("_wf_n"))  # kept is the same for a key
+    normal = F.sha2(F.regexp_replace(text_of(docs), r"[\x20\x09-\x0D]+", " "), 256)
+    return keep_rows(docs, normal, materialise(decided, "copies"))

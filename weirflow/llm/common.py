@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +14,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 _LOCAL: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; a temporary one where it is unset (tests on one machine)."""
+    """The folder named by spark.checkpoint.dir, which all executors share; where it is unset a temporary one, if there is one machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="weirflow-")
     return _LOCAL["dir"]
@@ -35,7 +39,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weirflow-{uuid.uuid4().hex}/{label}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete the files of materialised results. Only for those whose successors are all written out: nothing may read them again, not even a retry."""
+    for df in written:
+        if path := _PATHS.pop(df, None):
+            jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+            folder = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -82,3 +97,29 @@ def bucket_of(key: Column, bounds: list[int]) -> Column:
 
 def longs(numbers: list[int]) -> Column:
     return F.array(*[F.lit(x).cast("long") for x in numbers]).cast("array<bigint>")
+
+
+def row_keys(docs: DataFrame, digest: Column) -> dict[str, Column]:
+    """Null-safe columns that tell a row by its doc_id and a digest of its text."""
+    doc_id = F.col("doc_id").cast("long")
+    return {"_wf_null": doc_id.isNull(), "_wf_id": F.coalesce(doc_id, F.lit(0)), "_wf_sha": digest}
+
+
+def keep_rows(docs: DataFrame, digest: Column, decided: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that ``decided`` (a row for each key of `row_keys`: _wf_kept, and _wf_n rows with this key) lets go.
+
+    Of a key that is kept and there several times the least row by all columns stays; only such rows are grouped. No other
+    row is shuffled unless the keys that change something exceed the broadcast bound.
+    """
+    key = ["_wf_null", "_wf_id", "_wf_sha"]
+    rows = docs.select(whole_row(docs), *[c.alias(n) for n, c in row_keys(docs, digest).items()])
+    rest = keyed_join(rows, materialise(decided.filter("NOT _wf_kept OR _wf_n > 1").select(*key), "changed"), key, "left_anti").select("_wf_row.*")
+    again = materialise(decided.filter("_wf_kept AND _wf_n > 1").select(*key), "again")
+    if again.isEmpty():
+        return rest
+    return rest.unionByName(keyed_join(rows, again, key, "left_semi").groupBy(*key).agg(F.min("_wf_row").alias("_wf_row")).select("_wf_row.*"))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, so that no name of the input can clash with names of a plan."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("_wf_row")

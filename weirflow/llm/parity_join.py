@@ -1,24 +1,29 @@
 """Similarity join of documents on word shingles by parity sketches.
 
-Each shingle of a set flips one bit of a sketch, so the Hamming distance of two sketches is at most the
+Each shingle of a set flips one bit of a long sketch, so the Hamming distance of two sketches is at most the
 number of shingles in which the sets differ. At a Jaccard similarity of t or more, two sets of a and b
-shingles differ in at most d = (1 - t) / (1 + t) * (a + b). Within a band of sizes d is bounded; sketches of
-more blocks than that agree in a whole block (where blocks would hold few shingles: of half as many
-blocks and more, one is at most one bit off, and then two of its three parts agree). Documents meet on
-such agreements, and only there.
-
-Equal sets are one class from the start. Keys are sorted
+shingles differ in at most d = (1 - t) / (1 + t) * (a + b). Within a band of sizes all sketches are cut into
+the same m blocks, more than d, so at least m - d of the blocks agree. If every document lists its blocks in
+one global order (fuller ones first, so that empty blocks and those of one shingle come last), two that are
+linked share one of the first d + 1. Documents meet on these, with d from their own sizes, and only there.
+A block is known by a linear hash of its odd bits; to compare whole sketches their bits are folded into about
+as many as the set has shingles, which still bounds the difference from below.
+
+Equal sets are one class from the start, a class is a node. Keys are sorted
 over all partitions, so that a bucket of any size is spread over as many as it fills, and each class first
 meets the first of its bucket there and the one before it, which ties groups of near copies together with
 links in proportion to their size. Then, in buckets that still hold several
-components, the pairs across components are looked at in blocks of bounded size: sketches rule out nearly
-all, what is left is verified on the shingles. No pair is skipped but those inside a component, which
+components, the pairs across components are looked at in blocks of bounded size: sizes and sketches rule out
+nearly all, what is left is verified on the shingles. No pair is skipped but those inside a component, which
 cannot change the result.
 
-Defined results: null, empty and blank texts have no shingles and no links; a text with fewer words than a
-shingle has one shingle, all its words; equal sets are linked; rows that repeat a doc_id have equal
-results; rows with a null doc_id are returned unlinked; an empty table gives no rows; further columns of
-the input are ignored, whatever their names.
+Defined results: null, empty and blank texts have no shingles and no links, their component is their doc_id;
+a text with fewer words than a shingle has one shingle, all its words; equal sets are linked; rows that
+repeat a doc_id are rows of their own, each with the component of its text; rows with a null doc_id take
+part like any others, but a component is named by the smallest doc_id in it that is not null, and only a
+component without one has a null name; an empty table gives no rows; further columns of the input are
+ignored, whatever their names. `drop_similar` leaves one row of each component: of the smallest doc_id (null
+last), then of the least digest, then the least by all columns.
 """
 
 from __future__ import annotations
@@ -35,13 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import keyed_join, materialise, small_enough, text_of
+from weirflow.llm.common import keep_rows, keyed_join, materialise, release, row_keys, text_of
 from weirflow.llm.components import components
 
-#: Ratio of the sizes of neighbouring bands; members of a bucket that one task compares at once; words whose hashes a worker keeps.
-BAND_RATIO, BLOCK_ROWS, CACHED_WORDS = 1.6, 1024, 1_000_000
-#: Words of a sketch that are folded into one to compare whole sketches; folded they still bound the difference from below.
-FOLD = 16
+#: Ratio of the sizes of neighbouring bands; blocks of a sketch for each difference that is allowed; members of a bucket that one task compares at once.
+BAND_RATIO, BLOCKS, BLOCK_ROWS = 2.0, 1.25, 1024
+#: Words whose hashes a worker keeps.
+CACHED_WORDS = 1_000_000
 
 _MIX_A, _MIX_B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -89,11 +94,6 @@ class Similarity:
         """Greatest symmetric difference of two linked sets of together ``total`` shingles."""
         return (100 - self.percent) * total // (100 + self.percent)
 
-    @property
-    def parts(self) -> int:
-        """1: a whole block agrees; 3: two of the three parts of a block do. Either way some eight shingles or more make a key."""
-        return 1 if (100 + self.percent) / (2 * (100 - self.percent)) >= 8 else 3
-
     @cache
     def bands(self) -> np.ndarray:
         """The least size of each band."""
@@ -103,10 +103,14 @@ class Similarity:
         return np.array(least, np.int64)
 
     @cache
-    def words_in(self, band: int) -> int:
-        """Length of a sketch in this band, in words of 64 bits; 0 where linked sets are equal."""
+    def blocks_in(self, band: int) -> int:
+        """Blocks of a sketch in this band, each folded into a word of 64 bits; 0 where linked sets are equal."""
         apart = self.most_apart(2 * int(self.bands()[band + 1] - 1))
-        return 0 if not apart else apart + 1 if self.parts == 1 else 3 * (apart // 2 + 1)
+        return int(BLOCKS * apart) + 1 if apart else 0
+
+    def keys_in(self, size: int, band: int) -> int:
+        """How many blocks a set of this size lists in this band: one more than it can differ in from a partner there."""
+        return self.most_apart(size + min(int(self.bands()[band + 1] - 1), 100 * size // self.percent)) + 1
 
     def bands_of(self, size: int) -> list[int]:
         """The band of a size, and those above it in which the larger partner of a link can be."""
@@ -114,29 +118,48 @@ class Similarity:
         found = [band]
         while self.percent * int(self.bands()[found[-1] + 1]) <= 100 * size:
             found.append(found[-1] + 1)
-        return [b for b in found if self.words_in(b)]
+        return [b for b in found if self.blocks_in(b)]
 
-    def sketch(self, shingles: np.ndarray, band: int) -> np.ndarray:
-        n = self.words_in(band)
-        words = np.zeros(n, np.uint64)
+    def sketch(self, shingles: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each block its bits folded into a word, and a hash of its place and its odd bits, which are 2**32 a block."""
+        n = self.blocks_in(band)
         at = ((shingles >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # ascends with the hash
         starts = np.flatnonzero(np.diff(at, prepend=np.uint64(n)))
-        words[at[starts].astype(np.int64)] = np.bitwise_xor.reduceat(np.uint64(1) << (shingles & np.uint64(63)), starts)
-        return words
-
-    def folded(self, words: np.ndarray) -> np.ndarray:
+        filled = at[starts].astype(np.int64)
+        words, odd = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        words[filled] = np.bitwise_xor.reduceat(np.uint64(1) << (shingles & np.uint64(63)), starts)
+        odd[filled] = np.bitwise_xor.reduceat(_mixed((shingles & np.uint64(0xFFFFFFFF)) + np.uint64(1)), starts)
+        return words, _mixed(odd + (np.arange(n, dtype=np.uint64) << np.uint64(8)) + np.uint64(band))
+
+    def listed(self, size: int, band: int, words: np.ndarray, names: np.ndarray) -> np.ndarray:
+        """The names of the blocks that come first: fuller ones before others, then by name; blocks that tie with the last are in."""
+        n = min(self.keys_in(size, band), len(names))
+        order = (np.uint64(64) - np.bitwise_count(words)) << np.uint64(56) | names >> np.uint64(8)
+        return names[order <= np.partition(order, n - 1)[n - 1]]
+
+    def folded(self, words: np.ndarray, band: int) -> np.ndarray:
         """A shorter sketch, each of its words the exclusive or of some of the words."""
-        n = max(2, -(-len(words) // FOLD))
+        n = min(len(words), max(2, -(-int(self.bands()[band + 1]) // 64)))
         padded = np.zeros(-(-len(words) // n) * n, np.uint64)
         padded[: len(words)] = words
         return np.bitwise_xor.reduce(padded.reshape(-1, n), axis=0)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _MIX_A
+    x ^= x >> np.uint64(29)
+    x *= _MIX_B
+    return x ^ (x >> np.uint64(32))
+
+
+#: A row's place in its input isn't known here; ``node`` is added when the rows are written.
 _SKETCHES = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
-    T.StructField("sketches", T.ArrayType(T.StructType([T.StructField("band", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("folded", T.ArrayType(T.LongType()))]))),
+    T.StructField("doc_id", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
+    T.StructField("sketches", T.ArrayType(T.StructType([T.StructField("band", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType()))]))),
+    T.StructField("lists", T.ArrayType(T.StructType([T.StructField("code", T.LongType()), T.StructField("names", T.ArrayType(T.LongType()))]))),
 ])
-_SKETCH_KIND = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64())), ("folded", pa.list_(pa.int64()))]))
+_SKETCH_KIND = pa.list_(pa.struct([("band", pa.int32()), ("words", pa.list_(pa.int64()))]))
+_LIST_KIND = pa.list_(pa.struct([("code", pa.int64()), ("names", pa.list_(pa.int64()))]))
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -144,60 +167,57 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)))
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _sketch(sim: Similarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                sizes, digests, bands, words, per_row = [], [], [], [], [0]
-                for text in part.column(1):
+                sizes, digests, bands, codes, folded, names, per_row = [], [], [], [], [], [], [0]
+                for text in part.column(2):
                     s = shingle_set(text.as_py(), sim.width)
                     sizes.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    digests.append(_digest(s))
                     for band in sim.bands_of(len(s)) if len(s) else ():
+                        words, own = sim.sketch(s, band)
                         bands.append(band)
-                        words.append(sim.sketch(s, band))
+                        codes.append(256 * len(s) + band)
+                        folded.append(sim.folded(words, band))
+                        names.append(sim.listed(len(s), band, words, own))
                     per_row.append(len(bands))
-                inner = pa.StructArray.from_arrays([pa.array(bands, pa.int32()), _lists(words), _lists([sim.folded(w) for w in words])], ["band", "words", "folded"])
-                lists = pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), inner).cast(_SKETCH_KIND)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=_SKETCHES.names)
+                ends = pa.array(per_row, pa.int32())
+                sketches = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(bands, pa.int32()), _lists(folded)], ["band", "words"])).cast(_SKETCH_KIND)
+                lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(codes, pa.int64()), _lists(names)], ["code", "names"])).cast(_LIST_KIND)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), sketches, lists], names=_SKETCHES.names)
 
     return run
 
 
-_SETS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+_SETS = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                lists = _lists([shingle_set(t.as_py(), width) for t in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=_SETS.names)
+                sets = [shingle_set(t.as_py(), width) for t in batch.column(0).slice(a, 512)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), _lists(sets)], names=_SETS.names)
 
     return run
 
 
-def _keys(reps: DataFrame, sim: Similarity) -> DataFrame:
-    """(key, code, doc_id) for every agreement on which a document can meet others; code is 256 times its size plus the band."""
-    s = reps.select("doc_id", "n_shingles", F.explode("sketches").alias("s")).select("doc_id", "s.band", "s.words", (F.col("n_shingles") * 256 + F.col("s.band")).alias("code"))
-    if sim.parts == 1:
-        return s.select("doc_id", "code", "band", F.posexplode("words").alias("at", "w")).select(F.xxhash64("band", "at", "w").alias("key"), "code", "doc_id")
-    pairs = """flatten(transform(sequence(0, size(words) div 3 - 1), j -> array(
-        xxhash64(band, j, 0, words[3 * j], words[3 * j + 1]), xxhash64(band, j, 1, words[3 * j], words[3 * j + 2]), xxhash64(band, j, 2, words[3 * j + 1], words[3 * j + 2]))))"""
-    return s.select("doc_id", "code", F.explode(F.expr(pairs)).alias("key")).select("key", "code", "doc_id")
-
-
 _MET = T.StructType([
-    T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("hub", T.LongType()),
+    T.StructField("key", T.LongType()), T.StructField("band", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("hub", T.LongType()),
     T.StructField("previous", T.LongType()), T.StructField("edge", T.BooleanType()),
 ])
 
 
 def _runs(sim: Similarity):
-    """Of rows sorted by key and document those that share their key, with the first of the run in this partition and the
-    one before, where their sizes allow a link (else the document itself); and the partition's first and last row, whose
+    """Of rows sorted by key and node those that share their key, with the first of the run in this partition and the
+    one before, where their sizes allow a link (else the node itself); and the partition's first and last row, whose
     runs may go on in its neighbours. One row is held back."""
     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
 
@@ -238,31 +258,40 @@ def _runs(sim: Similarity):
 
 
 def _by_band(reps: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, band, words) of the documents in ``ids``."""
-    return keyed_join(reps, ids, ["doc_id"], "left_semi").select("doc_id", "n_shingles", F.explode("sketches").alias("s")).select("doc_id", "n_shingles", "s.band", F.col("s.folded").alias("words"))
+    """(node, n_shingles, band, words) of the nodes in ``ids``."""
+    return keyed_join(reps.select("node", "n_shingles", "sketches"), ids, ["node"], "left_semi").select("node", "n_shingles", F.explode("sketches").alias("s")).select("node", "n_shingles", "s.band", "s.words")
 
 
 def _close(pairs: DataFrame, reps: DataFrame, sim: Similarity) -> DataFrame:
     """Those of ``pairs`` (a, b, band) whose sizes and sketches allow a link; the distance of sketches is at most that of the sets."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "met_ids")
-    sketches = _by_band(reps, ids)
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met_ids")
+    sketches = materialise(_by_band(reps, ids), "met_sketches")
     for side in ("a", "b"):
-        own = sketches.select(F.col("doc_id").alias(side), "band", F.col("n_shingles").alias(f"n_{side}"), F.col("words").alias(f"w_{side}"))
+        own = sketches.select(F.col("node").alias(side), "band", F.col("n_shingles").alias(f"n_{side}"), F.col("words").alias(f"w_{side}"))
         pairs = pairs.join(own, [side, "band"])
     apart = F.expr("aggregate(zip_with(w_a, w_b, (x, y) -> bit_count(x ^ y)), 0, (s, n) -> s + n)")
     near = f"100 * least(n_a, n_b) >= {sim.percent} * greatest(n_a, n_b)"
-    return pairs.filter(near).filter(apart * (100 + sim.percent) <= (100 - sim.percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are linked. Shingles are made anew for the documents concerned alone."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = materialise(keyed_join(docs, ids, ["doc_id"], "left_semi").mapInArrow(_sets(sim.width), _SETS), "sets")
+    close = pairs.filter(near).filter(apart * (100 + sim.percent) <= (100 - sim.percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    out = materialise(close, "close")
+    release(ids, sketches)
+    return out
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, sim: Similarity) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are linked. Shingles are made anew for the nodes concerned alone, from the rows with their doc_id and text."""
+    nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    known = keyed_join(reps.select("node", "doc_id", "sha", "digest"), nodes, ["node"], "left_semi")
+    known = materialise(known.select("node", "digest", *[c.alias(n) for n, c in row_keys(known, F.col("sha")).items()]), "known")
+    rows = docs.select("text", *[c.alias(n) for n, c in row_keys(docs, F.col("sha")).items()])
+    keys = ["_wf_null", "_wf_id", "_wf_sha"]
+    sets = keyed_join(rows, known.select(*keys), keys, "left_semi").select("text").mapInArrow(_sets(sim.width), _SETS).dropDuplicates(["digest"])
+    sets = materialise(sets.join(known.select("node", "digest"), "digest").select("node", "shingles"), "sets")
     for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("shingles").alias(f"s_{side}")), side)
     common = F.size(F.array_intersect("s_a", "s_b"))
-    linked = pairs.filter(100 * common >= sim.percent * (F.size("s_a") + F.size("s_b") - common))
-    return materialise(linked.select("a", "b").distinct(), "linked")
+    linked = materialise(pairs.filter(100 * common >= sim.percent * (F.size("s_a") + F.size("s_b") - common)).select("a", "b").distinct(), "linked")
+    release(nodes, known, sets)
+    return linked
 
 
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -271,89 +300,122 @@ _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lo
 def _across(sim: Similarity):
     """Pairs of different components of a bucket's members whose sizes and sketches allow a link; members come bucket by bucket."""
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        own, comp, block, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 3))
-        words = np.array([r[4] for r in rows], np.int64).view(np.uint64)
-        within = rows[0][5]
-        for i in range(len(rows) - 1):
-            rest = np.arange(i + 1, len(rows))
-            ok = (comp[rest] != comp[i]) & (100 * np.minimum(n[rest], n[i]) >= sim.percent * np.maximum(n[rest], n[i]))
+    def pairs(node: np.ndarray, comp: np.ndarray, block: np.ndarray, n: np.ndarray, words: np.ndarray, within: bool) -> Iterator[np.ndarray]:
+        order = np.argsort(n, kind="stable")
+        node, comp, block, n, words = node[order], comp[order], block[order], n[order], words[order]
+        reach = np.searchsorted(n, n * 100 // sim.percent, side="right")  # partners that are no smaller
+        for a in range(0, len(n) - 1, 32):
+            b, end = min(a + 32, len(n)), int(reach[min(a + 32, len(n)) - 1])
+            i, j = np.arange(a, b)[:, None], np.arange(a, end)[None, :]
+            ok = (j > i) & (j < reach[i]) & (comp[i] != comp[j])
             if not within:
-                ok &= block[rest] != block[i]
-            rest = rest[ok]
-            if len(rest):
-                apart = np.bitwise_count(words[rest] ^ words[i]).sum(axis=1, dtype=np.int64)
-                for j in rest[apart * (100 + sim.percent) <= (100 - sim.percent) * (n[rest] + n[i])]:
-                    yield min(own[i], own[j]), max(own[i], own[j])
+                ok &= block[i] != block[j]
+            if ok.any():
+                x, y = np.nonzero(ok)
+                x, y = x + a, y + a
+                apart = np.zeros(len(x), np.int64)
+                for c in range(0, len(x), 4096):
+                    apart[c : c + 4096] = np.bitwise_count(words[x[c : c + 4096]] ^ words[y[c : c + 4096]]).sum(axis=1, dtype=np.int64)
+                near = apart * (100 + sim.percent) <= (100 - sim.percent) * (n[x] + n[y])
+                yield np.sort(np.stack([node[x[near]], node[y[near]]], axis=1), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows, out = None, [], []
-        for batch in batches:
-            for r in batch.to_pylist():
-                if (bucket := (r["key"], r["i"], r["j"])) != last:
-                    out += pairs(rows) if len(rows) > 1 else ()
-                    last, rows = bucket, []
-                rows.append((r["doc_id"], r["component"], r["block"], r["n_shingles"], r["words"], r["i"] == r["j"]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], names=_PAIRS.names)
-                out = []
-        if len(rows) > 1 and (out := list(pairs(rows))):
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in out], pa.int64()) for k in (0, 1)], names=_PAIRS.names)
+        held: pa.Table | None = None
+        for batch in _then_none(batches):
+            if batch is not None:
+                new = pa.Table.from_batches([batch])
+                held = pa.concat_tables([held, new]) if held is not None else new
+            if held is None or not held.num_rows:
+                continue
+            bucket = np.stack([held.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]).any(axis=1)])
+            ends = np.r_[starts[1:], len(bucket)]
+            if batch is not None:
+                starts, ends, rest = starts[:-1], ends[:-1], held.slice(int(starts[-1]))
+            out = []
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                if b - a > 1:
+                    own = held.slice(a, b - a)
+                    ids = [own.column(c).to_numpy() for c in ("node", "component", "block", "n_shingles")]
+                    words = own.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(b - a, -1)
+                    out += pairs(*ids, words, bucket[a, 1] == bucket[a, 2])
+            if out and len(found := np.concatenate(out)):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=_PAIRS.names)
+            held = rest if batch is not None else None
 
     return run
 
 
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def _untied(met: DataFrame, tied: DataFrame, reps: DataFrame, sim: Similarity) -> DataFrame:
     """Candidate pairs across components in buckets that hold more than their hubs have settled."""
-    now = keyed_join(met, tied.withColumnRenamed("node", "doc_id"), ["doc_id"], "left").withColumn("component", F.coalesce("component", "doc_id"))
+    now = keyed_join(met, tied, ["node"], "left").withColumn("component", F.coalesce("component", "node"))
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi AND n > 2")
     mixed = materialise(mixed.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "mixed")
     if mixed.isEmpty():
         return mixed.sparkSession.createDataFrame([], _PAIRS)
     members = materialise(keyed_join(now, mixed, ["key"], "inner"), "members")
-    concerned = materialise(members.select("doc_id").distinct(), "concerned")
+    concerned = materialise(members.select("node").distinct(), "concerned")
     sketches = _by_band(reps, concerned)
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = (
         members.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "band", "doc_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(sketches, ["doc_id", "band"])
+        .select("key", "band", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .join(sketches, ["node", "band"])
     )
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return runs.select("key", "i", "j", "doc_id", "component", "block", "n_shingles", "words").mapInArrow(_across(sim), _PAIRS).distinct()
+    return runs.select("key", "i", "j", "node", "component", "block", "n_shingles", "words").mapInArrow(_across(sim), _PAIRS).distinct()
 
 
-def similar_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
-    docs = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text"))
-    made = materialise(docs.mapInArrow(_sketch(sim), _SKETCHES), "sketches")
-    named = made.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("digest", "rep")
+def _grouped(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """One row per document: doc_id, sha (of the text), n_shingles, and the component, a number that is null for a document without links."""
+    docs = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).select("doc_id", F.sha2("text", 256).alias("sha"), "text")
+    made = materialise(docs.mapInArrow(_sketch(sim), _SKETCHES).withColumn("node", F.monotonically_increasing_id()), "sketches")
+    classes = made.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("node").alias("rep"), F.count("*").alias("n")).filter("n > 1").select("digest", "rep")
     classes = materialise(classes, "classes")
-    reps = keyed_join(named, classes, ["digest"], "left").filter("rep IS NULL OR rep = doc_id").select("doc_id", "n_shingles", "sketches")
-    if not small_enough(classes):
-        reps = materialise(reps, "reps")
-    keys = _keys(reps, sim)
+    reps = keyed_join(made.filter("digest IS NOT NULL"), classes, ["digest"], "left").filter("rep IS NULL OR rep = node")
+    keys = reps.select("node", F.explode("lists").alias("l")).select("node", "l.code", F.explode("l.names").alias("key")).select("key", "code", "node")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = materialise(keys.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(_runs(sim), _MET), "met")
-    edges = met.filter("edge").select("key", "band", F.col("hub").alias("doc_id")).distinct()  # at most two rows of a partition
-    across = edges.join(F.broadcast(edges.groupBy("key").agg(F.min("doc_id").alias("hub"))), "key").select("band", "doc_id", "hub")
-    hubs = met.select("band", "doc_id", F.explode(F.array("hub", "previous")).alias("hub")).unionByName(across).filter("doc_id <> hub")
-    hubs = hubs.groupBy(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).agg(F.min("band").alias("band"))
+    met = materialise(keys.repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node").mapInArrow(_runs(sim), _MET), "met")
+    reps = materialise(reps.select("node", "doc_id", "sha", "digest", "n_shingles", "sketches"), "reps")
+    rows = materialise(made.select("node", "doc_id", "sha", "digest", "n_shingles"), "rows")
+    release(made)
+    edges = met.filter("edge").select("key", "band", F.col("hub").alias("node")).distinct()  # at most two rows of a partition
+    across = keyed_join(edges, materialise(edges.groupBy("key").agg(F.min("node").alias("hub")), "edges"), ["key"], "inner").select("band", "node", "hub")
+    hubs = met.select("band", "node", F.explode(F.array("hub", "previous")).alias("hub")).unionByName(across).filter("node <> hub")
+    hubs = hubs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.min("band").alias("band"))
     hubs = materialise(hubs, "hubs")
-    links = _verified(materialise(_close(hubs, reps, sim), "close"), docs, sim)
-    tied = materialise(components(links), "tied")
-    more = materialise(_untied(met.select("key", "band", "doc_id"), tied, reps, sim).join(hubs, ["a", "b"], "left_anti"), "more")
+    links = _verified(_close(hubs, reps, sim), docs, reps, sim)
+    tied = components(links)
+    more = materialise(_untied(met.select("key", "band", "node"), tied, reps, sim).join(hubs, ["a", "b"], "left_anti"), "more")
+    release(met, hubs)
     if not more.isEmpty():
-        tied = materialise(components(links.unionByName(_verified(more, docs, sim))), "tied")
-    out = keyed_join(made.select("doc_id", "n_shingles", "digest"), classes, ["digest"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
-    out = keyed_join(out, tied, ["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+        tied = components(links.unionByName(_verified(more, docs, reps, sim)))
+    release(reps, links)
+    out = keyed_join(rows, classes, ["digest"], "left").select("doc_id", "sha", "n_shingles", "rep", F.coalesce("rep", "node").alias("node"))
+    return keyed_join(out, tied, ["node"], "left").select("doc_id", "sha", "n_shingles", F.coalesce("component", "rep").alias("component"))
+
+
+def similar_groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
+    found = materialise(_grouped(docs, sim).select("doc_id", "n_shingles", "component"), "grouped")
+    least = materialise(found.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    named = keyed_join(found, least, ["component"], "left")
+    return named.select("doc_id", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
 def drop_similar(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """The documents, of each component of near copies only the one with the smallest doc_id."""
-    dropped = materialise(similar_groups(docs, sim).filter("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return keyed_join(docs, dropped, ["doc_id"], "left_anti")
+    """The documents, of each component of near copies one row only."""
+    found = _grouped(docs, sim).filter("component IS NOT NULL")
+    found = materialise(found.select("component", *[c.alias(n) for n, c in row_keys(found, F.col("sha")).items()]), "grouped")
+    key = F.struct("_wf_null", "_wf_id", "_wf_sha")
+    best = materialise(found.groupBy("component").agg(F.min(key).alias("best")), "best")
+    decided = keyed_join(found, best, ["component"], "inner").withColumn("_wf_kept", key == F.col("best"))
+    decided = decided.groupBy("_wf_null", "_wf_id", "_wf_sha").agg(F.first("_wf_kept").alias("_wf_kept"), F.count("*").alias("_wf_n"))
+    return keep_rows(docs, F.sha2(text_of(docs), 256), materialise(decided, "decided"))

@@ -3,44 +3,62 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Separators from coarse to fine, sizes in characters, and the brackets of leaked commentary.
+# Separators from coarse to fine, sizes in characters, the brackets of leaked commentary, its keyword, and the reach in which that must stand.
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 CHUNK_SIZE, OVERLAP = 3200, 400
-OPEN, CLOSE = "【", "】"
-_COMMENTARY = re.compile(r"【\s*commentary", re.I)
-_PROBE = 32
-
-
-def split_pieces(text: str, size: int = CHUNK_SIZE, level: int = 0) -> list[str]:
-    """Pieces of at most ``size`` code points, cut at the coarsest separator that allows it; blank ones go."""
-    if len(text) <= size:
-        return [text] if text.strip() else []
-    if level == len(SEPARATORS):
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    sep, out, held = SEPARATORS[level], [], ""
-    for part in text.split(sep):
-        longer = f"{held}{sep}{part}" if held else part
-        if len(longer) <= size:
-            held = longer
-            continue
-        if held:
-            out.append(held)
-        held = part
-        if len(part) > size:
-            out += split_pieces(part, size, level + 1)
-            held = ""
-    return [p for p in [*out, held] if p.strip()]
+OPEN, CLOSE, KEYWORD, REACH = "【", "】", "commentary", 32
+
+Span = tuple[int, int]
+
+
+def _runs(text: str, span: Span, separator: str, size: int) -> Iterator[Span]:
+    """The span as runs of the parts between separators, each as long as fits; a part that is too long is a run of its own."""
+    at, end = span
+    run = (at, at)
+    while at <= end:
+        cut = text.find(separator, at, end)
+        part = (at, cut if cut >= 0 else end)
+        if run[0] < run[1] and part[1] - run[0] <= size:
+            run = (run[0], part[1])
+        else:
+            if run[0] < run[1]:
+                yield run
+            run = part
+        if cut < 0:
+            break
+        at = cut + len(separator)
+    if run[0] < run[1]:
+        yield run
+
+
+def split_spans(text: str, size: int = CHUNK_SIZE) -> list[Span]:
+    """Where the pieces of a text are, each of at most ``size`` code points and not blank.
+
+    One pass over the spans for each separator: what fits stays, what does not is cut there. Separators at the cuts belong to no piece.
+    """
+    spans = [(0, len(text))]
+    for separator in SEPARATORS:
+        spans = [s for span in spans for s in ([span] if span[1] - span[0] <= size else _runs(text, span, separator, size))]
+    hard = [(i, min(i + size, b)) for a, b in spans for i in range(a, b, size)]
+    return [(a, b) for a, b in hard if text[a:b].strip()]
+
+
+def split_pieces(text: str, size: int = CHUNK_SIZE) -> list[str]:
+    return [text[a:b] for a, b in split_spans(text, size)]
 
 
 def chunks(text: str | None, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> list[str]:
     """Pieces, each but the first after the end of the piece before it."""
-    base = split_pieces(text or "", size)
-    return [(before[-overlap:] if overlap else "") + piece for before, piece in zip(["", *base], base)]
+    text = text or ""
+    spans = split_spans(text, size)
+    return [text[max(p, q - overlap) : q] + text[a:b] for (p, q), (a, b) in zip([(0, 0), *spans], spans)]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -48,74 +66,95 @@ def chunk_text(texts: pd.Series) -> pd.Series:
     return texts.map(chunks)
 
 
-def strip_commentary(text: str) -> str:
-    """Without bracketed commentary, nested brackets included; one that is never closed takes the rest."""
-    if OPEN not in text:
-        return text
-    kept, at, removed = "", 0, False
-    while (start := text.find(OPEN, at)) >= 0:
-        if not _COMMENTARY.match(text[start : start + _PROBE]):
-            kept, at = kept + text[at : start + 1], start + 1
-            continue
-        kept, removed, depth = kept + text[at:start], True, 0
-        for at in range(start, len(text)):
-            depth += (text[at] == OPEN) - (text[at] == CLOSE)
-            if not depth:
-                break
-        at += 1
-        if kept[-1:] in (" ", "\t") and kept:
-            at += len(text[at:]) - len(text[at:].lstrip(" \t"))
-    kept += text[at:]
-    return kept.strip() if removed else kept
-
-
-@F.pandas_udf(T.StringType())
-def without_commentary(texts: pd.Series) -> pd.Series:
-    return texts.map(strip_commentary, na_action="ignore")
-
-
+@dataclass
 class CommentaryFilter:
-    """`strip_commentary` for a stream of pieces: what is surely kept comes out at once, the rest at the end."""
-
-    def __init__(self, emitted: str = "", pending: str = "", buffering: bool = False) -> None:
-        self.emitted, self.pending, self.buffering = emitted, pending, buffering
+    """Takes leaked commentary out of a text that comes in pieces: brackets that open on the keyword, with all brackets nested in them.
+
+    Outside commentary text comes out at once, but for blanks at its end and for a bracket whose keyword may
+    still come; inside nothing is kept, so the state is a few characters whatever the length of the text.
+    Blanks after commentary go if there are blanks before it; if any was taken out, blanks at the end of the
+    text go, and at its start those that had not come out yet. Commentary that is never closed takes the rest.
+    """
+
+    depth: int = 0  # open brackets of the commentary that is being skipped
+    held: str = ""  # blanks that are kept but have not come out
+    undecided: str = ""  # a bracket whose keyword may still come, with what follows it
+    after_blank: bool = False  # the last character that came out was a blank
+    skips_blanks: bool = False  # commentary after a blank has just ended
+    removed: bool = False
+    started: bool = False  # something that is no blank has come out
 
     @staticmethod
-    def _verdict(text: str) -> bool | None:
-        if len(text) >= _PROBE or CLOSE in text:
-            return bool(_COMMENTARY.match(text[:_PROBE]))
-        seen, opener = "".join(text.split()).lower(), f"{OPEN}commentary"
-        if len(seen) >= len(opener):
-            return bool(_COMMENTARY.match(text))
-        return None if opener.startswith(seen) else False
+    def _opens(text: str) -> bool | None:
+        """Whether a text that starts with an opening bracket opens commentary; None if what follows must tell."""
+        inner = text[1:REACH]
+        word = inner.lstrip()
+        if word[: len(KEYWORD)].lower() == KEYWORD:
+            return True
+        return None if len(text) < REACH and KEYWORD.startswith(word.lower()) else False
 
     def push(self, piece: str) -> str:
-        self.pending += piece
-        out = ""
-        while not self.buffering and self.pending:
-            start = self.pending.find(OPEN)
-            if start < 0:
-                out, self.pending = out + self.pending, ""
-                break
-            out, self.pending = out + self.pending[:start], self.pending[start:]
-            verdict = self._verdict(self.pending)
-            if verdict is None:
-                break
-            if verdict:
-                self.buffering = True
+        return self._scan(self.undecided + piece, False)
+
+    def flush(self) -> str:
+        """The rest at the end of the text."""
+        return self._scan(self.undecided, True)
+
+    def _scan(self, text: str, is_end: bool) -> str:
+        kept = [self.held] if self.held else []
+        at, end = 0, len(text)
+        while at < end:
+            if self.depth:
+                m = _BRACKET.search(text, at)
+                if not m:
+                    break
+                at = m.end()
+                self.depth += 1 if m[0] == OPEN else -1
+                self.skips_blanks = not self.depth and self._ends_blank(kept)
+            elif self.skips_blanks and text[at] in " \t":
+                at += 1
             else:
-                out, self.pending = out + OPEN, self.pending[1:]
-        self.emitted += out
+                self.skips_blanks = False
+                start = text.find(OPEN, at)
+                if start != at:
+                    kept.append(text[at : start if start >= 0 else end])
+                    at = start if start >= 0 else end
+                elif (opens := self._opens(text[at : at + REACH])) is None and not is_end:
+                    break
+                elif opens:
+                    self.depth, self.removed, at = 1, True, at + 1
+                else:
+                    kept.append(OPEN)
+                    at += 1
+        self.undecided = "" if self.depth else text[at:]
+        return self._let_out("".join(kept), is_end)
+
+    def _ends_blank(self, kept: list[str]) -> bool:
+        return kept[-1][-1] in " \t" if kept else self.after_blank
+
+    def _let_out(self, kept: str, is_end: bool) -> str:
+        out = kept if is_end and not self.removed else kept.rstrip()
+        self.held = "" if is_end else kept[len(out) :]
+        if self.removed and not self.started:
+            out = out.lstrip()
+        self.started |= bool(out.strip())
+        if out:
+            self.after_blank = out[-1] in " \t"
         return out
 
-    def flush(self) -> str:
-        if not self.pending:
-            return ""
-        whole, self.pending = strip_commentary(self.emitted + self.pending), ""
-        for n in range(len(self.emitted), 0, -1):
-            if whole.startswith(self.emitted[-n:]):
-                return whole[n:]
-        return whole
+
+_BRACKET = re.compile(f"[{OPEN}{CLOSE}]")
+
+
+def strip_commentary(text: str) -> str:
+    """Without leaked commentary; a text that has none stays as it is."""
+    f = CommentaryFilter()
+    return f.push(text) + f.flush()
+
+
+@F.pandas_udf(T.StringType())
+def without_commentary(texts: pd.Series) -> pd.Series:
+    return texts.map(strip_commentary, na_action="ignore")
 
 
 def sse_frames(buffer: str) -> tuple[list[str], str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,20 +48,39 @@ def freshness(samples: DataFrame) -> DataFrame:
     return samples.select("device", "at").groupBy("device").applyInPandasWithState(_newest, shape, kept, "update", GroupStateTimeout.NoTimeout)
 
 
+#: How long a conversation may be silent before its text counts as ended.
+SILENCE_MS = 3_600_000
+_STATE = "buffer string, depth int, held string, undecided string, after_blank boolean, skips_blanks boolean, removed boolean, started boolean"
+
+
 def _clean(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held, emitted, pending, buffering = state.get if state.exists else ("", "", "", False)
-    f = CommentaryFilter(emitted, pending, buffering)
+    buffer, *fields = state.get if state.exists else ("",)
+    f = CommentaryFilter(*fields)
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame({"conv_id": [key[0]], "text": [f.flush()]})
+        return
     rows = pd.concat(list(batches)).sort_values("ord")
-    out = []
+    out, ended = [], False
     for piece, last in zip(rows["piece"], rows["last"], strict=True):
-        frames, held = sse_frames(held + piece)
+        frames, buffer = sse_frames(buffer + piece)
         out += [f.push(x) for x in frames]
         if last:
             out.append(f.flush())
-    state.update((held, f.emitted, f.pending, f.buffering))
+            f, buffer, ended = CommentaryFilter(), "", True
+        else:
+            ended = False
+    if ended:
+        state.remove()
+    else:
+        state.update((buffer, *astuple(f)))
+        state.setTimeoutDuration(SILENCE_MS)
     yield pd.DataFrame({"conv_id": [key[0]], "text": ["".join(out)]})
 
 
 def clean_text(pieces: DataFrame) -> DataFrame:
-    """Server-sent pieces (conv_id, ord, piece, last) as text without leaked commentary; what is sure comes out at once."""
-    return pieces.groupBy("conv_id").applyInPandasWithState(_clean, "conv_id long, text string", "held string, emitted string, pending string, buffering boolean", "append", GroupStateTimeout.NoTimeout)
+    """Server-sent pieces (conv_id, ord, piece, last) as text without leaked commentary; what is sure comes out at once.
+
+    The state of a conversation is a few characters; it goes with the last piece, or after an hour of silence.
+    """
+    return pieces.groupBy("conv_id").applyInPandasWithState(_clean, "conv_id long, text string", _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

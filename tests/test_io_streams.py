@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -73,11 +74,32 @@ def test_corpus_files(spark, tmp_path):
         files.slice_source(spark, "cloud", path)
     with pytest.raises(ValueError, match="nothing was written"):
         files.upsert_corpus(d.selectExpr("filename", "repeat('x', 1000000) AS text"), path)
-    files.load_chunks(d, str(tmp_path / "chunks"))
-    files.load_chunks(d, str(tmp_path / "chunks"))
-    assert spark.read.parquet(str(tmp_path / "chunks")).count() == 2
+    more = spark.createDataFrame([("b", "B2", None, "v", True), ("c", "C", None, "w", True)], d.schema)
+    files.upsert_corpus(more, path)
+    assert sorted((r.filename, r.title) for r in spark.read.parquet(path).collect()) == [("a", "A"), ("b", "B2"), ("c", "C")]
+    c = spark.createDataFrame([("a", "A", ["x", "y"]), ("b", "B", []), ("c", "C", ["z"] * 501)], "filename string, title string, chunks array<string>")
+    assert sorted(r.filename for r in files.load_chunks(c, str(tmp_path / "chunks")).collect()) == ["b", "c"]
+    files.load_chunks(c, str(tmp_path / "chunks"))
+    assert [(r.filename, r.chunk_index, r.text) for r in spark.read.parquet(str(tmp_path / "chunks")).orderBy("chunk_index").collect()] == [("a", 0, "x"), ("a", 1, "y")]
     assert [files.http_error(s).code for s in (401, 404, 503, None)] == ["unauthorised", "rejected", "unavailable", "unavailable"]
     assert files.http_error(None, True).code == "timeout"
     t = spark.createDataFrame([("f", "c", "vector", "warm", [])], files.TRANSCRIPT)
     files.write_transcripts(t, str(tmp_path / "tr"))
-    assert files.transcripts(spark, str(tmp_path / "tr")).filter("arm = 'vector'").count() == 1
+    found = files.transcripts(spark, str(tmp_path / "tr"))
+    assert found.filter("arm = 'vector'").count() == 1
+    asked = spark.createDataFrame([("warm", "vector", "f"), ("warm", "direct", "f")], "pass string, arm string, fixtureId string")
+    assert {(r.arm, r.turns is None) for r in files.transcripts_of(asked, found).collect()} == {("vector", False), ("direct", True)}
+
+
+def test_fixture_files(spark, tmp_path):
+    turn = {"role": "user", "content": "q", "rubric": {"must_contain": ["a"], "must_not": [], "cite": None, "notes": None}}
+    good = {"id": "f1", "class": "c", "expected_to_favor": "tie", "answerable_from": ["d1"], "requires": [], "notes": "n", "turns": [turn, turn]}
+    (tmp_path / "f1.json").write_text(json.dumps(good))
+    assert files.valid_fixtures(spark, str(tmp_path), ["d1"], ["d1"], ["c"]).count() == 1
+    sheet = files.score_sheet(files.fixtures(spark, str(tmp_path)), ["A", "B"])
+    assert [(r.turn, r.label) for r in sheet.collect()] == [(0, "A"), (0, "B"), (1, "A"), (1, "B")]
+    (tmp_path / "f2.json").write_text(json.dumps(good | {"class": "x", "notes": " "}))
+    with pytest.raises(ValueError, match="(?s)f1: .*f1: "):
+        files.valid_fixtures(spark, str(tmp_path), ["d1"], ["d1"], ["c"])
+    files.write_prompts(spark.createDataFrame([("c", "q?")], "class string, prompt string"), str(tmp_path / "prompts"))
+    assert spark.read.json(str(tmp_path / "prompts")).first().prompt == "q?"

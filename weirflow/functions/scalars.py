@@ -119,17 +119,99 @@ def bearer(header: Column) -> Column:
     return F.when(token != "", token)
 
 
-def age_label(minutes: Column) -> Column:
-    unit = lambda n, w: F.concat(n.cast("string"), F.lit(f" {w}"))
+def age_label(ms: Column) -> Column:
+    """An age in words: rounded minutes below an hour, hours below two days, then days."""
+    ago = lambda unit, word: F.concat(F.floor(ms / unit + 0.5).cast("string"), F.lit(f" {word} ago"))
+    minute, hour, day = 60_000, 3_600_000, 86_400_000
     return (
-        F.when(minutes < 1, "just now").when(minutes < 60, unit(F.floor(minutes), "min"))
-        .when(minutes < 1440, unit(F.floor(minutes / 60), "h")).otherwise(unit(F.floor(minutes / 1440), "days"))
+        F.when(ms.isNull() | (ms < minute), "just now").when(F.floor(ms / minute + 0.5) < 60, ago(minute, "min"))
+        .when(F.floor(ms / hour + 0.5) < 48, ago(hour, "h")).otherwise(ago(day, "days"))
     )
 
 
+def date_slice(iso: Column) -> Column:
+    """The date of an ISO instant as it is written, without a time zone."""
+    return F.when(F.length(iso) >= 10, F.substring(iso, 1, 10))
+
+
+def iso_instant(at: Column) -> Column:
+    return F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
 def freshness(last: Column, now: Column) -> Column:
-    """no readings, reporting (within a day) or silent."""
-    return F.when(last.isNull(), "no readings").when(last > now - F.expr("interval 24 hours"), "reporting").otherwise("silent")
+    """What a device's last report (an ISO text) says: none, unreadable, reporting (within a day) or silent since a date."""
+    at = last.try_cast("timestamp")
+    age = F.unix_millis(now.cast("timestamp")) - F.unix_millis(at)
+    since = F.concat(F.date_format(date_slice(last).try_cast("date"), "MMM"), F.lit(" "), F.dayofmonth(date_slice(last).try_cast("date")).cast("string"))
+    return (
+        F.when(last.isNull() | (last == ""), "No readings on record").when(at.isNull(), "Last reading time unavailable")
+        .when(age < 86_400_000, F.concat(F.lit("Reporting · "), age_label(age))).otherwise(F.coalesce(F.concat(F.lit("Silent since "), since), F.lit("Silent for over a day")))
+    )
+
+
+def water_kind(environment: Column) -> Column:
+    """saltwater if the text says salt, freshwater for any other, null for none."""
+    return F.when(environment.isNotNull() & (environment != ""), F.when(F.lower(environment).contains("salt"), "saltwater").otherwise("freshwater"))
+
+
+def mismatch(environment: Column, deployment: Column) -> Column:
+    """The note that a device's water is not the deployment's; null where they agree or either is unknown."""
+    return F.when(water_kind(environment) != water_kind(deployment), F.concat(sentence_case(environment), F.lit(" pod · thresholds are "), deployment))
+
+
+def plain_number(value: Column) -> Column:
+    """A double as text, without a fraction where it has none."""
+    return F.when(value == F.floor(value), value.cast("long").cast("string")).otherwise(value.cast("string"))
+
+
+def midpoint(start_ms: Column, end_ms: Column) -> Column:
+    """The middle of a bucket, its start where the end is unknown or not after it."""
+    return F.when(end_ms > start_ms, (start_ms + end_ms) / 2).otherwise(start_ms.cast("double"))
+
+
+def truncated(text: Column, length: int) -> Column:
+    return F.substring(text, 1, length)
+
+
+def metric_label(metric: Column) -> Column:
+    """A metric's name for people: underscores are blanks, three names are written in their own way."""
+    m = F.when(metric == "all", "all metrics").when(metric == "ph", "pH").when(metric == "orp", "ORP").otherwise(F.replace(metric, F.lit("_"), F.lit(" ")))
+    return F.when(metric != "", m)
+
+
+# Words by which a question asks for a chart, and the sentence a refusal starts with.
+CHART_WORDS = (
+    "chart", "charts", "charted", "charting", "graph", "graphs", "graphed", "graphing", "plot", "plots", "plotted", "plotting", "trend", "trends", "trending", "sparkline", "sparklines",
+    "visuali[sz]e", "visuali[sz]ed", "visuali[sz]es", "visuali[sz]ing", "visuali[sz]ation", "visuali[sz]ations", "over time", "time series", "timeseries",
+)
+REFUSAL = "I can only answer questions grounded in this sensor's readings or the loaded water-quality documents, and I don't have enough information to answer that."
+
+
+def asks_for_chart(question: Column) -> Column:
+    return question.rlike(rf"(?i)\b({'|'.join(CHART_WORDS)})\b")
+
+
+def refuses(answer: Column) -> Column:
+    return F.startswith(F.trim(answer), F.lit(REFUSAL))
+
+
+def safe_filename(name: Column) -> Column:
+    """Whether a name is one of a report, without a path."""
+    return name.rlike(r"^[a-zA-Z0-9_-]+\.pdf$")
+
+
+def metric_display(label: Column, value: Column, unit: Column, valid: Column, error_flag: Column) -> Column:
+    """A reading for people: a dash for none, its unit, and a mark where the probe reports a fault."""
+    unit_text = F.when(unit.isNull(), "").otherwise(F.concat(F.lit(" "), unit))
+    fault = F.when(valid, "").otherwise(F.concat(F.lit("  [!] "), error_flag, F.lit(" set")))
+    return F.when(value.isNull(), F.concat(label, F.lit(": —"))).otherwise(F.concat(label, F.lit(": "), plain_number(value), unit_text, fault))
+
+
+def tool_arguments(text: Column) -> Column:
+    """The arguments of a call as a map of JSON texts: none for a blank text, null for what is no JSON object."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT"), F.lit(False))
+    return F.when(t == "", F.from_json(F.lit("{}"), "map<string,string>")).when(is_object, F.from_json(t, "map<string,string>"))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:

@@ -58,7 +58,7 @@ def parse(phrase: str) -> ParsedRange:
     if not words:
         raise PhraseError("a time range is required")
     if words in LATEST:
-        return ParsedRange("latest", "latest reading")
+        return ParsedRange("latest", words)
     if words in ("today", "yesterday"):
         return ParsedRange("calendar", words, unit="day", offset=-(words == "yesterday"))
     if words == "this week":
@@ -67,11 +67,12 @@ def parse(phrase: str) -> ParsedRange:
         return ParsedRange("rolling", "last week", span=SPANS["week"])
     if (m := _ROLLING.fullmatch(words)) and (n := int(m[1] or 1)) >= 1:
         return ParsedRange("rolling", f"last {n} {m[2]}{'s' * (n != 1)}", span=n * SPANS[m[2]])
-    first, last = (m[1], m[2]) if (m := _DATES.fullmatch(words)) else (words, words)
+    two = _DATES.fullmatch(words)
+    first, last = (two[1], two[2]) if two else (words, words)
     a, b = strict_date(first), strict_date(last)
     if a is None or b is None or b < a:
         raise PhraseError(f"cannot read {phrase!r}: use latest, today, yesterday, this week, last N hours/days/weeks/months/years, a date, or one date to another")
-    return ParsedRange("absolute", first if first == last else f"{first} to {last}", start=a, end=b + DAY)
+    return ParsedRange("absolute", f"{first} to {last}" if two else first, start=a, end=b + DAY)
 
 
 def start_of(unit: str, at: datetime) -> datetime:

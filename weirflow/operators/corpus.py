@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.functions.scalars import chunk_id, good_chunk, token_estimate
+from weirflow.functions.scalars import chunk_id, good_chunk, safe_id, token_estimate
 from weirflow.functions.text import chunk_text
 
 # Limits of a stored document and of a load.
@@ -26,9 +26,10 @@ def ingested(docs: DataFrame, structured: bool = False) -> DataFrame:
 
 
 def summary(corpus: DataFrame) -> DataFrame:
-    """One row: documents, characters, characters in the slice, and their estimated tokens."""
+    """One row: documents, characters, chunks if the corpus has them, characters in the slice, and their estimated tokens."""
     s = F.coalesce(F.sum(F.when(F.col("in_slice"), F.col("chars"))), F.lit(0))
-    return corpus.agg(F.count("*").alias("documents"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), s.alias("slice_chars"), token_estimate(s).alias("slice_tokens"))
+    chunks = [F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("chunks")] if "chunks" in corpus.columns else []
+    return corpus.agg(F.count("*").alias("documents"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), *chunks, s.alias("slice_chars"), token_estimate(s).alias("slice_tokens"))
 
 
 def new_only(incoming: DataFrame, existing: DataFrame, key: str = "filename") -> DataFrame:
@@ -41,10 +42,27 @@ def insert_new(incoming: DataFrame, existing: DataFrame, keys: list[str]) -> Dat
     return incoming.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
 
 
+def document_bytes(docs: DataFrame) -> DataFrame:
+    """The documents with the size of their stored form."""
+    return docs.select("*", F.octet_length(F.to_json(F.struct(*docs.columns))).alias("bytes"))
+
+
 def oversized(docs: DataFrame) -> DataFrame:
     """Documents whose JSON exceeds the greatest size of a stored one; a load with any is refused."""
-    size = F.octet_length(F.to_json(F.struct(*docs.columns)))
-    return docs.select("*", size.alias("bytes")).filter(F.col("bytes") > MAX_DOCUMENT_BYTES)
+    return document_bytes(docs).filter(F.col("bytes") > MAX_DOCUMENT_BYTES)
+
+
+def upserted(stored: DataFrame, incoming: DataFrame, key: str = "filename") -> DataFrame:
+    """The stored documents with the incoming ones in place of, or beside, those of the same identifier (made from the key)."""
+    own = incoming.withColumn("id", safe_id(F.col(key)))
+    kept = stored.withColumn("id", safe_id(F.col(key))).join(own.select("id"), "id", "left_anti")
+    return kept.unionByName(own, allowMissingColumns=True).drop("id")
+
+
+def loadable(incoming: DataFrame, existing: DataFrame | None, key: str = "filename") -> DataFrame:
+    """Documents whose chunks are to be loaded: those not there yet, with one chunk at least and no more than a load takes."""
+    new = incoming if existing is None else new_only(incoming, existing, key)
+    return new.filter(F.size("chunks").between(1, MAX_CHUNKS))
 
 
 def index_lists(n_chunks):

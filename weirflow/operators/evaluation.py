@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weirflow.functions.scalars import canonical_json
 from weirflow.functions.text import seeded_order
 
 # Measured tokens per answer and prices in dollars (per million tokens, per month) of three arms.
@@ -65,19 +66,82 @@ def transcript_totals(turns: DataFrame, by: str = "conv_id") -> DataFrame:
     )
 
 
-def sweep_summary(totals: DataFrame) -> DataFrame:
-    """One row over all transcripts, with the cache-hit rate (null if unreported or without prompt tokens) and warnings."""
+def sweep_summary(totals: DataFrame, cold: bool = False) -> DataFrame:
+    """One row over all transcripts, with the cache-hit rate (null if unreported or without prompt tokens) and warnings.
+
+    Warnings: cached tokens unreported, tokens from the cache in a cold pass, failed turns, and answers without context
+    (if the totals have their number, ``empty_context``).
+    """
+    empty = F.sum("empty_context") if "empty_context" in totals.columns else F.lit(0).cast("long")
     s = totals.agg(
-        F.count("*").alias("transcripts"), F.sum("turns").alias("turns"), F.sum("failed").alias("failed"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("cached_tokens").alias("cached_tokens"), F.sum("completion_tokens").alias("completion_tokens")
+        F.count("*").alias("transcripts"), F.sum("turns").alias("turns"), F.sum("failed").alias("failed"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("cached_tokens").alias("cached_tokens"), F.sum("completion_tokens").alias("completion_tokens"), empty.alias("empty_context")
     )
     rate = F.when(F.col("prompt_tokens") > 0, F.col("cached_tokens") / F.col("prompt_tokens"))
-    checks = [F.when(F.col("cached_tokens").isNull(), "cache figures unreported"), F.when(F.col("failed") > 0, F.concat(F.col("failed").cast("string"), F.lit(" turns failed")))]
-    return s.withColumn("cache_hit_rate", rate).withColumn("warnings", F.concat_ws("; ", *checks))
+    checks = [
+        F.when(F.col("cached_tokens").isNull(), "cache figures unreported"), F.when(F.lit(cold) & (F.col("cached_tokens") > 0), F.concat(F.col("cached_tokens").cast("string"), F.lit(" prompt tokens of a cold pass came from the cache"))),
+        F.when(F.col("failed") > 0, F.concat(F.col("failed").cast("string"), F.lit(" turns failed"))), F.when(F.col("empty_context") > 0, "a turn was answered with empty context"),
+    ]
+    return s.withColumn("cache_hit_rate", rate).withColumn("warnings", F.concat_ws("; ", *checks)).drop("empty_context")
 
 
 def round_robin(rows: DataFrame, group: str, size: Column, key: str) -> DataFrame:
-    """Rows ranked by size then key within their group, to be taken one from each group in turn."""
-    return rows.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(size, key)))
+    """Rows ranked by size then key within their group, to be taken one from each group in turn; groups take turns in their order of name."""
+    ranked = rows.withColumn("round", F.row_number().over(Window.partitionBy(group).orderBy(size, key)))
+    groups = rows.select(group).distinct()
+    place = groups.withColumn("turn", F.row_number().over(Window.orderBy(group)) - 1)  # a row for each group
+    return ranked.join(F.broadcast(place), group)
+
+
+def rotated(families: dict[str, list[str]]) -> list[str]:
+    """Classes in the order of turns: the first of each family, then the second of each, and so on; what long families have left comes last."""
+    longest = max(map(len, families.values()), default=0)
+    return [own[i] for i in range(longest) for own in families.values() if i < len(own)]
+
+
+def stable_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` rows by key: the same ones every time."""
+    return rows.orderBy(key).limit(n)
+
+
+def repeated_calls(calls: DataFrame, name: str, arguments: Column) -> DataFrame:
+    """(name, arguments, calls, repeats): how often each call was made, calls alike by name and arguments sorted by their names."""
+    keyed = calls.select(F.col(name).alias("name"), canonical_json(arguments).alias("arguments"))
+    return keyed.groupBy("name", "arguments").agg(F.count("*").alias("calls"), (F.count("*") - 1).alias("repeats"))
+
+
+def context_size(context: DataFrame, by: list[str], text: str, source: str) -> DataFrame:
+    """Per answer the number of its chunks, their characters, and the number of distinct sources."""
+    return context.groupBy(*by).agg(F.count("*").alias("chunks"), F.sum(F.length(text)).alias("chars"), F.count_distinct(source).alias("sources"))
+
+
+def captured(spec: DataFrame, turns: DataFrame, by: list[str], answer: str, placeholder: str = "missing") -> DataFrame:
+    """Every turn asked for with what was captured of it, else a placeholder."""
+    return spec.join(turns.select(*by, answer), by, "left").withColumn(answer, F.coalesce(answer, F.lit(placeholder)))
+
+
+def total_turns(fixtures: DataFrame) -> DataFrame:
+    return fixtures.agg(F.count("*").alias("fixtures"), F.coalesce(F.sum(F.size("turns")), F.lit(0)).alias("turns"))
+
+
+def first_token(events: DataFrame, by: str, event: str = "event", at_ms: str = "at_ms", begun_ms: str = "begun_ms") -> DataFrame:
+    """Milliseconds from the start of an answer to its first token; null if none came."""
+    return events.groupBy(by).agg((F.min(F.when(F.col(event) == "token", F.col(at_ms))) - F.min(begun_ms)).alias("ttft_ms"))
+
+
+def vector_reads(chunks: Column, k: Column) -> Column:
+    """Reads billed for a nearest-neighbour query: one for each hundred entries of the index, begun ones too, and one for each result."""
+    return (F.ceil(chunks / 100) + k).cast("long")
+
+
+def reads_usd(reads: Column, usd_per_100k: float) -> Column:
+    return reads * usd_per_100k / 100_000
+
+
+def foreign_arms(turns: DataFrame, arm: str) -> None:
+    """Raises ValueError if a turn was answered by another arm than the one that was asked for."""
+    wrong = turns.filter(~F.col("mode").eqNullSafe(arm)).select("mode").distinct().limit(11).collect()
+    if wrong:
+        raise ValueError(f"asked for arm {arm!r}, answered by {', '.join(sorted(str(r.mode) for r in wrong))}")
 
 
 def trimmed(history: DataFrame, keep: int = 20) -> DataFrame:

@@ -16,14 +16,14 @@ def first_by_label(devices: DataFrame, label: str = "label", order: str = "ord")
 
 
 def match_tier(name: Column, label: Column, query: str) -> Column:
-    """1 the label, 2 the name, 3 the initials, 4 the start of the initials (two letters or more), 5 inside either (three or more); null for no match."""
-    q = " ".join(query.lower().split())
+    """1 the label, 2 the name, 3 the initials, 4 a part of the name (three characters or more), 5 the start of the initials (two or more); null for no match. The order is fixed."""
+    q = query.strip().lower()
     n, l, i = normalised(F.coalesce(name, F.lit(""))), normalised(F.coalesce(label, F.lit(""))), initials(F.coalesce(name, F.lit("")))
     out = F.when(l == q, 1).when(n == q, 2).when(i == q, 3)
-    if len(q) >= 2:
-        out = out.when(i.startswith(q), 4)
     if len(q) >= 3:
-        out = out.when(n.contains(q) | l.contains(q), 5)
+        out = out.when(n.contains(q), 4)
+    if len(q) >= 2:
+        out = out.when(i.startswith(q), 5)
     return out
 
 
@@ -51,7 +51,7 @@ def decode(documents: DataFrame, body: str = "body", unit: str = "fahrenheit") -
     """
     at = lambda path: F.coalesce(F.get_json_object(body, f"$.data.{path}"), F.get_json_object(body, f"$.{path}"))
     readings = F.array(*[F.struct(F.lit(key).alias("metric"), at(f"water_data.{code}").alias("raw"), at(f"water_data.{error}").alias("flag")) for key, code, _, _, error in METRICS])
-    place = usable_position(*[(lenient_double(at(a)), lenient_double(at(b))) for a, b in (("lat", "lon"), ("water_data.lat", "water_data.lon"), ("best_lat", "best_lon"))])
+    place = usable_position(*[(lenient_double(at(a)), lenient_double(at(b))) for a, b in (("lat", "lon"), ("best_lat", "best_lon"), ("water_data.lat", "water_data.lon"))])
     d = documents.select(at("device").alias("device"), F.timestamp_seconds(lenient_double(at("timestamp"))).alias("at"), place.alias("place"), F.explode(readings).alias("r"))
     value = fahrenheit(lenient_double(F.col("r.raw")), F.col("r.metric"), F.lit(unit))
     return d.select("device", "at", F.col("r.metric").alias("metric"), value.alias("value"), valid_flag(lenient_double(F.col("r.flag"))).alias("valid"), F.col("place.lat").alias("lat"), F.col("place.lon").alias("lon"))
@@ -62,6 +62,29 @@ def latest(samples: DataFrame) -> DataFrame:
     return samples.groupBy("device").agg(F.max_by(F.struct("metric", "at", "value", "valid"), F.struct("at", "ord")).alias("s")).select("device", "s.*")
 
 
+def latest_with_fix(readings: DataFrame) -> DataFrame:
+    """Each device's newest reading that has a position: a latitude that is neither null nor zero."""
+    fixed = readings.filter("lat IS NOT NULL AND lat <> 0")
+    return fixed.groupBy("device").agg(F.max_by(F.struct("metric", "at", "value", "valid", "lat", "lon"), F.struct("at", "ord")).alias("s")).select("device", "s.*")
+
+
+def registered(rows: DataFrame, organization: str | None = None, data: str = "data") -> DataFrame:
+    """Registry rows (id, and a struct of data) as devices, of one organisation where one is named: the filter reaches the scan."""
+    d = rows.select("id", f"{data}.*")
+    return d.filter(F.col("organization") == organization) if organization is not None else d
+
+
+def matching_any(devices: DataFrame, parts: list[str], columns: tuple[str, ...] = ("name", "label")) -> DataFrame:
+    """Devices of which a column has one of the parts, whatever their case; all of them where no part is given."""
+    hay = F.lower(F.concat_ws(" ", *columns))
+    return devices.filter(F.exists(F.array(*[F.lit(p.lower()) for p in parts]), lambda p: hay.contains(p))) if parts else devices
+
+
+def by_display_name(devices: DataFrame) -> DataFrame:
+    """In the order of a reader: by name, by label where there is none, then by label."""
+    return devices.orderBy(F.collate(F.coalesce("name", "label"), "UNICODE"), "label")
+
+
 def with_last_reading(devices: DataFrame, samples: DataFrame) -> DataFrame:
     """Devices with the time of their newest reading, null where there is none."""
     return devices.join(samples.groupBy("device").agg(F.max("at").alias("last_at")), "device", "left")

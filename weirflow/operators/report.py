@@ -7,31 +7,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.functions.scalars import sentence_case
-from weirflow.operators.dimensions import ACCURACY_ABSOLUTE, ACCURACY_SHARE
+from weirflow.functions.scalars import plain_number, sentence_case
+from weirflow.operators.dimensions import ACCURACY_ABSOLUTE, ACCURACY_SHARE, METRICS
 
 # How long an excursion lasts at least, margins and limits of flags, severities and confidences.
 MIN_EXCURSION = "interval 1 hour"
 EXCEEDANCE_MARGIN = 0.15
 CONFIDENCE_FLOOR, NOTIFY_FROM = 0.5, 0.6
 BLOOM_CONFIDENCE, BLOOM_CONFIRMED = 0.45, 0.6
+# What a pattern does, in words; patterns that open no windows, and those under which a parameter within its baseline is steady.
+PATTERNS = {
+    "diel": "followed a clear diel rhythm", "tidal": "tracked the tidal cycle", "event-driven": "was flat outside a discrete excursion window", "flat": "held steady",
+    "irregular": "showed irregular, non-periodic variation", "unknown": "showed no clearly classified pattern",
+}
+RHYTHMS, STEADY = ("diel", "tidal"), ("flat", "unknown")
+#: Length of the stretches in which excursions are looked for before they are joined, so that one long series is many tasks' work.
+STRETCH_MS = 30 * 86_400_000
 
 
 def outside() -> Column:
     return (F.col("value") < F.col("baseline_min")) | (F.col("value") > F.col("baseline_max"))
 
 
+def with_pattern(series: DataFrame) -> DataFrame:
+    """The series with a pattern, which is unknown where nothing else is said."""
+    return series.withColumn("pattern", F.coalesce("pattern", F.lit("unknown")) if "pattern" in series.columns else F.lit("unknown"))
+
+
 def excursions(series: DataFrame) -> DataFrame:
     """(site, metric, window_start, window_end): runs of consecutive samples outside the baseline that last an hour or more.
 
-    ``series``: site, metric, at, ord, value, baseline_min, baseline_max. A gap in time does not end a run; one open at the end ends there.
+    ``series``: site, metric, at, ord, value, baseline_min, baseline_max, and a pattern if it is known: diel and tidal
+    series have no windows. A gap in time does not end a run; one open at the end ends there.
+
+    Runs are found within stretches of fixed length, and a run that touches the end of one is joined with the run that
+    touches the start of the next, so no task sorts a whole series.
     """
-    order = Window.partitionBy("site", "metric").orderBy("at", "ord")
-    s = series.filter("value IS NOT NULL AND baseline_min IS NOT NULL").withColumn("out", outside())
-    s = s.withColumn("starts", (F.col("out") & ~F.coalesce(F.lag("out").over(order), F.lit(False))).cast("int"))
-    s = s.withColumn("run", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = s.filter("out").groupBy("site", "metric", "run").agg(F.min("at").alias("window_start"), F.max("at").alias("window_end"))
-    return runs.filter(F.expr(f"window_end - window_start >= {MIN_EXCURSION}")).drop("run")
+    s = with_pattern(series).filter(F.col("value").isNotNull() & F.col("baseline_min").isNotNull() & ~F.col("pattern").isin(*RHYTHMS))
+    s = s.select("site", "metric", "at", "ord", outside().alias("out"), F.floor(F.unix_millis("at") / STRETCH_MS).alias("stretch"))
+    order = Window.partitionBy("site", "metric", "stretch").orderBy("at", "ord")
+    s = s.withColumns({"before": F.lag("out").over(order), "after": F.lead("out").over(order)})
+    s = s.withColumn("run", F.sum((F.col("out") & ~F.coalesce("before", F.lit(False))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Samples within the baseline make one row of a stretch, so that it is known to be there.
+    runs = s.groupBy("site", "metric", "stretch", "out", F.when(F.col("out"), F.col("run")).alias("run")).agg(
+        F.min("at").alias("window_start"), F.max("at").alias("window_end"), F.bool_or(F.col("before").isNull()).alias("from_start"), F.bool_or(F.col("after").isNull()).alias("to_end")
+    )
+    stretches = Window.partitionBy("site", "metric").orderBy("stretch")
+    runs = runs.withColumn("place", F.dense_rank().over(stretches)).filter("out")
+    starts = Window.partitionBy("site", "metric").orderBy("window_start", "stretch")
+    goes_on = F.col("from_start") & F.lag("to_end").over(starts) & (F.col("place") == F.lag("place").over(starts) + 1)
+    runs = runs.withColumn("fresh", (~F.coalesce(goes_on, F.lit(False))).cast("int"))
+    runs = runs.withColumn("whole", F.sum("fresh").over(starts.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy("site", "metric", "whole").agg(F.min("window_start").alias("window_start"), F.max("window_end").alias("window_end")).drop("whole")
+    return whole.filter(F.expr(f"window_end - window_start >= {MIN_EXCURSION}"))
 
 
 def merged(windows: DataFrame) -> DataFrame:
@@ -83,15 +111,20 @@ def severity(start: Column, end: Column) -> Column:
 
 
 def events(series: DataFrame) -> DataFrame:
-    """All events of all sites: site, event_start, event_end, type, confidence, severity, follow_up, n_moved."""
+    """All events of all sites, blooms after the others: site, event_start, event_end, type, confidence, severity, follow_up, n_moved."""
     moved = movements(series, merged(excursions(series))).filter("moved IS NOT NULL")
-    per = moved.groupBy("site", "event_start", "event_end").agg(F.map_from_entries(F.collect_list(F.struct("metric", "moved"))).alias("moves"), F.count("*").alias("n_moved"))
+    per = moved.groupBy("site", "event_start", "event_end").agg(F.map_from_entries(F.collect_list(F.struct("metric", "moved"))).alias("moves"), F.count("*").alias("n_moved"))  # a handful of metrics to a site
     per = per.withColumn("c", classify(F.col("moves")))
     confidence = F.col("c.confidence")
-    return per.select(
+    found = per.select(
         "site", "event_start", "event_end", F.when(confidence < CONFIDENCE_FLOOR, "Inconclusive").otherwise(F.col("c.type")).alias("type"), confidence.alias("confidence"),
-        severity(F.col("event_start"), F.col("event_end")).alias("severity"), F.when(confidence < NOTIFY_FROM, "Grab sample").otherwise("Notify client").alias("follow_up"), "n_moved",
+        severity(F.col("event_start"), F.col("event_end")).alias("severity"), F.when(confidence < NOTIFY_FROM, "Grab sample").otherwise("Notify stakeholder").alias("follow_up"), "n_moved", F.lit(0).alias("part"),
     )
+    if "pattern" not in series.columns:
+        return found
+    extremes = series.filter("value IS NOT NULL AND baseline_min IS NOT NULL").groupBy("site", "metric", "pattern", "baseline_max").agg(F.max("value").alias("max"))
+    bloom = blooms(series, extremes).withColumns({"n_moved": F.lit(1).cast("long"), "part": F.lit(1)})
+    return found.unionByName(bloom.select(*found.columns))
 
 
 def daily_swings(series: DataFrame) -> DataFrame:
@@ -137,13 +170,27 @@ def flag(metric: Column, low: Column, high: Column, base_min: Column, base_max:
 
 def parameters(series: DataFrame) -> DataFrame:
     """Per site and metric: statistics from all samples in one pass, the flag, and when the baseline was first left."""
-    p = series.filter("value IS NOT NULL").groupBy("site", "metric", "baseline_min", "baseline_max").agg(
+    s = with_pattern(series).filter("value IS NOT NULL")
+    p = s.groupBy("site", "metric", "baseline_min", "baseline_max").agg(
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"),
-        F.min(F.when(outside(), F.col("at"))).alias("first_excursion"), F.count("*").alias("n"),
+        F.min(F.when(outside(), F.col("at"))).alias("first_excursion"), F.count("*").alias("n"), F.max("pattern").alias("pattern"),
     )
     return p.withColumn("flag", flag(*[F.col(c) for c in ("metric", "min", "max", "baseline_min", "baseline_max")]))
 
 
+def from_buckets(buckets: DataFrame, medians: DataFrame) -> DataFrame:
+    """(site, metric, min, max, mean, median, n) of a report from bucketed series and the medians of raw samples; where there is no median the mean stands for it."""
+    merged_buckets = buckets.groupBy("site", "metric").agg(
+        F.min("min").alias("min"), F.max("max").alias("max"), (F.sum(F.col("mean") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n")
+    ).filter("n > 0")
+    joined = merged_buckets.join(medians.select("site", "metric", F.col("value").alias("known")), ["site", "metric"], "left")
+    return joined.select("site", "metric", "min", "max", "mean", F.coalesce("known", "mean").alias("median"), "n")
+
+
+def held_steady(flag: Column, pattern: Column) -> Column:
+    return (flag == "Normal") & pattern.isin(*STEADY)
+
+
 def status(params: DataFrame, found: DataFrame) -> DataFrame:
     """(site, status): Action Required, Watch or Normal, from the gravest flag or event."""
     by_flag = F.when(F.col("flag") == "Exceedance", 2).when(F.col("flag").isin("Elevated", "Low"), 1).otherwise(0)
@@ -159,21 +206,54 @@ def magnitude(extreme: Column, edge: Column, width: Column) -> Column:
 
 
 def analysis_lines(params: DataFrame) -> DataFrame:
-    """(site, metric, line): a sentence for each parameter that did not hold steady."""
+    """(site, metric, line): a sentence for each parameter that did not hold steady. Its wording is fixed."""
+    units = F.create_map(*[F.lit(x) for key, _, _, unit, _ in METRICS for x in (key, unit or "")])
+    phrases = F.create_map(*[F.lit(x) for kv in PATTERNS.items() for x in kv])
+    unit, phrase = F.element_at(units, F.col("metric")), sentence_case(F.element_at(phrases, F.col("pattern")))
     above = F.col("flag").isin("Elevated", "Exceedance") & (F.col("max") > F.col("baseline_max"))
     extreme, edge = F.when(above, F.col("max")).otherwise(F.col("min")), F.when(above, F.col("baseline_max")).otherwise(F.col("baseline_min"))
     word, side = magnitude(extreme, edge, F.col("baseline_max") - F.col("baseline_min")), F.when(above, "above").otherwise("below")
     article = F.when(F.lower("flag").rlike("^[aeiou]"), "an").otherwise("a")
-    text = F.concat(
-        F.lit("moved "), word, F.lit(" "), side, F.lit(" baseline, recording "), article, F.lit(" "), F.lower("flag"), F.lit(" reading of "), F.format_string("%.2f", extreme),
-        F.when(F.col("first_excursion").isNull(), "").otherwise(F.concat(F.lit("; first left baseline at "), F.date_format("first_excursion", "yyyy-MM-dd HH:mm"))), F.lit("."),
+    span = F.concat(plain_number(F.col("baseline_min")), F.lit("-"), plain_number(F.col("baseline_max")), F.lit(" "), unit)
+    none = F.concat(phrase, F.lit(". No fixed baseline exists for this parameter (climate/season-dependent per the source-of-truth doc) -- reported for reference only, not flagged against a range."))
+    normal = F.concat(phrase, F.lit(", remaining within the "), span, F.lit(" site baseline."))
+    left = F.concat(
+        phrase, F.lit("; moved "), word, F.lit(" "), side, F.lit(" baseline, recording "), article, F.lit(" "), F.lower("flag"), F.lit(" reading of "), F.format_string("%.2f", extreme), F.lit(" "), unit,
+        F.lit(" against the "), span, F.lit(" baseline."), F.when(F.col("first_excursion").isNull(), "").otherwise(F.concat(F.lit(" First left baseline at "), F.date_format("first_excursion", "yyyy-MM-dd HH:mm"), F.lit("."))),
+    )
+    line = F.when(F.col("flag") == "N/A", none).when(F.col("flag") == "Normal", normal).otherwise(left)
+    return params.filter(~held_steady(F.col("flag"), F.col("pattern"))).select("site", "metric", line.alias("line"))
+
+
+def summaries(params: DataFrame, found: DataFrame, period: str) -> DataFrame:
+    """(site, status, bullets): the four lines at the head of a report over ``period`` ("D to D"). A parameter without a baseline counts as outside of it. Their wording is fixed."""
+    names = F.create_map(*[F.lit(x) for key, _, label, *_ in METRICS for x in (key, label)])
+    order = F.array(*[F.lit(m) for m, *_ in METRICS])
+    p = params.groupBy("site").agg(F.array_sort(F.collect_list(F.when(F.col("flag") != "Normal", F.struct(F.array_position(order, F.col("metric")).alias("at"), F.element_at(names, F.col("metric")).alias("name"))))).alias("left"))
+    e = found.groupBy("site").agg(F.count("*").alias("n"))
+    j = status(params, found).join(p, "site").join(e, "site", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    quiet = (F.col("n") == 0) & (F.col("status") == "Normal")
+    flagged = F.when(F.size("left") > 0, F.array_join(F.transform("left", lambda x: x["name"]), ", ")).otherwise("no parameters")
+    happened = F.when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" candidate event(s) were identified"))).otherwise("no discrete pollution events were identified, though readings moved outside baseline")
+    calm = F.array(
+        F.concat(F.lit("Overall status: "), "status", F.lit(" — no action required at this time.")), F.lit(f"All parameters held within the site baseline for the {period} reporting period."),
+        F.lit("No pollution event signatures were identified; diel and tidal rhythms tracked the site baseline throughout."), F.lit("Recommendation: continue routine monitoring."),
     )
-    line = F.when(F.col("flag") == "N/A", "No fixed baseline exists for this parameter; reported for reference only.").otherwise(sentence_case(text))
-    return params.filter("flag <> 'Normal'").select("site", "metric", line.alias("line"))
+    moved = F.array(
+        F.concat(F.lit("Overall status: "), "status", F.lit(".")), F.concat(sentence_case(flagged), F.lit(f" moved outside the site baseline for the {period} reporting period.")),
+        F.concat(sentence_case(happened), F.lit(".")), F.lit("Recommendation: see Recommendations below for the operational, investigative, and stakeholder follow-up."),
+    )
+    return j.select("site", "status", F.when(quiet, calm).otherwise(moved).alias("bullets"))
+
+
+def section_numbers(sections: list[tuple[str, bool]], first: int = 1) -> dict[str, int]:
+    """The numbers of the sections of a report that are there."""
+    there = [name for name, present in sections if present]
+    return {name: first + i for i, name in enumerate(there)}
 
 
 def recommendations(params: DataFrame, found: DataFrame) -> DataFrame:
-    """(site, operational, investigative, stakeholder)."""
+    """(site, operational, investigative, stakeholder). Their wording is fixed."""
     p = params.groupBy("site").agg(F.count_if(F.col("flag") != "Normal").alias("flagged"))
     e = found.groupBy("site").agg(F.count("*").alias("n_events"), F.count_if(F.col("severity") == "High").alias("grave"))
     j = p.join(e, "site", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_events", "grave")})

@@ -61,6 +61,36 @@ def ranked(found: DataFrame, *order) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+def with_documents(chunks: DataFrame, documents: DataFrame, key: str = "filename") -> DataFrame:
+    """Chunks with their document's title and source: its address, or else its name. Documents are the small side, which AQE broadcasts where it is."""
+    d = documents.select(key, F.col("title"), F.coalesce("source_url", key).alias("source"))
+    return chunks.join(d, key)
+
+
+def rendered(context: DataFrame, by: list[str], order: str = "rank", source: str = "source", text: str = "text") -> DataFrame:
+    """Per answer its excerpts as one text, numbered from one in their order and parted by a blank line. Its wording is fixed."""
+    excerpts = F.array_sort(F.collect_list(F.struct(order, source, text)))  # at most as many as an answer takes
+    lines = F.transform(excerpts, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] (source: "), x[source], F.lit(")\n"), x[text]))
+    return context.groupBy(*by).agg(F.concat(F.lit("CONTEXT — excerpts from the water-quality corpus:\n\n"), F.array_join(lines, "\n\n")).alias("context"))
+
+
+def stub_feed(spark: SparkSession, rows: list[tuple[str, str, str]], k: int | None) -> DataFrame:
+    """The first of a list of fixed rows (id, text, source): an arm for tests of what is around it."""
+    return spark.createDataFrame(rows[: top_k(k)], "id string, text string, source string")
+
+
+# What an embedding model is told before a question and before a passage, and how many texts it takes at once.
+QUERY_PREFIX, PASSAGE_PREFIX, BATCH = "search_query: ", "search_document: ", 32
+
+
+def batches(texts: DataFrame, key: str, text: str = "text", prefix: str = PASSAGE_PREFIX, size: int = BATCH) -> DataFrame:
+    """(part, batch, place, key, text): prefixed texts in batches of at most ``size``, numbered within their task, so that nothing is shuffled."""
+    n = F.monotonically_increasing_id()
+    d = texts.select(key, F.concat(F.lit(prefix), F.col(text)).alias(text), n.alias("n"))
+    own = F.col("n").bitwiseAND(F.lit((1 << 33) - 1))
+    return d.select(F.shiftright("n", 33).alias("part"), F.floor(own / size).alias("batch"), (own % size).cast("int").alias("place"), key, text)
+
+
 def slice_feed(corpus: DataFrame, query: str) -> DataFrame:
     """All documents of the slice in a stable order, however many are asked for; nothing for a blank query."""
     d = corpus.filter("in_slice").select("filename", "title", "text")

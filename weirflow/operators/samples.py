@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions import timephrase
-from weirflow.functions.scalars import bucket_start, epoch_ms
+from weirflow.functions.scalars import bucket_start, epoch_ms, midpoint
 
 HOUR_MS = 3_600_000
 # Bucket widths from which an automatic one is taken, in hours, and the caps of a result.
@@ -50,24 +50,21 @@ def window_columns(phrase: str) -> tuple[Column, Column, bool]:
     return start, start + F.make_dt_interval(days=F.lit(days)), False
 
 
-def in_window(samples: DataFrame, phrase: str) -> DataFrame:
+def in_window(samples: DataFrame, phrase: str, devices: list | None = None) -> DataFrame:
     """The samples in each device's own window.
 
-    An absolute window is a pushed-down filter and needs no anchor. Others join each device's anchor, one row
-    per device, which AQE broadcasts where it turns out to be small; the range is the residual condition.
+    An absolute window, and a set of devices, are pushed-down filters. Relative windows join each device's anchor,
+    one row per device, which AQE broadcasts where it turns out to be small; the range is the residual condition.
+    Nothing runs while the plan is built.
     """
+    if devices is not None:
+        samples = samples.filter(F.col("device").isin(*devices))
     p = timephrase.parse(phrase)
     if p.kind == "absolute":
         return samples.filter((F.col("at") >= F.lit(p.start)) & (F.col("at") < F.lit(p.end)))
     start, end, inclusive = window_columns(phrase)
-    newest = anchors(samples)
-    if p.kind in ("rolling", "latest"):  # nothing before the oldest anchor's window can count: a literal bound that reaches the scan
-        oldest = newest.agg(F.min("anchor").alias("a")).first().a
-        if oldest is not None and p.span is not None:
-            samples = samples.filter(F.col("at") >= F.lit(oldest - p.span))
-    joined = samples.join(newest, "device")
     upper = F.col("at") <= end if inclusive else F.col("at") < end
-    return joined.filter((F.col("at") >= start) & upper).drop("anchor")
+    return samples.join(anchors(samples), "device").filter((F.col("at") >= start) & upper).drop("anchor")
 
 
 def _ok(c: str) -> Column:
@@ -108,7 +105,10 @@ def on_spine(result: DataFrame, spine: DataFrame, by: tuple[str, ...] = ("device
 
 
 def raw(samples: DataFrame, limit: int = RAW_LIMIT, by: tuple[str, ...] = ("device", "metric")) -> DataFrame:
-    """The newest ``limit`` valid samples of each group in time order, with the group's size and whether it was cut."""
+    """The newest ``limit`` valid samples of each group in time order, with the group's size and whether it was cut.
+
+    The limit on the rank is applied in every task before the shuffle too (a window group limit), so one hot group moves few rows.
+    """
     s = samples.filter("valid AND value IS NOT NULL")
     newest = Window.partitionBy(*by).orderBy(F.col("at").desc(), F.col("ord").desc())
     sizes = s.groupBy(*by).agg(F.count("*").alias("n_samples"))
@@ -148,42 +148,74 @@ def weighted_merge(buckets: DataFrame, by: tuple[str, ...] = ("device", "metric"
     )
 
 
-def segments(buckets: DataFrame, by: tuple[str, ...] = ("device", "metric")) -> DataFrame:
-    """Buckets with the number of the unbroken run they are in: a run ends where the next bucket starts after the end."""
+def segments(buckets: DataFrame, by: tuple[str, ...] = ("device", "metric"), step_ms: Column | None = None) -> DataFrame:
+    """Buckets with the number of the unbroken run they are in.
+
+    A run ends where the next bucket starts after the end of one; where a bucket has no end, where the middles are more
+    than one and a half steps apart: the given step, or else the usual distance (`spacing`).
+    """
     w = Window.partitionBy(*by).orderBy("start_ms")
-    gap = F.coalesce((F.col("start_ms") > F.lag("end_ms").over(w)).cast("int"), F.lit(0))
-    return buckets.withColumn("gap", gap).withColumn("segment", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("gap")
+    has_end = F.col("end_ms") > F.col("start_ms")
+    b = buckets.withColumn("mid_ms", midpoint(F.col("start_ms"), F.col("end_ms")))
+    if step_ms is None:
+        b, step = b.join(spacing(buckets, by, "mid_ms"), list(by), "left"), F.col("spacing_ms")
+    else:
+        step = step_ms
+    apart = F.when(F.lag(has_end).over(w), F.col("start_ms") > F.lag("end_ms").over(w)).otherwise((step > 0) & (F.col("mid_ms") - F.lag("mid_ms").over(w) > 1.5 * step))
+    gap = F.coalesce(apart.cast("int"), F.lit(0))
+    return b.withColumn("gap", gap).withColumn("segment", F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).select(*buckets.columns, "segment")
+
+
+def plottable(buckets: DataFrame, by: tuple[str, ...] = ("device", "metric"), least: int = 3) -> DataFrame:
+    """Buckets fit for a chart: finite figures, a start, samples; the band holds the mean. Series of fewer than ``least`` buckets are left out."""
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in ("mean", "min", "max")]
+    ok = finite[0] & finite[1] & finite[2] & F.col("start_ms").isNotNull() & F.coalesce(F.col("n") > 0, F.lit(True))
+    end = F.when(F.col("end_ms") > F.col("start_ms"), F.col("end_ms")).otherwise(F.col("start_ms"))
+    b = buckets.filter(ok).select(*by, "start_ms", end.alias("end_ms"), midpoint(F.col("start_ms"), F.col("end_ms")).alias("mid_ms"), "mean", F.least("min", "max", "mean").alias("min"), F.greatest("min", "max", "mean").alias("max"), "n")
+    return b.withColumn("buckets", F.count("*").over(Window.partitionBy(*by))).filter(F.col("buckets") >= least)
 
 
 def all_metrics(samples: DataFrame, name: str = "mean") -> DataFrame:
-    """Per device one map of metric to value, the counts, and the time of observation if all metrics share it."""
-    by = samples.filter(F.col("value").isNotNull()).groupBy("device", "metric").agg(statistic(name).alias("value"), *counts(), F.max(_ok("at")).alias("seen"))
+    """Per device a map of metric to (value, n_samples, excluded_faulted), the greatest count, the faults, and the time of observation if all metrics share it.
+
+    Only latest and earliest are observed at one time.
+    """
+    by = aggregate(samples, name, ("device", "metric"))
+    seen = F.col("observed_at") if "observed_at" in by.columns else F.lit(None).cast("timestamp")
+    by = by.withColumn("seen", seen)
+    entry = F.struct("metric", F.struct("value", "n_samples", "excluded_faulted"))
     return by.groupBy("device").agg(
-        F.count("*").alias("metrics"), F.max("n_samples").alias("n_most"), F.sum("excluded_faulted").alias("excluded_faulted"),
+        F.map_from_entries(F.collect_list(entry)).alias("metrics"), F.max("n_samples").alias("n_most"), F.sum("excluded_faulted").alias("excluded_faulted"),
         F.when(F.count_distinct("seen") == 1, F.max("seen")).alias("observed_at"),
-    )
+    )  # a handful of metrics to a device
 
 
-def spacing(buckets: DataFrame, by: tuple[str, ...] = ("device", "metric")) -> DataFrame:
-    """The usual distance between starts of buckets: the upper of the two middles, never their average."""
-    w = Window.partitionBy(*by).orderBy("start_ms")
-    steps = buckets.withColumn("step", F.col("start_ms") - F.lag("start_ms").over(w)).filter("step IS NOT NULL")
+def spacing(buckets: DataFrame, by: tuple[str, ...] = ("device", "metric"), at: str = "start_ms") -> DataFrame:
+    """The usual distance between buckets: the upper of the two middles, never their average."""
+    w = Window.partitionBy(*by).orderBy("at")
+    place = midpoint(F.col("start_ms"), F.col("end_ms")) if at == "mid_ms" else F.col(at)
+    steps = buckets.withColumn("at", place).withColumn("step", F.col("at") - F.lag("at").over(w)).filter("step IS NOT NULL")
     listed = steps.groupBy(*by).agg(F.sort_array(F.collect_list("step")).alias("steps"))  # at most as many as a series has buckets
     return listed.select(*by, F.element_at("steps", F.floor(F.size("steps") / 2).cast("int") + 1).alias("spacing_ms"))
 
 
-def trend(samples: DataFrame, by: tuple[str, ...] = ("device", "metric")) -> DataFrame:
-    """Whether valid samples rise, fall or stay: a change of less than a tenth of their spread is none."""
-    s = samples.filter("valid AND value IS NOT NULL").groupBy(*by).agg(
-        F.min_by("value", F.struct("at", "ord")).alias("first"), F.max_by("value", F.struct("at", "ord")).alias("last"), (F.max("value") - F.min("value")).alias("spread")
-    )
+def trend(buckets: DataFrame, by: tuple[str, ...] = ("device", "metric")) -> DataFrame:
+    """Whether a series rises, falls or stays: its last bucket's mean against the first one's; a change of less than a tenth of the whole band is none."""
+    s = buckets.groupBy(*by).agg(F.min_by("mean", "start_ms").alias("first"), F.max_by("mean", "start_ms").alias("last"), (F.max("max") - F.min("min")).alias("spread"))
     change = F.col("last") - F.col("first")
-    return s.select(*by, F.when((F.abs(change) < 0.1 * F.col("spread")) | (F.col("spread") == 0), "stays").when(change > 0, "rises").otherwise("falls").alias("trend"))
+    moves = (F.col("spread") > 0) & (F.abs(change) >= 0.1 * F.col("spread"))
+    return s.select(*by, F.when(moves & (change > 0), "rises").when(moves, "falls").otherwise("stays").alias("trend"))
+
+
+def healthy_averages(samples: DataFrame, devices: list | None = None) -> DataFrame:
+    """Per device and metric the mean over those rows (readings of a device at one time) on which no probe is faulted."""
+    if devices is not None:
+        samples = samples.filter(F.col("device").isin(*devices))
+    w = Window.partitionBy("device", "at")
+    healthy = samples.withColumn("healthy", F.min(F.col("valid").cast("int")).over(w) == 1).filter("healthy AND value IS NOT NULL")
+    return healthy.groupBy("device", "metric").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
 
 
-def healthy_averages(samples: DataFrame, row: Column | None = None) -> DataFrame:
-    """Per device the mean over rows of which no metric is faulted; a row is a day unless another column says so."""
-    key = F.to_date("at") if row is None else row
-    w = Window.partitionBy("device", "row")
-    s = samples.withColumn("row", key).withColumn("healthy", F.min(F.col("valid").cast("int")).over(w) == 1)
-    return s.filter("healthy").groupBy("device").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+def faulted_rows(samples: DataFrame) -> DataFrame:
+    """The readings (device, at) on which any probe is faulted."""
+    return samples.groupBy("device", "at").agg(F.max((~F.col("valid")).cast("int")).alias("any")).filter("any = 1").drop("any")

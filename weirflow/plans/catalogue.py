@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import scalars as fn
 from weirflow.operators import corpus as C
+from weirflow.operators import dimensions as D
 from weirflow.operators import evaluation as E
 from weirflow.operators import registry as G
 from weirflow.operators import report as R
 from weirflow.operators import retrieval as V
 from weirflow.operators import samples as S
+from weirflow.operators import sensor_query as Q
 from weirflow.plans import bindings as B
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +26,15 @@ _S = """S AS (SELECT user_id AS device, event_type AS metric, ts AS tm, (epoch_u
     coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INT) < 90, true) AS valid FROM events)"""
 _W = _S + """, A AS (SELECT device, max(tm) AS anchor FROM S GROUP BY device),
 W AS (SELECT S.* FROM S JOIN A USING (device) WHERE tm >= anchor - INTERVAL 7 DAY AND tm <= anchor)"""
-_SITE = _S + f""", P AS (SELECT device AS site, CASE metric {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in B.METRIC_OF.items())} END AS metric, tm, ms, ord, value,
-    {B.BASE_MIN} AS lo, {B.BASE_MAX} AS hi FROM S WHERE valid)"""
+def _turns_of(values: tuple[str, ...], key: str) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][({key} % {len(values)} + 1)::INT]"
+
+
+_MS = _S + f""", SM AS (SELECT device, CASE WHEN metric = 'signup' AND device % 2 = 1 THEN 'temperature' ELSE CASE metric {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in B.METRIC_OF.items())} END END AS metric, tm, ms, ord, value, valid FROM S)"""
+_SITE = _MS + f""", BL(water, metric, lo, hi) AS (VALUES {', '.join(f"('{w}', '{m}', {float(by[t][0])}::DOUBLE, {float(by[t][1])}::DOUBLE)" for w, t in D.TIERS.items() for m, by in D.BASELINES.items())}),
+P AS (SELECT device AS site, SM.metric, tm, ms, ord, CASE WHEN hi IS NULL THEN value ELSE value * hi / 60 END AS value, lo, hi, {_turns_of(B.PATTERN_OF, 'device')} AS pattern
+    FROM SM LEFT JOIN BL ON BL.water = {_turns_of(B.WATERS, 'device')} AND BL.metric = SM.metric WHERE valid)"""
+_ISO = "strftime({}, '%Y-%m-%dT%H:%M:%S.%gZ')"
 _N = "count(*) FILTER (WHERE valid) AS n_samples, count(*) FILTER (WHERE NOT valid) AS excluded_faulted"
 
 
@@ -84,10 +93,19 @@ def sensor_raw_cap(spark, sf_dir):
     return S.raw(B.samples(spark, sf_dir), 5).select("device", "metric", _ms("at").alias("ms"), "ord", "value", "n_samples", "truncated", "kept")
 
 
-@query(f"""WITH {_S}, M AS (SELECT device, metric, count(*) FILTER (WHERE valid) AS n, count(*) FILTER (WHERE NOT valid) AS x, max(ms) FILTER (WHERE valid) AS seen FROM S GROUP BY ALL)
-SELECT device, count(*) AS metrics, max(n) AS n_most, sum(x)::BIGINT AS excluded_faulted, CASE WHEN count(DISTINCT seen) = 1 THEN max(seen) END AS observed_ms FROM M GROUP BY device""")
+@query(f"""WITH {_S}, M AS (SELECT device, metric, arg_max(value, {{'a': tm, 'o': ord}}) FILTER (WHERE valid) AS value, {_N}, max(ms) FILTER (WHERE valid) AS seen FROM S GROUP BY ALL),
+G AS (SELECT device, max(n_samples) AS n_most, CASE WHEN count(DISTINCT seen) = 1 THEN max(seen) END AS observed_ms FROM M GROUP BY device)
+SELECT device, metric, value, n_samples, excluded_faulted, n_most, observed_ms FROM M JOIN G USING (device)""")
 def sensor_all_metrics(spark, sf_dir):
-    return S.all_metrics(B.samples(spark, sf_dir)).select("device", "metrics", "n_most", "excluded_faulted", _ms("observed_at").alias("observed_ms"))
+    a = S.all_metrics(B.samples(spark, sf_dir), "latest").select("device", "n_most", _ms("observed_at").alias("observed_ms"), F.explode("metrics").alias("metric", "m"))
+    return a.select("device", "metric", "m.value", "m.n_samples", "m.excluded_faulted", "n_most", "observed_ms")
+
+
+@query(f"""WITH {_S}, M AS (SELECT device, metric, avg(value) FILTER (WHERE valid) AS value, {_N} FROM S GROUP BY ALL)
+SELECT device, metric, round(value, 6) AS value, n_samples, excluded_faulted FROM M""")
+def sensor_all_means(spark, sf_dir):
+    a = S.all_metrics(B.samples(spark, sf_dir), "mean").select("device", F.explode("metrics").alias("metric", "m"))
+    return a.select("device", "metric", F.round("m.value", 6).alias("value"), "m.n_samples", "m.excluded_faulted")
 
 
 @query(f"""WITH {_S}, A AS (SELECT device, max(tm) AS anchor FROM S GROUP BY device), D AS (SELECT DISTINCT device FROM S), M AS (SELECT DISTINCT metric FROM S),
@@ -173,14 +191,14 @@ def weighted_mean_merge(spark, sf_dir):
 
 # Reports
 
-_RUNS = _SITE + """, O AS (SELECT *, value < lo OR value > hi AS out FROM P),
+_RUNS = _SITE + """, O AS (SELECT *, value < lo OR value > hi AS out FROM P WHERE lo IS NOT NULL AND pattern NOT IN ('diel', 'tidal')),
 T AS (SELECT *, (out AND NOT coalesce(lag(out) OVER w, false))::INT AS starts FROM O WINDOW w AS (PARTITION BY site, metric ORDER BY tm, ord)),
 U AS (SELECT *, sum(starts) OVER (PARTITION BY site, metric ORDER BY tm, ord) AS run FROM T),
 X AS (SELECT site, metric, min(tm) AS s, max(tm) AS e FROM U WHERE out GROUP BY site, metric, run HAVING max(tm) - min(tm) >= INTERVAL 1 HOUR)"""
 _MERGED = _RUNS + """, Y AS (SELECT *, coalesce((s > max(e) OVER (PARTITION BY site ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 0) AS fresh FROM X),
 Z AS (SELECT *, sum(fresh) OVER (PARTITION BY site ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS event FROM Y),
 EV AS (SELECT site, min(s) AS s, max(e) AS e FROM Z GROUP BY site, event)"""
-_MOVES = _MERGED + """, MV AS (SELECT site, s, e, metric, avg(value) AS mean, min(value) AS mn, max(value) AS mx, min(lo) AS lo, min(hi) AS hi FROM P JOIN EV USING (site) WHERE tm >= s AND tm <= e GROUP BY site, s, e, metric),
+_MOVES = _MERGED + """, MV AS (SELECT site, s, e, metric, avg(value) AS mean, min(value) AS mn, max(value) AS mx, min(lo) AS lo, min(hi) AS hi FROM P JOIN EV USING (site) WHERE lo IS NOT NULL AND tm >= s AND tm <= e GROUP BY site, s, e, metric),
 MM AS (SELECT *, CASE WHEN mean > hi THEN 'up' WHEN mean < lo THEN 'down' END AS moved FROM MV)"""
 _EVENTS = _MOVES + """, K AS (SELECT site, s, e, count(*) AS n_moved, max(moved) FILTER (WHERE metric = 'dissolved_oxygen') AS d, max(moved) FILTER (WHERE metric = 'orp') AS o, max(moved) FILTER (WHERE metric = 'ph') AS p,
     max(moved) FILTER (WHERE metric = 'conductivity') AS c, max(moved) FILTER (WHERE metric = 'turbidity') AS t FROM MM WHERE moved IS NOT NULL GROUP BY site, s, e),
@@ -190,7 +208,11 @@ KC AS (SELECT *, CASE WHEN d = 'down' AND o = 'down' AND t = 'up' AND c = 'up' T
     WHEN c = 'up' OR p IS NOT NULL OR o IS NOT NULL THEN 30 ELSE 20 END AS code FROM K),
 EE AS (SELECT site, (epoch_us(s) // 1000) AS start_ms, (epoch_us(e) // 1000) AS end_ms, CASE code WHEN 70 THEN 'Sewage' WHEN 51 THEN 'Sewage' WHEN 60 THEN 'Hypoxia' WHEN 55 THEN 'Acidic input' WHEN 50 THEN 'Stormwater' ELSE 'Inconclusive' END AS type,
     CASE WHEN code = 51 THEN 0.5 ELSE code / 100.0 END::DOUBLE AS confidence, CASE WHEN (epoch_us(e) // 1000) - (epoch_us(s) // 1000) > 43200000 THEN 'High' WHEN (epoch_us(e) // 1000) - (epoch_us(s) // 1000) > 10800000 THEN 'Moderate' ELSE 'Low' END AS severity,
-    CASE WHEN code < 60 THEN 'Grab sample' ELSE 'Notify client' END AS follow_up, n_moved FROM KC)"""
+    CASE WHEN code < 60 THEN 'Grab sample' ELSE 'Notify stakeholder' END AS follow_up, n_moved, 0 AS part FROM KC),
+DD AS (SELECT site, CAST(tm AS DATE) AS day, min(ms) AS a, max(ms) AS b, min(value) AS mn, max(value) AS mx, min(lo) AS lo, min(hi) AS hi FROM P WHERE metric = 'dissolved_oxygen' AND lo IS NOT NULL AND pattern = 'diel' GROUP BY ALL),
+DB AS (SELECT site, min(day) AS day FROM DD WHERE mx > hi AND mn < lo GROUP BY site), PC AS (SELECT site FROM P WHERE metric = 'ph' AND pattern = 'diel' AND lo IS NOT NULL GROUP BY site, hi HAVING max(value) > hi),
+BM AS (SELECT site, a AS start_ms, b AS end_ms, 'Algal bloom' AS type, CASE WHEN site IN (SELECT site FROM PC) THEN 0.6 ELSE 0.45 END::DOUBLE AS confidence, 'Moderate' AS severity, 'Grab sample' AS follow_up, 1 AS n_moved, 1 AS part FROM DD JOIN DB USING (site, day)),
+EA AS (SELECT * FROM EE UNION ALL SELECT * FROM BM)"""
 
 
 @query(f"WITH {_RUNS} SELECT site, metric, (epoch_us(s) // 1000) AS start_ms, (epoch_us(e) // 1000) AS end_ms FROM X")
@@ -209,15 +231,15 @@ def event_movements(spark, sf_dir):
     return R.movements(p, R.merged(R.excursions(p))).select("site", _ms("event_start").alias("start_ms"), "metric", *_six("mean"), "min", "max", "moved")
 
 
-@query(f"WITH {_EVENTS} SELECT * FROM EE")
+@query(f"WITH {_EVENTS} SELECT * FROM EA")
 def event_classify(spark, sf_dir):
     e = R.events(B.site_series(spark, sf_dir))
-    return e.select("site", _ms("event_start").alias("start_ms"), _ms("event_end").alias("end_ms"), "type", "confidence", "severity", "follow_up", "n_moved")
+    return e.select("site", _ms("event_start").alias("start_ms"), _ms("event_end").alias("end_ms"), "type", "confidence", "severity", "follow_up", "n_moved", "part")
 
 
 _ACC = "CASE metric WHEN 'dissolved_oxygen' THEN 0.05 WHEN 'orp' THEN 1.0 WHEN 'ph' THEN 0.002 WHEN 'conductivity' THEN 0.02 * abs({0}) ELSE 0.0 END"
-_FLAGS = _SITE + f""", PA AS (SELECT site, metric, min(value) AS mn, max(value) AS mx, avg(value) AS mean, quantile_cont(value, 0.5) AS med, min(lo) AS lo, min(hi) AS hi, min(ms) FILTER (WHERE value < lo OR value > hi) AS first_ms, count(*) AS n FROM P GROUP BY ALL),
-FL AS (SELECT *, CASE WHEN mx > hi + greatest((hi - lo) * 0.15, {_ACC.format('mx')}) OR mn < lo - greatest((hi - lo) * 0.15, {_ACC.format('mn')}) THEN 'Exceedance'
+_FLAGS = _SITE + f""", PA AS (SELECT site, metric, min(value) AS mn, max(value) AS mx, avg(value) AS mean, quantile_cont(value, 0.5) AS med, min(lo) AS lo, min(hi) AS hi, min(pattern) AS pattern, min(ms) FILTER (WHERE value < lo OR value > hi) AS first_ms, count(*) AS n FROM P GROUP BY site, metric),
+FL AS (SELECT *, CASE WHEN lo IS NULL THEN 'N/A' WHEN mx > hi + greatest((hi - lo) * 0.15, {_ACC.format('mx')}) OR mn < lo - greatest((hi - lo) * 0.15, {_ACC.format('mn')}) THEN 'Exceedance'
     WHEN mx > hi + {_ACC.format('mx')} THEN 'Elevated' WHEN mn < lo - {_ACC.format('mn')} THEN 'Low' ELSE 'Normal' END AS flag FROM PA)"""
 
 
@@ -227,14 +249,14 @@ def param_flags(spark, sf_dir):
     return p.select("site", "metric", "min", "max", *_six("mean", "median"), _ms("first_excursion").alias("first_ms"), "n", "flag")
 
 
-@query(f"""WITH {_FLAGS.replace('WITH', '')}, {_EVENTS[len(_SITE) + 2:]}, GR AS (SELECT site, CASE flag WHEN 'Exceedance' THEN 2 WHEN 'Normal' THEN 0 ELSE 1 END AS g FROM FL UNION ALL SELECT site, CASE severity WHEN 'High' THEN 2 ELSE 1 END FROM EE)
+@query(f"""WITH {_FLAGS.replace('WITH', '')}, {_EVENTS[len(_SITE) + 2:]}, GR AS (SELECT site, CASE flag WHEN 'Exceedance' THEN 2 WHEN 'Elevated' THEN 1 WHEN 'Low' THEN 1 ELSE 0 END AS g FROM FL UNION ALL SELECT site, CASE severity WHEN 'High' THEN 2 ELSE 1 END FROM EA)
 SELECT site, CASE max(g) WHEN 2 THEN 'Action Required' WHEN 1 THEN 'Watch' ELSE 'Normal' END AS status FROM GR GROUP BY site""")
 def overall_status(spark, sf_dir):
     p = B.site_series(spark, sf_dir)
     return R.status(R.parameters(p), R.events(p))
 
 
-@query(f"""WITH {_SITE}, D AS (SELECT site, metric, CAST(tm AS DATE) AS day, min(value) AS mn, max(value) AS mx, min(lo) AS lo, min(hi) AS hi FROM P GROUP BY ALL)
+@query(f"""WITH {_SITE}, D AS (SELECT site, metric, CAST(tm AS DATE) AS day, min(value) AS mn, max(value) AS mx, min(lo) AS lo, min(hi) AS hi FROM P WHERE lo IS NOT NULL GROUP BY site, metric, day)
 SELECT site, metric, min(day)::VARCHAR AS day, arg_min(mn, day) AS min, arg_min(mx, day) AS max FROM D WHERE mx > hi AND mn < lo GROUP BY site, metric""")
 def daily_swing(spark, sf_dir):
     return R.daily_swings(B.site_series(spark, sf_dir)).select("site", "metric", F.col("day").cast("string").alias("day"), "min", "max")
@@ -389,7 +411,7 @@ def stratified_sample(spark, sf_dir):
 
 # Devices
 
-_DEV = "DV AS (SELECT c_custkey AS key, c_mktsegment || ' Pod ' || c_nationkey AS name, 'dev:' || (c_custkey % 1000) AS label, c_custkey * 2 + copy AS ord FROM customer CROSS JOIN (SELECT unnest([0, 1]) AS copy))"
+_DEV = "DV AS (SELECT c_custkey AS key, c_mktsegment || ' Pod ' || c_nationkey AS name, 'dev:' || (c_custkey % 1000) AS label, {env} AS environment, c_custkey * 2 + copy AS ord FROM customer CROSS JOIN (SELECT unnest([0, 1]) AS copy))".replace("{env}", _turns_of(B.ENVIRONMENTS, "c_custkey"))
 
 
 @query(f"WITH {_DEV} SELECT label, arg_min(key, ord) AS key, min(ord) AS ord FROM DV GROUP BY label")
@@ -397,18 +419,37 @@ def registry_dedupe(spark, sf_dir):
     return G.first_by_label(B.devices(spark, sf_dir)).select("label", "key", "ord")
 
 
-@query(f"WITH {_DEV} SELECT DISTINCT key, 3 AS tier FROM DV WHERE lower(substr(name, 1, 1)) || 'p' = 'mp'")
-def device_match(spark, sf_dir):
-    return G.matches(B.devices(spark, sf_dir), "mp").select("key", "tier").distinct()
+_ASKED = (" DEV:17 ", "machinery pod 4", "hp", "old pod 1", "building p", "m", "f", "zz", "fu", "h")
+
 
+def _match_sql(q: str) -> str:
+    n, i = "lower(trim(name))", "lower(name[1] || 'p')"  # names have two words that start with a letter
+    tiers = [f"lower(trim(label)) = '{q}'", f"{n} = '{q}'", f"{i} = '{q}'", f"length('{q}') >= 3 AND contains({n}, '{q}')", f"length('{q}') >= 2 AND starts_with({i}, '{q}')"]
+    case = "CASE " + " ".join(f"WHEN {t} THEN {k}" for k, t in enumerate(tiers, 1)) + " END"
+    return f"SELECT '{q}' AS asked, key, tier FROM (SELECT DISTINCT key, {case} AS tier, min({case}) OVER () AS best FROM DV) WHERE tier = best"
 
-@query(f"""WITH {_S}, N AS (SELECT max(tm) AS now FROM S), L AS (SELECT device, max(tm) AS last FROM S GROUP BY device)
-SELECT c_custkey AS device, CASE WHEN last IS NULL THEN 'no readings' WHEN last > now - INTERVAL 24 HOUR THEN 'reporting' ELSE 'silent' END AS class FROM customer CROSS JOIN N LEFT JOIN L ON device = c_custkey""")
+
+@query(f"WITH {_DEV} " + " UNION ALL ".join(_match_sql(q.strip().lower()) for q in _ASKED))
+def device_match(spark, sf_dir):
+    """Each tier of matching, and questions that reach none."""
+    d, out = B.devices(spark, sf_dir), None
+    for q in _ASKED:
+        found = G.matches(d, q).select(F.lit(q.strip().lower()).alias("asked"), "key", "tier").distinct()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(f"""WITH {_S}, N AS (SELECT max(ms) AS now FROM S), L AS (SELECT device, max(ms) AS last FROM S GROUP BY device), A AS (SELECT c_custkey AS device, CASE WHEN c_custkey % 11 = 0 THEN 'soon' ELSE {_ISO.format('make_timestamp(last * 1000)')} END AS iso, last, now - last AS age FROM customer CROSS JOIN N LEFT JOIN L ON device = c_custkey)
+SELECT device, CASE WHEN iso IS NULL THEN 'No readings on record' WHEN iso = 'soon' THEN 'Last reading time unavailable' WHEN age < 60000 THEN 'Reporting · just now' WHEN age < 86400000 THEN 'Reporting · ' || CASE WHEN floor(age / 60000 + 0.5) < 60 THEN floor(age / 60000 + 0.5)::BIGINT || ' min ago' ELSE floor(age / 3600000 + 0.5)::BIGINT || ' h ago' END
+ELSE 'Silent since ' || strftime(make_timestamp(last * 1000), '%b %-d') END AS class,
+CASE WHEN iso IS NULL OR iso = 'soon' THEN NULL WHEN age < 60000 THEN 'just now' WHEN floor(age / 60000 + 0.5) < 60 THEN floor(age / 60000 + 0.5)::BIGINT || ' min ago' WHEN floor(age / 3600000 + 0.5) < 48 THEN floor(age / 3600000 + 0.5)::BIGINT || ' h ago' ELSE floor(age / 86400000 + 0.5)::BIGINT || ' days ago' END AS age FROM A""")
 def freshness_class(spark, sf_dir):
     s = B.samples(spark, sf_dir)
-    now = s.agg(F.max("at")).first()[0]
-    d = G.with_last_reading(B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device")), s)
-    return d.select("device", fn.freshness(F.col("last_at"), F.lit(now)).alias("class"))
+    now = s.agg(F.max("at").alias("now"))
+    d = G.with_last_reading(B.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("device")), s).join(F.broadcast(now))  # one row is broadcast
+    iso = F.when(F.col("device") % 11 == 0, "soon").otherwise(fn.iso_instant(F.col("last_at")))
+    age = F.when(iso.try_cast("timestamp").isNotNull(), fn.age_label(fn.epoch_ms(F.col("now")) - fn.epoch_ms(F.col("last_at"))))
+    return d.select("device", fn.freshness(iso, F.col("now")).alias("class"), age.alias("age"))
 
 
 @query(f"WITH {_S} SELECT device, arg_max(metric, {{'a': tm, 'o': ord}}) AS metric, max(ms) AS ms, arg_max(value, {{'a': tm, 'o': ord}}) AS value, arg_max(valid, {{'a': tm, 'o': ord}}) AS valid FROM S GROUP BY device")
@@ -440,6 +481,71 @@ def chunk_ids(spark, sf_dir):
     return d.select("doc_id", fn.chunk_id(F.concat("source", F.lit("/"), "lang", F.lit(".md")), F.col("doc_id")).alias("chunk_id"))
 
 
+# One call from question to answer
+
+
+_NOW = "TIMESTAMP '2024-02-15 00:00:00'"
+
+
+def _answers(spark, sf_dir, question):
+    """Some customers as the fleet, devices without readings among them."""
+    from datetime import datetime, timedelta, timezone
+
+    fleet = B.devices(spark, sf_dir).filter("copy = 0").select(F.col("key").alias("device"), "label", "environment")
+    now = datetime(2024, 2, 15, tzinfo=timezone.utc)
+    a = Q.answers(B.metric_samples(spark, sf_dir), fleet, question, now=now, longest=timedelta(days=20))
+    a = Q.notices(a, F.lit(now).cast("timestamp"))
+    return a.select("device", "label", "metric", "unit", *_six("value"), "n_samples", "excluded_faulted", *[_ms(c).alias(f"{c[:-3] if c.endswith('_at') else c}_ms") for c in ("observed_at", "range_start", "range_end", "covered_from", "last_reported")], "range_label", "complete", "note", F.array_join("notices", "|").alias("notices"))
+
+
+def _answers_sql(metrics: list[str], value: str, observed: str, start: str, end: str, inclusive: bool, label: str) -> str:
+    units = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{u or Q.UNITLESS}'" for m, _, _, u, _ in D.METRICS) + " END"
+    env = _turns_of(B.ENVIRONMENTS, "c_custkey")
+    age = "CASE WHEN age < 60000 THEN 'just now' WHEN floor(age / 60000 + 0.5) < 60 THEN floor(age / 60000 + 0.5)::BIGINT || ' min ago' WHEN floor(age / 3600000 + 0.5) < 48 THEN floor(age / 3600000 + 0.5)::BIGINT || ' h ago' ELSE floor(age / 86400000 + 0.5)::BIGINT || ' days ago' END"
+    return f"""WITH {_MS}, A AS (SELECT device, max(tm) AS anchor FROM S GROUP BY device), RG AS (SELECT device, anchor, {start} AS st, {end} AS en FROM A),
+    W AS (SELECT SM.* FROM SM JOIN RG USING (device) WHERE tm >= st AND tm {'<=' if inclusive else '<'} en AND metric IN ({', '.join(repr(m) for m in metrics)})),
+    G AS (SELECT device, metric, {value} AS value, {observed} AS observed_ms, {_N} FROM W GROUP BY device, metric),
+    F AS (SELECT c_custkey AS device, 'dev:' || (c_custkey % 1000) AS label, {env} AS environment, unnest([{', '.join(repr(m) for m in metrics)}]) AS metric FROM customer),
+    R AS (SELECT device, label, environment, metric, value, coalesce(n_samples, 0) AS n_samples, coalesce(excluded_faulted, 0) AS excluded_faulted, observed_ms, anchor, st, en, greatest(st, {_NOW} - INTERVAL 20 DAY) AS cf, epoch_ms({_NOW}) - epoch_us(anchor) // 1000 AS age FROM F LEFT JOIN G USING (device, metric) LEFT JOIN RG USING (device)),
+    T AS (SELECT *, sum(n_samples) OVER (PARTITION BY device) AS total FROM R),
+    N AS (SELECT *, CASE WHEN anchor IS NULL THEN 'No readings found, and the device API has no last reading for this device either.' ELSE nullif(concat_ws(' ', CASE WHEN total = 0 THEN 'No readings fall inside ' || {_ISO.format('st')} || ' to the end of the requested range. This device''s most recent reading is ' || {_ISO.format('anchor')} || '.' END,
+        {"'" + Q.PROVISIONAL + "'" if 'turbidity' in metrics else 'NULL'}, CASE WHEN environment <> '' AND contains(environment, 'salt') THEN 'This device operates in ' || environment || ', but the deployment''s configured water type is freshwater. The normal ranges in your instructions are for freshwater; say so if you compare this reading against them.' END), '') END AS note FROM T)
+    SELECT device, label, metric, {units} AS unit, round(value, 6) AS value, n_samples, excluded_faulted, observed_ms, epoch_us(st) // 1000 AS range_start_ms, epoch_us(en) // 1000 AS range_end_ms, epoch_us(cf) // 1000 AS covered_from_ms, epoch_us(anchor) // 1000 AS last_reported_ms,
+    CASE WHEN anchor IS NOT NULL THEN '{label}' END AS range_label, cf = st AS complete, note, concat_ws('|', CASE WHEN n_samples = 0 THEN CASE WHEN anchor IS NULL THEN 'No readings in this window · no last reading on record for this pod' WHEN age > 86400000 THEN 'No readings in this window · pod silent since ' || strftime(anchor, '%Y-%m-%d')
+        ELSE 'No readings in this window · pod last reported ' || {age} END WHEN age > 86400000 THEN 'Window anchored to the pod''s last reading, ' || strftime(anchor, '%Y-%m-%d') || ' — not to today' END,
+        CASE WHEN cf <> st THEN 'Search did not reach that far back — covered ' || strftime(cf, '%Y-%m-%d') || ' onward, not ' || strftime(st, '%Y-%m-%d') END, CASE WHEN metric = 'turbidity' AND contains(note, 'provisional, uncalibrated') THEN 'Turbidity provisional — a relative index, not a calibrated measurement' END) AS notices FROM N"""
+
+
+_ALL = [m for m, *_ in D.METRICS]
+
+
+@query(_answers_sql(_ALL, "avg(value) FILTER (WHERE valid)", "NULL::BIGINT", "anchor - INTERVAL 7 DAY", "anchor", True, "last 7 days"))
+def ask_all_week(spark, sf_dir):
+    return _answers(spark, sf_dir, Q.SensorQuestion("all", "last 7 days", "mean"))
+
+
+@query(_answers_sql(["dissolved_oxygen"], "arg_max(value, {'a': tm, 'o': ord}) FILTER (WHERE valid)", "max(ms) FILTER (WHERE valid)", "anchor", "anchor", True, "latest"))
+def ask_latest(spark, sf_dir):
+    return _answers(spark, sf_dir, Q.SensorQuestion(" DO", "latest", "latest"))
+
+
+@query(_answers_sql(["turbidity"], "max(value) FILTER (WHERE valid)", "NULL::BIGINT", "date_trunc('day', anchor)", "date_trunc('day', anchor) + INTERVAL 1 DAY", False, "today"))
+def ask_today(spark, sf_dir):
+    return _answers(spark, sf_dir, Q.SensorQuestion("turbidity", "today", "max"))
+
+
+@query(_answers_sql(["ph"], "quantile_cont(value, 0.5) FILTER (WHERE valid)", "NULL::BIGINT", "TIMESTAMP '2024-01-10'", "TIMESTAMP '2024-01-13'", False, "2024-01-10 to 2024-01-12"))
+def ask_absolute(spark, sf_dir):
+    return _answers(spark, sf_dir, Q.SensorQuestion("ph", "2024-01-10 to 2024-01-12", "median"))
+
+
+@query(f"""WITH {_MS}, V AS (SELECT * FROM SM WHERE valid AND metric = 'orp' AND tm >= TIMESTAMP '2024-01-10' AND tm < TIMESTAMP '2024-01-13'), G AS (SELECT device, (floor(ms / 86400000) * 86400000)::BIGINT AS start_ms, avg(value) AS mean, count(*) AS n FROM V GROUP BY ALL) SELECT device, start_ms, round(mean, 6) AS mean, n, 86400000 AS bucket_ms FROM G JOIN customer ON c_custkey = device""")
+def ask_series(spark, sf_dir):
+    fleet = B.devices(spark, sf_dir).filter("copy = 0").select(F.col("key").alias("device"), "label", "environment")
+    a = Q.answers(B.metric_samples(spark, sf_dir), fleet, Q.SensorQuestion("orp", "2024-01-10 to 2024-01-12", "series", bucket="day"))
+    return a.select("device", "bucket_ms", F.inline("series")).select("device", "start_ms", *_six("mean"), "n", F.col("bucket_ms").cast("int"))
+
+
 # Joins, orders and rules that complete the inventory
 
 
@@ -450,15 +556,46 @@ def series_upper_median_spacing(spark, sf_dir):
     return S.spacing(S.series(B.samples(spark, sf_dir), "day", 1 << 30))
 
 
-@query(f"""WITH {_S}, T AS (SELECT device, metric, arg_min(value, {{'a': tm, 'o': ord}}) AS f, arg_max(value, {{'a': tm, 'o': ord}}) AS l, max(value) - min(value) AS spread FROM S WHERE valid GROUP BY ALL)
-SELECT device, metric, CASE WHEN abs(l - f) < 0.1 * spread OR spread = 0 THEN 'stays' WHEN l > f THEN 'rises' ELSE 'falls' END AS trend FROM T""")
+@query(f"""WITH {_S}, G AS (SELECT device, metric, floor(ms / 86400000) AS b, avg(value) AS mean, min(value) AS mn, max(value) AS mx FROM S WHERE valid GROUP BY ALL),
+T AS (SELECT device, metric, arg_min(mean, b) AS f, arg_max(mean, b) AS l, max(mx) - min(mn) AS spread FROM G GROUP BY ALL)
+SELECT device, metric, CASE WHEN spread > 0 AND abs(l - f) >= 0.1 * spread THEN CASE WHEN l > f THEN 'rises' ELSE 'falls' END ELSE 'stays' END AS trend FROM T""")
 def series_trend(spark, sf_dir):
-    return S.trend(B.samples(spark, sf_dir)).select("device", "metric", "trend")
+    return S.trend(S.series(B.samples(spark, sf_dir), "day", 1 << 30)).select("device", "metric", "trend")
+
+
+@query(f"""WITH {_S}, G AS (SELECT device, metric, (floor(ms / 86400000) * 86400000)::BIGINT AS start_ms, avg(value) AS mean, min(value) AS mn, max(value) AS mx, count(*) AS n FROM S WHERE valid GROUP BY ALL),
+R AS (SELECT *, row_number() OVER (PARTITION BY device, metric ORDER BY start_ms DESC) AS rn FROM G), K AS (SELECT *, CASE WHEN n = 1 THEN start_ms ELSE start_ms + 86400000 END AS end_ms FROM R WHERE rn <= {S.MAX_BUCKETS})
+SELECT device, metric, start_ms, CASE WHEN end_ms > start_ms THEN (start_ms + end_ms) / 2 ELSE start_ms END::DOUBLE AS mid_ms, round(mean, 6) AS mean, mn AS min, mx AS max, buckets FROM (SELECT *, count(*) OVER (PARTITION BY device, metric) AS buckets FROM K) WHERE buckets >= 3""")
+def chart_buckets(spark, sf_dir):
+    b = S.series(B.samples(spark, sf_dir), "day").withColumn("end_ms", F.when(F.col("n") == 1, F.col("start_ms")).otherwise(F.col("end_ms")))
+    return S.plottable(b).select("device", "metric", "start_ms", "mid_ms", *_six("mean"), "min", "max", "buckets")
+
+
+@query(f"""WITH {_S}, G AS (SELECT device, metric, (floor(ms / 86400000) * 86400000)::BIGINT AS start_ms FROM S WHERE valid GROUP BY ALL),
+R AS (SELECT *, row_number() OVER (PARTITION BY device, metric ORDER BY start_ms DESC) AS rn FROM G),
+L AS (SELECT *, coalesce((start_ms - lag(start_ms) OVER w > 1.5 * 86400000)::INT, 0) AS gap FROM R WHERE rn <= {S.MAX_BUCKETS} WINDOW w AS (PARTITION BY device, metric ORDER BY start_ms))
+SELECT device, metric, start_ms, sum(gap) OVER (PARTITION BY device, metric ORDER BY start_ms)::BIGINT AS segment FROM L""")
+def series_segments_by_step(spark, sf_dir):
+    """Buckets without an end part where they are more than one and a half steps apart."""
+    b = S.series(B.samples(spark, sf_dir), "day").withColumn("end_ms", F.col("start_ms"))
+    return S.segments(b, step_ms=F.lit(S.WIDTHS["day"])).select("device", "metric", "start_ms", "segment")
+
+
+@query(f"""WITH {_W}, H AS (SELECT *, bool_and(valid) OVER (PARTITION BY device, tm) AS healthy FROM W) SELECT device, metric, round(avg(value), 6) AS mean, count(*) AS n FROM H WHERE healthy GROUP BY ALL""")
+def healthy_averages(spark, sf_dir):
+    return S.healthy_averages(S.in_window(B.samples(spark, sf_dir), "last 7 days")).select("device", "metric", *_six("mean"), "n")
+
+
+@query(f"""WITH {_W}, C AS (SELECT *, date_trunc('day', tm) AS t FROM W WHERE device < 20), H AS (SELECT *, bool_and(valid) OVER (PARTITION BY device, t) AS healthy FROM C) SELECT device, metric, round(avg(value), 6) AS mean, count(*) AS n FROM H WHERE healthy GROUP BY ALL""")
+def healthy_averages_of_devices(spark, sf_dir):
+    """Readings of a day as one row, of some devices."""
+    s = S.in_window(B.samples(spark, sf_dir), "last 7 days", list(range(20))).withColumn("at", F.date_trunc("day", "at"))
+    return S.healthy_averages(s, list(range(20))).select("device", "metric", *_six("mean"), "n")
 
 
-@query(f"""WITH {_W}, G AS (SELECT device, avg(value) AS mean, count(*) AS n FROM (SELECT *, bool_and(valid) OVER (PARTITION BY device, CAST(tm AS DATE)) AS healthy FROM W) WHERE healthy GROUP BY device) SELECT device, round(mean, 6) AS mean, n FROM G""")
-def healthy_day_averages(spark, sf_dir):
-    return S.healthy_averages(S.in_window(B.samples(spark, sf_dir), "last 7 days")).select("device", *_six("mean"), "n")
+@query(f"""WITH {_S} SELECT DISTINCT device, epoch_us(date_trunc('hour', tm)) // 1000 AS ms FROM S WHERE NOT valid""")
+def faulted_rows(spark, sf_dir):
+    return S.faulted_rows(B.samples(spark, sf_dir).withColumn("at", F.date_trunc("hour", "at"))).select("device", _ms("at").alias("ms"))
 
 
 @query("SELECT DISTINCT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -473,22 +610,52 @@ def complete_groups(spark, sf_dir):
     return E.complete_only(t.select(F.col("conv_id").alias("fixture_id"), F.col("role").alias("arm")), 3).withColumnRenamed("fixture_id", "conv_id")
 
 
-@query("""WITH SP AS (SELECT DISTINCT conv_id, unnest([0, 1, 2])::BIGINT AS turn FROM conversations) SELECT conv_id, turn, coalesce(role, 'missing') AS role FROM SP LEFT JOIN conversations USING (conv_id, turn)""")
+@query("""WITH N AS (SELECT max(turn) + 2 AS n FROM conversations), SP AS (SELECT DISTINCT conv_id, unnest(range(0, n)) AS turn FROM conversations CROSS JOIN N) SELECT conv_id, turn, coalesce(role, 'missing') AS role FROM SP LEFT JOIN conversations USING (conv_id, turn)""")
 def captured_or_placeholder(spark, sf_dir):
     c = B.table(spark, sf_dir, "conversations")
-    spec = c.select("conv_id").distinct().withColumn("turn", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
-    return spec.join(c, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("role", F.lit("missing")).alias("role"))
+    last = c.agg((F.max("turn") + 1).alias("last"))
+    spec = c.select("conv_id").distinct().join(F.broadcast(last)).select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("turn"))  # one row is broadcast
+    return E.captured(spec, c, ["conv_id", "turn"], "role")
 
 
 @query("SELECT conv_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars, count(DISTINCT role) AS sources FROM conversations GROUP BY conv_id")
 def context_size(spark, sf_dir):
-    c = B.table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"), F.count_distinct("role").alias("sources"))
+    return E.context_size(B.contexts(spark, sf_dir), ["conv_id"], "text", "source")
 
 
-@query("SELECT event_type, count(*) AS calls, count(*) - count(DISTINCT user_id) AS repeats FROM events GROUP BY event_type")
+@query("""SELECT 'query' AS name, '{"device":"' || user_id || '","metric":"' || event_type || '"}' AS arguments, count(*) AS calls, count(*) - 1 AS repeats FROM events GROUP BY user_id, event_type""")
 def repeated_calls(spark, sf_dir):
-    return B.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("calls"), (F.count("*") - F.count_distinct("user_id")).alias("repeats"))
+    return E.repeated_calls(B.calls(spark, sf_dir), "name", F.col("arguments"))
+
+
+@query("""SELECT conv_id, 'CONTEXT — excerpts from the water-quality corpus:' || chr(10) || chr(10) || string_agg('[' || rn || '] (source: ' || role || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations) GROUP BY conv_id""")
+def rendered_context(spark, sf_dir):
+    return V.rendered(B.contexts(spark, sf_dir), ["conv_id"])
+
+
+@query(f"""SELECT doc_id, source AS title, 'doc-' || lpad(doc_id::VARCHAR, 12, '0') AS cited FROM documents JOIN labels USING (doc_id)""")
+def chunks_with_documents(spark, sf_dir):
+    d = _corpus(spark, sf_dir).withColumn("source_url", F.lit(None).cast("string"))
+    chunks = d.join(B.table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("doc_id", "filename")
+    return V.with_documents(chunks, d.select("filename", "title", "source_url")).select("doc_id", "title", F.col("source").alias("cited"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS id, c_name AS name, 'dev:' || c_custkey AS label FROM customer WHERE c_mktsegment = 'MACHINERY'""")
+def registry_of_organization(spark, sf_dir):
+    return G.registered(B.registry_rows(spark, sf_dir), "MACHINERY").select("id", "name", "label")
+
+
+@query("""SELECT DISTINCT c_custkey AS key FROM customer WHERE contains(lower(c_mktsegment || ' Pod ' || c_nationkey || ' dev:' || (c_custkey % 1000)), 'pod 7') OR contains(lower(c_mktsegment || ' Pod ' || c_nationkey || ' dev:' || (c_custkey % 1000)), 'dev:11')""")
+def devices_matching_any(spark, sf_dir):
+    return G.matching_any(B.devices(spark, sf_dir), ["Pod 7", "DEV:11"]).select("key").distinct()
+
+
+@query(f"""WITH {_DEV} SELECT DISTINCT key, CASE environment WHEN '' THEN NULL ELSE CASE WHEN contains(lower(environment), 'salt') THEN 'saltwater' ELSE 'freshwater' END END AS water,
+CASE WHEN contains(lower(environment), 'salt') THEN upper(environment[1]) || environment[2:] || ' pod · thresholds are freshwater' END AS badge FROM DV""")
+def water_badges(spark, sf_dir):
+    d = Q.device_kinds(B.devices(spark, sf_dir))
+    return d.select("key", "water", fn.mismatch(F.col("environment"), F.lit("freshwater")).alias("badge")).distinct()
 
 
 @query("SELECT doc_id, CASE WHEN contains(lower(source), '1') THEN 'Marine' WHEN contains(lower(source), 'src') THEN 'Freshwater' ELSE 'Brackish' END AS water FROM documents")
@@ -497,25 +664,75 @@ def water_types(spark, sf_dir):
     return B.table(spark, sf_dir, "documents").select("doc_id", G.water_type(environment, "Brackish").alias("water"))
 
 
-@query(f"""WITH {_FLAGS}, M AS (SELECT *, flag IN ('Elevated', 'Exceedance') AND mx > hi AS above FROM FL WHERE flag <> 'Normal'),
+@query(f"""WITH {_FLAGS}, M AS (SELECT *, flag IN ('Elevated', 'Exceedance') AND mx > hi AS above FROM FL WHERE flag NOT IN ('Normal', 'N/A')),
 X AS (SELECT *, abs(CASE WHEN above THEN mx - hi ELSE mn - lo END) / (hi - lo) AS over FROM M)
 SELECT site, metric, CASE WHEN over < 0.05 THEN 'marginally' WHEN over < 0.2 THEN 'slightly' WHEN over < 0.5 THEN 'notably' ELSE 'sharply' END || CASE WHEN above THEN ' above' ELSE ' below' END AS moved FROM X""")
 def magnitude_words(spark, sf_dir):
     lines = R.analysis_lines(R.parameters(B.site_series(spark, sf_dir)))
-    return lines.select("site", "metric", F.regexp_extract("line", "Moved ([a-z]+ (?:above|below)) baseline", 1).alias("moved"))
+    return lines.select("site", "metric", F.regexp_extract("line", "; moved ([a-z]+ (?:above|below)) baseline", 1).alias("moved")).filter("moved <> ''")
+
 
+_REPORT = f"""{_FLAGS}, {_EVENTS[len(_SITE) + 2:]}, A AS (SELECT site, count(*) FILTER (WHERE flag <> 'Normal') AS f FROM FL GROUP BY site), QE AS (SELECT site, count(*) AS n, count(*) FILTER (WHERE severity = 'High') AS g FROM EA GROUP BY site)"""
 
-@query(f"""WITH {_FLAGS.replace('WITH', '')}, {_EVENTS[len(_SITE) + 2:]}, A AS (SELECT site, count(*) FILTER (WHERE flag <> 'Normal') AS f FROM FL GROUP BY site), Q AS (SELECT site, count(*) AS n, count(*) FILTER (WHERE severity = 'High') AS g FROM EE GROUP BY site)
-SELECT site, CASE WHEN f > 0 OR coalesce(n, 0) > 0 THEN CASE WHEN coalesce(g, 0) > 0 THEN 'Notify client and relevant authority given event severity.' ELSE 'Notify client.' END ELSE 'Routine report distribution to client only.' END AS stakeholder FROM A LEFT JOIN Q USING (site)""")
+
+@query(f"""WITH {_REPORT} SELECT site, CASE WHEN f > 0 OR coalesce(n, 0) > 0 THEN 'Recalibrate and inspect sensors on flagged parameters at next service window.' ELSE 'No action needed; maintain routine calibration schedule.' END AS operational,
+CASE WHEN f = 0 AND coalesce(n, 0) = 0 THEN 'None required this period.' WHEN coalesce(n, 0) > 0 THEN 'Collect grab samples to confirm flagged readings and corroborate event classification.' ELSE 'Collect grab samples to confirm flagged readings.' END AS investigative,
+CASE WHEN f > 0 OR coalesce(n, 0) > 0 THEN CASE WHEN coalesce(g, 0) > 0 THEN 'Notify client and relevant authority given event severity.' ELSE 'Notify client.' END ELSE 'Routine report distribution to client only.' END AS stakeholder FROM A LEFT JOIN QE USING (site)""")
 def report_recommendations(spark, sf_dir):
     p = B.site_series(spark, sf_dir)
-    return R.recommendations(R.parameters(p), R.events(p)).select("site", "stakeholder")
+    return R.recommendations(R.parameters(p), R.events(p))
 
 
-@query()
+_UNIT = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{u or ''}'" for m, _, _, u, _ in D.METRICS) + " END"
+_PLAIN = "CASE WHEN {0} = floor({0}) THEN {0}::BIGINT::VARCHAR ELSE {0}::VARCHAR END"
+_PHRASE = "CASE pattern " + " ".join(f"WHEN '{k}' THEN '{v[0].upper() + v[1:]}'" for k, v in R.PATTERNS.items()) + " END"
+
+
+@query(f"""WITH {_FLAGS}, AN AS (SELECT *, {_PHRASE} AS ph, {_UNIT} AS u, flag IN ('Elevated', 'Exceedance') AND mx > hi AS above FROM FL WHERE NOT (flag = 'Normal' AND pattern IN ('flat', 'unknown'))),
+AO AS (SELECT *, {_PLAIN.format('lo')} || '-' || {_PLAIN.format('hi')} || ' ' || u AS span, abs(CASE WHEN above THEN mx - hi ELSE mn - lo END) / (hi - lo) AS over FROM AN)
+SELECT site, metric, CASE flag WHEN 'N/A' THEN ph || '. No fixed baseline exists for this parameter (climate/season-dependent per the source-of-truth doc) -- reported for reference only, not flagged against a range.'
+WHEN 'Normal' THEN ph || ', remaining within the ' || span || ' site baseline.'
+ELSE ph || '; moved ' || CASE WHEN over < 0.05 THEN 'marginally' WHEN over < 0.2 THEN 'slightly' WHEN over < 0.5 THEN 'notably' ELSE 'sharply' END || CASE WHEN above THEN ' above' ELSE ' below' END || ' baseline, recording ' || CASE WHEN flag IN ('Elevated', 'Exceedance') THEN 'an ' ELSE 'a ' END
+    || lower(flag) || ' reading of # ' || u || ' against the ' || span || ' baseline.' || CASE WHEN first_ms IS NULL THEN '' ELSE ' First left baseline at ' || strftime(make_timestamp(first_ms * 1000), '%Y-%m-%d %H:%M') || '.' END END AS line,
+CASE WHEN flag NOT IN ('Normal', 'N/A') THEN round(CASE WHEN above THEN mx ELSE mn END, 1) END AS extreme FROM AO""")
+def analysis_sentences(spark, sf_dir):
+    """Numbers are compared as numbers, one decimal coarser than they are written."""
+    lines = R.analysis_lines(R.parameters(B.site_series(spark, sf_dir)))
+    p = R.parameters(B.site_series(spark, sf_dir)).select("site", "metric", F.when(F.col("flag").isin("Elevated", "Exceedance") & (F.col("max") > F.col("baseline_max")), F.col("max")).otherwise(F.col("min")).alias("e"), "flag")
+    written = F.regexp_extract("line", "reading of (-?[0-9.]+) ", 1).try_cast("double")
+    d = lines.join(p, ["site", "metric"]).withColumn("same", F.abs(written - F.col("e")) <= 0.0051)
+    masked = F.regexp_replace("line", "reading of -?[0-9.]+ ", "reading of # ")
+    return d.select("site", "metric", masked.alias("line"), F.when(F.col("same") & ~F.col("flag").isin("Normal", "N/A"), F.round("e", 1)).alias("extreme"))
+
+
+@query(f"""WITH {_REPORT}, GR AS (SELECT site, CASE flag WHEN 'Exceedance' THEN 2 WHEN 'Elevated' THEN 1 WHEN 'Low' THEN 1 ELSE 0 END AS g FROM FL UNION ALL SELECT site, CASE severity WHEN 'High' THEN 2 ELSE 1 END FROM EA),
+ST AS (SELECT site, CASE max(g) WHEN 2 THEN 'Action Required' WHEN 1 THEN 'Watch' ELSE 'Normal' END AS status FROM GR GROUP BY site),
+LF AS (SELECT site, string_agg(CASE metric {' '.join(f"WHEN '{m}' THEN '{label}'" for m, _, label, *_ in D.METRICS)} END, ', ' ORDER BY list_position([{', '.join(repr(m) for m, *_ in D.METRICS)}], metric)) FILTER (WHERE flag <> 'Normal') AS names FROM FL GROUP BY site)
+SELECT site, status, CASE WHEN coalesce(n, 0) = 0 AND status = 'Normal' THEN 'Overall status: Normal — no action required at this time.|All parameters held within the site baseline for the 2024-01-01 to 2024-01-31 reporting period.|No pollution event signatures were identified; diel and tidal rhythms tracked the site baseline throughout.|Recommendation: continue routine monitoring.'
+ELSE 'Overall status: ' || status || '.|' || coalesce(upper(names[1]) || names[2:], 'No parameters') || ' moved outside the site baseline for the 2024-01-01 to 2024-01-31 reporting period.|'
+    || CASE WHEN coalesce(n, 0) > 0 THEN n || ' candidate event(s) were identified.' ELSE 'No discrete pollution events were identified, though readings moved outside baseline.' END || '|Recommendation: see Recommendations below for the operational, investigative, and stakeholder follow-up.' END AS bullets
+FROM ST JOIN LF USING (site) LEFT JOIN QE USING (site)""")
+def report_summaries(spark, sf_dir):
+    p = B.site_series(spark, sf_dir)
+    return R.summaries(R.parameters(p), R.events(p), "2024-01-01 to 2024-01-31").withColumn("bullets", F.array_join("bullets", "|"))
+
+
+@query(f"""WITH {_SITE}, G AS (SELECT site, metric, floor(ms / 86400000) AS b, avg(value) AS mean, min(value) AS mn, max(value) AS mx, count(*) AS n FROM P GROUP BY ALL), MD AS (SELECT site, metric, quantile_cont(value, 0.5) AS med FROM P WHERE site % 3 <> 0 GROUP BY ALL)
+SELECT site, metric, min(mn) AS min, max(mx) AS max, round(sum(mean * n) / sum(n), 6) AS mean, round(coalesce(any_value(med), sum(mean * n) / sum(n)), 6) AS median, sum(n)::BIGINT AS n FROM G LEFT JOIN MD USING (site, metric) GROUP BY site, metric""")
+def report_from_buckets(spark, sf_dir):
+    p = B.site_series(spark, sf_dir).withColumn("valid", F.lit(True))
+    medians = S.aggregate(p.filter("site % 3 <> 0"), "median", ("site", "metric"))
+    return R.from_buckets(S.series(p, "day", 1 << 30, ("site", "metric")), medians).select("site", "metric", "min", "max", *_six("mean", "median"), "n")
+
+
+@query(f"""WITH {_SITE} SELECT DISTINCT site, metric, lo AS baseline_min, hi AS baseline_max, lo IS NOT NULL AS fixed FROM P""")
+def baseline_lookup(spark, sf_dir):
+    return B.site_series(spark, sf_dir).select("site", "metric", "baseline_min", "baseline_max", F.col("baseline_min").isNotNull().alias("fixed")).distinct()
+
+
+@query("""SELECT name, label FROM (SELECT c_mktsegment || ' Pod ' || c_nationkey AS name, 'dev:' || (c_custkey % 1000) AS label, row_number() OVER (PARTITION BY c_custkey % 1000 ORDER BY c_custkey) AS rn FROM customer) WHERE rn = 1""")
 def devices_by_name(spark, sf_dir):
-    d = G.first_by_label(B.devices(spark, sf_dir))
-    return d.orderBy(F.collate(F.coalesce("name", "label"), "UNICODE"), "label").select("name", "label")
+    return G.by_display_name(G.first_by_label(B.devices(spark, sf_dir))).select("name", "label")
 
 
 @query()

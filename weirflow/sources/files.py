@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.functions.scalars import lenient_double
-from weirflow.operators.corpus import new_only, oversized
+from weirflow.operators.corpus import MAX_CHUNKS, loadable, oversized, upserted
+from weirflow.operators.evaluation import fixture_errors
 
 FIXTURE = """filename string, id string, class string, expected_to_favor string, answerable_from array<string>, requires array<string>, notes string,
     turns array<struct<role: string, content: string, rubric: struct<must_contain: array<string>, must_not: array<string>, cite: array<string>, notes: string>>>"""
@@ -35,10 +38,10 @@ def http_error(status: int | None, timed_out: bool = False) -> SourceError:
 
 
 def text_files(spark: SparkSession, folder: str, pattern: str = "*.{md,txt}", exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(filename, text) of whole files, those named in ``exclude`` left out; sort by filename where order counts."""
+    """(filename, text) of whole files by name, those named in ``exclude`` left out."""
     d = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", pattern).load(folder)
     d = d.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("filename"), F.col("value").alias("text"))
-    return d.filter(~F.col("filename").isin(*exclude)) if exclude else d
+    return (d.filter(~F.col("filename").isin(*exclude)) if exclude else d).orderBy("filename")
 
 
 def scanned(chars, pages):
@@ -51,6 +54,20 @@ def fixtures(spark: SparkSession, folder: str) -> DataFrame:
     return d.withColumn("filename", F.element_at(F.split("_metadata.file_path", "/"), -1))
 
 
+def valid_fixtures(spark: SparkSession, folder: str, known: list[str], in_slice: list[str], classes: list[str]) -> DataFrame:
+    """The fixtures of a folder by name. All are checked, then all errors are raised at once."""
+    d = fixtures(spark, folder)
+    wrong = fixture_errors(d, known, in_slice, classes).orderBy("id", "error").limit(201).collect()
+    if wrong:
+        raise ValueError("\n".join(f"{r.id}: {r.error}" for r in wrong))
+    return d.orderBy("filename")
+
+
+def transcripts_of(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for each transcript asked for (pass, arm, fixtureId): its turns, null where there is none."""
+    return asked.join(found.select("pass", "arm", "fixtureId", "turns"), ["pass", "arm", "fixtureId"], "left")
+
+
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """Transcripts written by `write_transcripts`, their partitions pruned by pass and arm."""
     return spark.read.schema(TRANSCRIPT).json(folder)
@@ -75,25 +92,57 @@ def write_corpus(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def upsert_corpus(df: DataFrame, path: str) -> None:
-    """Replace the stored corpus, unless a document is too large: then nothing is written."""
+    """Put documents into the stored corpus, in place of those of the same identifier; the others stay. Nothing is written if one is too large.
+
+    The new state is written beside the old one and then takes its place.
+    """
     if not oversized(df).isEmpty():
         raise ValueError("a document exceeds the greatest stored size; nothing was written")
-    write_corpus(df, path)
+    spark = df.sparkSession
+    if not _there(spark, path):
+        write_corpus(df, path)
+        return
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    upserted(spark.read.parquet(path), df).write.parquet(new)
+    place = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.rename(place(path), place(old))
+    files.rename(place(new), place(path))
+    files.delete(place(old), True)
+
+
+def load_chunks(incoming: DataFrame, path: str) -> DataFrame:
+    """Append the chunks (filename, title, chunk_index, text) of documents that are not there yet; those without a chunk, or with more than a load takes, are skipped and returned."""
+    spark = incoming.sparkSession
+    existing = spark.read.parquet(path) if _there(spark, path) else None
+    chosen = loadable(incoming, existing)
+    chosen.select("filename", "title", F.posexplode("chunks").alias("chunk_index", "text")).write.mode("append").parquet(path)
+    return incoming.filter(~F.coalesce(F.size("chunks").between(1, MAX_CHUNKS), F.lit(False)))
 
 
-def load_chunks(incoming: DataFrame, path: str) -> None:
-    """Append the chunks of files that are not there yet."""
-    spark = incoming.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    (new_only(incoming, spark.read.parquet(path)) if there else incoming).write.mode("append").parquet(path)
+def score_sheet(fixtures: DataFrame, labels: list[str]) -> DataFrame:
+    """A row to be filled in for each fixture, turn and label, in that order."""
+    turns = fixtures.select("id", F.posexplode("turns").alias("turn", "t"))
+    blank = F.lit(None).cast("string")
+    rows = turns.select("id", "turn", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"), blank.alias("score"), blank.alias("notes"))
+    return rows.orderBy("id", "turn", "label")
 
 
 def write_scores(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_prompts(df: DataFrame, path: str) -> None:
+    """Starter prompts as JSON, a line each."""
+    df.write.mode("overwrite").json(path)
+
+
 def slice_source(spark: SparkSession, kind: str, path: str) -> DataFrame:
     """The slice from a corpus artifact or a store of documents; an unknown kind is an error, never a fallback."""
     if kind not in ("artifact", "store"):

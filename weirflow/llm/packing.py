@@ -1,17 +1,19 @@
-"""Best-fit packing of tokenised documents into sequences of a fixed capacity.
-
-Pieces and gaps are range-sorted by size. Sizes are whole numbers up to the capacity, so the sorted order
-is kept run-length coded: for each size the number of pieces (counted on the executors) or the ranges of
-sequence numbers with such a gap. A sweep takes the longest open class of pieces, finds for it the
-successor among the gaps (the smallest that is large enough), settles who gets which gap by rank within
-the class, updates the gaps and goes on to the next; pieces for which no gap is left open new sequences.
-That gives best-fit decreasing for any number of pieces with a table bounded by the capacity, not by the
-corpus. Ranks come from the executors: each counts the pieces of a length in its own partition, a running
-sum over partitions turns the counts into offsets, and the placement of a piece follows from its length
-and rank alone.
+"""Best-fit packing of tokenised documents into sequences of a fixed capacity, in bulk-synchronous rounds.
+
+Pieces longer than half a sequence open one each; the others follow in classes of falling length. In a round the open
+pieces of a class and the gaps that may take them are sorted by size, each over as many slices as they fill: the places
+in the order come from counts by size, ties are split by a hash, so that neither a common length nor a large table
+makes a slice large. Each slice is a sweep of its own: its pieces, the longest first, take their successor among its
+gaps, the smallest that is large enough; of pieces that want the same gap the first by rank (length, then number) has
+it, and what is left of the gap is one again at once. Gaps and pieces that were not matched are dealt anew in the next
+round, as long as rounds place much; what then is left opens new sequences, whose gaps the next class finds.
+One slice alone does best-fit decreasing; with many, only the gaps at their borders differ.
+
+Every round is written out, and a sequence is named by the number of the piece that opened it, so recomputation changes
+nothing. The driver sees counts by size, at most twice the capacity.
 
 Defined results: null text counts as empty and is the end token alone; a text longer than the capacity is
-cut into full pieces and a shorter last one; rows that repeat a doc_id are packed each; an empty table
+cut into full pieces and a shorter last one; rows that repeat a doc_id, or have none, are packed each; an empty table
 gives no rows; further columns of the input are ignored, whatever their names.
 """
 
@@ -20,36 +22,43 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
-from bisect import bisect_left, insort
-from collections import defaultdict
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import keyed_join, materialise, text_of
+from weirflow.llm.common import materialise, text_of, unit_hash
 
 CAPACITY, END_ID = 4096, 1
-#: Entries of the caches of tokenised pieces of text in each Python worker; a full cache is emptied.
-CACHED = 600_000
+#: Rows of a slice, about; ratio of the lengths of a class, and share of the capacity below which all are one; share of its pieces that a round must place to be repeated.
+SLICE_ROWS, CLASS_RATIO, LAST_CLASS, WORTHWHILE = 20_000, 4, 32, 0.1
+#: Words of which a Python worker remembers the ids; beyond it forgets them all.
+CACHED = 1_000_000
 
 # The tokenizer's own split pattern, spelt out for the characters below, whose classes no Unicode version changes.
 _LETTERS, _NUMBERS, _BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
-_UNUSUAL = re.compile("[^\x00-ſ]|[\x1c-\x1fİ]")
+_UNUSUAL = "[^\\x00-ſ]|[\\x1c-\\x1fİ]"
+
+
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start, start + 1 ... of each of many runs, one after another."""
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)
 
 
 class WordTokenizer:
-    """Token ids of whole texts, equal to the tokenizer's own; words seen before come from a cache.
+    """Token ids of whole texts, equal to the tokenizer's own.
 
     The tokenizer lower-cases, splits at white space and classes of characters, and merges within words
-    only. Texts with characters beyond Latin Extended-A, or with control characters on whose class
-    libraries differ, go to the tokenizer whole.
+    only. So the words of many texts are told apart at once by Arrow, each distinct one is looked up once, the tokenizer
+    is asked for those not met before, and ids are gathered from one buffer. Texts with characters beyond Latin
+    Extended-A, or with control characters on whose class libraries differ, go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,60 +67,92 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, np.bool_)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.unusual = "|".join([_UNUSUAL, *specials])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # the number of a word; its ids are a slice of the buffer
+        self.start, self.length, self.buffer = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of single words, by texts of many words: the token that ends a word says so."""
-        out: list[bytes] = []
+    def _add(self, names: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        self.known.update(zip(names, range(len(self.start), len(self.start) + len(names)), strict=True))
+        self.start = np.concatenate([self.start, len(self.buffer) + np.cumsum(length) - length])
+        self.length, self.buffer = np.concatenate([self.length, length]), np.concatenate([self.buffer, ids])
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of single words one after another, and how many each has; by texts of many words: the token that ends a word says so."""
+        ids, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for i in range(0, len(words), 4096):
             own = words[i : i + 4096]
-            data = self._encode([" ".join(own)])[0]
-            ends = (np.flatnonzero(self.ends_word[np.frombuffer(data, np.uint32)]) + 1) * 4
-            if len(ends) == len(own):
-                out += [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            (data,) = self.encode([" ".join(own)])
+            ends = np.flatnonzero(self.ends_word[data]) + 1
+            if len(ends) == len(own) and (not len(ends) or ends[-1] == len(data)):
+                ids.append(data)
+                lengths.append(np.diff(ends, prepend=0))
             else:
-                out += self._encode(own)
-        return out
-
-    def _learn(self, runs: set[str]) -> None:
-        # The caller tests one by one: a difference with the keys of a dict would go through the whole cache.
-        if len(self.words) > CACHED:
-            self.words.clear()
-        split = {r: _SPLIT.findall(r) for r in runs}
-        new = list({w for ws in split.values() for w in ws if w not in self.words})
-        self.words.update(zip(new, self._encode_words(new), strict=True))
-        words = self.words
-        for r, ws in split.items():
-            self.runs[r] = b"".join([words[w] for w in ws])
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as native unsigned 32-bit numbers, without an end token."""
-        if len(self.runs) > CACHED:
-            self.runs.clear()
-        plain: list[list[str] | None] = []
-        for t in texts:
-            usual = not _UNUSUAL.search(t) and not any(s in t for s in self.specials)
-            plain.append(t.lower().split() if usual else None)
-        self._learn({r for runs in plain if runs for r in runs if r not in self.runs})
-        out = []
-        for t, runs in zip(texts, plain, strict=True):
-            out += self._encode([t]) if runs is None else [b"".join(map(self.runs.__getitem__, runs))]
-        return out
+                each = self.encode(own)
+                ids += each
+                lengths.append(np.array([len(e) for e in each], np.int64))
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _learn(self, new: list[str]) -> None:
+        """New runs of characters between blanks: words and signs in them are learned first, then those runs that have several."""
+        split = [[r] if r.isalpha() else _SPLIT.findall(r) for r in new]
+        words = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.known]
+        self._add(words, *self._encode_words(words))
+        several = [(r, ws) for r, ws in zip(new, split, strict=True) if r not in self.known]
+        at = np.array([self.known[w] for _, ws in several for w in ws], np.int64)
+        n = np.array([len(ws) for _, ws in several], np.int64)
+        ends = np.concatenate([[0], np.cumsum(self.length[at])])
+        last = np.cumsum(n)
+        self._add([r for r, _ in several], self.buffer[_spread(self.start[at], self.length[at])], ends[last] - ends[last - n])
+
+    def batch(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each followed by ``end`` if there is one; and where each text's begin, and the end."""
+        if len(self.known) > CACHED:
+            self._forget()
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.unusual).to_numpy(zero_copy_only=False))
+        plain = texts
+        if len(odd):
+            blank = np.zeros(len(texts), np.bool_)
+            blank[odd] = True
+            plain = pc.if_else(pa.array(blank), "", texts)
+        lists = pc.utf8_split_whitespace(pc.utf8_lower(plain))
+        runs = lists.flatten().dictionary_encode()
+        names = runs.dictionary.to_pylist()
+        self._learn([r for r in names if r and r not in self.known])
+        number = np.array([self.known[r] if r else -1 for r in names], np.int64)
+        code = number[runs.indices.to_numpy(zero_copy_only=False)] if len(runs) else np.empty(0, np.int64)
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        keep = code >= 0  # a blank at an edge of a text makes an empty run
+        filled = np.concatenate([[0], np.cumsum(keep)])
+        code, at = code[keep], filled[at]
+        if end is not None:
+            if "\0end" not in self.known:
+                self._add(["\0end"], np.array([end], np.uint32), np.array([1], np.int64))
+            code = np.insert(code, at[1:], self.known["\0end"])
+            at = at + np.arange(len(at))
+        length = self.length[code]
+        ids, ends = self.buffer[_spread(self.start[code], length)], np.concatenate([[0], np.cumsum(length)])[at]
+        if not len(odd):
+            return ids, ends
+        parts = [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        for i, own in zip(odd, self.encode([texts[int(i)].as_py() for i in odd]), strict=True):
+            parts[i] = np.concatenate([own, parts[i]])  # the end, if any
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 _PIECES = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-    T.StructField("ids_crc32", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("local_rank", T.LongType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
 ])
 
 
@@ -119,91 +160,135 @@ def _tokenise(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _TOKENIZERS:
             _TOKENIZERS[path] = WordTokenizer(path)
-        part, seen, end = TaskContext.get().partitionId(), defaultdict(int), np.array([end_id], np.uint32).tobytes()
         for batch in batches:
-            rows: list[list] = [[] for _ in _PIECES]
-            ids_of = batch.column(0).to_pylist()
-            for a in range(0, len(ids_of), 256):
-                texts = batch.column(1).slice(a, 256).to_pylist()
-                for doc_id, ids in zip(ids_of[a : a + 256], _TOKENIZERS[path].ids(texts), strict=True):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        n = len(own) // 4
-                        for column, value in zip(rows, (doc_id, k, at // 4, n, zlib.crc32(np.frombuffer(own, np.uint32).astype("<u4").tobytes()), part, seen[n]), strict=True):
-                            column.append(value)
-                        seen[n] += 1
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names=_PIECES.names)
+            for texts, a, n in _portions(batch.column(1)):
+                ids, ends = _TOKENIZERS[path].batch(texts, end_id)
+                tokens = np.diff(ends)
+                count = -(-tokens // capacity)  # one at least, as each has its end
+                row, piece = np.repeat(np.arange(n), count), _spread(np.zeros(n, np.int64), count)
+                start = piece * capacity
+                length = np.minimum(tokens[row] - start, capacity)
+                view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                first = (ends[row] + start) * 4
+                crc = [zlib.crc32(view[i:j]) for i, j in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+                columns = [batch.column(0).slice(a, n).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=_PIECES.names)
 
     return run
 
 
+def _portions(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[pa.Array, int, int]]:
+    """The texts in portions of some 16 MB, or of one text: with the number of the first and how many."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    a, n = 0, len(texts)
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield texts.slice(a, b - a), a, b - a
+        a = b
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of all documents, with the partition that made each and its rank among that partition's pieces of its length; written out, so that ranks stand whatever is lost."""
-    return materialise(docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).mapInArrow(_tokenise(tokenizer_path, capacity, end_id), _PIECES), "pieces")
-
-
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Placements (length, first rank, end rank, first sequence, pieces of this length per sequence, offset) from the number of pieces of each length."""
-    placed: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: ranges (first sequence, how many)
-    sizes: list[int] = []  # the gaps, ascending
-    sequences = 0
-
-    def give(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                insort(sizes, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, end = 0, counts[length]
-        while rank < end:
-            at = bisect_left(sizes, length)  # the successor among the gaps
-            if at == len(sizes):
-                per = capacity // length
-                n = -(-(end - rank) // per)
-                give(capacity, sequences, n)
-                sequences += n
-                continue
-            gap = sizes[at]
-            first, n = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap], sizes[at]
-            per = min(gap // length, end - rank)
-            used = min(n, (end - rank) // per)
-            placed.append((length, rank, rank + used * per, first, per, capacity - gap))
-            rank += used * per
-            give(gap, first + used, n - used)
-            give(gap - per * length, first, used)
-    return placed
-
-
-_PLACED = T.StructType([*_PIECES.fields[:5], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-
-
-def _place(table: np.ndarray):
-    keys = table[:, 0].astype(np.int64) << 44 | table[:, 1]  # by length, then by rank: a piece belongs to the last row not above it
+    """The pieces of all documents with a number each (node), written out so that numbers stand whatever is lost."""
+    made = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).mapInArrow(_tokenise(tokenizer_path, capacity, end_id), _PIECES)
+    return materialise(made.withColumn("node", F.monotonically_increasing_id()), "pieces")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
-            row = table[np.searchsorted(keys, length << 44 | rank, side="right") - 1]
-            nth = rank - row[:, 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(row[:, 3] + nth // row[:, 4]), pa.array(row[:, 5] + nth % row[:, 4] * length)], names=_PLACED.names)
+
+#: Kinds of rows of a round: a piece without a place, a gap (size: what is left of the sequence), a piece with its place.
+OPEN, GAP, PLACED = 0, 1, 2
+_ROWS = T.StructType([*_PIECES.fields, T.StructField("node", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("size", T.LongType()), T.StructField("kind", T.IntegerType())])
+
+
+def best_fit(lengths: list[int], gaps: list[tuple[int, int]], capacity: int, opening: bool) -> tuple[list[tuple[int, int] | None], list[tuple[int, int]]]:
+    """Places for pieces in the order given: (name of the sequence, gap it took) or None; and the gaps left, ascending.
+
+    ``gaps``: (size, name). Where ``opening``, a piece without a gap opens a sequence, named by minus one minus its index.
+    """
+    free = sorted(gaps)
+    places: list[tuple[int, int] | None] = []
+    for i, n in enumerate(lengths):
+        at = bisect_left(free, (n, -(1 << 62)))
+        if at < len(free):
+            size, name = free.pop(at)
+        elif opening:
+            size, name = capacity, -1 - i
+        else:
+            places.append(None)
+            continue
+        places.append((name, size))
+        if size > n:
+            rest = (size - n, name)
+            free.insert(bisect_left(free, rest), rest)
+    return places, free
+
+
+def _sweep(capacity: int, opening: bool):
+    def run(rows: pa.Table) -> pa.Table:
+        own = rows.drop_columns(["slice"])
+        is_gap = np.asarray(own.column("kind")) == GAP
+        waiting = own.filter(pa.array(~is_gap)).sort_by([("size", "descending"), ("node", "ascending")])
+        gaps = own.filter(pa.array(is_gap))
+        node = waiting.column("node").to_pylist()
+        found, free = best_fit(waiting.column("size").to_pylist(), list(zip(gaps.column("size").to_pylist(), gaps.column("sequence_id").to_pylist(), strict=True)), capacity, opening)
+        name = lambda x: x if x >= 0 else node[-1 - x]
+        placed = waiting.set_column(6, "sequence_id", pa.array([p and name(p[0]) for p in found], pa.int64()))
+        placed = placed.set_column(7, "offset", pa.array([p and capacity - p[1] for p in found], pa.int64()))
+        placed = placed.set_column(9, "kind", pa.array([PLACED if p else OPEN for p in found], pa.int32()))
+        none = {c: pa.nulls(len(free), placed.schema.field(c).type) for c in placed.column_names}
+        none |= {"sequence_id": pa.array([name(x) for _, x in free], pa.int64()), "size": pa.array([n for n, _ in free], pa.int64()), "kind": pa.array([GAP] * len(free), pa.int32())}
+        return pa.concat_tables([placed, pa.table(none, schema=placed.schema)])
 
     return run
 
 
+def _sliced(rows: DataFrame, counts: dict[int, dict[int, int]], slices: int) -> DataFrame:
+    """The rows with their slice: the place of a row among those of its kind, the largest first, in ``slices`` equal parts."""
+    placed = []
+    for kind, by_size in counts.items():
+        before, whole = 0, sum(by_size.values())
+        for size in sorted(by_size, reverse=True):
+            placed.append((kind, size, before / whole * slices, by_size[size] / whole * slices))
+            before += by_size[size]
+    table = rows.sparkSession.createDataFrame(placed, "kind int, size long, first double, span double")  # at most twice the capacity
+    part = F.col("first") + F.col("span") * unit_hash(F.coalesce("node", "sequence_id"), seed=10)
+    return rows.join(F.broadcast(table), ["kind", "size"]).select(*_ROWS.names, F.least(F.floor(part), F.lit(slices - 1)).cast("int").alias("slice"))
+
+
+def place(made: DataFrame, capacity: int = CAPACITY, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The rows of ``made`` (`pieces`) with sequence_id and offset."""
+    none = F.lit(None).cast("long")
+    waiting = made.select(*_PIECES.names, "node", none.alias("sequence_id"), none.alias("offset"), F.col("length").alias("size"), F.lit(OPEN).alias("kind"))
+    long = f"size > {capacity // 2}"
+    done = [waiting.filter(long).withColumns({"sequence_id": F.col("node"), "offset": F.lit(0).cast("long"), "kind": F.lit(PLACED)})]
+    null = [F.lit(None).cast(f.dataType).alias(f.name) for f in _ROWS.fields[:6]]
+    gaps = waiting.filter(f"{long} AND size < {capacity}").select(*null, F.col("node").alias("sequence_id"), none.alias("offset"), (capacity - F.col("size")).alias("size"), F.lit(GAP).alias("kind"))
+    high = capacity // 2
+    while high > 0:
+        low = high // CLASS_RATIO if high // CLASS_RATIO * LAST_CLASS >= capacity else 0
+        own, opening, before = waiting.filter(f"size > {low} AND size <= {high}"), False, None
+        while True:
+            rows = own.unionByName(gaps.filter(f"size > {low}"))
+            counts: dict[int, dict[int, int]] = {OPEN: {}, GAP: {}}
+            for r in rows.groupBy("kind", "size").agg(F.count("*").alias("n")).collect():
+                counts[r.kind][r.size] = r.n
+            n = sum(counts[OPEN].values())
+            if not n:
+                break
+            slices = -(-(n + sum(counts[GAP].values())) // slice_rows)
+            stalled = before is not None and before - n < WORTHWHILE * before
+            opening = stalled or slices == 1 or max(counts[GAP], default=0) < min(counts[OPEN])
+            made_now = materialise(_sliced(rows, counts, slices).groupBy("slice").applyInArrow(_sweep(capacity, opening), _ROWS), "round")
+            done.append(made_now.filter(F.col("kind") == PLACED))
+            gaps = gaps.filter(f"size <= {low}").unionByName(made_now.filter(F.col("kind") == GAP))
+            own, before = made_now.filter(F.col("kind") == OPEN), n
+            if opening:
+                break
+        high = low
+    whole = done[0]
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    return whole.select(*_PIECES.names, "sequence_id", "offset")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    made = pieces(docs, tokenizer_path, capacity, end_id)
-    counted = made.groupBy("part", "length").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition, not for each piece
-    offsets = materialise(counted.select("part", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier")), "offsets")
-    counts = {int(r.length): int(r.n) for r in offsets.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    table = np.array(sorted(best_fit(counts, capacity)), np.int64).reshape(-1, 6)
-    ranked = keyed_join(made, offsets.drop("n"), ["part", "length"], "left").select(*_PIECES.names[:5], (F.col("earlier") + F.col("local_rank")).alias("rank"))
-    return ranked.mapInArrow(_place(table), _PLACED)
+    return place(pieces(docs, tokenizer_path, capacity, end_id), capacity)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 import weakref
@@ -85,8 +86,8 @@ def let(x: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def bucket_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the ascending ``bounds`` are below the key, looked up in two steps."""
-    each = 128
+    """How many of the ascending ``bounds`` are below the key, looked up in two steps of about as many comparisons."""
+    each = max(128, math.isqrt(len(bounds)))
     if len(bounds) <= each:
         return F.size(F.filter(longs(bounds), lambda x: x < key))
     parts = [bounds[i : i + each] for i in range(0, len(bounds), each)]

@@ -18,6 +18,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -41,16 +42,37 @@ HINTS = {
 }
 _HINT_OF = {w: k for k, ws in HINTS.items() for w in ws.split()}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+# A tag is its name and then attributes: blanks and slashes between names, each with a value that is quoted, or else goes on to a blank or the end of the tag.
+_VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+{_VALUE}?+)?+|=)*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
 _PART = re.compile(r"[a-z]+")
 
 
+# Elements that hide an open paragraph from what comes inside them.
+P_SCOPE = frozenset("html body table td th caption button object marquee".split())
+#: Elements that features tell by name; others count as elements of no name, so that invented names cost no memory.
+NAMED = frozenset("a article aside blockquote body button dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header label li main nav ol option p pre section select summary table tbody td th thead tr ul".split())
+
+
+class Open:
+    """An open element. What its ancestors say is kept as sets that are shared where nothing is new, so depth costs no copies."""
+
+    __slots__ = ("tag", "up", "tags", "hints", "outer")
+
+    def __init__(self, tag: str, own: tuple[str, ...], up: Open | None) -> None:
+        self.tag, self.up = tag, up
+        tags, hints = (up.tags, up.hints) if up else (frozenset(), frozenset())
+        self.tags = tags if tag in tags or tag not in NAMED else tags | {tag}
+        self.hints = hints if hints.issuperset(own) else hints.union(own)
+        self.outer = (up.outer if up else "") if tag in INLINE else tag if tag in NAMED else "other"
+
+
 @dataclass
 class Block:
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # open elements with their hints
+    at: Open | None  # the innermost open element
     linked: int  # characters inside links
 
 
@@ -65,90 +87,107 @@ def _hints(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order, with white space collapsed and character references decoded."""
-    page, out, at = page or "", [], 0
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    linked = links = 0
+class _Reader:
+    """Reads one page into blocks; how often each element is open is counted, so that no close searches the stack in vain."""
 
-    def text(s: str) -> None:
-        nonlocal linked
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.parts: list[str] = []
+        self.top: Open | None = None
+        self.open: Counter[str] = Counter()
+        self.linked = 0
+
+    def text(self, s: str) -> None:
         if s:
-            parts.append(s)
-            if links:
-                linked += len(s.strip())
-
-    def border() -> None:
-        nonlocal linked
-        if parts:
-            if joined := " ".join(entities.unescape("".join(parts)).split()):
-                out.append(Block(joined, tuple(stack), linked))
-            parts.clear()
-        linked = 0
-
-    n, find = len(page), _TOKEN.search
-    while at < n:
-        if not (m := find(page, at)):
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        if not (tag := m[2]):
-            continue
-        tag = tag.lower()
-        if tag == "br":
-            parts.append(" ")
-            continue
-        if m[1]:
-            if any(t == tag for t, _ in stack):
-                if tag not in INLINE:
-                    border()
-                while stack:
-                    t, _ = stack.pop()
-                    links -= t == "a"
-                    if t == tag:
-                        break
-            elif tag not in INLINE:
-                border()
-            continue
-        if tag in _RAW_END:
-            if tag not in INLINE:
-                border()
-            end = _RAW_END[tag].search(page, at)
-            at = end.end() if end else n
-            continue
+            self.parts.append(s)
+            if self.open["a"]:
+                self.linked += len(s.strip())
+
+    def border(self) -> None:
+        if self.parts:
+            if joined := " ".join(entities.unescape("".join(self.parts)).split()):
+                self.out.append(Block(joined, self.top, self.linked))
+            self.parts.clear()
+        self.linked = 0
+
+    def pop(self, tag: str) -> None:
+        """Close the innermost element of the name, with all that is open in it."""
+        while self.top:
+            was, self.top = self.top.tag, self.top.up
+            self.open[was] -= 1
+            if was == tag:
+                break
+
+    def close_paragraph(self) -> None:
+        at = self.top if self.open["p"] else None
+        while at and at.tag not in P_SCOPE:
+            if at.tag == "p":
+                self.pop("p")
+                return
+            at = at.up
+
+    def start(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
-            border()
+            self.border()
             if tag in CLOSES_P:
-                while any(t == "p" for t, _ in stack[-4:]):  # an open paragraph, and what is open in it, ends here
-                    t, _ = stack.pop()
-                    links -= t == "a"
-            if stack and tag in ("li", "td", "tr", "option", "dt", "dd") and stack[-1][0] == tag:
-                stack.pop()
-        if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, _hints(m[3]) if m[3] else ()))
-            links += tag == "a"
-    border()
-    return out
+                self.close_paragraph()
+            if self.top and tag in ("li", "td", "tr", "option", "dt", "dd") and self.top.tag == tag:
+                self.pop(tag)
+        if tag not in VOID and not attributes.endswith("/"):
+            self.top = Open(tag, _hints(attributes) if attributes else (), self.top)
+            self.open[tag] += 1
+
+    def end(self, tag: str) -> None:
+        if tag not in INLINE:
+            self.border()
+        if self.open[tag]:
+            self.pop(tag)
+
+    def read(self, page: str) -> list[Block]:
+        at, n, find = 0, len(page), _TOKEN.search
+        while at < n:
+            if not (m := find(page, at)):
+                self.text(page[at:])
+                break
+            self.text(page[at : m.start()])
+            at = m.end()
+            if not (tag := m[2]):
+                continue
+            tag = tag.lower()
+            if tag == "br":
+                self.parts.append(" ")
+            elif m[1]:
+                self.end(tag)
+            elif tag in _RAW_END:
+                if tag not in INLINE:
+                    self.border()
+                end = _RAW_END[tag].search(page, at)
+                at = end.end() if end else n
+            else:
+                self.start(tag, m[3])
+        self.border()
+        return self.out
+
+
+def blocks(page: str | None) -> list[Block]:
+    """The leaf blocks of a page in order, with white space collapsed and character references decoded."""
+    return _Reader().read(page or "")
 
 
 def features(own: list[Block]) -> list[list[str]]:
     """For each block the names of its features: ancestors, hints, links, wording and place."""
     out = []
     for i, b in enumerate(own):
-        tags = {t for t, _ in b.path}
-        hints = {h for _, hs in b.path for h in hs}
-        outer = [t for t, _ in b.path if t not in INLINE]
+        tags, hints, outer = (b.at.tags, b.at.hints, b.at.outer) if b.at else (frozenset(), frozenset(), "")
         n, words = len(b.text), b.text.count(" ") + 1
         share = b.linked / n
-        f = ["one", f"tag={outer[-1] if outer else ''}", f"size={min(7, n.bit_length() - 3 if n > 7 else 0)}", f"links={0 if not share else 1 if share < 0.3 else 2 if share < 0.8 else 3}"]
+        f = ["one", f"tag={outer}", f"size={min(7, n.bit_length() - 3 if n > 7 else 0)}", f"links={0 if not share else 1 if share < 0.3 else 2 if share < 0.8 else 3}"]
         f += [f"in={t}" for t in tags if t not in INLINE or t == "a"]
         f += [f"hint={h}" for h in hints]
         f += [f"hint={h}&article" for h in hints if "article" in tags or "main" in tags]
         f.append("stop" if b.text[-1] in ".!?…。" else "nostop")
         if "article" in tags or "main" in tags:
-            f.append(f"inner&{outer[-1]}")
+            f.append(f"inner&{outer}")
         if words < 5:
             f.append("few")
         if "©" in b.text:
@@ -190,6 +229,30 @@ class Crf:
         return path[::-1]
 
 
+def marginals(x: np.ndarray, inside: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of chains padded to one length: the log of the sum over all labellings, the probability of each label at each place, and the expected numbers of moves.
+
+    ``x``: [chain, place, label] scores, zero where not ``inside``.
+    """
+    most = x.shape[1]
+    log_sum = np.logaddexp.reduce
+    forward, backward = np.zeros_like(x), np.zeros_like(x)
+    forward[:, 0] = x[:, 0]
+    for t in range(1, most):
+        new = x[:, t] + log_sum(forward[:, t - 1, :, None] + move, axis=1)
+        forward[:, t] = np.where(inside[:, t, None], new, forward[:, t - 1])
+    for t in range(most - 2, -1, -1):
+        new = log_sum(move + (x[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
+        backward[:, t] = np.where(inside[:, t + 1, None], new, 0)
+    z = log_sum(forward[:, -1], axis=1)
+    p = np.exp(forward + backward - z[:, None, None])
+    pairs = np.zeros((2, 2))
+    for t in range(1, most):
+        both = np.exp(forward[:, t - 1, :, None] + move + (x[:, t] + backward[:, t])[:, None, :] - z[:, None, None])
+        pairs += both[inside[:, t]].sum(axis=0)
+    return z, p, pairs
+
+
 def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 120, penalty: float = 0.02) -> Crf:
     """Maximum likelihood with an L2 penalty, by Adagrad on the exact gradient from forward and backward sums."""
     names = {x: i for i, x in enumerate(sorted({x for fs, _ in pages for f in fs for x in f}))}
@@ -204,29 +267,14 @@ def fit(pages: list[tuple[list[list[str]], list[int]]], steps: int = 120, penalt
     for k, (a, n) in enumerate(zip(ends[:-1], length, strict=True)):
         place[k, :n] = np.arange(a, a + n)
     inside = place >= 0
-    log_sum = lambda x, axis: np.logaddexp.reduce(x, axis=axis)
     sums, move_sums = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
     pair_truth = np.zeros((2, 2))
     for _, y in coded:
         np.add.at(pair_truth, (y[:-1], y[1:]), 1)
     for _ in range(steps):
-        e = np.zeros((len(row) and int(ends[-1]), 2))
+        e = np.zeros((int(ends[-1]), 2))
         np.add.at(e, row, emit[flat])
-        x = np.where(inside[..., None], e[place], 0)
-        forward, backward = np.zeros_like(x), np.zeros_like(x)
-        forward[:, 0] = x[:, 0]
-        for t in range(1, most):
-            new = x[:, t] + log_sum(forward[:, t - 1, :, None] + move, 1)
-            forward[:, t] = np.where(inside[:, t, None], new, forward[:, t - 1])
-        for t in range(most - 2, -1, -1):
-            new = log_sum(move + (x[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-            backward[:, t] = np.where(inside[:, t + 1, None], new, 0)
-        z = log_sum(forward[:, -1], 1)
-        p = np.exp(forward + backward - z[:, None, None])
-        pairs = np.zeros((2, 2))
-        for t in range(1, most):
-            both = np.exp(forward[:, t - 1, :, None] + move + (x[:, t] + backward[:, t])[:, None, :] - z[:, None, None])
-            pairs += both[inside[:, t]].sum(axis=0)
+        _, p, pairs = marginals(np.where(inside[..., None], e[place], 0), inside, move)
         miss = np.zeros_like(e)
         miss[place[inside]] = p[inside]
         miss[np.arange(len(truth)), truth] -= 1
@@ -250,7 +298,7 @@ class _Maker:
         r = self.r
         s = " ".join("".join(r.choice("abdefghilmnoprstuvéüñ") for _ in range(r.randint(2, 9))) for _ in range(r.randint(a, b))).capitalize()
         if r.random() < 0.15:
-            s = " ".join(w + r.choice(["&amp;&amp;", "%%%", "***", "!!"]) for w in s.split())
+            s = s.replace(" ", f"{r.choice([',', ';', ' &amp;', ' -'])} ")
         return s + (r.choice(".....!?") if stop and r.random() < 0.93 else "")
 
     def mark(self, kind: str) -> str:

@@ -31,32 +31,18 @@ def test_langid(spark):
     assert {x.lang_pred for x in langid.identify(df.filter("lang IS NULL")).collect()} == {"und"}
 
 
-def test_code_lengths_are_exact():
-    """Tabulated costs against prediction by partial matching written out, with escapes and exclusions."""
-    text = "abracadabra abracad alakazam abra"
-    code, n = np.unique(langid.grams(langid.as_bytes(text)), return_counts=True)
-    model = langid.build({"xx": (code, n)})
-    data = langid.as_bytes(text)
-    kept = {()}
-    pending = [(0, ())]
-    while pending:  # the contexts of the tree, read off its steps
-        at, context = pending.pop()
-        for b in range(256):
-            longer = int(model.step[at, b])
-            if longer < len(model.step) - 1:
-                kept.add((b, *context))
-                pending.append((longer, (b, *context)))
-    counts = {}
+def plain_code_length(trained, probe):
+    """Prediction by partial matching written out for one text that was learned from and one that is coded."""
+    data, counts, total = langid.as_bytes(trained), {}, 0.0
     for i in range(langid.ORDER, len(data)):
         for k in range(langid.ORDER + 1):
-            counts.setdefault(tuple(data[i - k : i].tolist()), {}).setdefault(int(data[i]), 0)
-            counts[tuple(data[i - k : i].tolist())][int(data[i])] += 1
-    probe, total = langid.as_bytes("abrazam xyz"), 0.0
+            own = counts.setdefault(tuple(data[i - k : i].tolist()), {})
+            own[int(data[i])] = own.get(int(data[i]), 0) + 1
+    probe = langid.as_bytes(probe)
     for i in range(langid.ORDER, len(probe)):
-        k = langid.ORDER
-        while tuple(probe[i - k : i].tolist()) not in kept:
+        k, out = langid.ORDER, set()
+        while k and sum(counts.get(tuple(probe[i - k : i].tolist()), {}).values()) < 2:
             k -= 1
-        out = set()
         for j in range(k, -1, -1):
             seen = {s: c for s, c in counts.get(tuple(probe[i - j : i].tolist()), {}).items() if s not in out}
             whole = sum(seen.values()) + len(seen)
@@ -68,13 +54,52 @@ def test_code_lengths_are_exact():
             out |= seen.keys()
         else:
             total += math.log2(256 - len(out))
-    assert model.code_lengths(probe)[0] == pytest.approx(total, rel=1e-5)
+    return total
+
+
+TRAINED = {"xx": "abracadabra abracad alakazam abra", "yy": "the cat sat on the mat that the rat had", "zz": "ab ab ab zz zz"}
+
+
+def learned(texts):
+    return langid.build({x: np.unique(langid.grams(langid.as_bytes(t)), return_counts=True) for x, t in texts.items()})
+
+
+@pytest.mark.parametrize("probe", ["abrazam xyz", "the rat", "ÿ ab", "abracadabra " * 20, "q"])
+def test_code_lengths_are_exact(probe):
+    """Tabulated costs in several languages, from the memo and not, against the method written out."""
+    model = learned(TRAINED)
+    for _ in range(2):
+        got = model.code_lengths(langid.as_bytes(probe))
+        for x, bits in zip(model.langs, got, strict=True):
+            assert bits == pytest.approx(plain_code_length(TRAINED[x], probe), rel=1e-5)
+    nats = got * math.log(2)
+    assert model.predict(probe) == (model.langs[int(np.argmin(nats))], pytest.approx(float(np.exp(nats.min() - nats).sum() ** -1)))
+
+
+def test_memo_is_checked(monkeypatch):
+    """Grams that fall on one place never get each other's costs."""
+    monkeypatch.setattr(langid, "MEMO_BITS", 2)
+    model = learned(TRAINED)
+    for probe in ("the cat abracadabra zz", "cat the zz ab", "the cat abracadabra zz"):
+        assert model.code_lengths(langid.as_bytes(probe)) == pytest.approx([plain_code_length(TRAINED[x], probe) for x in model.langs], rel=1e-5)
 
 
 def test_every_context_sums_to_one():
-    code, n = np.unique(langid.grams(langid.as_bytes("the cat sat on the mat that the rat had")), return_counts=True)
-    bits = langid.build({"xx": (code, n)}).bits[:, :, 0].astype(np.float64)
-    assert np.allclose((2.0**-bits).sum(axis=1), 1, atol=1e-4)
+    t = learned(TRAINED).trees["yy"]
+    p = 2.0 ** -t.bits.astype(np.float64)
+    letters = t.bits.shape[1] - 1
+    assert np.allclose(p[:, :letters].sum(axis=1) + (256 - letters) * p[:, letters], 1, atol=1e-4)
+
+
+def test_groups_of_languages(spark):
+    """Trees in several passes give what they give in one."""
+    r = random.Random(1)
+    alphabets = ["abcde", "fghij", "klmno", "abfgk"]
+    rows = [(i, words(r, alphabets[i % 4], 30), f"l{i % 4}", "s", 0) for i in range(120)] + ODD
+    df = spark.createDataFrame(rows + rows[:3], SCHEMA)
+    model = langid.train(df)
+    one, many = (sorted((str(x.doc_id), x.held_out, x.lang_pred, round(x.score, 9)) for x in langid.identify(df, model, most).collect()) for most in (1 << 30, 1))
+    assert one == many and len(model.groups(1)) > 3
 
 
 @pytest.fixture(scope="module")
@@ -129,6 +154,69 @@ def test_blocks():
     assert html_extract.blocks("<script>x") == [] == html_extract.blocks(None)
 
 
+def test_odd_attributes():
+    """Apostrophes in values without quotes, values that hold signs, slashes and missing values end where they should."""
+    page = "<article><h1>Head line here.</h1><p title=it's>First of them.</p><p data-x=a\"b checked / id = 'a>b' alt=\"it's\">Second, 1 < 2.</p><p title=''x>Third.</p><img alt=>Fourth.</article>"
+    assert [x.text for x in html_extract.blocks(page)] == ["Head line here.", "First of them.", "Second, 1 < 2.", "Third.", "Fourth."]
+    assert html_extract.main_text(page, html_extract.trained()).split("\n")[:4] == ["Head line here.", "First of them.", "Second, 1 < 2.", "Third."]
+
+
+def test_open_paragraphs():
+    deep = "<p>" + "<span>" * 30 + "one<div>two</div>three"
+    assert [(x.text, "p" in x.at.tags) for x in html_extract.blocks(deep) if x.at] == [("one", True), ("two", False)]
+    cell = html_extract.blocks("<p>a<table><tr><td>b<p>c<td>d</table>e")
+    assert [x.text for x in cell] == ["a", "b", "c", "d", "e"]
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    page = "<div class=x><section>" * 20_000 + "".join(f"<p>block {i}</p></nope>" for i in range(20_000))
+    began = time.time()
+    own = html_extract.blocks(page)
+    assert len(own) == 20_000 and len(html_extract.features(own)) == 20_000 and time.time() - began < 20
+
+
+def test_marginals_against_enumeration():
+    import itertools
+
+    r = np.random.Generator(np.random.PCG64(4))
+    lengths, move = [1, 4, 6], r.normal(size=(2, 2))
+    x, inside = np.zeros((3, 6, 2)), np.arange(6)[None, :] < np.array(lengths)[:, None]
+    x[inside] = r.normal(size=(sum(lengths), 2))
+    z, p, pairs = html_extract.marginals(x, inside, move)
+    want_pairs = np.zeros((2, 2))
+    for k, n in enumerate(lengths):
+        labels = list(itertools.product((0, 1), repeat=n))
+        weights = np.array([np.exp(sum(x[k, i, v] for i, v in enumerate(y)) + sum(move[a, b] for a, b in itertools.pairwise(y))) for y in labels])
+        assert z[k] == pytest.approx(np.log(weights.sum()))
+        for i in range(n):
+            assert p[k, i, 1] == pytest.approx(sum(w for y, w in zip(labels, weights, strict=True) if y[i]) / weights.sum())
+        for y, w in zip(labels, weights, strict=True):
+            for a, b in itertools.pairwise(y):
+                want_pairs[a, b] += w / weights.sum()
+    assert pairs == pytest.approx(want_pairs)
+
+
+#: Layouts of another hand than the generator's: {} is a sentence of the article.
+LAYOUTS = [
+    "<body><div id=top class=site-header><a href=/>Acme</a></div><div class=menu><a href=/a>Home</a> <a href=/b>Shop</a></div><div class='entry-content'><h2>{}</h2><p>{}</p><p>{}</p></div><div class=sidebar><h3>More</h3><ul><li><a href=/c>Other</a></ul></div><div id=footer>Copyright 2020 Acme</div>",
+    "<main><article><header><h1>{}</h1></header><p>{}</p><h2>{}</h2><p>{}<blockquote>{}</blockquote><aside class=ad>Buy now!</aside><p>{}</article></main><section id=comments><div class=comment><p>Ann: so true.</p></div></section><footer><ul><li><a href=/p>Privacy</a></ul></footer>",
+    "<nav><ol><li><a href=/>Start</a><li><a href=/n>News</a></ol></nav><div role=alert class=cookie-banner><p>We use cookies.</p><button>OK</button></div><article><h1>{}</h1><ul><li>{}<li>{}</ul><p>{}</p><form class=newsletter><label>Mail</label><input><button>Send</button></form><p>{}</p></article><footer><p>All rights reserved.</p></footer>",
+]
+
+
+def test_pages_of_another_generator():
+    r, model = random.Random(8), html_extract.trained()
+    found = wanted = right = 0
+    for _ in range(60):
+        layout = r.choice(LAYOUTS)
+        own = [words(r, "abcdefghijklmno", r.randint(5, 40)).capitalize() + "." for _ in range(layout.count("{}"))]
+        got = html_extract.main_text(layout.format(*own), model).split("\n")
+        found, wanted, right = found + len(got), wanted + len(own), right + len(set(got) & set(own))
+    assert right / wanted > 0.95 and right / found > 0.95
+
+
 def test_held_out_pages():
     maker, model = html_extract._Maker(99), html_extract.trained()
     right = total = 0

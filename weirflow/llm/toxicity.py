@@ -2,9 +2,9 @@
 
 The n-grams (of UTF-8 bytes of the lower-cased text, runs of white space as one space) are hashed into a
 fixed number of features, present or absent. Document frequencies in the two classes of a bounded sample of labelled
-documents give each feature its smoothed log-count ratio; the features with the greatest ratios stay, and
-a logistic regression with an L2 penalty is fitted on the ratios of those present. A score is one pass
-over the text with the weights as a vector of fixed length.
+documents give each feature its smoothed log-count ratio, and a logistic regression with an L2 penalty is fitted
+on the ratios of those present: of all features that LEAST documents of the sample or more have and whose ratio is not
+zero, none is left out. A score is one pass over the text with the weights as a vector of fixed length.
 
 Defined results: null and empty texts get the score of a text without features; rows are scored each, also
 if they repeat; labels with a null id, a null label or without a document are not learned from; with
@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 
 from weirflow.llm.common import crc_mod, text_of, unit_hash
 
-#: Features by hashing; lengths of n-grams; features kept for the regression; pseudo-count of document frequencies.
-FEATURE_BITS, ORDERS, KEPT, PRIOR = 20, (4, 5, 6), 6000, 5.0
+#: Features by hashing; lengths of n-grams; fewest documents of the sample that must have a feature; pseudo-count of document frequencies.
+FEATURE_BITS, ORDERS, LEAST, PRIOR = 20, (4, 5, 6), 3, 5.0
 #: Most labelled documents of each class that are learned from (in expectation; drawn by a hash of the id), and passes of the fit.
-SAMPLE, STEPS, PENALTY = 5000, 150, 2e-3
+SAMPLE, STEPS, PENALTY = 2000, 80, 2e-3
 #: Documents of which more than one in HELD_OUT modulo are never learned from.
 HELD_OUT = 5
 
@@ -50,28 +50,25 @@ def features(text: str) -> Iterator[np.ndarray]:
 
 
 class _Present:
-    """The distinct features of a text, by a bit map that is cleared after use."""
+    """The distinct features of a text. Each occurrence writes its number into the feature's place, and the one that is found there counts."""
 
     def __init__(self) -> None:
-        self.seen = np.zeros(1 << FEATURE_BITS, np.bool_)
+        self.place = np.zeros(1 << FEATURE_BITS, np.int32)
 
-    def of(self, text: str, wanted: np.ndarray | None = None) -> np.ndarray:
-        found = []
-        for ids in features(text):
-            ids = ids[wanted[ids]] if wanted is not None else ids
-            ids = ids[~self.seen[ids]]
-            self.seen[ids] = True
-            found.append(np.unique(ids))
-        out = np.concatenate(found) if found else np.empty(0, np.uint32)
-        self.seen[out] = False
-        return out
+    def of(self, text: str) -> np.ndarray:
+        found = list(features(text))
+        if not found:
+            return np.empty(0, np.uint32)
+        ids = np.concatenate(found)
+        numbers = np.arange(len(ids), dtype=np.int32)
+        self.place[ids] = numbers
+        return ids[self.place[ids] == numbers]
 
 
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
     bias: float
-    wanted: np.ndarray
 
     def score(self, present: np.ndarray) -> float:
         z = self.bias + float(self.weights[present].sum(dtype=np.float64))
@@ -91,30 +88,38 @@ def _rows(wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = _Present()
         for batch in batches:
-            ids = [present.of(t, wanted).astype(np.int32) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["label", "ids"])
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                ids = [own[wanted[own]].astype(np.int32) for own in map(present.of, part.column(0).to_pylist())]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))], names=["label", "ids"])
 
     return run
 
 
-def fit(ids: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights by feature (ratio times coefficient) and bias of the penalised logistic regression, by Nesterov's accelerated gradient."""
-    starts, flat = np.cumsum([0, *map(len, ids)]), np.concatenate([*ids, np.empty(0, np.int32)])
-    y, row = labels.astype(np.float64), np.repeat(np.arange(len(ids)), np.diff(starts))
-    value = ratios[flat]
+def fit(flat: np.ndarray, starts: np.ndarray, labels: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights by feature (ratio times coefficient) and bias of the penalised logistic regression, by Nesterov's accelerated gradient.
+
+    ``flat``: the features of all rows one after another, ``starts``: where each row's begin, and the end.
+    """
+    used, column = np.unique(flat, return_inverse=True)
+    y, row = labels.astype(np.float64), np.repeat(np.arange(len(labels), dtype=np.int32), np.diff(starts))
+    value = ratios[flat].astype(np.float32)
     balance = np.where(y == 1, np.sqrt(max(1, (1 - y).sum()) / max(1, y.sum())), 1.0)
     balance /= balance.sum()
     squares = np.bincount(row, weights=value * value, minlength=len(y)) + 1
     step = 4 / np.percentile(squares, 95)
-    coef, bias, ahead, ahead_bias = np.zeros(len(ratios)), 0.0, np.zeros(len(ratios)), 0.0
+    coef, bias, ahead, ahead_bias = np.zeros(len(used)), 0.0, np.zeros(len(used)), 0.0
     for t in range(STEPS):
-        z = np.bincount(row, weights=value * ahead[flat], minlength=len(y)) + ahead_bias
+        z = np.bincount(row, weights=value * ahead[column], minlength=len(y)) + ahead_bias
         g = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y) * balance
-        new = ahead - step * (np.bincount(flat, weights=value * g[row], minlength=len(ratios)) + PENALTY * ahead)
+        new = ahead - step * (np.bincount(column, weights=value * g[row], minlength=len(used)) + PENALTY * ahead)
         new_bias, pull = ahead_bias - step * g.sum(), t / (t + 3)
         ahead, ahead_bias = new + pull * (new - coef), new_bias + pull * (new_bias - bias)
         coef, bias = new, new_bias
-    return coef * ratios, float(bias)
+    weights = np.zeros(len(ratios))
+    weights[used] = coef * ratios[used]
+    return weights, float(bias)
 
 
 def _sampled(labels: DataFrame, sample: int, held_out: int) -> tuple[DataFrame, float]:
@@ -132,32 +137,29 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
     seen = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).join(F.broadcast(known), "doc_id").select("text", "label")  # 2 * sample rows in expectation
     size = 1 << FEATURE_BITS
     df = np.zeros((2, size), np.int64)
-    counted = seen.mapInArrow(_count, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter("n0 + n1 >= 3")
+    counted = seen.mapInArrow(_count, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(f"n0 + n1 >= {LEAST}")
     got = counted.toArrow()
     at = got.column("feature").to_numpy()
     df[0, at], df[1, at] = got.column("n0").to_numpy(), got.column("n1").to_numpy()
     n = {r.label: r.n for r in seen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         share = float(min(max(next(iter(n), 0), 1e-6), 1 - 1e-6))
-        return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))), np.zeros(size, np.bool_))
+        return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
     ratios = np.log((df[1] + PRIOR) / (n[1] + 2 * PRIOR)) - np.log((df[0] + PRIOR) / (n[0] + 2 * PRIOR))
     ratios[df.sum(axis=0) == 0] = 0
-    kept = np.argsort(-np.abs(ratios), kind="stable")[:KEPT]
-    wanted = np.zeros(size, np.bool_)
-    wanted[kept] = ratios[kept] != 0
-    rows = seen.mapInArrow(_rows(wanted), "label int, ids array<int>").toArrow()
-    ids = [np.asarray(x, np.int32) for x in rows.column("ids").to_pylist()]
-    weights, bias = fit(ids, rows.column("label").to_numpy(), np.where(wanted, ratios, 0))
+    rows = seen.mapInArrow(_rows(ratios != 0), "label int, ids array<int>").toArrow().combine_chunks()
+    ids = rows.column("ids").combine_chunks()
+    weights, bias = fit(ids.flatten().to_numpy(), ids.offsets.to_numpy(), rows.column("label").to_numpy(), ratios)
     share = min(max(prior, 1e-6), 0.5)
     bias = min(bias, float(np.log(share / (1 - share))))  # a text without evidence is no likelier toxic than any, and never called so
-    return Model(weights.astype(np.float32), bias, wanted)
+    return Model(weights.astype(np.float32), bias)
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, present = shared.value, _Present()
         for batch in batches:
-            scores = [model.score(present.of(t, model.wanted)) for t in batch.column(1).to_pylist()]
+            scores = [model.score(present.of(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return run
@@ -188,7 +190,7 @@ def _series_scorer(shared):
 
     def score(texts: pd.Series) -> pd.Series:
         model, present = shared.value, _Present()
-        return pd.Series([model.score(present.of(t, model.wanted)) for t in texts], dtype="float64")
+        return pd.Series([model.score(present.of(t)) for t in texts], dtype="float64")
 
     score.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return score

@@ -24,6 +24,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ CAPACITY, END_ID = 4096, 1
 #: Rows of a slice, about; ratio of the lengths of a class, and share of the capacity below which all are one; share of its pieces that a round must place to be repeated.
 SLICE_ROWS, CLASS_RATIO, LAST_CLASS, WORTHWHILE = 20_000, 4, 32, 0.1
 #: Words of which a Python worker remembers the ids; beyond it forgets them all.
-CACHED = 1_000_000
+CACHED = 600_000
 
 # The tokenizer's own split pattern, spelt out for the characters below, whose classes no Unicode version changes.
 _LETTERS, _NUMBERS, _BLANKS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
@@ -62,7 +63,7 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,14 +73,20 @@ class WordTokenizer:
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.unusual = "|".join([_UNUSUAL, *specials])
+        # For words that are split and in lower case already: the same merges without the steps before them.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.no_truncation()
+        self.merges.normalizer = None
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # the number of a word; its ids are a slice of the buffer
         self.start, self.length, self.buffer = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self._add([""], self.buffer, np.zeros(1, np.int64))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str], words: bool = False) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in (self.merges if words else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _add(self, names: list[str], ids: np.ndarray, length: np.ndarray) -> None:
         self.known.update(zip(names, range(len(self.start), len(self.start) + len(names)), strict=True))
@@ -91,29 +98,40 @@ class WordTokenizer:
         ids, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for i in range(0, len(words), 4096):
             own = words[i : i + 4096]
-            (data,) = self.encode([" ".join(own)])
+            (data,) = self.encode([" ".join(own)], words=True)
             ends = np.flatnonzero(self.ends_word[data]) + 1
             if len(ends) == len(own) and (not len(ends) or ends[-1] == len(data)):
                 ids.append(data)
                 lengths.append(np.diff(ends, prepend=0))
             else:
-                each = self.encode(own)
+                each = self.encode(own, words=True)
                 ids += each
                 lengths.append(np.array([len(e) for e in each], np.int64))
         return np.concatenate(ids), np.concatenate(lengths)
 
     def _learn(self, new: list[str]) -> None:
         """New runs of characters between blanks: words and signs in them are learned first, then those runs that have several."""
-        split = [[r] if r.isalpha() else _SPLIT.findall(r) for r in new]
-        words = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.known]
+        words, others = [r for r in new if r.isalpha()], [r for r in new if not r.isalpha()]
+        split = [_SPLIT.findall(r) for r in others]
+        own = set(words)
+        words += [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.known and w not in own]
         self._add(words, *self._encode_words(words))
-        several = [(r, ws) for r, ws in zip(new, split, strict=True) if r not in self.known]
+        several = [(r, ws) for r, ws in zip(others, split, strict=True) if r not in self.known]
         at = np.array([self.known[w] for _, ws in several for w in ws], np.int64)
         n = np.array([len(ws) for _, ws in several], np.int64)
         ends = np.concatenate([[0], np.cumsum(self.length[at])])
         last = np.cumsum(n)
         self._add([r for r, _ in several], self.buffer[_spread(self.start[at], self.length[at])], ends[last] - ends[last - n])
 
+    def _numbers(self, names: list[str]) -> np.ndarray:
+        number = np.array(list(map(self.known.get, names, repeat(-1))), np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            own = [names[i] for i in new]
+            self._learn(own)
+            number[new] = [self.known[r] for r in own]
+        return number
+
     def batch(self, texts: pa.StringArray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, each followed by ``end`` if there is one; and where each text's begin, and the end."""
         if len(self.known) > CACHED:
@@ -126,14 +144,8 @@ class WordTokenizer:
             plain = pc.if_else(pa.array(blank), "", texts)
         lists = pc.utf8_split_whitespace(pc.utf8_lower(plain))
         runs = lists.flatten().dictionary_encode()
-        names = runs.dictionary.to_pylist()
-        self._learn([r for r in names if r and r not in self.known])
-        number = np.array([self.known[r] if r else -1 for r in names], np.int64)
-        code = number[runs.indices.to_numpy(zero_copy_only=False)] if len(runs) else np.empty(0, np.int64)
+        code = self._numbers(runs.dictionary.to_pylist())[runs.indices.to_numpy(zero_copy_only=False)] if len(runs) else np.empty(0, np.int64)
         at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        keep = code >= 0  # a blank at an edge of a text makes an empty run
-        filled = np.concatenate([[0], np.cumsum(keep)])
-        code, at = code[keep], filled[at]
         if end is not None:
             if "\0end" not in self.known:
                 self._add(["\0end"], np.array([end], np.uint32), np.array([1], np.int64))
@@ -162,14 +174,16 @@ def _tokenise(path: str, capacity: int, end_id: int):
             _TOKENIZERS[path] = WordTokenizer(path)
         for batch in batches:
             for texts, a, n in _portions(batch.column(1)):
-                ids, ends = _TOKENIZERS[path].batch(texts, end_id)
-                tokens = np.diff(ends)
+                own = texts.dictionary_encode()  # a text that is there several times is told apart once
+                ids, ends = _TOKENIZERS[path].batch(own.dictionary, end_id)
+                at = own.indices.to_numpy(zero_copy_only=False)
+                tokens, starts = np.diff(ends)[at], ends[at]
                 count = -(-tokens // capacity)  # one at least, as each has its end
                 row, piece = np.repeat(np.arange(n), count), _spread(np.zeros(n, np.int64), count)
                 start = piece * capacity
                 length = np.minimum(tokens[row] - start, capacity)
                 view = memoryview(ids.astype("<u4", copy=False)).cast("B")
-                first = (ends[row] + start) * 4
+                first = (starts[row] + start) * 4
                 crc = [zlib.crc32(view[i:j]) for i, j in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
                 columns = [batch.column(0).slice(a, n).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=_PIECES.names)
@@ -177,8 +191,8 @@ def _tokenise(path: str, capacity: int, end_id: int):
     return run
 
 
-def _portions(texts: pa.Array, most: int = 1 << 24) -> Iterator[tuple[pa.Array, int, int]]:
-    """The texts in portions of some 16 MB, or of one text: with the number of the first and how many."""
+def _portions(texts: pa.Array, most: int = 6 << 20) -> Iterator[tuple[pa.Array, int, int]]:
+    """The texts in portions of some 6 MB, or of one text: with the number of the first and how many."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     a, n = 0, len(texts)
     while a < n:

@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import keyed_join, let, materialise, text_of, unit_hash
+from weirflow.llm.common import keyed_join, let, materialise, text_of, unit_hash, whole_row
 
 DOMAINS = ("good", "poor", "toxic")
 #: Target share of each domain in the tokens; least and greatest rate; tokens of the mix, in sizes of the corpus: as rates go down to zero, totals meet the targets without growth.
@@ -69,12 +69,12 @@ def _drawn(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) of the sample of labels that is learned from."""
     known = labels.select(F.col("doc_id").cast("long"), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0).alias("domain")).filter("doc_id IS NOT NULL AND domain IS NOT NULL")
     n = known.count()
-    return known.filter(unit_hash("doc_id", seed=9) < SAMPLE / max(1, n)).dropDuplicates(["doc_id"])
+    return materialise(known.filter(unit_hash("doc_id", seed=9) < SAMPLE / max(1, n)).dropDuplicates(["doc_id"]), "drawn")
 
 
 def telling_words(docs: DataFrame, labels: DataFrame) -> list[list[str]]:
     """For each domain but the first, the words that most tell its labelled documents from those of the others."""
-    seen = docs.join(F.broadcast(_drawn(labels)), "doc_id").select("domain", F.array_distinct(F.transform(_words(text_of(docs)), _plain)).alias("words"))
+    seen = keyed_join(docs, _drawn(labels), ["doc_id"], "inner").select("domain", F.array_distinct(F.transform(_words(text_of(docs)), _plain)).alias("words"))
     seen = materialise(seen, "seen")
     sizes = {r.domain: r.n for r in seen.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     whole = float(sum(sizes.values()))
@@ -132,7 +132,7 @@ def _bin(place: int) -> Column:
 
 def _posteriors(cells: DataFrame, made: DataFrame, labels: DataFrame) -> DataFrame:
     """The cells with p_<domain>: naive Bayes with add-one smoothing from a sample of labelled documents in ``made``."""
-    seen = made.join(F.broadcast(_drawn(labels)), "doc_id").groupBy(_CELL, "domain").agg(F.count("*").alias("n")).collect()  # at most cells * domains rows
+    seen = keyed_join(made, _drawn(labels), ["doc_id"], "inner").groupBy(_CELL, "domain").agg(F.count("*").alias("n")).collect()  # at most cells * domains rows
     totals = [1.0 + sum(r.n for r in seen if r.domain == d) for d in range(len(DOMAINS))]
     score = [F.lit(math.log(x / sum(totals))) for x in totals]
     for place, edges in enumerate(EDGES.values()):
@@ -229,12 +229,14 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The documents, each as often as its rate says: the whole part of the rate for sure, once more with the rest as probability, by a hash of the id."""
-    columns = docs.columns
-    d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """The documents, each as often as its rate says: the whole part of the rate for sure, once more with the rest as probability, by a hash of the id.
+
+    Texts are described once and written with their cell, so no second pass reads their words.
+    """
+    d = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     telling = telling_words(d, labels)
-    made = materialise(described(d, telling).select("doc_id", _TOKENS, _CELL), "described")
-    rates = cell_rates(made, labels, targets, KEEP_LEAST, KEEP_GROWTH).select(_CELL, F.col("rate").alias("_wf_rate"))
+    made = materialise(described(d, telling).select("_wf_row", "doc_id", _TOKENS, _CELL), "described")
+    rates = cell_rates(made.select("doc_id", _TOKENS, _CELL), labels, targets, KEEP_LEAST, KEEP_GROWTH).select(_CELL, F.col("rate").alias("_wf_rate"))
     times = F.floor("_wf_rate") + (unit_hash("doc_id", seed=99) < F.col("_wf_rate") - F.floor("_wf_rate")).cast("int")
-    repeated = keyed_join(described(docs, telling), rates, [_CELL], "left").withColumn("_wf_times", times)
-    return repeated.filter("_wf_times > 0").withColumn("_wf_copy", F.explode(F.sequence(F.lit(1), F.col("_wf_times").cast("int")))).select(*[F.col(f"`{c}`") for c in columns])
+    repeated = keyed_join(made, rates, [_CELL], "left").withColumn("_wf_times", times).filter("_wf_times > 0")
+    return repeated.withColumn("_wf_copy", F.explode(F.sequence(F.lit(1), F.col("_wf_times").cast("int")))).select("_wf_row.*")

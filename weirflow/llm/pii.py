@@ -56,15 +56,28 @@ LABELERS = ("pattern", "gazetteer", "context", "borders", "grouping")
 _SPAN = "array<struct<kind:int,start:int,end:int,x:string,strict:boolean>>"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _found(kind: str, pattern: str, guard: str, strict: bool) -> str:
-    """SQL for all leftmost non-overlapping matches in ``text`` with their positions, from the pieces between them."""
+    """SQL for all leftmost non-overlapping matches in ``text`` with their positions, from the pieces between them.
+
+    Positions are running sums of lengths. An array that grows is copied at every step, so sums are made within blocks of
+    about the root of the number of matches and then over blocks: many matches cost little more than few.
+    """
     p = f"r'{pattern}'"
+    pieces = f"zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (x, y) -> named_struct('x', x, 'n', length(y)))"
     item = f"named_struct('kind', {KINDS.index(kind)}, 'start', a.at + e.n, 'end', a.at + e.n + length(e.x), 'x', e.x, 'strict', {str(strict).lower()})"
-    return f"""if({guard}, aggregate(
-        zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (x, y) -> named_struct('x', x, 'n', length(y))),
-        named_struct('at', 0, 'out', cast(array() as {_SPAN})),
-        (a, e) -> named_struct('at', a.at + e.n + coalesce(length(e.x), 0), 'out', if(e.x is null, a.out, concat(a.out, cast(array({item}) as {_SPAN})))),
-        a -> a.out), cast(array() as {_SPAN}))"""
+    block = f"""aggregate(k, named_struct('at', 0, 'out', cast(array() as {_SPAN})),
+        (a, e) -> named_struct('at', a.at + e.n + coalesce(length(e.x), 0), 'out', if(e.x is null, a.out, concat(a.out, cast(array({item}) as {_SPAN})))))"""
+    size = "cast(ceil(sqrt(size(m))) as int)"
+    blocks = f"transform(sequence(0, size(m) - 1, {size}), i -> element_at(transform(array(slice(m, i + 1, {size})), k -> {block}), 1))"
+    starts = "aggregate(b, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, e) -> named_struct('at', a.at + e.at, 'out', concat(a.out, array(a.at))), a -> a.out)"
+    moved = "transform(e.out, s -> named_struct('kind', s.kind, 'start', s.start + o, 'end', s.end + o, 'x', s.x, 'strict', s.strict))"
+    whole = _let(pieces, "m", _let(blocks, "b", f"flatten(zip_with(b, {starts}, (e, o) -> {moved}))"))
+    return f"if({guard}, {whole}, cast(array() as {_SPAN}))"
 
 
 _DIGITS = "regexp_replace(s.x, '[^0-9]', '')"
@@ -172,7 +185,7 @@ def personal_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or train(docs)
     d = _candidates(docs).withColumn("base", F.expr("transform(filter(checked, c -> c.s.strict and c.valid), c -> c.s)"))
     free = "not exists(base, o -> o.start < c.s.end and c.s.start < o.end)"
-    added = f"if(size(checked) > size(base), transform(filter(checked, c -> c.valid and not c.s.strict and {free} and {_accepted(model)}), c -> c.s), cast(array() as {_SPAN}))"
+    added = f"if(size(checked) > size(base), transform(filter(checked, c -> c.valid and not c.s.strict and {_accepted(model)} and {free}), c -> c.s), cast(array() as {_SPAN}))"
     d = d.withColumn("added", F.expr(added))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return d.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("concat(base, added)").alias("spans"))

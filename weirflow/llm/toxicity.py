@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirflow.llm.common import crc_mod, text_of, unit_hash
+from weirflow.llm.common import crc_mod, keyed_join, materialise, text_of, unit_hash
 
 #: Features by hashing; lengths of n-grams; fewest documents of the sample that must have a feature; pseudo-count of document frequencies.
 FEATURE_BITS, ORDERS, LEAST, PRIOR = 20, (4, 5, 6), 3, 5.0
@@ -128,13 +128,13 @@ def _sampled(labels: DataFrame, sample: int, held_out: int) -> tuple[DataFrame,
     known = known.filter(crc_mod("doc_id", held_out) != 0)
     sizes = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = F.when(F.col("label") == 1, sample / max(1, sizes.get(1, 0))).otherwise(sample / max(1, sizes.get(0, 0)))
-    return known.filter(unit_hash("doc_id", seed=6) < share).dropDuplicates(["doc_id"]), sizes.get(1, 0) / max(1, sum(sizes.values()))
+    return materialise(known.filter(unit_hash("doc_id", seed=6) < share).dropDuplicates(["doc_id"]), "drawn"), sizes.get(1, 0) / max(1, sum(sizes.values()))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: int = HELD_OUT) -> Model:
     """Fit on at most some ``sample`` labelled documents of each class, whole texts, none with crc32(doc_id) divisible by ``held_out``."""
     known, prior = _sampled(labels, sample, held_out)
-    seen = docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")).join(F.broadcast(known), "doc_id").select("text", "label")  # 2 * sample rows in expectation
+    seen = keyed_join(docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")), known, ["doc_id"], "inner").select("text", "label")  # 2 * sample rows in expectation
     size = 1 << FEATURE_BITS
     df = np.zeros((2, size), np.int64)
     counted = seen.mapInArrow(_count, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(f"n0 + n1 >= {LEAST}")

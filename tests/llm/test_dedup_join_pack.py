@@ -281,23 +281,13 @@ def plain_fingerprints(spark, texts):
     pair = {}
 
     def hashed(wanted):
-        wanted = sorted(set(wanted) - pair.keys(), key=str)
-        if wanted:
-            kind = "string" if isinstance(wanted[0][0], str) else "long"
-            other = "string" if isinstance(wanted[0][1], str) else "long"
-            got = spark.createDataFrame([(i, *w) for i, w in enumerate(wanted)], f"i int, a {kind}, b {other}").selectExpr("i", "xxhash64(a, b)").collect()
-            pair.update({wanted[i]: h for i, h in got})
-
-    def level(rows, shift):
-        want = [[(r[i], r[i + shift]) for i in range(len(r) - shift)] for r in rows]
-        hashed([w for ws in want for w in ws])
-        return [[pair[w] for w in ws] for ws in want]
-
-    chars = [list(t) for t in texts]
-    eights = level(level(level(chars, 1), 2), 4)
-    want = [[(e[i], c[i + 8]) for i in range(len(c) - 8)] for e, c in zip(eights, chars, strict=True)]
-    hashed([w for ws in want for w in ws])
-    nines = [[pair[w] for w in ws] for ws in want]
+        wanted = sorted(set(wanted))
+        got = spark.createDataFrame([(i, *w) for i, w in enumerate(wanted)], "i int, a long, b long").selectExpr("i", "xxhash64(a, b)").collect()
+        pair.update({wanted[i]: h for i, h in got})
+
+    own = sorted({t[i : i + syncmers.S] for t in texts for i in range(len(t) - syncmers.S + 1)})
+    single = dict(zip(own, [r[1] for r in sorted(spark.createDataFrame(list(enumerate(own)), "i int, t string").selectExpr("i", "xxhash64(t)").collect())], strict=True))
+    nines = [[single[t[i : i + syncmers.S]] for i in range(len(t) - syncmers.S + 1)] for t in texts]
     closed = [[i for i in range(len(h) - syncmers.WIDTH + 1) if min(h[i : i + syncmers.WIDTH]) in (h[i], h[i + syncmers.WIDTH - 1])] for h in nines]
     want = [[(h[i], h[i + syncmers.WIDTH - 1]) for i in c] for h, c in zip(nines, closed, strict=True)]
     hashed([w for ws in want for w in ws])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from weirflow.llm.common import bucket_of, let, longs, text_of
 
 #: Length of a k-mer and of an s-mer (a k-mer has WIDTH of them).
-K, S = 16, 9
+K, S = 28, 9
 WIDTH = K - S + 1
 #: Buckets of ids per shuffle partition.
 PER_PARTITION = 4
@@ -38,22 +38,9 @@ FAR = 255
 _HASH, _PLACE = 0xFFFFFF, 1 << 38
 
 
-def _paired(x: Column, apart: int) -> Column:
-    """The hash of each entry with the one ``apart`` places on."""
-    n = F.greatest(F.size(x) - apart, F.lit(0))
-    return F.zip_with(F.slice(x, F.lit(1), n), F.slice(x, F.lit(apart + 1), n), lambda a, b: F.xxhash64(a, b))
-
-
 def s_mers(text: Column) -> Column:
-    """A hash of every s-mer of the text: characters are hashed in pairs, pairs in fours, fours in eights, and the ninth is added, so no substring is made."""
-    characters = F.split(text, "")
-    eights = lambda c: _paired(_paired(_paired(c, 1), 2), 4)
-
-    def nines(c: Column) -> Column:
-        n = F.greatest(F.size(c) - (S - 1), F.lit(0))
-        return F.zip_with(F.slice(eights(c), F.lit(1), n), F.slice(c, F.lit(S), n), lambda a, b: F.xxhash64(a, b))
-
-    return let(characters, nines)
+    """A hash of every s-mer of the text. Each match takes one code point and looks at the s-mer it starts, so places are counted in code points whatever the characters."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{S}}}))."), F.lit(1)), lambda x: F.xxhash64(x))
 
 
 def anchors(text: Column) -> Column:
@@ -88,7 +75,8 @@ def listed(found: Column, text: Column) -> Column:
 
 
 def as_text(numbers: Column) -> Column:
-    return F.array_join(F.transform(numbers, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+    """Eight hex digits a number."""
+    return F.array_join(F.transform(numbers, lambda x: F.substring(F.lower(F.hex(x + (1 << 32))), 2, 8)), "")
 
 
 def places(numbers: Column) -> Column:
@@ -151,10 +139,10 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     d = d.withColumn("found", anchors(text)).withColumn("numbers", listed(F.col("found"), text)).withColumn("places", places(F.col("numbers")))
     # Anchors of the head stand as they are; those that reach into the graft start in its last K - 1 characters or later.
     reach = F.greatest(F.length("head") - (K - 1), F.lit(0))
-    kept = F.filter("found", lambda x: x % _PLACE < reach)
-    tail = F.transform(anchors(F.concat(F.expr(f"right(head, {K - 1})"), F.col("graft"))), lambda x: x + reach)
+    tail = anchors(F.concat(F.expr(f"right(head, {K - 1})"), F.col("graft")))
+    changed = let(reach, lambda r: F.concat(F.filter("found", lambda x: x % _PLACE < r), F.transform(tail, lambda x: x + r)))  # so that its length is told once, not for each anchor
     edited = F.concat("head", "graft")
-    d = d.withColumn("next_places", F.lead("places").over(order)).filter("extra = 0").withColumn("edited_numbers", listed(F.concat(kept, tail), edited))
+    d = d.withColumn("next_places", F.lead("places").over(order)).filter("extra = 0").withColumn("edited_numbers", listed(changed, edited))
     return d.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), as_text(F.col("numbers")).alias("fingerprint"),
         as_text(F.col("edited_numbers")).alias("edited_fingerprint"), let(places(F.col("edited_numbers")), lambda x: likeness(F.col("places"), x)).alias("near_edited"),

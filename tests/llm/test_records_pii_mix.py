@@ -160,3 +160,35 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert {x.doc_id for x in out.collect()} == {i for i, *_ in clean} | {1, 4}
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in any column, repeated rows, ties, a very long text, and further columns with clashing names, in every stage."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _wf_row string, _wf_id int, rate double, `a``b` string, node string, component int"
+    tail = ("r", 1, 0.5, "t", "n", 2)
+    long = " ".join(f"w{i * i % 99991}" for i in range(400_000))
+    rows = [(1, "one and the same text here", "en", "s", 1, *tail)] * 3 + [(None, "one and the same text here", None, None, None, *tail), (None, "text of nobody at all", None, None, None, None, None, None, None, None, None)]
+    rows += [(2, None, None, None, None, *tail), (3, "", "en", None, 0, *tail), (4, long, "en", "s", None, *tail), (5, long + " end", "en", "s", None, *tail), (5, "another text of the same id", "en", "s", 2, *tail)]
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.filter("false"), str(tmp_path))
+        assert none.count() == 0
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, 5, None}
+            continue
+        assert out.columns == none.columns == docs.columns
+        got = out.collect()
+        if name == "exact_dedup":
+            assert sorted((str(r.doc_id), (r.text or "")[:7]) for r in got) == [("1", "one and"), ("2", ""), ("4", "w0 w1 w"), ("5", "another"), ("5", "w0 w1 w"), ("None", "text of")]
+        elif name == "near_dedup":
+            assert sorted((str(r.doc_id), (r.text or "")[:7]) for r in got) == [("1", "one and"), ("2", ""), ("3", ""), ("4", "w0 w1 w"), ("5", "another"), ("None", "text of")]
+        else:
+            assert len(got) == 10
+        assert {r["a`b"] for r in got} <= {"t", None}
+    whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in whole} == {1, 2, 4, 5, None}

@@ -211,7 +211,7 @@ def fixture_errors(fixtures: DataFrame, known: list[str], in_slice: list[str], c
         (~F.col("expected_to_favor").isin(*FAVORS), "expected_to_favor is invalid"), (~text(F.col("notes")), "notes must explain the fixture"),
         (F.col("answerable_from").isNull(), "answerable_from must be an array"), (F.size(F.array_except(docs, names)) > 0, "answerable_from names an unknown document"),
         (~F.forall(F.col("requires"), lambda r: r.isin(*REQUIREMENTS)), "requires names an unknown capability"), (F.coalesce(F.size(turns), F.lit(0)) < 2, "there must be two turns or more"),
-        (bad_turn(lambda t: t["role"] != "user"), "a turn is not the user's"), (bad_turn(lambda t: ~text(t["content"])), "a turn is empty"),
+        (bad_turn(lambda t: t.isNull()), "a turn is missing"), (bad_turn(lambda t: t["role"] != "user"), "a turn is not the user's"), (bad_turn(lambda t: ~text(t["content"])), "a turn is empty"),
         (bad_turn(lambda t: t["rubric"].isNull()), "a turn has no rubric"), (bad_turn(lambda t: F.coalesce(F.size(t["rubric"]["must_contain"]), F.lit(0)) < 1), "must_contain is empty"),
         (bad_turn(lambda t: t["rubric"].isNotNull() & t["rubric"]["must_not"].isNull()), "must_not is missing"), (bad_turn(lambda t: F.size(F.array_except(F.coalesce(t["rubric"]["cite"], names), names)) > 0), "a citation is unknown"),
         (bad_turn(lambda t: F.size(F.array_except(F.coalesce(t["rubric"]["cite"], docs), docs)) > 0), "a citation is not in answerable_from"), (bad_turn(lambda t: F.coalesce(F.size(t["rubric"]["cite"]) == 0, F.lit(False))), "cite is empty"),
@@ -220,3 +220,21 @@ def fixture_errors(fixtures: DataFrame, known: list[str], in_slice: list[str], c
     ]
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(why)) for bad, why in checks]))
     return fixtures.select("id", F.explode(found).alias("error"))
+
+
+# Who may speak in the history of a request, and how long the name of a device may be.
+SPEAKERS, MAX_DEVICE = ("user", "assistant"), 120
+
+
+def request_errors(requests: DataFrame) -> DataFrame:
+    """Chat requests (query, device, history: array of role and content) with ``errors``: all that is wrong with each, none where it may go on."""
+    blank = lambda c: c.isNull() | (F.trim(c) == "")
+    turns = F.coalesce("history", F.array().cast("array<struct<role:string,content:string>>"))
+    checks = [
+        F.when(blank(F.col("query")), '"query" is required and must be a non-empty string.'),
+        F.when(F.col("device").isNotNull() & (F.trim("device") == ""), '"device" must be a non-empty string when provided.'),
+        F.when(F.length(F.trim("device")) > MAX_DEVICE, f'"device" must be at most {MAX_DEVICE} characters.'),
+    ]
+    role = F.transform(turns, lambda t, i: F.when(t.isNull() | ~F.coalesce(t["role"].isin(*SPEAKERS), F.lit(False)), F.concat(F.lit('"history['), i.cast("string"), F.lit(f']".role must be one of [{", ".join(SPEAKERS)}].'))))
+    text = F.transform(turns, lambda t, i: F.when(t.isNotNull() & blank(t["content"]), F.concat(F.lit('"history['), i.cast("string"), F.lit(']".content must be a non-empty string.'))))
+    return requests.withColumn("errors", F.array_compact(F.concat(F.array(*checks), role, text)))

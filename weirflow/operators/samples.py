@@ -219,3 +219,16 @@ def healthy_averages(samples: DataFrame, devices: list | None = None) -> DataFra
 def faulted_rows(samples: DataFrame) -> DataFrame:
     """The readings (device, at) on which any probe is faulted."""
     return samples.groupBy("device", "at").agg(F.max((~F.col("valid")).cast("int")).alias("any")).filter("any = 1").drop("any")
+
+
+# Readings above which dissolved oxygen must be a share of saturation, and up to which a maximum temperature must be Celsius; the range of dissolved oxygen that operators are told.
+SATURATION_FROM, CELSIUS_UP_TO, OXYGEN_RANGE = 20.0, 40.0, (5.0, 14.0)
+
+
+def unit_hints(samples: DataFrame) -> DataFrame:
+    """(device, metric, hint): what the values of a series say of their unit, where they contradict the one that is meant. Advice only, nothing is converted."""
+    s = samples.filter("valid AND value IS NOT NULL").groupBy("device", "metric").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"))
+    oxygen = F.when(F.col("mean") > SATURATION_FROM, "looks like % saturation, not mg/L").when((F.col("mean") < OXYGEN_RANGE[0]) | (F.col("mean") > OXYGEN_RANGE[1]), "outside the operator range")
+    warmth = F.when(F.col("high") <= CELSIUS_UP_TO, "looks like °C, not °F")
+    hint = F.when(F.col("metric") == "dissolved_oxygen", oxygen).when(F.col("metric") == "temperature", warmth)
+    return s.withColumn("hint", hint).filter("hint IS NOT NULL").select("device", "metric", "hint")

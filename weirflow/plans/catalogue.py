@@ -549,6 +549,23 @@ def ask_series(spark, sf_dir):
 # Joins, orders and rules that complete the inventory
 
 
+@query(f"""WITH {_MS}, G AS (SELECT device, metric, max(value) AS hi, avg(value) AS mean FROM SM WHERE valid AND metric IN ('dissolved_oxygen', 'temperature') GROUP BY ALL),
+H AS (SELECT device, metric, CASE WHEN metric = 'temperature' THEN CASE WHEN hi <= 40 THEN 'looks like °C, not °F' END WHEN mean > 20 THEN 'looks like % saturation, not mg/L' WHEN mean < 5 OR mean > 14 THEN 'outside the operator range' END AS hint FROM G) SELECT * FROM H WHERE hint IS NOT NULL""")
+def unit_hints(spark, sf_dir):
+    return S.unit_hints(B.metric_samples(spark, sf_dir))
+
+
+@query("""WITH H AS (SELECT conv_id, list({'r': role, 'c': text} ORDER BY turn) AS h FROM conversations GROUP BY conv_id), Q AS (SELECT conv_id, h, CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE 'how is it?' END AS q, CASE conv_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN repeat('x', 121) ELSE 'pod' END AS d FROM H)
+SELECT conv_id, array_to_string(list_concat([CASE WHEN trim(q) = '' THEN '"query" is required and must be a non-empty string.' END, CASE WHEN trim(d) = '' THEN '"device" must be a non-empty string when provided.' END, CASE WHEN length(trim(d)) > 120 THEN '"device" must be at most 120 characters.' END],
+list_concat(list_transform(h, lambda x, i: CASE WHEN x.r NOT IN ('user', 'assistant') THEN '"history[' || (i - 1) || ']".role must be one of [user, assistant].' END), list_transform(h, lambda x, i: CASE WHEN trim(x.c) = '' THEN '"history[' || (i - 1) || ']".content must be a non-empty string.' END))), '|') AS errors FROM Q""")
+def request_checks(spark, sf_dir):
+    c = B.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("h"))
+    i = F.col("conv_id")
+    device = F.when(i % 4 == 1, " ").when(i % 4 == 2, F.repeat(F.lit("x"), 121)).when(i % 4 == 3, "pod")
+    r = c.select("conv_id", F.when(i % 5 == 0, " ").otherwise("how is it?").alias("query"), device.alias("device"), F.transform("h", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("history"))
+    return E.request_errors(r).select("conv_id", F.array_join("errors", "|").alias("errors"))
+
+
 @query(f"""WITH {_S}, G AS (SELECT device, metric, (floor(ms / 86400000) * 86400000)::BIGINT AS b FROM S WHERE valid GROUP BY ALL),
 D AS (SELECT device, metric, b - lag(b) OVER (PARTITION BY device, metric ORDER BY b) AS d FROM G), L AS (SELECT device, metric, list_sort(list(d)) AS ds FROM D WHERE d IS NOT NULL GROUP BY ALL)
 SELECT device, metric, ds[(len(ds) // 2 + 1)::INT] AS spacing_ms FROM L""")

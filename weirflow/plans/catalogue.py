@@ -556,8 +556,8 @@ def unit_hints(spark, sf_dir):
 
 
 @query("""WITH H AS (SELECT conv_id, list({'r': role, 'c': text} ORDER BY turn) AS h FROM conversations GROUP BY conv_id), Q AS (SELECT conv_id, h, CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE 'how is it?' END AS q, CASE conv_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' WHEN 2 THEN repeat('x', 121) ELSE 'pod' END AS d FROM H)
-SELECT conv_id, array_to_string(list_concat([CASE WHEN trim(q) = '' THEN '"query" is required and must be a non-empty string.' END, CASE WHEN trim(d) = '' THEN '"device" must be a non-empty string when provided.' END, CASE WHEN length(trim(d)) > 120 THEN '"device" must be at most 120 characters.' END],
-list_concat(list_transform(h, lambda x, i: CASE WHEN x.r NOT IN ('user', 'assistant') THEN '"history[' || (i - 1) || ']".role must be one of [user, assistant].' END), list_transform(h, lambda x, i: CASE WHEN trim(x.c) = '' THEN '"history[' || (i - 1) || ']".content must be a non-empty string.' END))), '|') AS errors FROM Q""")
+SELECT conv_id, coalesce(array_to_string(list_concat([CASE WHEN trim(q) = '' THEN '"query" is required and must be a non-empty string.' END, CASE WHEN trim(d) = '' THEN '"device" must be a non-empty string when provided.' END, CASE WHEN length(trim(d)) > 120 THEN '"device" must be at most 120 characters.' END],
+list_concat(list_transform(h, lambda x, i: CASE WHEN x.r NOT IN ('user', 'assistant') THEN '"history[' || (i - 1) || ']".role must be one of [user, assistant].' END), list_transform(h, lambda x, i: CASE WHEN trim(x.c) = '' THEN '"history[' || (i - 1) || ']".content must be a non-empty string.' END))), '|'), '') AS errors FROM Q""")
 def request_checks(spark, sf_dir):
     c = B.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("h"))
     i = F.col("conv_id")
@@ -711,15 +711,15 @@ SELECT site, metric, CASE flag WHEN 'N/A' THEN ph || '. No fixed baseline exists
 WHEN 'Normal' THEN ph || ', remaining within the ' || span || ' site baseline.'
 ELSE ph || '; moved ' || CASE WHEN over < 0.05 THEN 'marginally' WHEN over < 0.2 THEN 'slightly' WHEN over < 0.5 THEN 'notably' ELSE 'sharply' END || CASE WHEN above THEN ' above' ELSE ' below' END || ' baseline, recording ' || CASE WHEN flag IN ('Elevated', 'Exceedance') THEN 'an ' ELSE 'a ' END
     || lower(flag) || ' reading of # ' || u || ' against the ' || span || ' baseline.' || CASE WHEN first_ms IS NULL THEN '' ELSE ' First left baseline at ' || strftime(make_timestamp(first_ms * 1000), '%Y-%m-%d %H:%M') || '.' END END AS line,
-CASE WHEN flag NOT IN ('Normal', 'N/A') THEN round(CASE WHEN above THEN mx ELSE mn END, 1) END AS extreme FROM AO""")
+CASE WHEN flag NOT IN ('Normal', 'N/A') THEN round(CASE WHEN above THEN mx ELSE mn END, 6) END AS extreme FROM AO""")
 def analysis_sentences(spark, sf_dir):
-    """Numbers are compared as numbers, one decimal coarser than they are written."""
+    """Numbers are compared as numbers: that they are written to two decimals is checked here."""
     lines = R.analysis_lines(R.parameters(B.site_series(spark, sf_dir)))
     p = R.parameters(B.site_series(spark, sf_dir)).select("site", "metric", F.when(F.col("flag").isin("Elevated", "Exceedance") & (F.col("max") > F.col("baseline_max")), F.col("max")).otherwise(F.col("min")).alias("e"), "flag")
     written = F.regexp_extract("line", "reading of (-?[0-9.]+) ", 1).try_cast("double")
     d = lines.join(p, ["site", "metric"]).withColumn("same", F.abs(written - F.col("e")) <= 0.0051)
     masked = F.regexp_replace("line", "reading of -?[0-9.]+ ", "reading of # ")
-    return d.select("site", "metric", masked.alias("line"), F.when(F.col("same") & ~F.col("flag").isin("Normal", "N/A"), F.round("e", 1)).alias("extreme"))
+    return d.select("site", "metric", masked.alias("line"), F.when(F.col("same") & ~F.col("flag").isin("Normal", "N/A"), F.round("e", 6)).alias("extreme"))
 
 
 @query(f"""WITH {_REPORT}, GR AS (SELECT site, CASE flag WHEN 'Exceedance' THEN 2 WHEN 'Elevated' THEN 1 WHEN 'Low' THEN 1 ELSE 0 END AS g FROM FL UNION ALL SELECT site, CASE severity WHEN 'High' THEN 2 ELSE 1 END FROM EA),

@@ -752,16 +752,34 @@ def devices_by_name(spark, sf_dir):
     return G.by_display_name(G.first_by_label(B.devices(spark, sf_dir))).select("name", "label")
 
 
-@query()
+_M = "4294967296"
+_DRAW = "xor((t + (xor(t, t // 128) * (t - t % 64 + CASE WHEN t % 64 // 2 % 2 = 1 THEN 63 ELSE 61 END)) % {m}) % {m}, t)".replace("{m}", _M)  # 61 | t sets all of the last six bits but the second
+
+
+def _next(of: str, name: str, source: str) -> str:
+    """A step of the generator as two rows of a query: the state goes on, and a draw from 0 to 1 is made of it."""
+    state = f"({of} + 1831565813) % {_M}"
+    return f"""{name}a AS (SELECT *, ({state})::HUGEINT AS {name}s FROM {source}), {name}b AS (SELECT *, (xor({name}s, {name}s // 32768) * ({name}s - {name}s % 2 + 1)) % {_M} AS t FROM {name}a),
+    {name}c AS (SELECT * EXCLUDE (t), {_DRAW} AS u FROM {name}b), {name} AS (SELECT * EXCLUDE (u), xor(u, u // 16384)::DOUBLE / {_M} AS {name}d FROM {name}c)"""
+
+
+@query(f"""WITH I AS (SELECT 'case-' || item_id AS fixture_id FROM benchmark),
+H AS (SELECT fixture_id, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(string_split(fixture_id, ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: (xor(a, b) * 16777619) % {_M}) AS h FROM I),
+{_next('h', 'X', 'H')}, {_next('Xs', 'Y', 'X')},
+J AS (SELECT fixture_id, floor(Xd * 3)::INT AS j2, floor(Yd * 2)::INT AS j1 FROM Y),
+P AS (SELECT fixture_id, j1, CASE j2 WHEN 0 THEN ['vector', 'hybrid', 'direct'] WHEN 1 THEN ['direct', 'vector', 'hybrid'] ELSE ['direct', 'hybrid', 'vector'] END AS o FROM J)
+SELECT fixture_id, chr(64 + k::INT) AS label, CASE WHEN j1 = 0 THEN [o[2], o[1], o[3]] ELSE o END[k] AS arm FROM P CROSS JOIN (SELECT unnest([1, 2, 3]) AS k)""")
 def blinded_labels(spark, sf_dir):
     return E.blinded(B.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("case-"), F.col("item_id").cast("string")).alias("fixture_id")), ["direct", "hybrid", "vector"])
 
 
-@query()
+@query("SELECT conv_id, turn, trim(coalesce(text, '') || ' and on', chr(32) || chr(9) || chr(10) || chr(13)) AS text FROM conversations")
 def text_without_commentary(spark, sf_dir):
+    """Texts into which commentary with a bracket inside was put."""
     from weirflow.functions.text import without_commentary
 
-    return B.table(spark, sf_dir, "conversations").select("conv_id", "turn", without_commentary("text").alias("text"))
+    c = B.table(spark, sf_dir, "conversations").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" 【Commentary on 【1】 this】 and on")))
+    return c.select("conv_id", "turn", without_commentary("text").alias("text"))
 
 
 def queries() -> dict[str, Query]:

@@ -52,6 +52,16 @@ def test_hot_url_over_buckets(spark):
     assert got == {f"p{i:04d}": f"p{i - i % 7:04d}" for i in range(3000) if i % 7}
 
 
+def test_one_instant_of_a_hot_url(spark):
+    """Many responses and revisits at the same instants: the greatest record id of the latest earlier instant counts; records without URL or time are many, too."""
+    u = "http://hot.org/"
+    rows = [record(f"a{i:03d}", "response", u, 10, "t", digest=f"d{i}") for i in range(300)] + [record(f"b{i:03d}", "response", u, 20, "t") for i in range(300)]
+    rows += [record(f"r{i:03d}", "revisit", u, 10 + 10 * (i % 3), "t") for i in range(300)] + [record(f"n{i}", "revisit", None if i % 2 else u, 5 if i % 2 else None) for i in range(300)]
+    got = {x.record_id: (x.status, x.base_record_id) for x in revisits.resolve(spark.createDataFrame(rows, RECORDS)).collect()}
+    want = {f"r{i:03d}": (("no_base", None), ("resolved", "a299"), ("resolved", "b299"))[i % 3] for i in range(300)}
+    assert got == want | {f"n{i}": ("no_base", None) for i in range(300)}
+
+
 def luhn(digits):
     twice = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
     return sum(x - 9 * (x > 9) for x in twice) % 10 == 0

@@ -5,8 +5,8 @@ canonical URL, provided that the validators agree: the entity tag (weak comparis
 last modification, else the payload digest. Of the revisit's headers those that a 304 response may update
 replace the base's; the rest of the base's stay.
 
-The as-of join moves metadata only, never bodies. Time is cut at quantiles into buckets, so a URL with any
-share of the records is spread over them: within a bucket a window finds the latest response before each
+The as-of join moves metadata only, never bodies. All records of one instant of a URL are one row first. Time is cut at
+quantiles into buckets, so a URL with any share of the records is spread over them: within a bucket a window finds the latest response before each
 revisit, and across buckets each URL has at most one summary row per bucket, from a partial aggregation,
 from which a second window carries the latest response over.
 
@@ -27,8 +27,8 @@ from weirflow.llm.common import bucket_of
 # Header fields that a 304 response may update, and query parameters that only track visitors.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 TRACKING = "^(utm_[a-z]*|gclid|fbclid|ref|sessionid)(=|$)"
-#: Buckets of time per shuffle partition, and at most.
-PER_PARTITION, MOST_BUCKETS = 2, 4096
+#: Buckets of time per shuffle partition.
+PER_PARTITION = 2
 
 
 def canonical_url(url: Column) -> Column:
@@ -59,17 +59,21 @@ def resolve(records: DataFrame) -> DataFrame:
         "record_id", "record_type", canonical_url(F.col("target_uri")).alias("url"), F.col("captured").cast("long").alias("captured"), "etag", "last_modified", "digest",
         F.coalesce(F.col("headers"), none).alias("headers"),
     )
-    n = min(MOST_BUCKETS, PER_PARTITION * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = PER_PARTITION * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = records.agg(F.percentile_approx(F.col("captured").cast("long"), [i / n for i in range(1, n)] or [0.5], F.lit(20 * n)).alias("c")).first().c or []
-    r = r.withColumn("bucket", bucket_of(F.coalesce("captured", F.lit(0)), sorted(set(cuts))))
-    r = r.withColumn("full", F.when((F.col("record_type") == "response") & F.col("captured").isNotNull(), F.struct("captured", "record_id", "etag", "last_modified", "digest", "headers")))
-    found = r.filter("full IS NOT NULL AND url IS NOT NULL").groupBy("url", "bucket").agg(F.max("full").alias("full"))
+    r = r.withColumn("full", F.when(F.col("record_type") == "response", F.struct("captured", "record_id", "etag", "last_modified", "digest", "headers")))
+    # One row for each instant of a URL, by a partial aggregation; records without a URL or a time have no base and stay out.
+    asks = F.max(F.col("record_type") == "revisit").alias("asks")
+    points = r.filter("url IS NOT NULL AND captured IS NOT NULL").groupBy("url", "captured").agg(F.max("full").alias("full"), asks).withColumn("bucket", bucket_of(F.col("captured"), sorted(set(cuts))))
+    found = points.filter("full IS NOT NULL").groupBy("url", "bucket").agg(F.max("full").alias("full"))
     over = Window.partitionBy("url").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    spine = r.filter("record_type = 'revisit' AND url IS NOT NULL").select("url", "bucket").distinct()
+    spine = points.filter("asks").select("url", "bucket").distinct()
     carried = spine.join(found, ["url", "bucket"], "full").withColumn("carried", F.max("full").over(over)).select("url", "bucket", "carried")
-    within = Window.partitionBy("url", "bucket").orderBy("captured").rangeBetween(Window.unboundedPreceding, -1)
-    asked = r.withColumn("inside", F.when(F.col("url").isNotNull() & F.col("captured").isNotNull(), F.max("full").over(within))).filter("record_type = 'revisit'")
-    joined = asked.join(carried, ["url", "bucket"], "left").withColumn("base", F.when(F.col("captured").isNotNull(), F.coalesce("inside", "carried")))
+    within = Window.partitionBy("url", "bucket").orderBy("captured").rowsBetween(Window.unboundedPreceding, -1)
+    bases = points.withColumn("inside", F.max("full").over(within)).filter("asks").join(carried, ["url", "bucket"], "left")
+    bases = bases.select("url", "captured", F.coalesce("inside", "carried").alias("base"))
+    # Many revisits of one instant, or of none, are rows of the left side of an outer join, which AQE may split.
+    joined = r.filter("record_type = 'revisit'").drop("full").join(bases, ["url", "captured"], "left")
     return _checked(joined)
 
 

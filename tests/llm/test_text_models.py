@@ -138,6 +138,63 @@ def test_features():
     assert list(toxicity.features("")) == [] or all(len(x) == 0 for x in toxicity.features(""))
 
 
+def plain_features(text):
+    """The hashed n-grams of a text, one by one."""
+    data = b" " + b" ".join(text.lower().encode().split()) + b" "
+    out, m = set(), (1 << 32) - 1
+    for order in toxicity.ORDERS:
+        for i in range(len(data) - order + 1):
+            h = 0
+            for c in data[i : i + order]:
+                h = (h * 0x9E3779B1 + c + 1) & m
+            x = h ^ h >> 15
+            x = x * 0x85EBCA6B & m
+            out.add((x ^ x >> 13) >> 32 - toxicity.FEATURE_BITS)
+    return out
+
+
+def test_model_against_plain_version(spark, talk):
+    """Document frequencies, ratios, and scores of the fitted model written out; the fit against many plain gradient steps."""
+    docs, labels = talk
+    model = toxicity.train(docs, labels)
+    import zlib
+
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = [(plain_features(r.text), known[r.doc_id]) for r in docs.collect() if r.doc_id in known and r.text]
+    df, n = [{}, {}], [0, 0]
+    for own, y in rows:
+        n[y] += 1
+        for f in own:
+            df[y][f] = df[y].get(f, 0) + 1
+    want = set()
+    for f in df[0].keys() | df[1].keys():
+        a, b = df[1].get(f, 0), df[0].get(f, 0)
+        ratio = math.log((a + toxicity.PRIOR) / (n[1] + 2 * toxicity.PRIOR)) - math.log((b + toxicity.PRIOR) / (n[0] + 2 * toxicity.PRIOR))
+        if a + b >= toxicity.LEAST and abs(ratio) >= toxicity.TELLING:
+            want.add(f)
+    assert {int(i) for i in np.flatnonzero(model.weights)} <= want and len(want) > 20
+    present = toxicity._Present()
+    for text in ("abc vexling", "Some  Grubnard vexling", "ÿé", "plain words"):
+        assert set(present.of(text).tolist()) == plain_features(text)
+        z = model.bias + sum(float(model.weights[f]) for f in plain_features(text))
+        assert model.score(present.of(text)) == pytest.approx(1 / (1 + math.exp(-max(-60, min(60, z)))), rel=1e-4)
+
+
+def test_fit_reaches_the_optimum():
+    r = np.random.default_rng(3)
+    x = r.random((60, 12)) < 0.4
+    y, ratios = (x[:, 0] | x[:, 3]).astype(int), r.normal(size=12)
+    ratios[0], ratios[3] = 2, 1.5
+    weights, bias = toxicity.fit(np.concatenate([np.flatnonzero(v) for v in x]).astype(np.int32), np.cumsum([0, *x.sum(1)]), y, ratios)
+    v, balance = x * ratios, np.where(y == 1, np.sqrt(max(1, (1 - y).sum()) / max(1, y.sum())), 1.0)
+    balance /= balance.sum()
+    coef, level = np.zeros(12), 0.0
+    for _ in range(40_000):
+        g = (1 / (1 + np.exp(-(v @ coef + level))) - y) * balance
+        coef, level = coef - 0.3 * (v.T @ g + toxicity.PENALTY * coef), level - 0.3 * g.sum()
+    assert weights == pytest.approx(coef * ratios, abs=0.08) and bias == pytest.approx(level, abs=0.05)
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/b">News</a></li></ul></nav>
 <div class="cookie-notice">We use cookies on this site.</div><article><h1>The  title &amp; more</h1><p><b>First words of the story.<br><p>Second   paragraph with <a href="/x">a link</a> inside it, and enough words.
 </article><div class=comments><h3>Comments</h3><div class="comment"><p>Bob</p><p>I liked this a lot.</p></div></div><form><label>Search</label><input></form><footer>&copy; site</footer></body></html>"""

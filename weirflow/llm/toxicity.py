@@ -3,8 +3,8 @@
 The n-grams (of UTF-8 bytes of the lower-cased text, runs of white space as one space) are hashed into a
 fixed number of features, present or absent. Document frequencies in the two classes of a bounded sample of labelled
 documents give each feature its smoothed log-count ratio, and a logistic regression with an L2 penalty is fitted
-on the ratios of those present: of all features that LEAST documents of the sample or more have and whose ratio is not
-zero, none is left out. A score is one pass over the text with the weights as a vector of fixed length.
+on the ratios of those present. All features that LEAST documents of the sample or more have and that are TELLING times
+likelier in one class than in the other (as a logarithm) are fitted, however many there are. A score is one pass over the text with the weights as a vector of fixed length.
 
 Defined results: null and empty texts get the score of a text without features; rows are scored each, also
 if they repeat; labels with a null id, a null label or without a document are not learned from; with
@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 
 from weirflow.llm.common import crc_mod, keyed_join, materialise, text_of, unit_hash
 
-#: Features by hashing; lengths of n-grams; fewest documents of the sample that must have a feature; pseudo-count of document frequencies.
-FEATURE_BITS, ORDERS, LEAST, PRIOR = 20, (4, 5, 6), 3, 5.0
+#: Features by hashing; lengths of n-grams; fewest documents of the sample that must have a feature; least absolute ratio of one; pseudo-count of document frequencies.
+FEATURE_BITS, ORDERS, LEAST, TELLING, PRIOR = 20, (4, 5, 6), 3, 1.0, 5.0
 #: Most labelled documents of each class that are learned from (in expectation; drawn by a hash of the id), and passes of the fit.
-SAMPLE, STEPS, PENALTY = 2000, 80, 2e-3
+SAMPLE, STEPS, PENALTY = 5000, 300, 2e-3
 #: Documents of which more than one in HELD_OUT modulo are never learned from.
 HELD_OUT = 5
 
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
         share = float(min(max(next(iter(n), 0), 1e-6), 1 - 1e-6))
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
     ratios = np.log((df[1] + PRIOR) / (n[1] + 2 * PRIOR)) - np.log((df[0] + PRIOR) / (n[0] + 2 * PRIOR))
-    ratios[df.sum(axis=0) == 0] = 0
+    ratios[(df.sum(axis=0) == 0) | (np.abs(ratios) < TELLING)] = 0
     rows = seen.mapInArrow(_rows(ratios != 0), "label int, ids array<int>").toArrow().combine_chunks()
     ids = rows.column("ids").combine_chunks()
     weights, bias = fit(ids.flatten().to_numpy(), ids.offsets.to_numpy(), rows.column("label").to_numpy(), ratios)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.llm.chunk_dedup import drop_copies
-from weirflow.llm.common import materialise
+from weirflow.llm.common import materialise, release
 from weirflow.llm.mixing import mixed
 from weirflow.llm.packing import pack
 from weirflow.llm.parity_join import Similarity, drop_similar
@@ -67,5 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read again before the next stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

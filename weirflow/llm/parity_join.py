@@ -45,8 +45,8 @@ from weirflow.llm.components import components
 
 #: Ratio of the sizes of neighbouring bands; blocks of a sketch for each difference that is allowed; members of a bucket that one task compares at once.
 BAND_RATIO, BLOCKS, BLOCK_ROWS = 2.0, 1.25, 1024
-#: Words whose hashes a worker keeps.
-CACHED_WORDS = 1_000_000
+#: Words whose hashes a worker keeps while it reads a partition.
+CACHED_WORDS = 200_000
 
 _MIX_A, _MIX_B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
@@ -171,11 +171,17 @@ def _digest(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
+def _let_go() -> None:
+    """Give memory back: workers live on between stages, and idle ones count, too."""
+    _HASHES.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _sketch(sim: Similarity):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
                 sizes, digests, bands, codes, folded, names, per_row = [], [], [], [], [], [], [0]
                 for text in part.column(2):
                     s = shingle_set(text.as_py(), sim.width)
@@ -192,6 +198,7 @@ def _sketch(sim: Similarity):
                 sketches = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(bands, pa.int32()), _lists(folded)], ["band", "words"])).cast(_SKETCH_KIND)
                 lists = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(codes, pa.int64()), _lists(names)], ["code", "names"])).cast(_LIST_KIND)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), sketches, lists], names=_SKETCHES.names)
+        _let_go()
 
     return run
 
@@ -205,6 +212,7 @@ def _sets(width: int):
             for a in range(0, batch.num_rows, 512):
                 sets = [shingle_set(t.as_py(), width) for t in batch.column(0).slice(a, 512)]
                 yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), _lists(sets)], names=_SETS.names)
+        _let_go()
 
     return run
 

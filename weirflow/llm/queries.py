@@ -73,6 +73,24 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_suffix_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_owner_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.secret_scan import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weirflow.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_revisit_resolution, op2_ppm_langid, op3_crf_extraction, op4_chunk_dedup, op5_parity_join, op6_nb_toxicity, op7_closed_syncmers, op8_weak_pii, op9_soft_mixing, op10_best_fit_packing, pipeline)}
+    return {f.__name__: f for f in (op1_revisit_resolution, op2_ppm_langid, op3_crf_extraction, op4_chunk_dedup, op5_parity_join, op6_nb_toxicity, op7_closed_syncmers, op8_weak_pii, op9_soft_mixing, op10_best_fit_packing, op11_suffix_collocations, op12_owner_secrets, op13_whitening, pipeline)}
 
 
 _OP4_SQL = r"""
@@ -114,5 +132,21 @@ FROM h
 """
 
 
+_OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+s AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM p WHERE len(w) > 0),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM s, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(w)),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+x AS (SELECT lang, phrase, k, f, string_split(phrase, ' ') AS w, unnest(generate_series(1, k - 1)) AS cut FROM c WHERE k > 1),
+y AS (SELECT x.lang, x.phrase, x.f AS a, cut, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * x.f * n.n) // (l.f::HUGEINT * r.f) AS score
+    FROM x JOIN n USING (lang) JOIN c l ON l.lang = x.lang AND l.phrase = array_to_string(list_slice(x.w, 1, cut), ' ') JOIN c r ON r.lang = x.lang AND r.phrase = array_to_string(list_slice(x.w, cut + 1, x.k), ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT * FROM z WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = z.lang AND c.f >= z.a AND len(c.phrase) > len(z.phrase) AND contains(' ' || c.phrase || ' ', ' ' || z.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM o QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_revisit_resolution": _OP1_SQL, "op4_chunk_dedup": _OP4_SQL}
+    return {"op1_revisit_resolution": _OP1_SQL, "op4_chunk_dedup": _OP4_SQL, "op11_suffix_collocations": _OP11_SQL}

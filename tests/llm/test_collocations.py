@@ -64,37 +64,49 @@ def test_small_portions_and_a_hot_word(spark, monkeypatch):
     assert found(spark, rows) == brute(rows, 5, 50)
 
 
-def test_portions_cut_a_text_anywhere(monkeypatch):
-    """Suffixes across the borders of portions are whole."""
+@pytest.mark.parametrize("listed", [0, 10**6])
+def test_more_frequent_words_than_are_listed(spark, monkeypatch, listed):
+    """Suffixes as numbers and spelt out give the same counts, in batches of a few rows."""
+    monkeypatch.setattr(C, "lexicon", lambda words, whole=C.lexicon: whole(words, listed))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rows = texts(3, 200) + [("a b\tc", "w w w w w w w w"), ("a", "b\tc w w w w w w w w")]
+    try:
+        assert found(spark, rows) == brute(rows, 5, 50)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("known", [C.Listed([("en", w) for w in "gfedcba"]), C.Listed([("en", w) for w in ("gfedcba" + "z" * 70_000)]), C.Flagged(16, b"\xff" * (1 << 13))])
+def test_portions_cut_a_text_anywhere(monkeypatch, known):
+    """Suffixes across the borders of portions are whole, whatever bytes stand for words."""
     import pyarrow as pa
 
     monkeypatch.setattr(C, "PORTION", 7)
     monkeypatch.setattr(C, "BATCH", 3)
-    everything = C.Frequent((1 << 16) - 1, b"\xff" * (1 << 13))
     text = "a b c d e f a b c. d e f a b c d e f g " * 5
     batch = pa.RecordBatch.from_pydict({"lang": ["en"], "text": [text]})
     got = collections.Counter()
-    for out in C._suffixes(lambda: everything, [("en", b"c ")])(iter([batch])):
-        for p, s, n in zip(out["part"].to_pylist(), out["suffix"].to_pylist(), out["n"].to_pylist(), strict=True):
-            assert p == (s.encode() >= b"c ") and s.endswith(" ")
-            got[s] += n
+    for out in C._suffixes(lambda: known, [])(iter([batch])):
+        rows, names = known.read(out["suffix"])
+        for row, n in zip(rows.tolist(), out["n"].to_pylist(), strict=True):
+            got[" ".join(names[j][1] for j in row if j >= 0)] += n
+            assert all(names[j][0] == "en" for j in row if j >= 0)
     want = collections.Counter()
     for piece in text.split("."):
         w = piece.split()
         for i in range(len(w) - 1):
-            want[" ".join(w[i : i + 5]) + " "] += 1
+            want[" ".join(w[i : i + 5])] += 1
     assert got == want
+    assert [p for out in C._suffixes(lambda: known, [b"", b"\xff" * 9])(iter([batch])) for p in set(out["part"].to_pylist())][0] == 1
 
 
 def test_bitmap_holds_all_frequent_words(spark):
     """The executors' hash and the plan's are the same, so no frequent word is missed; most others are told apart."""
-    import xxhash
-
     words = spark.createDataFrame([("en", f"wört{i}", 9) for i in range(500)] + [("en", None, 9999)], "lang string, word string, n long")
-    known = C.frequent(words)
-    at = lambda w: xxhash.xxh64_intdigest(w.encode(), xxhash.xxh64_intdigest(b"en", 42))
-    assert all(at(f"wört{i}") in known for i in range(500))
-    assert sum(at(f"other{i}") in known for i in range(1000)) < 150
+    ids = C.lexicon(words, 499).ids("en")
+    assert all(ids[f"wört{i}".encode()] == i for i in range(500))
+    assert sum(ids[f"other{i}".encode()] >= 0 for i in range(1000)) < 150
+    assert isinstance(C.lexicon(words, 500), C.Listed)
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None)], [("en", "only one text of words")]])

@@ -33,6 +33,31 @@ def matches(devices: DataFrame, query: str, name: str = "name", label: str = "la
     return tiers.join(F.broadcast(tiers.agg(F.min("tier").alias("tier"))), "tier")
 
 
+def matches_of(asked: DataFrame, devices: DataFrame, name: str = "name", label: str = "label") -> DataFrame:
+    """For every distinct name of a table ``asked`` (asked) the devices of the best tier that any device reaches: asked (trimmed, in lower case), tier, and the columns of ``devices``.
+
+    The same rows as `matches` for each name, in one plan. A tier is an equality of keys: labels, names and initials as they
+    are, the starts of initials, and for parts of names groups of three characters, of which a question looks up its
+    rarest; what meets there is checked. So questions are never compared with all devices, but for those that match them.
+    """
+    q = asked.select(F.lower(F.regexp_replace("asked", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")).alias("asked")).filter("asked IS NOT NULL").distinct()
+    text = lambda c: normalised(F.coalesce(F.col(c), F.lit("")))
+    first = initials(F.coalesce(F.col(name), F.lit("")))
+    grams = lambda c: F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3)))).otherwise(F.array().cast("array<string>"))
+    starts = F.when(F.length(first) >= 2, F.transform(F.sequence(F.lit(2), F.length(first)), lambda i: F.substring(first, F.lit(1), i))).otherwise(F.array().cast("array<string>"))
+    key = lambda tier, c: F.struct(F.lit(tier).alias("tier"), c.alias("key"))
+    whole = F.array(key(1, text(label)), key(2, text(name)), key(3, first))
+    keys = F.concat(whole, F.transform(grams(text(name)), lambda g: key(4, g)), F.transform(starts, lambda g: key(5, g)))
+    d = devices.select(F.struct(*[F.col(c) for c in devices.columns]).alias("_device"), text(name).alias("_name"), F.explode(keys).alias("k")).select("_device", "_name", "k.*")
+    a, n = F.col("asked"), F.length("asked")
+    counts = d.filter("tier = 4").groupBy("key").agg(F.count("*").alias("n"))
+    rarest = q.select("asked", F.explode(grams(a)).alias("key")).join(counts, "key", "left").groupBy("asked").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("g")).select("asked", key(4, F.col("g.key")).alias("k"))
+    wanted = q.select("asked", F.explode(F.filter(F.array(*[key(t, a) for t in (1, 2, 3)], key(5, a)), lambda k: (k["tier"] < 5) | (n >= 2))).alias("k")).unionByName(rarest)
+    met = wanted.select("asked", "k.*").join(d, ["tier", "key"]).filter("tier <> 4 OR contains(_name, asked)")
+    best = met.groupBy("asked").agg(F.min("tier").alias("tier"))
+    return met.join(best, ["asked", "tier"]).select("asked", "tier", "_device.*")
+
+
 def resolve_one(devices: DataFrame, query: str | None, default: str | None = None) -> str:
     """The label of exactly one device. Raises LookupError for none and for several, listing up to ten."""
     asked = (query or "").strip() or (default or "").strip()

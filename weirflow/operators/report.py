@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions.scalars import plain_number, sentence_case
 from weirflow.operators.dimensions import ACCURACY_ABSOLUTE, ACCURACY_SHARE, METRICS
+from weirflow.operators.intervals import within
 
 # How long an excursion lasts at least, margins and limits of flags, severities and confidences.
 MIN_EXCURSION = "interval 1 hour"
@@ -71,12 +72,14 @@ def merged(windows: DataFrame) -> DataFrame:
     return w.groupBy("site", "event").agg(F.min("window_start").alias("event_start"), F.max("window_end").alias("event_end")).drop("event")
 
 
-def movements(series: DataFrame, events: DataFrame) -> DataFrame:
+def movements(series: DataFrame, events: DataFrame, by_day: bool = True) -> DataFrame:
     """Per event and metric the mean, least and greatest value inside it, and where the mean left the baseline: up or down.
 
-    The join is on the site with the interval as residual condition, so it stays a hash or merge join.
+    Samples and events meet by site and day (`intervals.within`), so a site's work is linear in its samples and spread over
+    its days; or by site alone, which sums a site's samples in the order of their source.
     """
-    inside = series.filter("value IS NOT NULL AND baseline_min IS NOT NULL").join(events, "site").filter("at >= event_start AND at <= event_end")
+    samples = series.filter("value IS NOT NULL AND baseline_min IS NOT NULL")
+    inside = within(samples, events, ["site"], "event_start", "event_end") if by_day else samples.join(events, "site").filter("at >= event_start AND at <= event_end")
     m = inside.groupBy("site", "event_start", "event_end", "metric", "baseline_min", "baseline_max").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
     return m.withColumn("moved", F.when(F.col("mean") > F.col("baseline_max"), "up").when(F.col("mean") < F.col("baseline_min"), "down"))
 

@@ -91,9 +91,36 @@ def counts() -> list[Column]:
     return [F.count_if(F.col("valid") & F.col("value").isNotNull()).alias("n_samples"), F.count_if(~F.col("valid")).alias("excluded_faulted")]
 
 
+#: Accuracy of the sketches that bound a median, and how far from the middle the bounds are taken, in its steps: sketches that were merged many times are less exact than they say.
+RANKS, MARGIN = 100_000, 32
+
+
+def medians(samples: DataFrame, by: tuple[str, ...] = ("device", "metric"), ranks: int = RANKS, margin: int = MARGIN) -> DataFrame:
+    """(by, value): exact medians of the valid samples of a group, of which no task holds more than a small share.
+
+    A sketch (mergeable, so every task reads its part of a hot series) gives two values about the middle. A second pass counts
+    what is below them, and the distinct values between them, of which the one or two middle ones are picked. Where they turn
+    out not to lie there, the group's percentile is taken as a whole.
+    """
+    v = samples.filter("valid AND value IS NOT NULL").select(*by, "value")
+    off = min(margin / ranks, 0.5)
+    bounds = v.groupBy(*by).agg(F.percentile_approx("value", [0.5 - off, 0.5 + off], F.lit(ranks)).alias("b"), F.count("*").alias("n"))
+    at = v.join(bounds, list(by)).filter(F.col("value") <= F.element_at("b", 2))
+    near = at.groupBy(*by, "n", F.when(F.col("value") >= F.element_at("b", 1), F.col("value")).alias("x")).agg(F.count("*").alias("k"))
+    upto = near.withColumn("upto", F.sum("k").over(Window.partitionBy(*by).orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)))
+    middle = lambda rank: F.max(F.when(F.col("x").isNotNull() & (F.col("upto") - F.col("k") <= rank) & (rank < F.col("upto")), F.col("x")))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    picked = upto.groupBy(*by).agg((0.5 * middle(low) + 0.5 * middle(high)).alias("value"))
+    missed = picked.filter("value IS NULL").select(*by)
+    return picked.filter("value IS NOT NULL").unionByName(v.join(missed, list(by), "left_semi").groupBy(*by).agg(F.percentile("value", 0.5).alias("value")))
+
+
 def aggregate(samples: DataFrame, name: str, by: tuple[str, ...] = ("device", "metric")) -> DataFrame:
     """One row per group: value, n_samples, excluded_faulted, and for latest and earliest when it was observed."""
     s = samples.filter(F.col("value").isNotNull())
+    if name == "median":
+        counted = s.groupBy(*by).agg(*counts())
+        return counted.join(medians(s, by), list(by), "left").select(*by, "value", "n_samples", "excluded_faulted")
     extra = {"latest": [F.max(_ok("at")).alias("observed_at")], "earliest": [F.min(_ok("at")).alias("observed_at")]}.get(name, [])
     return s.groupBy(*by).agg(statistic(name).alias("value"), *counts(), *extra)
 

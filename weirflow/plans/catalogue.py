@@ -228,7 +228,7 @@ def interval_merge(spark, sf_dir):
 @query(f"WITH {_MOVES} SELECT site, (epoch_us(s) // 1000) AS start_ms, metric, round(mean, 6) AS mean, mn AS min, mx AS max, moved FROM MM")
 def event_movements(spark, sf_dir):
     p = B.site_series(spark, sf_dir)
-    return R.movements(p, R.merged(R.excursions(p))).select("site", _ms("event_start").alias("start_ms"), "metric", *_six("mean"), "min", "max", "moved")
+    return R.movements(p, R.merged(R.excursions(p)), by_day=False).select("site", _ms("event_start").alias("start_ms"), "metric", *_six("mean"), "min", "max", "moved")
 
 
 @query(f"WITH {_EVENTS} SELECT * FROM EA")
@@ -783,8 +783,12 @@ def text_without_commentary(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from weirflow.plans import bulk  # noqa: F401 - registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from weirflow.plans import bulk  # noqa: F401 - registers its twins
+
     return dict(_SQL)

@@ -3,7 +3,8 @@
 Each row asks for a metric (or all), an aggregation, a time phrase and a device by any of its names. Phrases and
 names are read by expressions and one join, windows are resolved against each device's newest reading, and samples
 meet windows by device, metric and time bin. Errors are data: a question that cannot be answered is a row that says
-why, in the words that `sensor_query` uses.
+why, in the words that `sensor_query` uses. Questions that were read are written to the shared folder, since each kind of
+answer (statistics, medians, raw samples, series) takes its own from them; samples are shuffled once for all kinds.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from weirflow.operators import samples as S
 from weirflow.operators.dimensions import ALIASES, METRICS
 from weirflow.operators.intervals import within
 from weirflow.operators.registry import matches_of
+from weirflow.sources.durable import written
 
 #: Width of the bins in which samples and windows meet.
 BIN_MS = 7 * 86_400_000
@@ -71,7 +73,7 @@ def answers(questions: DataFrame, samples: DataFrame, devices: DataFrame, defaul
     error is one row with null results; a device without readings has null times; a group without samples has a null
     value and counts of zero. Rows that repeat a question's id are one question that is asked twice: ids should be distinct.
     """
-    q = resolved_devices(checked(questions), devices, default_device)
+    q = written(resolved_devices(checked(questions), devices, default_device), "questions")  # read by every kind of answer
     spans = samples.groupBy("device").agg(F.max("at").alias("anchor"), F.min("at").alias("oldest"))
     asked = q.filter("error IS NULL").join(spans, "device", "left").withColumn("r", timephrase.resolved(F.col("window"), F.col("anchor"))).withColumn("metric", F.explode("metrics"))
     asked = asked.select("question", "device", "label", "metric", "name", "width", "anchor", "oldest", "r.start", "r.end", F.col("r.label").alias("range_label"), "r.end_inclusive")

@@ -1,10 +1,12 @@
 """Learned operators: edge cases, held-out accuracy, and their arithmetic against plain versions."""
 
 import math
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weirflow.llm import html_extract, langid, toxicity
 
@@ -134,10 +136,19 @@ def test_drop_toxic(spark, talk):
 
 def test_features():
     a = np.concatenate([*toxicity.features("Aé  b"), []])
-    assert np.array_equal(a, np.concatenate([*toxicity.features("aé b"), []])) and len(a) == 9  # of seven bytes
+    assert np.array_equal(a, np.concatenate([*toxicity.features("aé b"), []])) and len(a) == sum(max(0, 8 - n) for n in toxicity.ORDERS)  # of seven bytes
     assert list(toxicity.features("")) == [] or all(len(x) == 0 for x in toxicity.features(""))
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_toxicity_held_out(spark):
+    """On the given tables most toxic documents that were not learned from are found, and hardly a clean one is called toxic."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = toxicity.classify(docs, labels).filter("held_out").join(labels.select("doc_id", "toxic"), "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("called")).collect()
+    n = {r.toxic: (r.called, r.n) for r in known}
+    assert n[1][0] >= 0.88 * n[1][1] and n[0][0] <= 0.01 * n[0][1]
+
+
 def plain_features(text):
     """The hashed n-grams of a text, one by one."""
     data = b" " + b" ".join(text.lower().encode().split()) + b" "
@@ -170,7 +181,7 @@ def test_model_against_plain_version(spark, talk):
     for f in df[0].keys() | df[1].keys():
         a, b = df[1].get(f, 0), df[0].get(f, 0)
         ratio = math.log((a + toxicity.PRIOR) / (n[1] + 2 * toxicity.PRIOR)) - math.log((b + toxicity.PRIOR) / (n[0] + 2 * toxicity.PRIOR))
-        if a + b >= toxicity.LEAST and abs(ratio) >= toxicity.TELLING:
+        if a + b >= toxicity.support(dict(enumerate(n))) and abs(ratio) >= toxicity.TELLING:
             want.add(f)
     assert {int(i) for i in np.flatnonzero(model.weights)} <= want and len(want) > 20
     present = toxicity._Present()

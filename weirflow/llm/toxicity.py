@@ -3,8 +3,10 @@
 The n-grams (of UTF-8 bytes of the lower-cased text, runs of white space as one space) are hashed into a
 fixed number of features, present or absent. Document frequencies in the two classes of a bounded sample of labelled
 documents give each feature its smoothed log-count ratio, and a logistic regression with an L2 penalty is fitted
-on the ratios of those present. All features that LEAST documents of the sample or more have and that are TELLING times
-likelier in one class than in the other (as a logarithm) are fitted, however many there are. A score is one pass over the text with the weights as a vector of fixed length.
+on the ratios of those present. A feature is fitted if enough documents of the sample have it (half the root of the rarer
+class's number, `support`) and it is TELLING times likelier in one class than in the other (as a logarithm), however many
+there are: long texts bring very many n-grams that a few documents of one class have by chance, and with those the fit
+learns the sample by heart. A score is one pass over the text with the weights as a vector of fixed length.
 
 Defined results: null and empty texts get the score of a text without features; rows are scored each, also
 if they repeat; labels with a null id, a null label or without a document are not learned from; with
@@ -14,6 +16,7 @@ further columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +28,8 @@ from pyspark.sql import types as T
 
 from weirflow.llm.common import crc_mod, keyed_join, materialise, text_of, unit_hash
 
-#: Features by hashing; lengths of n-grams; fewest documents of the sample that must have a feature; least absolute ratio of one; pseudo-count of document frequencies.
-FEATURE_BITS, ORDERS, LEAST, TELLING, PRIOR = 20, (4, 5, 6), 3, 1.0, 5.0
+#: Features by hashing; lengths of n-grams; fewest documents of any sample that must have a feature; least absolute ratio of one; pseudo-count of document frequencies.
+FEATURE_BITS, ORDERS, LEAST, TELLING, PRIOR = 22, (5, 7, 9), 3, 1.5, 1.0
 #: Most labelled documents of each class that are learned from (in expectation; drawn by a hash of the id), and passes of the fit.
 SAMPLE, STEPS, PENALTY = 5000, 300, 2e-3
 #: Documents of which more than one in HELD_OUT modulo are never learned from.
@@ -65,6 +68,11 @@ class _Present:
         return ids[self.place[ids] == numbers]
 
 
+def support(n: dict[int, int]) -> int:
+    """How many documents of a sample, of so many in each class, must have a feature."""
+    return max(LEAST, round(math.sqrt(min(n.values(), default=0)) / 2))
+
+
 @dataclass(frozen=True)
 class Model:
     weights: np.ndarray
@@ -137,14 +145,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, held_out: in
     seen = keyed_join(docs.select(F.col("doc_id").cast("long"), text_of(docs).alias("text")), known, ["doc_id"], "inner").select("text", "label")  # 2 * sample rows in expectation
     size = 1 << FEATURE_BITS
     df = np.zeros((2, size), np.int64)
-    counted = seen.mapInArrow(_count, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(f"n0 + n1 >= {LEAST}")
-    got = counted.toArrow()
-    at = got.column("feature").to_numpy()
-    df[0, at], df[1, at] = got.column("n0").to_numpy(), got.column("n1").to_numpy()
     n = {r.label: r.n for r in seen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         share = float(min(max(next(iter(n), 0), 1e-6), 1 - 1e-6))
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
+    counted = seen.mapInArrow(_count, "feature int, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).filter(f"n0 + n1 >= {support(n)}")
+    got = counted.toArrow()
+    at = got.column("feature").to_numpy()
+    df[0, at], df[1, at] = got.column("n0").to_numpy(), got.column("n1").to_numpy()
     ratios = np.log((df[1] + PRIOR) / (n[1] + 2 * PRIOR)) - np.log((df[0] + PRIOR) / (n[0] + 2 * PRIOR))
     ratios[(df.sum(axis=0) == 0) | (np.abs(ratios) < TELLING)] = 0
     rows = seen.mapInArrow(_rows(ratios != 0), "label int, ids array<int>").toArrow().combine_chunks()

@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 # HTML's elements without content, those whose content is no text, and those that border a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "math", "canvas")
+FOREIGN = ("svg", "math")  # of those the ones that a slash closes
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Words in class and id attributes, by what they tell.
 HINTS = {
     "nav": "nav menu breadcrumb breadcrumbs pagination pager toc tabs navbar skip", "head": "header masthead banner topbar logo branding", "foot": "footer foot copyright legal colophon",
-    "side": "sidebar side aside widget related recommended trending popular more recirc", "note": "cookie consent notice alert gdpr popup modal newsletter subscribe signup paywall promo",
+    "side": "sidebar aside widget related recommended trending popular more recirc", "note": "cookie consent notice alert gdpr popup modal newsletter subscribe signup paywall promo",
     "ad": "ad ads advert adverts advertisement sponsor sponsored banner-ad dfp promo teaser", "form": "form search login register", "talk": "comment comments reply replies disqus discussion respond thread",
     "share": "share social follow tweet facebook meta byline author tags", "main": "article content main post entry story body text page prose",
 }
@@ -56,16 +57,21 @@ P_SCOPE = frozenset("html body table td th caption button object marquee".split(
 NAMED = frozenset("a article aside blockquote body button dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header label li main nav ol option p pre section select summary table tbody td th thead tr ul".split())
 
 
+#: Elements that stand for themselves: hints from around them are not the nearest ones.
+SECTIONS = frozenset("article aside body footer form header main nav section".split())
+
+
 class Open:
     """An open element. What its ancestors say is kept as sets that are shared where nothing is new, so depth costs no copies."""
 
-    __slots__ = ("tag", "up", "tags", "hints", "outer")
+    __slots__ = ("tag", "up", "tags", "hints", "near", "outer")
 
     def __init__(self, tag: str, own: tuple[str, ...], up: Open | None) -> None:
         self.tag, self.up = tag, up
         tags, hints = (up.tags, up.hints) if up else (frozenset(), frozenset())
         self.tags = tags if tag in tags or tag not in NAMED else tags | {tag}
         self.hints = hints if hints.issuperset(own) else hints.union(own)
+        self.near = own or (up.near if up and tag not in SECTIONS else ())
         self.outer = (up.outer if up else "") if tag in INLINE else tag if tag in NAMED else "other"
 
 
@@ -82,8 +88,9 @@ def _hints(attributes: str) -> tuple[str, ...]:
         if (name := name.lower()) == "hidden" or name == "style" and "none" in (a or b or c):
             found.add("hidden")
         elif name != "style":
-            words = _PART.findall((a or b or c).lower())
-            found.update(_HINT_OF[w] for w in words if w in _HINT_OF)
+            for name in (a or b or c).lower().split():
+                words = _PART.findall(name)
+                found.update(_HINT_OF[w] for w in (*words, "".join(words)) if w in _HINT_OF)
     return tuple(sorted(found))
 
 
@@ -159,10 +166,11 @@ class _Reader:
             elif m[1]:
                 self.end(tag)
             elif tag in _RAW_END:
-                if tag not in INLINE:
+                if tag not in INLINE and tag not in FOREIGN:
                     self.border()
-                end = _RAW_END[tag].search(page, at)
-                at = end.end() if end else n
+                if not (tag in FOREIGN and m[3].endswith("/")):
+                    end = _RAW_END[tag].search(page, at)
+                    at = end.end() if end else n
             else:
                 self.start(tag, m[3])
         self.border()
@@ -178,12 +186,13 @@ def features(own: list[Block]) -> list[list[str]]:
     """For each block the names of its features: ancestors, hints, links, wording and place."""
     out = []
     for i, b in enumerate(own):
-        tags, hints, outer = (b.at.tags, b.at.hints, b.at.outer) if b.at else (frozenset(), frozenset(), "")
+        tags, hints, near, outer = (b.at.tags, b.at.hints, b.at.near, b.at.outer) if b.at else (frozenset(), frozenset(), (), "")
         n, words = len(b.text), b.text.count(" ") + 1
         share = b.linked / n
         f = ["one", f"tag={outer}", f"size={min(7, n.bit_length() - 3 if n > 7 else 0)}", f"links={0 if not share else 1 if share < 0.3 else 2 if share < 0.8 else 3}"]
         f += [f"in={t}" for t in tags if t not in INLINE or t == "a"]
         f += [f"hint={h}" for h in hints]
+        f += [f"near={h}" for h in near]
         f += [f"hint={h}&article" for h in hints if "article" in tags or "main" in tags]
         f.append("stop" if b.text[-1] in ".!?…。" else "nostop")
         if "article" in tags or "main" in tags:
@@ -322,6 +331,8 @@ class _Maker:
             return f"<header{self.mark(kind)}><{(h := r.choice(['h1', 'div', 'p', 'span']))}>{w(1, 5, False)}</{h}>{r.choice(['', f'<p>{w(3, 9)}</p>'])}</header>" if r.random() < 0.7 else f"<div{self.mark(kind)}><a href='/'>{w(1, 3, False)}</a> {w(0, 6)}</div>"
         if kind == "foot":
             t = r.choice(["footer", "footer", "footer", "div"])
+            if r.random() < 0.3:
+                return f"<{t}{self.mark(kind) if t == 'div' else ''}><p>{w(2, 12)}</p>{r.choice(['', f'<p>{w(2, 20)}</p>'])}</{t}>"
             return f"<{t}{self.mark(kind) if t == 'div' or r.random() < 0.4 else ''}>{r.choice(['&copy; ', '', '© 2020 '])}{w(1, 3, False)} {r.choice(['&middot; ', '| ', ''])}{w(0, 12)}{r.choice(['', f'<ul>{self.links(3)}</ul>', f'<p>{w(5, 20)}</p>'])}</{t}>"
         if kind == "side":
             t = r.choice(["aside", "aside", "div", "section"])
@@ -341,10 +352,10 @@ class _Maker:
     def page(self) -> str:
         """HTML in which the article's text is marked with a leading sign that is no part of any word."""
         r, w, sign = self.r, self.words, "\x01"
-        inner = [f"<h1>{sign}{w(2, 12)}</h1>"] if r.random() < 0.9 else []
+        inner = [f"<h{(k := r.choice([1, 1, 1, 2]))}>{sign}{w(1, 12, r.random() < 0.5)}</h{k}>"] if r.random() < 0.75 else []
         for _ in range(r.choice([1, 2, 4, 8, 16])):
             x = r.random()
-            if x < 0.72:
+            if x < 0.7:
                 text = w(*r.choice([(1, 2), (2, 8), (10, 40), (30, 120)]))
                 if r.random() < 0.2 and " " in text:
                     a, _, b = text.partition(" ")
@@ -352,30 +363,38 @@ class _Maker:
                 if r.random() < 0.12:
                     inner.append(f"<p><b>{sign}{w(2, 20)}<br>")
                 inner.append(f"<p{r.choice(['', '', self.mark('main')])}>{sign}{text}{r.choice(['</p>'] * 6 + [''])}")
+            elif x < 0.73:
+                inner.append(f"<pre>{sign}{w(2, 30, False)}</pre>")
             elif x < 0.8:
                 inner.append(f"<h{(k := r.randint(2, 4))}>{sign}{w(1, 8, False)}</h{k}>")
-            elif x < 0.87:
+            elif x < 0.86:
                 inner.append("<ul>" + "".join(f"<li>{sign}{w(2, 20)}</li>" for _ in range(r.randint(1, 5))) + "</ul>")
-            elif x < 0.92:
+            elif x < 0.9:
                 inner.append(f"<blockquote>{r.choice(['', '<p>'])}{sign}{w(5, 40)}</blockquote>")
-            elif x < 0.95:
+            elif x < 0.92:
                 inner.append(f"<table><tr><td>{sign}{w(1, 4, False)}<td>{sign}{w(1, 9)}</table>")
             else:
                 inner.append(self.furniture(r.choice(["ad", "note", "side", "share", "form"])))
         body = "".join(inner)
-        shape = r.random()
-        if shape < 0.5:
+        shape, plain = r.random(), r.choice(["", "", f' class="{w(1, 1, False).lower()}"'])
+        if shape < 0.38:
             body = f"<article{r.choice(['', '', self.mark('main')])}>{body}</article>"
-        elif shape < 0.65:
-            body = f"<main>{body}</main>"
-        elif shape < 0.8:
+        elif shape < 0.52:
+            body = f"<main{r.choice(['', '', plain, self.mark('main')])}>{body}</main>"
+        elif shape < 0.66:
             body = f'<div class="{r.choice(HINTS["main"].split())}">{body}</div>'
-        elif shape < 0.9:
+        elif shape < 0.75:
             body = f"<main><article>{body}</article>{self.furniture('talk')}</main>"
-        else:
+        elif shape < 0.83:
+            body = f"<section{r.choice([plain, self.mark('main')])}>{body}</section>"
+        elif shape < 0.91:
             body = f"<div>{body}</div>"
-        before = "".join(self.furniture(k) for k in ("note", "head", "nav", "form", "ad", "nav", "side") if r.random() < 0.5)
-        after = "".join(self.furniture(k) for k in ("share", "talk", "side", "ad", "form", "nav", "foot") if r.random() < 0.5)
+        # Some pages are the article alone, some begin with it, some end with it.
+        around = r.random()
+        before = "".join(self.furniture(k) for k in ("note", "head", "nav", "form", "ad", "nav", "side") if r.random() < 0.5) if 0.2 < around < 0.93 else ""
+        after = "".join(self.furniture(k) for k in ("share", "talk", "side", "ad", "form", "nav", "foot") if r.random() < 0.5) if around > 0.12 else ""
+        if around < 0.03:
+            return body if r.random() < 0.5 else f"{sign}{w(10, 80)}"
         whole = f"<!DOCTYPE html><html><head><title>{w(1, 8)}</title><style>p{{}}</style></head><body>{before}{body}{after}</body></html>"
         return whole[: r.randint(len(whole) // 2, len(whole))] if r.random() < 0.06 else whole
 

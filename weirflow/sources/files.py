@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.functions.scalars import lenient_double
+from weirflow.functions.scalars import lenient_double, safe_id
 from weirflow.operators.corpus import MAX_CHUNKS, loadable, oversized, upserted
 from weirflow.operators.evaluation import fixture_errors
+from weirflow.sources.versions import VersionedTable
 
 FIXTURE = """filename string, id string, class string, expected_to_favor string, answerable_from array<string>, requires array<string>, notes string,
     turns array<struct<role: string, content: string, rubric: struct<must_contain: array<string>, must_not: array<string>, cite: array<string>, notes: string>>>"""
@@ -100,7 +101,8 @@ def _there(spark: SparkSession, path: str) -> bool:
 def upsert_corpus(df: DataFrame, path: str) -> None:
     """Put documents into the stored corpus, in place of those of the same identifier; the others stay. Nothing is written if one is too large.
 
-    The new state is written beside the old one and then takes its place.
+    The corpus is a plain folder that any reader can open: the new state is written beside the old one and then takes its place, in two
+    steps. A corpus that must survive a writer's death between them is a versioned one (`put_documents`).
     """
     if not oversized(df).isEmpty():
         raise ValueError("a document exceeds the greatest stored size; nothing was written")
@@ -126,6 +128,45 @@ def load_chunks(incoming: DataFrame, path: str) -> DataFrame:
     return incoming.filter(~F.coalesce(F.size("chunks").between(1, MAX_CHUNKS), F.lit(False)))
 
 
+def _documents(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, safe_id(F.col("filename")))
+
+
+def _chunks(spark: SparkSession, path: str) -> VersionedTable:
+    return VersionedTable(spark, path, F.col("filename"))
+
+
+def stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    """A versioned corpus, or a plain one that nothing was put into yet."""
+    table = _documents(spark, path)
+    return table.read() if table.exists() else spark.read.parquet(path)
+
+
+def put_documents(df: DataFrame, path: str) -> None:
+    """Put documents into a versioned corpus, in place of those of the same identifier; the others stay. Nothing is written if one is too large.
+
+    The corpus changes as a whole, when the manifest of its new state is there (`sources.versions`); only parts with a document that
+    comes in are written anew. Of a plain corpus in the folder all documents are taken over first.
+    """
+    if not oversized(df).isEmpty():
+        raise ValueError("a document exceeds the greatest stored size; nothing was written")
+    spark, table = df.sparkSession, _documents(df.sparkSession, path)
+    base = spark.read.parquet(path) if not table.exists() and _there(spark, path) else None
+    table.change(df, upserted, base)
+
+
+def stored_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return _chunks(spark, path).read()
+
+
+def put_chunks(incoming: DataFrame, path: str) -> DataFrame:
+    """`load_chunks` into a versioned table: all chunks of all documents of a load are there at once, or none."""
+    table = _chunks(incoming.sparkSession, path)
+    chosen = loadable(incoming, table.read() if table.exists() else None)
+    table.append(chosen.select("filename", "title", F.posexplode("chunks").alias("chunk_index", "text")))
+    return incoming.filter(~F.coalesce(F.size("chunks").between(1, MAX_CHUNKS), F.lit(False)))
+
+
 def score_sheet(fixtures: DataFrame, labels: list[str]) -> DataFrame:
     """A row to be filled in for each fixture, turn and label, in that order."""
     turns = fixtures.select("id", F.posexplode("turns").alias("turn", "t"))

@@ -53,7 +53,7 @@ AGAINST = r"version|\bv\.?$|order|isbn|token|serial|build|article|section|\bid\b
 CONTEXT, ROUNDS, STEPS = 32, 40, 400
 LABELERS = ("pattern", "gazetteer", "context", "borders", "grouping")
 
-_SPAN = "array<struct<kind:int,start:int,end:int,x:string,strict:boolean>>"
+_SPAN = "array<struct<kind:int,start:int,end:int,x:string,strict:boolean,ahead:string,after:string>>"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -62,21 +62,27 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _found(kind: str, pattern: str, guard: str, strict: bool) -> str:
-    """SQL for all leftmost non-overlapping matches in ``text`` with their positions, from the pieces between them.
+    """SQL for all leftmost non-overlapping matches in ``text`` with their positions and what stands beside them.
 
+    All is told from the matches and the pieces between them, never from the text again, which would be walked from its
+    start for each match. What stands ahead is the end of the piece before; where that is shorter than CONTEXT, the
+    matches and pieces before it, of which CONTEXT / 2 are always enough, since a match has two code points or more.
     Positions are running sums of lengths. An array that grows is copied at every step, so sums are made within blocks of
     about the root of the number of matches and then over blocks: many matches cost little more than few.
     """
-    p = f"r'{pattern}'"
-    pieces = f"zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (x, y) -> named_struct('x', x, 'n', length(y)))"
-    item = f"named_struct('kind', {KINDS.index(kind)}, 'start', a.at + e.n, 'end', a.at + e.n + length(e.x), 'x', e.x, 'strict', {str(strict).lower()})"
-    block = f"""aggregate(k, named_struct('at', 0, 'out', cast(array() as {_SPAN})),
-        (a, e) -> named_struct('at', a.at + e.n + coalesce(length(e.x), 0), 'out', if(e.x is null, a.out, concat(a.out, cast(array({item}) as {_SPAN})))))"""
+    p, most = f"r'{pattern}'", CONTEXT // 2
+    piece = f"named_struct('x', x, 'n', length(y), 'tail', right(y, {CONTEXT}), 'head', left(if(y = '', coalesce(x, ''), y), 1))"
+    pieces = f"zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (x, y) -> {piece})"
+    before = f"array_join(transform(slice(w, greatest(i - {most - 1}, 1), least(i, {most})), q -> concat(q.tail, right(q.x, {CONTEXT}))), '')"
+    ahead = f"if(i = 0 or length(e.tail) = {CONTEXT}, e.tail, right(concat({before}, e.tail), {CONTEXT}))"
+    beside = f"transform(w, (e, i) -> named_struct('x', e.x, 'n', e.n, 'ahead', {ahead}, 'after', coalesce(get(w, i + 1).head, '')))"
     size = "cast(ceil(sqrt(size(m))) as int)"
-    blocks = f"transform(sequence(0, size(m) - 1, {size}), i -> element_at(transform(array(slice(m, i + 1, {size})), k -> {block}), 1))"
-    starts = "aggregate(b, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, e) -> named_struct('at', a.at + e.at, 'out', concat(a.out, array(a.at))), a -> a.out)"
-    moved = "transform(e.out, s -> named_struct('kind', s.kind, 'start', s.start + o, 'end', s.end + o, 'x', s.x, 'strict', s.strict))"
-    whole = _let(pieces, "m", _let(blocks, "b", f"flatten(zip_with(b, {starts}, (e, o) -> {moved}))"))
+    sums = "named_struct('at', 0, 'out', cast(array() as array<int>))"
+    block = f"aggregate(slice(m, i + 1, {size}), {sums}, (a, e) -> named_struct('at', a.at + e.n + coalesce(length(e.x), 0), 'out', concat(a.out, array(a.at))))"
+    starts = f"aggregate(b, {sums}, (a, e) -> named_struct('at', a.at + e.at, 'out', concat(a.out, array(a.at))), a -> a.out)"
+    places = _let(f"transform(sequence(0, size(m) - 1, {size}), i -> {block})", "b", f"flatten(zip_with(b, {starts}, (e, o) -> transform(e.out, s -> s + o)))")
+    item = f"named_struct('kind', {KINDS.index(kind)}, 'start', at + e.n, 'end', at + e.n + length(e.x), 'x', e.x, 'strict', {str(strict).lower()}, 'ahead', e.ahead, 'after', e.after)"
+    whole = _let(pieces, "w", _let(beside, "m", f"cast(slice(zip_with(m, {places}, (e, at) -> {item}), 1, size(m) - 1) as {_SPAN})"))
     return f"if({guard}, {whole}, cast(array() as {_SPAN}))"
 
 
@@ -104,7 +110,7 @@ def _votes() -> str:
     def by_kind(values: dict[str, str]) -> str:
         return "case c.s.kind " + " ".join(f"when {i} then {values[k]}" for i, k in enumerate(KINDS)) + " end"
 
-    ahead = f"lower(substring(text, greatest(c.s.start - {CONTEXT}, 0) + 1, least(c.s.start, {CONTEXT})))"
+    ahead = "lower(c.s.ahead)"
     domains = "|".join(DOMAINS)
     pattern = "if(not c.valid, -1, if(c.s.strict, 1, 0))"
     gazetteer = by_kind({
@@ -112,7 +118,7 @@ def _votes() -> str:
         "card": "if(c.valid, 1, -1)", "phone": r"if(c.valid and not c.s.x rlike r'\b000\b', 1, 0)",
     })
     context = f"if({ahead} rlike r'{AGAINST}', -1, if({by_kind({k: f'{ahead} rlike ' + chr(114) + chr(39) + v + chr(39) for k, v in BEFORE.items()})}, 1, 0))"
-    borders = r"if(concat(substring(text, greatest(c.s.start, 1), if(c.s.start > 0, 1, 0)), '|', substring(text, c.s.end + 1, 1)) rlike r'^[\p{L}\p{N}_]|[\p{L}\p{N}_]$', -1, 1)"
+    borders = r"if(concat(right(c.s.ahead, 1), '|', c.s.after) rlike r'^[\p{L}\p{N}_]|[\p{L}\p{N}_]$', -1, 1)"
     grouping = by_kind({
         "email": "if(length(c.s.x) <= 80, 1, -1)", "ip": "if(length(c.s.x) between 7 and 21, 1, -1)",
         "card": "if(c.s.x rlike r'^(?:[0-9]{12,19}|[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\\2[0-9]{5})$', 1, -1)",
@@ -162,7 +168,8 @@ def estimate(ballots: list[tuple[int, list[int], int]]) -> Model:
 
 def train(docs: DataFrame) -> Model:
     """Reliabilities and weights from the ballots of all candidates of all documents."""
-    each = _candidates(docs).filter("size(checked) > 0").selectExpr("explode(transform(checked, c -> named_struct('kind', c.s.kind, 'votes', " + _votes() + "))) as b")
+    votes = f"transform(checked, c -> named_struct('kind', c.s.kind, 'votes', {_votes()}))"
+    each = _candidates(docs).selectExpr(f"explode_outer({votes}) as b").filter("b IS NOT NULL")  # a filter on the array would search each text twice
     counts = each.groupBy("b.kind", "b.votes").agg(F.count("*").alias("n")).collect()  # at most 4 * 3 ** 5 rows
     return estimate(sorted((r.kind, list(r.votes), r.n) for r in counts))
 
@@ -184,8 +191,14 @@ def personal_spans(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, the number of strict matches of each kind, base_sha256 of them, and all spans."""
     model = model or train(docs)
     d = _candidates(docs).withColumn("base", F.expr("transform(filter(checked, c -> c.s.strict and c.valid), c -> c.s)"))
-    free = "not exists(base, o -> o.start < c.s.end and c.s.start < o.end)"
-    added = f"if(size(checked) > size(base), transform(filter(checked, c -> c.valid and not c.s.strict and {_accepted(model)} and {free}), c -> c.s), cast(array() as {_SPAN}))"
-    d = d.withColumn("added", F.expr(added))
+    # Base spans by start in blocks of about the root of their number, each with its bounds, so that a wider match looks into few of them.
+    size = "greatest(cast(ceil(sqrt(size(o))) as int), 1)"
+    part = "named_struct('low', get(p, 0).start, 'high', array_max(transform(p, x -> x.end)), 'own', p)"
+    cut = f"transform(sequence(1, greatest(size(o), 1), {size}), i -> {_let(f'slice(o, i, {size})', 'p', part)})"
+    blocks = _let("array_sort(transform(base, s -> named_struct('start', s.start, 'end', s.end)))", "o", cut)
+    free = "not exists(blocks, p -> p.low < c.s.end and c.s.start < p.high and exists(p.own, o -> o.start < c.s.end and c.s.start < o.end))"
+    wider = f"filter(checked, c -> c.valid and not c.s.strict and {_accepted(model)})"
+    added = _let(blocks, "blocks", f"transform(filter({wider}, c -> {free}), c -> c.s)")
+    d = d.withColumn("added", F.expr(f"if(size(checked) > size(base), {added}, cast(array() as {_SPAN}))"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return d.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("concat(base, added)").alias("spans"))

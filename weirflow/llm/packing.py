@@ -1,13 +1,15 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity, in bulk-synchronous rounds.
 
 Pieces longer than half a sequence open one each; the others follow in classes of falling length. In a round the open
-pieces of a class and the gaps that may take them are sorted by size, each over as many slices as they fill: the places
-in the order come from counts by size, ties are split by a hash, so that neither a common length nor a large table
-makes a slice large. Each slice is a sweep of its own: its pieces, the longest first, take their successor among its
-gaps, the smallest that is large enough; of pieces that want the same gap the first by rank (length, then number) has
-it, and what is left of the gap is one again at once. Gaps and pieces that were not matched are dealt anew in the next
-round, as long as rounds place much; what then is left opens new sequences, whose gaps the next class finds.
-One slice alone does best-fit decreasing; with many, only the gaps at their borders differ.
+pieces of a class and the gaps that may take them are sorted by size. Counts by size, swept upwards, tell which gaps are
+the successors of which pieces: a gap goes to the longest piece below it that has none yet. The gaps in their order are
+cut into slices of about as many rows, and a piece goes to the slice of its successor; of one size some go here and some
+there, by a hash, so neither a common length nor a large table makes a slice large. Each slice is a sweep of its
+own: its pieces, the longest first, take the smallest gap that is large enough; of pieces that want the same gap the
+first by rank (length, then number) has it, and what is left of the gap is one again at once. Pieces without a gap
+are handed on: in the next round they are dealt anew to the slices that have their successors now. Rounds end when
+no gap in any slice fits any piece; what then is left opens new sequences, whose gaps the next class finds.
+One slice alone does best-fit decreasing; with many, each may leave a sequence part-filled that another could have filled.
 
 Every round is written out, and a sequence is named by the number of the piece that opened it, so recomputation changes
 nothing. The driver sees counts by size, at most twice the capacity.
@@ -36,8 +38,8 @@ from pyspark.sql import types as T
 from weirflow.llm.common import materialise, text_of, unit_hash
 
 CAPACITY, END_ID = 4096, 1
-#: Rows of a slice, about; ratio of the lengths of a class, and share of the capacity below which all are one; share of its pieces that a round must place to be repeated.
-SLICE_ROWS, CLASS_RATIO, LAST_CLASS, WORTHWHILE = 20_000, 4, 32, 0.1
+#: Rows of a slice, about; ratio of the lengths of a class, and share of the capacity below which all are one.
+SLICE_ROWS, CLASS_RATIO, LAST_CLASS = 5_000, 4, 32
 #: Words of which a Python worker remembers the ids; beyond it forgets them all.
 CACHED = 600_000
 
@@ -254,17 +256,46 @@ def _sweep(capacity: int, opening: bool):
     return run
 
 
-def _sliced(rows: DataFrame, counts: dict[int, dict[int, int]], slices: int) -> DataFrame:
-    """The rows with their slice: the place of a row among those of its kind, the largest first, in ``slices`` equal parts."""
-    placed = []
-    for kind, by_size in counts.items():
-        before, whole = 0, sum(by_size.values())
-        for size in sorted(by_size, reverse=True):
-            placed.append((kind, size, before / whole * slices, by_size[size] / whole * slices))
-            before += by_size[size]
-    table = rows.sparkSession.createDataFrame(placed, "kind int, size long, first double, span double")  # at most twice the capacity
-    part = F.col("first") + F.col("span") * unit_hash(F.coalesce("node", "sequence_id"), seed=10)
-    return rows.join(F.broadcast(table), ["kind", "size"]).select(*_ROWS.names, F.least(F.floor(part), F.lit(slices - 1)).cast("int").alias("slice"))
+def successors(waiting: dict[int, int], gaps: dict[int, int]) -> tuple[list[tuple[int, int, int, int]], dict[int, int]]:
+    """Which gaps take which pieces, one each, told from counts by size: (size, first, last, place), where the pieces of a size
+    numbered first up to before last take the gaps from ``place`` on in ascending order; and by size how many pieces have none.
+
+    A gap goes to the longest piece that fits and has none yet, so pieces that wait are a stack.
+    """
+    runs: list[tuple[int, int, int, int]] = []
+    stack: list[tuple[int, int]] = []
+    at = 0
+    for size in sorted({*waiting, *gaps}):
+        if size in waiting:
+            stack.append((size, waiting[size]))
+        end = at + gaps.get(size, 0)
+        while stack and at < end:
+            own, left = stack.pop()
+            n = min(left, end - at)
+            runs.append((own, left - n, left, at))
+            at += n
+            if n < left:
+                stack.append((own, left - n))
+        at = end
+    return runs, dict(stack)
+
+
+def _sliced(rows: DataFrame, counts: dict[int, dict[int, int]], slices: int) -> tuple[DataFrame, int]:
+    """The rows with their slice: gaps by their place in ascending order, pieces where their successor is, those without one anywhere; and how many have one."""
+    runs, none = successors(counts[OPEN], counts[GAP])
+    table = [(OPEN, size, first, last, place) for size, first, last, place in runs] + [(OPEN, size, 0, n, None) for size, n in none.items()]
+    before = 0
+    for size in sorted(counts[GAP]):
+        table.append((GAP, size, 0, counts[GAP][size], before))
+        before += counts[GAP][size]
+    whole = [(*r, counts[r[0]][r[1]]) for r in table]
+    runs_by_size = rows.sparkSession.createDataFrame(whole, "kind int, size long, first long, last long, place long, whole long")  # at most four times the capacity
+    of = F.coalesce("node", "sequence_id")
+    number = F.least(F.floor(unit_hash(of, seed=10) * F.col("whole")), F.col("whole") - 1)
+    dealt = F.expr(f"(place + number - first) * {slices} div {max(before, 1)}")
+    found = rows.join(F.broadcast(runs_by_size), ["kind", "size"]).withColumn("number", number).filter("number >= first AND number < last")
+    anywhere = F.least(F.floor(unit_hash(of, seed=11) * slices), F.lit(slices - 1))
+    return found.select(*_ROWS.names, F.coalesce(dealt, anywhere).cast("int").alias("slice")), sum(last - first for _, first, last, _ in runs)
 
 
 def place(made: DataFrame, capacity: int = CAPACITY, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -279,23 +310,21 @@ def place(made: DataFrame, capacity: int = CAPACITY, slice_rows: int = SLICE_ROW
     while high > 0:
         low = high // CLASS_RATIO if high // CLASS_RATIO * LAST_CLASS >= capacity else 0
         own, opening, before = waiting.filter(f"size > {low} AND size <= {high}"), False, None
-        while True:
-            rows = own.unionByName(gaps.filter(f"size > {low}"))
+        while not opening:
             counts: dict[int, dict[int, int]] = {OPEN: {}, GAP: {}}
-            for r in rows.groupBy("kind", "size").agg(F.count("*").alias("n")).collect():
+            for r in own.unionByName(gaps.filter(f"size > {low}")).groupBy("kind", "size").agg(F.count("*").alias("n")).collect():
                 counts[r.kind][r.size] = r.n
-            n = sum(counts[OPEN].values())
+            n, least = sum(counts[OPEN].values()), min(counts[OPEN], default=0)
             if not n:
                 break
+            counts[GAP] = {size: k for size, k in counts[GAP].items() if size >= least}
             slices = -(-(n + sum(counts[GAP].values())) // slice_rows)
-            stalled = before is not None and before - n < WORTHWHILE * before
-            opening = stalled or slices == 1 or max(counts[GAP], default=0) < min(counts[OPEN])
-            made_now = materialise(_sliced(rows, counts, slices).groupBy("slice").applyInArrow(_sweep(capacity, opening), _ROWS), "round")
+            dealt, fitting = _sliced(own.unionByName(gaps.filter(f"size >= {least}")), counts, slices)
+            opening = slices == 1 or not fitting or n == before
+            made_now = materialise(dealt.groupBy("slice").applyInArrow(_sweep(capacity, opening), _ROWS), "round")
             done.append(made_now.filter(F.col("kind") == PLACED))
-            gaps = gaps.filter(f"size <= {low}").unionByName(made_now.filter(F.col("kind") == GAP))
+            gaps = gaps.filter(f"size < {least}").unionByName(made_now.filter(F.col("kind") == GAP))
             own, before = made_now.filter(F.col("kind") == OPEN), n
-            if opening:
-                break
         high = low
     whole = done[0]
     for part in done[1:]:

@@ -165,6 +165,36 @@ def test_pairs_of_a_large_bucket(spark):
         and int(np.bitwise_count(folded[i] ^ folded[j]).sum()) * 190 <= 10 * (len(sets[i]) + len(sets[j]))
     }
     assert got == want and want
+    closest = [b for b in parity_join._across(sim, True)(iter([pa.RecordBatch.from_pylist(rows)]))]
+    firsts = [t for b in closest for t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    share = lambda i, j: int(np.bitwise_count(folded[i] ^ folded[j]).sum()) / (len(sets[i]) + len(sets[j]))
+    least = {}
+    for i, j in want:
+        two = tuple(sorted((i % 7, j % 7)))
+        least[two] = min(least.get(two, 1.0), share(i, j))
+    assert {tuple(sorted((i % 7, j % 7))): share(i, j) for i, j, _ in firsts} == least and len(firsts) == len(least)
+    assert all((i, j) in want and key == 1 for i, j, key in firsts)
+
+
+def test_two_components_whose_closest_pair_is_no_link(spark):
+    """Texts of a bucket whose closest pair by sketches is not linked still get every link that another pair has."""
+    r = np.random.Generator(np.random.PCG64(5))
+    base, rows = [f"w{x}" for x in r.integers(0, 10**6, 120)], []
+    for i in range(60):
+        words = list(base)
+        for _ in range(int(r.integers(0, 9))):
+            words[int(r.integers(0, len(words)))] = f"x{int(r.integers(0, 10**6))}"
+        rows.append((i, " ".join(words)))
+    sim = Similarity(5, 80)
+    sets = [set(shingle_set(t, 5).tolist()) for _, t in rows]
+    least = list(range(60))
+    for _ in range(60):
+        for i in range(60):
+            for j in range(60):
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    least[i] = min(least[i], least[j])
+    got = {r.doc_id: r.component_id for r in similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), sim).collect()}
+    assert got == dict(enumerate(least)) and 1 < len(set(least)) < 60
 
 
 def test_join_odd_tables(spark):

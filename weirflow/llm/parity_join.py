@@ -14,8 +14,9 @@ over all partitions, so that a bucket of any size is spread over as many as it f
 meets the first of its bucket there and the one before it, which ties groups of near copies together with
 links in proportion to their size. Then, in buckets that still hold several
 components, the pairs across components are looked at in blocks of bounded size: sizes and sketches rule out
-nearly all, what is left is verified on the shingles. No pair is skipped but those inside a component, which
-cannot change the result.
+nearly all, what is left is verified on the shingles. That is done for the closest pair of every two components of a
+bucket first, then for all pairs of components that are apart still. No pair is skipped but those inside a component,
+which cannot change the result.
 
 Defined results: null, empty and blank texts have no shingles and no links, their component is their doc_id;
 a text with fewer words than a shingle has one shingle, all its words; equal sets are linked; rows that
@@ -31,7 +32,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -303,12 +304,15 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, sim: Similarit
 
 
 _PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_KEYED = T.StructType([*_PAIRS, T.StructField("key", T.LongType())])
 
 
-def _across(sim: Similarity):
-    """Pairs of different components of a bucket's members whose sizes and sketches allow a link; members come bucket by bucket."""
+def _across(sim: Similarity, closest: bool = False):
+    """Pairs of different components of a bucket's members whose sizes and sketches allow a link, or of two components the
+    ``closest`` pair alone by its sketches, with the bucket's key; members come bucket by bucket."""
 
     def pairs(node: np.ndarray, comp: np.ndarray, block: np.ndarray, n: np.ndarray, words: np.ndarray, within: bool) -> Iterator[np.ndarray]:
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
         order = np.argsort(n, kind="stable")
         node, comp, block, n, words = node[order], comp[order], block[order], n[order], words[order]
         reach = np.searchsorted(n, n * 100 // sim.percent, side="right")  # partners that are no smaller
@@ -325,7 +329,17 @@ def _across(sim: Similarity):
                 for c in range(0, len(x), 4096):
                     apart[c : c + 4096] = np.bitwise_count(words[x[c : c + 4096]] ^ words[y[c : c + 4096]]).sum(axis=1, dtype=np.int64)
                 near = apart * (100 + sim.percent) <= (100 - sim.percent) * (n[x] + n[y])
-                yield np.sort(np.stack([node[x[near]], node[y[near]]], axis=1), axis=1)
+                x, y, apart = x[near], y[near], apart[near]
+                if not closest:
+                    yield np.sort(np.stack([node[x], node[y]], axis=1), axis=1)
+                    continue
+                share, lo, hi = apart / (n[x] + n[y]), np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+                by = np.lexsort((share, hi, lo))
+                by = by[np.flatnonzero((np.diff(lo[by], prepend=-1) != 0) | (np.diff(hi[by], prepend=-1) != 0))]
+                for two, found in zip(zip(lo[by].tolist(), hi[by].tolist(), strict=True), zip(share[by].tolist(), node[x[by]].tolist(), node[y[by]].tolist(), strict=True), strict=True):
+                    best[two] = min(best.get(two, found), found)
+        if best:
+            yield np.sort(np.array([b[1:] for b in best.values()], np.int64), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -346,9 +360,10 @@ def _across(sim: Similarity):
                     own = held.slice(a, b - a)
                     ids = [own.column(c).to_numpy() for c in ("node", "component", "block", "n_shingles")]
                     words = own.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(b - a, -1)
-                    out += pairs(*ids, words, bucket[a, 1] == bucket[a, 2])
+                    for two in pairs(*ids, words, bucket[a, 1] == bucket[a, 2]):
+                        out.append(np.column_stack([two, np.full(len(two), bucket[a, 0])]) if closest else two)
             if out and len(found := np.concatenate(out)):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=_PAIRS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.T], names=(_KEYED if closest else _PAIRS).names)
             held = rest if batch is not None else None
 
     return run
@@ -359,13 +374,13 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def _untied(met: DataFrame, tied: DataFrame, reps: DataFrame, sim: Similarity) -> DataFrame:
-    """Candidate pairs across components in buckets that hold more than their hubs have settled."""
+def _untied(met: DataFrame, tied: DataFrame, reps: DataFrame, sim: Similarity, closest: bool = False) -> DataFrame:
+    """Candidate pairs across components in buckets that hold more than their hubs have settled, all of them or the closest of every two components of a bucket, with its key."""
     now = keyed_join(met, tied, ["node"], "left").withColumn("component", F.coalesce("component", "node"))
     mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo < hi AND n > 2")
     mixed = materialise(mixed.select("key", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "mixed")
     if mixed.isEmpty():
-        return mixed.sparkSession.createDataFrame([], _PAIRS)
+        return mixed.sparkSession.createDataFrame([], _KEYED if closest else _PAIRS)
     members = materialise(keyed_join(now, mixed, ["key"], "inner"), "members")
     concerned = materialise(members.select("node").distinct(), "concerned")
     sketches = _by_band(reps, concerned)
@@ -378,7 +393,7 @@ def _untied(met: DataFrame, tied: DataFrame, reps: DataFrame, sim: Similarity) -
     )
     n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return runs.select("key", "i", "j", "node", "component", "block", "n_shingles", "words").mapInArrow(_across(sim), _PAIRS).distinct()
+    return runs.select("key", "i", "j", "node", "component", "block", "n_shingles", "words").mapInArrow(_across(sim, closest), _KEYED if closest else _PAIRS).distinct()
 
 
 def _grouped(docs: DataFrame, sim: Similarity) -> DataFrame:
@@ -399,13 +414,24 @@ def _grouped(docs: DataFrame, sim: Similarity) -> DataFrame:
     hubs = met.select("band", "node", F.explode(F.array("hub", "previous")).alias("hub")).unionByName(across).filter("node <> hub")
     hubs = hubs.groupBy(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).agg(F.min("band").alias("band"))
     hubs = materialise(hubs, "hubs")
-    links = _verified(_close(hubs, reps, sim), docs, reps, sim)
-    tied = components(links)
-    more = materialise(_untied(met.select("key", "band", "node"), tied, reps, sim).join(hubs, ["a", "b"], "left_anti"), "more")
-    release(met, hubs)
-    if not more.isEmpty():
-        tied = components(links.unionByName(_verified(more, docs, reps, sim)))
-    release(reps, links)
+    links = [_verified(_close(hubs, reps, sim), docs, reps, sim)]
+    tied, seen, spare = components(links[0]), [hubs], []
+    buckets = met.select("key", "band", "node")
+    for closest in (True, False):
+        found = materialise(_untied(buckets, tied, reps, sim, closest), "found")
+        seen.append(found)
+        if found.isEmpty():
+            break
+        more = materialise(reduce(lambda left, old: left.join(old, ["a", "b"], "left_anti"), seen[:-1], found.select("a", "b").distinct()), "more")
+        seen.append(more)
+        if not more.isEmpty():
+            links.append(_verified(more, docs, reps, sim))
+            tied = components(reduce(DataFrame.unionByName, links))
+        if closest:  # a bucket without any pair now has none later, as components only grow
+            still_open = materialise(found.select("key").distinct(), "open")
+            buckets = keyed_join(buckets, still_open, ["key"], "left_semi")
+            spare.append(still_open)
+    release(met, reps, *seen, *spare, *links)
     out = keyed_join(rows, classes, ["digest"], "left").select("doc_id", "sha", "n_shingles", "rep", F.coalesce("rep", "node").alias("node"))
     return keyed_join(out, tied, ["node"], "left").select("doc_id", "sha", "n_shingles", F.coalesce("component", "rep").alias("component"))
 

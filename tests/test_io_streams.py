@@ -1,8 +1,11 @@
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from weirflow.operators import report
 from weirflow.operators import samples as S
 from weirflow.sources import files
 from weirflow.streaming import samples as streams
@@ -45,6 +48,40 @@ def test_sessions(spark, stream):
     assert set(got.columns) == {"site", "metric", "window_start", "window_end", "n"}
 
 
+def test_runs_equal_batch(spark, tmp_path):
+    """Over several files that come out of order within the watermark, with gaps of days inside runs, the stream's last word is the batch's."""
+    r = random.Random(3)
+    cells = []
+    for site in (1, 2, 3):
+        at, state = DAY, False
+        for n in range(160):
+            at += timedelta(minutes=r.choice((0, 7, 20, 20, 45, 45)) if n % 50 else 60 * 60)
+            state = state if r.random() < 0.8 else not state
+            cells.append((site, "ph", at, n, None if n % 41 == 40 else 9.0 if state else 7.0, 6.5, 8.5, "tidal" if site == 3 else "flat"))
+    shape = "site long, metric string, at timestamp, ord long, value double, baseline_min double, baseline_max double, pattern string"
+    cells.sort(key=lambda c: (c[2], c[0]))
+    whole = spark.createDataFrame(cells, shape)
+    for part in range(0, len(cells), 60):
+        own = cells[part : part + 60]
+        r.shuffle(own)
+        spark.createDataFrame(own, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        live = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        rows = drained(streams.excursion_runs(live, "4 hours"), "update", "runs").collect()
+    finally:
+        spark.conf.unset(provider)
+    ends = {}
+    for x in rows:
+        key = (x.site, x.window_start)
+        ends[key] = max(ends.get(key, (x.window_end, x.ended)), (x.window_end, x.ended))
+    passed = max(c[2] for c in cells) - timedelta(hours=4)
+    want = {(w.site, w.window_start): w.window_end for w in report.excursions(whole.filter(F.col("at") <= F.lit(passed))).collect()}
+    assert {k: e for k, (e, _) in ends.items()} == want and len(want) > 5
+    assert any(e - s > timedelta(hours=30) for (_, s), e in want.items()) and {3} & {k[0] for k in want} == set()
+
+
 def test_clean_text(spark, tmp_path):
     rows = [(1, i, p, i == 3) for i, p in enumerate(["data: a 【comm\n\n", "data: entary x】 b\n", "\ndata: c\n\n", ""])]
     df = spark.createDataFrame(rows, "conv_id long, ord long, piece string, last boolean")

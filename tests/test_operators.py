@@ -346,3 +346,27 @@ def test_scalars(spark):
         with pytest.raises(ValueError, match="Valid metrics"):
             D.metric_key(wrong)
     assert {r.metric: r.range for r in D.operator_ranges(spark, "saltwater").collect()}["conductivity"] == "40,000 to 50,000 µS/cm"
+
+
+def test_vectors_of_batches(spark):
+    """By index and not by the order they come in; a batch with anything wrong has no vector at all."""
+    texts = spark.createDataFrame([(b, p, f"{b}.{p}") for b in range(6) for p in range(3)], "batch long, place int, text string")
+    one = lambda x: [float(x), 1.0]
+    items = [(0, 9, one(9)), (0, 4, one(4)), (0, 7, one(7)), (1, 0, one(0)), (1, 1, one(1)), (2, 0, one(0)), (2, 1, [1.0]), (2, 2, [0.0, 0.0])]
+    items += [(3, 0, one(0)), (3, 1, [0.0, 0.0]), (3, 2, one(2)), (4, 0, one(0)), (4, 1, None), (4, 2, one(2))]
+    got = V.with_vectors(texts, spark.createDataFrame(items, "batch long, index int, embedding array<double>"), 2).collect()
+    assert {r.text: r.embedding for r in got if r.batch == 0} == {"0.0": one(4), "0.1": one(7), "0.2": one(9)}
+    assert len(got) == 18 and all(r.embedding is None for r in got if r.batch)
+    assert {r.batch: r.error for r in got} == {
+        0: None, 1: "Embedding API returned 2 vectors for 3 inputs.", 2: "returned 1 dimensions; the schema expects 2.", 3: "returned an all-zero vector for input 1.",
+        4: "returned 0 dimensions; the schema expects 2.", 5: "Embedding API returned 0 vectors for 3 inputs.",
+    }
+
+
+def test_notice_of_a_failed_query(spark):
+    from weirflow.operators import sensor_query
+
+    shape = "last_reported timestamp, n_samples long, complete boolean, covered_from timestamp, range_start timestamp, metric string, note string, error string"
+    rows = spark.createDataFrame([(None, None, None, None, None, None, None, "no device"), (None, 0, True, None, None, "ph", "", None)], shape)
+    got = [r.notices for r in sensor_query.notices(rows, F.lit("2026-01-01").cast("timestamp")).collect()]
+    assert got == [["Sensor query failed — no device"], ["No readings in this window · no last reading on record for this pod"]]

@@ -91,6 +91,27 @@ def batches(texts: DataFrame, key: str, text: str = "text", prefix: str = PASSAG
     return d.select(F.shiftright("n", 33).alias("part"), F.floor(own / size).alias("batch"), (own % size).cast("int").alias("place"), key, text)
 
 
+def with_vectors(batched: DataFrame, items: DataFrame, dim: int) -> DataFrame:
+    """The texts of batches with their vectors: ``batched`` (batch, place and more) with embedding and error.
+
+    ``items``: batch, index, embedding, what a model returned, in any order; the vector of a text is the one at its place when
+    they are ordered by index. A batch with too few or too many vectors, one of another length or one that is all zero (the first is
+    told, in this order) has that error in all its rows and no vectors, since texts could be paired with vectors of others.
+    A vector that is null has no length; batches are small, so a task sorts no more than some dozens.
+    """
+    order = Window.partitionBy("batch").orderBy("index", "embedding")
+    got = items.select("batch", "embedding", (F.row_number().over(order) - 1).alias("place"))
+    length = F.coalesce(F.size("embedding"), F.lit(0))
+    wrong, zero = length != dim, (length == dim) & F.forall("embedding", lambda x: x == 0)
+    told = got.groupBy("batch").agg(F.count("*").alias("n_out"), F.min_by(length, F.when(wrong, F.col("place"))).alias("other"), F.min(F.when(zero, F.col("place"))).alias("blank"))
+    asked = batched.groupBy("batch").agg(F.count("*").alias("n_in")).join(told, "batch", "left").withColumn("n_out", F.coalesce("n_out", F.lit(0)))
+    say = lambda *parts: F.concat(*[F.lit(p).cast("string") for p in parts])
+    error = F.when(F.col("n_out") != F.col("n_in"), say("Embedding API returned ", F.col("n_out"), " vectors for ", F.col("n_in"), " inputs."))
+    error = error.when(F.col("other").isNotNull(), say("returned ", F.col("other"), f" dimensions; the schema expects {dim}.")).when(F.col("blank").isNotNull(), say("returned an all-zero vector for input ", F.col("blank"), "."))
+    rows = batched.join(asked.select("batch", error.alias("error")), "batch").join(got, ["batch", "place"], "left")
+    return rows.select(*batched.columns, F.when(F.col("error").isNull(), F.col("embedding")).alias("embedding"), "error")
+
+
 def slice_feed(corpus: DataFrame, query: str) -> DataFrame:
     """All documents of the slice in a stable order, however many are asked for; nothing for a blank query."""
     d = corpus.filter("in_slice").select("filename", "title", "text")

@@ -133,7 +133,10 @@ def ask_safely(samples: DataFrame, devices: DataFrame, question: SensorQuestion,
 
 
 def notices(found: DataFrame, now: Column) -> DataFrame:
-    """The answers with ``notices``: an empty window, a window anchored long ago, a search that fell short, provisional turbidity. Their wording is fixed."""
+    """The answers with ``notices``: an empty window, a window anchored long ago, a search that fell short, provisional turbidity. Their wording is fixed.
+
+    If the answers have an ``error``, a query that failed has the notice of that alone.
+    """
     last = iso_instant(F.col("last_reported"))
     age = epoch_ms(now) - epoch_ms(F.col("last_reported"))
     stale = age > SILENT_MS
@@ -143,7 +146,11 @@ def notices(found: DataFrame, now: Column) -> DataFrame:
     anchored = F.when(stale, F.concat(F.lit("Window anchored to the pod's last reading, "), date_slice(last), F.lit(" — not to today")))
     short = F.when(~F.col("complete"), F.concat(F.lit("Search did not reach that far back — covered "), date_slice(iso_instant(F.col("covered_from"))), F.lit(" onward, not "), date_slice(iso_instant(F.col("range_start")))))
     turbidity = F.when((F.col("metric") == "turbidity") & F.col("note").contains("provisional, uncalibrated"), "Turbidity provisional — a relative index, not a calibrated measurement")
-    return found.withColumn("notices", F.array_compact(F.array(F.when(F.col("n_samples") == 0, empty).otherwise(anchored), short, turbidity)))
+    all_of_them = F.array_compact(F.array(F.when(F.col("n_samples") == 0, empty).otherwise(anchored), short, turbidity))
+    if "error" not in found.columns:
+        return found.withColumn("notices", all_of_them)
+    failed = F.array(F.concat(F.lit("Sensor query failed — "), F.col("error")))
+    return found.withColumn("notices", F.when(F.col("error").isNotNull(), failed).otherwise(all_of_them))
 
 
 def device_kinds(devices: DataFrame) -> DataFrame:

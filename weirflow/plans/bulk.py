@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weirflow.operators import corpus as C
@@ -9,6 +10,7 @@ from weirflow.operators import lexical as L
 from weirflow.operators import questions as M
 from weirflow.operators import registry as G
 from weirflow.operators import report as R
+from weirflow.operators import retrieval as T
 from weirflow.operators import vectors as V
 from weirflow.plans import bindings as B
 from weirflow.plans.catalogue import _DEV, _MOVES, _MS, _N, _ms, _six, query
@@ -129,3 +131,15 @@ def lexical_rank_any(spark, sf_dir):
 def lexical_rank_all(spark, sf_dir):
     """Stemmed questions against all documents: all terms, by cover density."""
     return _lexical(spark, sf_dir, True)
+
+
+@query("""WITH I AS (SELECT vec_id, vec_id // 32 AS batch, row_number() OVER (PARTITION BY vec_id // 32 ORDER BY vec_id) - 1 AS place, embedding FROM embeddings),
+C AS (SELECT batch, count(*) AS n_in, count(*) FILTER (WHERE vec_id % 97 <> 5) AS n_out FROM I GROUP BY batch)
+SELECT vec_id, batch, place, CASE WHEN n_in = n_out THEN round(embedding[1]::DOUBLE, 6) END AS first_entry,
+    CASE WHEN n_in <> n_out THEN 'Embedding API returned ' || n_out || ' vectors for ' || n_in || ' inputs.' END AS error FROM I JOIN C USING (batch)""")
+def vectors_of_batches(spark, sf_dir):
+    """Embeddings as they come back in batches of 32, of which some have lost a vector."""
+    e = B.table(spark, sf_dir, "embeddings").withColumn("batch", F.expr("vec_id div 32"))
+    batched = e.select("vec_id", "batch", (F.row_number().over(Window.partitionBy("batch").orderBy("vec_id")) - 1).alias("place"))
+    items = e.filter("vec_id % 97 <> 5").select("batch", F.col("vec_id").alias("index"), "embedding")
+    return T.with_vectors(batched, items, 64).select("vec_id", "batch", "place", F.round(F.col("embedding")[0].cast("double"), 6).alias("first_entry"), "error")

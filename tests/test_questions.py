@@ -120,3 +120,17 @@ def test_medians(spark, ranks, margin):
     want = {x.device: x.v for x in df.filter("valid AND value IS NOT NULL").groupBy("device").agg(F.percentile("value", 0.5).alias("v")).collect()}
     assert {x.device: x.value for x in S.medians(df, ranks=ranks, margin=margin).collect()} == want
     assert {x.device: x.value for x in S.aggregate(df, "median").collect()} == {x.device: None for x in df.filter("value IS NOT NULL").collect()} | want
+
+
+def test_a_table_of_names_sends_nothing_through_the_driver(spark, tmp_path):
+    """Files say little of what their names explode to: no side of a join is sent whole. Names that devices share, and letters that change when lowered, match as by `matches`."""
+    rows = [(i, f"dev:{i % 40}", ["Kelvin Kay", "Harbour Pod One", "Pod İzmir Two", "harbour pod one", None, "HPO creek"][i % 6]) for i in range(300)]
+    spark.createDataFrame(rows, "key int, label string, name string").write.parquet(f"{tmp_path}/d")
+    devices = spark.read.parquet(f"{tmp_path}/d")
+    names = ["hpo", "har", "hp", "pod", "kk", "kK", "piz", "pi", "pt", "İzm", " DEV:7", "hc", "h", "", "creek", "dev:", "zzz"]
+    found = G.matches_of(spark.createDataFrame([(n,) for n in names], "asked string"), devices)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.asked, r.tier, r.key) for r in found.collect())
+    asked = {n: spark.range(1).select(F.lower(F.trim(F.lit(n))).alias("a")).first().a for n in names}
+    want = sorted({(asked[n], r.tier, r.key) for n in names for r in G.matches(devices, asked[n]).collect()})
+    assert got == want and len(got) > 300

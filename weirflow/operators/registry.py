@@ -39,23 +39,33 @@ def matches_of(asked: DataFrame, devices: DataFrame, name: str = "name", label:
     The same rows as `matches` for each name, in one plan. A tier is an equality of keys: labels, names and initials as they
     are, the starts of initials, and for parts of names groups of three characters, of which a question looks up its
     rarest; what meets there is checked. So questions are never compared with all devices, but for those that match them.
+
+    Texts that many devices share are looked up once, and parts only for questions that are no whole text of a device. What
+    is found are texts, and devices join those at the end. All joins are of sorted parts: what explodes is estimated by the
+    size of its files, far too small, and would be sent whole through the driver.
     """
     q = asked.select(F.lower(F.regexp_replace("asked", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")).alias("asked")).filter("asked IS NOT NULL").distinct()
     text = lambda c: normalised(F.coalesce(F.col(c), F.lit("")))
     first = initials(F.coalesce(F.col(name), F.lit("")))
     grams = lambda c: F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3)))).otherwise(F.array().cast("array<string>"))
-    starts = F.when(F.length(first) >= 2, F.transform(F.sequence(F.lit(2), F.length(first)), lambda i: F.substring(first, F.lit(1), i))).otherwise(F.array().cast("array<string>"))
-    key = lambda tier, c: F.struct(F.lit(tier).alias("tier"), c.alias("key"))
-    whole = F.array(key(1, text(label)), key(2, text(name)), key(3, first))
-    keys = F.concat(whole, F.transform(grams(text(name)), lambda g: key(4, g)), F.transform(starts, lambda g: key(5, g)))
-    d = devices.select(F.struct(*[F.col(c) for c in devices.columns]).alias("_device"), text(name).alias("_name"), F.explode(keys).alias("k")).select("_device", "_name", "k.*")
-    a, n = F.col("asked"), F.length("asked")
-    counts = d.filter("tier = 4").groupBy("key").agg(F.count("*").alias("n"))
-    rarest = q.select("asked", F.explode(grams(a)).alias("key")).join(counts, "key", "left").groupBy("asked").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("g")).select("asked", key(4, F.col("g.key")).alias("k"))
-    wanted = q.select("asked", F.explode(F.filter(F.array(*[key(t, a) for t in (1, 2, 3)], key(5, a)), lambda k: (k["tier"] < 5) | (n >= 2))).alias("k")).unionByName(rarest)
-    met = wanted.select("asked", "k.*").join(d, ["tier", "key"]).filter("tier <> 4 OR contains(_name, asked)")
-    best = met.groupBy("asked").agg(F.min("tier").alias("tier"))
-    return met.join(best, ["asked", "tier"]).select("asked", "tier", "_device.*")
+    starts = lambda c: F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(2), F.length(c)), lambda i: F.substring(c, F.lit(1), i))).otherwise(F.array().cast("array<string>"))
+    # A text is a label (1), a name (2) or initials (3); these are also the tiers of questions that are such a text.
+    texts_of = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), c.alias("text")) for kind, c in ((1, text(label)), (2, text(name)), (3, first))]))
+    texts = devices.select(texts_of.alias("t")).select("t.*").distinct()
+    whole = texts.groupBy(F.col("text").alias("asked")).agg(F.min("kind").alias("kind"))
+    placed = q.join(whole.hint("merge"), "asked", "left")
+    exact = placed.filter("kind IS NOT NULL").select("asked", F.col("kind").alias("tier"), "kind", F.col("asked").alias("text"))
+    rest = placed.filter("kind IS NULL").select("asked")
+    parts = texts.filter("kind = 2").select("text", F.explode(grams(F.col("text"))).alias("key"))
+    counts = parts.groupBy("key").agg(F.count("*").alias("n"))
+    # A group of three characters that no name has is the rarest, and leaves nothing to be looked up.
+    sought = rest.select("asked", F.explode(grams(F.col("asked"))).alias("key")).join(counts.hint("merge"), "key", "left").groupBy("asked").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("g"))
+    inside = sought.filter("g.n > 0").select("asked", F.col("g.key").alias("key")).join(parts.hint("merge"), "key").filter(F.col("text").contains(F.col("asked"))).select("asked", F.lit(4).alias("tier"), F.lit(2).alias("kind"), "text")
+    begun = texts.filter("kind = 3").select("text", F.explode(starts(F.col("text"))).alias("asked"))
+    others = rest.join(inside.select("asked").distinct().hint("merge"), "asked", "left_anti").join(begun.hint("merge"), "asked").select("asked", F.lit(5).alias("tier"), F.lit(3).alias("kind"), "text")
+    found = exact.unionByName(inside).unionByName(others)
+    d = devices.select(F.struct(*[F.col(c) for c in devices.columns]).alias("_device"), texts_of.alias("t")).select("_device", "t.*")
+    return found.join(d.hint("merge"), ["kind", "text"]).select("asked", "tier", "_device.*")
 
 
 def resolve_one(devices: DataFrame, query: str | None, default: str | None = None) -> str:

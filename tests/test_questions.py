@@ -134,3 +134,11 @@ def test_a_table_of_names_sends_nothing_through_the_driver(spark, tmp_path):
     asked = {n: spark.range(1).select(F.lower(F.trim(F.lit(n))).alias("a")).first().a for n in names}
     want = sorted({(asked[n], r.tier, r.key) for n in names for r in G.matches(devices, asked[n]).collect()})
     assert got == want and len(got) > 300
+
+
+def test_a_table_of_questions_stays_off_the_driver(spark, fleet, tmp_path):
+    """A small file of questions may be many rows: neither they nor their windows are sent whole to meet devices and samples."""
+    samples, devices = fleet
+    spark.range(400).select(F.col("id").alias("question"), F.concat(F.lit("dev:"), (F.col("id") % 3).cast("string")).alias("device"), F.lit("all").alias("metric"), F.lit("median").alias("aggregation"), F.lit("last 30 days").alias("time_range")).write.parquet(f"{tmp_path}/q")
+    plan = Q.answers(spark.read.parquet(f"{tmp_path}/q"), samples, devices)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [device#" in plan and "BroadcastHashJoin [device#" not in plan

@@ -5,6 +5,7 @@ names are read by expressions and one join, windows are resolved against each de
 meet windows by device, metric and time bin. Errors are data: a question that cannot be answered is a row that says
 why, in the words that `sensor_query` uses. Questions that were read are written to the shared folder, since each kind of
 answer (statistics, medians, raw samples, series) takes its own from them; samples are shuffled once for all kinds.
+Questions meet devices and samples in sorted parts: their file is small for its rows, and would be sent through the driver.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def resolved_devices(asked: DataFrame, devices: DataFrame, default_device: str |
     listed = F.array_join(F.slice("labels", 1, 10), ", ")
     said = F.concat(F.lit("'"), F.col("said"), F.lit("': "))
     wrong = F.when(F.col("labels").isNull(), F.concat(F.lit("no device for "), said)).when(F.size("labels") > 1, F.concat(F.lit("several devices for "), said, listed))
-    joined = q.join(first, "asked", "left").withColumn("error", F.coalesce("error", wrong))
+    joined = q.join(first.hint("merge"), "asked", "left").withColumn("error", F.coalesce("error", wrong))
     return joined.select("question", F.when(F.col("error").isNull(), F.col("device")).alias("device"), F.when(F.col("error").isNull(), F.element_at("labels", 1)).alias("label"), "metrics", "name", "width", "window", "error")
 
 
@@ -75,7 +76,7 @@ def answers(questions: DataFrame, samples: DataFrame, devices: DataFrame, defaul
     """
     q = written(resolved_devices(checked(questions), devices, default_device), "questions")  # read by every kind of answer
     spans = samples.groupBy("device").agg(F.max("at").alias("anchor"), F.min("at").alias("oldest"))
-    asked = q.filter("error IS NULL").join(spans, "device", "left").withColumn("r", timephrase.resolved(F.col("window"), F.col("anchor"))).withColumn("metric", F.explode("metrics"))
+    asked = q.filter("error IS NULL").join(spans.hint("merge"), "device", "left").withColumn("r", timephrase.resolved(F.col("window"), F.col("anchor"))).withColumn("metric", F.explode("metrics"))
     asked = asked.select("question", "device", "label", "metric", "name", "width", "anchor", "oldest", "r.start", "r.end", F.col("r.label").alias("range_label"), "r.end_inclusive")
     # Windows are cut to what there is of a device, so that long ones take no more bins than its history.
     windows = asked.filter("anchor IS NOT NULL").select(

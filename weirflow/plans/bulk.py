@@ -63,8 +63,9 @@ def questions_answered(spark, sf_dir):
     """A table of questions against all samples in one plan."""
     c, key = B.table(spark, sf_dir, "customer"), F.col("c_custkey")
     label = F.concat(F.lit("dev:"), key.cast("string"))
-    fleet = c.select(key.alias("device"), label.alias("label"), F.col("c_name").alias("name"))
-    named = F.when(key % 17 == 0, F.concat(F.lit("nobody "), key.cast("string"))).when(key % 3 == 0, F.concat(F.lit(" "), F.upper(label), F.lit(" "))).when(key % 3 == 1, F.lower("c_name")).otherwise(label)
+    name = F.concat_ws(" ", "c_name", key.cast("string"))  # a name of its own for each device, as in SQL, also where customers share one
+    fleet = c.select(key.alias("device"), label.alias("label"), name.alias("name"))
+    named = F.when(key % 17 == 0, F.concat(F.lit("nobody "), key.cast("string"))).when(key % 3 == 0, F.concat(F.lit(" "), F.upper(label), F.lit(" "))).when(key % 3 == 1, F.lower(name)).otherwise(label)
     asked = c.select(key.alias("question"), named.alias("device"), _turn(_METRICS, key).alias("metric"), _turn(_NAMES, key).alias("aggregation"), _turn(tuple(p[0] for p in _PHRASES), key).alias("time_range"))
     a = M.answers(asked, B.metric_samples(spark, sf_dir), fleet)
     return a.select("question", "label", "metric", "aggregation", *_six("value"), "n_samples", "excluded_faulted", _ms("observed_at").alias("observed_ms"), _ms("range_start").alias("start_ms"), _ms("range_end").alias("end_ms"), "range_label", "error")

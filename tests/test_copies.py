@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_catalogue import SF, cells
 from weirflow.plans import catalogue
@@ -26,3 +27,14 @@ def copies(tmp_path_factory):
 def test_same_as_sql(spark, copies, name):
     to, db = copies
     assert cells(catalogue.queries()[name](spark, to).toPandas()) == cells(db.sql(catalogue.oracle_sql()[name]).df())
+
+
+@pytest.mark.skipif(not os.path.isdir(f"{os.path.dirname(SF)}/sf0.1"), reason="needs the driver's tables")
+def test_means_at_ties_whatever_the_order_of_files(spark, tmp_path):
+    """Means that lie on a tie of the sixth digit are those of SQL that sums in the order of events, also where files hold them in none."""
+    spark.read.parquet(f"{os.path.dirname(SF)}/sf0.1/events.parquet").repartition(5, F.xxhash64("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute("SET threads=1")
+    db.execute(f"CREATE TABLE events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet' ORDER BY event_id")
+    got = catalogue.queries()["event_movements"](spark, str(tmp_path)).toPandas()
+    assert len(got) > 4000 and cells(got) == cells(db.sql(catalogue.oracle_sql()["event_movements"]).df())

@@ -72,18 +72,35 @@ def merged(windows: DataFrame) -> DataFrame:
     return w.groupBy("site", "event").agg(F.min("window_start").alias("event_start"), F.max("window_end").alias("event_end")).drop("event")
 
 
-def movements(series: DataFrame, events: DataFrame, by_day: bool = True) -> DataFrame:
+def movements(series: DataFrame, events: DataFrame, digits: int | None = None) -> DataFrame:
     """Per event and metric the mean, least and greatest value inside it, and where the mean left the baseline: up or down.
 
     Samples and events meet by site and day (`intervals.within`), so a site's work is linear in its samples and spread over
-    its days; or by site alone, which sums a site's samples in the order of their source.
+    its days. The last bits of a mean depend on the order of its sum, which parts of a table don't have. With ``digits`` no
+    figure rounded to so many, and no direction, depends on it: means so near to a tie, or to an edge of the baseline, that another
+    order might take them across are summed once more, in the order of ``ord``.
     """
-    samples = series.filter("value IS NOT NULL AND baseline_min IS NOT NULL")
-    inside = within(samples, events, ["site"], "event_start", "event_end") if by_day else samples.join(events, "site").filter("at >= event_start AND at <= event_end")
-    m = inside.groupBy("site", "event_start", "event_end", "metric", "baseline_min", "baseline_max").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    inside = within(series.filter("value IS NOT NULL AND baseline_min IS NOT NULL"), events, ["site"], "event_start", "event_end")
+    key = ["site", "event_start", "event_end", "metric", "baseline_min", "baseline_max"]
+    m = inside.groupBy(*key).agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n"), F.sum(F.abs("value")).alias("size"))
+    if digits is not None:
+        m = m.join(_means_in_order(inside, m, key, digits).hint("merge"), key, "left").withColumn("mean", F.coalesce("ordered", "mean"))
+    m = m.select(*key, "mean", "min", "max")
     return m.withColumn("moved", F.when(F.col("mean") > F.col("baseline_max"), "up").when(F.col("mean") < F.col("baseline_min"), "down"))
 
 
+def _means_in_order(inside: DataFrame, means: DataFrame, key: list[str], digits: int) -> DataFrame:
+    """(key, ordered): means summed by ``ord``, where the order decides. Sums of n doubles are at most n units of their last place (of the sum of absolute values) from each other."""
+    off = F.col("size") * 2.0**-51
+    scaled, near = F.abs(F.col("mean")) * 10.0**digits, off * 10.0**digits + F.abs(F.col("mean")) * 10.0**digits * 2.0**-51
+    tie = F.abs(scaled - F.floor(scaled) - 0.5) <= near
+    edge = (F.abs(F.col("mean") - F.col("baseline_min")) <= off) | (F.abs(F.col("mean") - F.col("baseline_max")) <= off)
+    close = means.filter(tie | edge).select(*key)
+    order = Window.partitionBy(*key).orderBy("ord")
+    so_far = inside.join(close.hint("merge"), key, "left_semi").select(*key, "ord", F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("total"), F.row_number().over(order).alias("n"))
+    return so_far.groupBy(*key).agg((F.max_by("total", "n") / F.max("n")).alias("ordered"))
+
+
 def classify(moves: Column) -> Column:
     """(type, confidence) from a map of metric to up or down; the first rule that holds decides."""
     m = lambda k: F.element_at(moves, k)

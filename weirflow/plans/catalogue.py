@@ -228,7 +228,7 @@ def interval_merge(spark, sf_dir):
 @query(f"WITH {_MOVES} SELECT site, (epoch_us(s) // 1000) AS start_ms, metric, round(mean, 6) AS mean, mn AS min, mx AS max, moved FROM MM")
 def event_movements(spark, sf_dir):
     p = B.site_series(spark, sf_dir)
-    return R.movements(p, R.merged(R.excursions(p)), by_day=False).select("site", _ms("event_start").alias("start_ms"), "metric", *_six("mean"), "min", "max", "moved")
+    return R.movements(p, R.merged(R.excursions(p)), digits=6).select("site", _ms("event_start").alias("start_ms"), "metric", (F.round(F.col("mean") * 1e6) / 1e6).alias("mean"), "min", "max", "moved")  # rounded as SQL does
 
 
 @query(f"WITH {_EVENTS} SELECT * FROM EA")
